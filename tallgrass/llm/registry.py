@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import binary_packing, piece_codec, tier_packing, token_counts
+from . import binary_packing, piece_codec, quality_rules, tier_packing, token_counts, warc
 
 QUERIES = {
+    "op1_arc_to_warc": warc.op1_arc_to_warc,
     "op4_tier_packing": tier_packing.op4_tier_packing,
     "op5_digest_cache_counts": token_counts.op5_digest_cache_counts,
     "op8_best_fit_binary": binary_packing.op8_best_fit_binary,
     "op9_marked_word_pieces": piece_codec.op9_marked_word_pieces,
+    "op10_rule_cascade": quality_rules.op10_rule_cascade,
+}
+ORACLES: dict[str, str] = {
+    "op1_arc_to_warc": warc.OP1_SQL,
+    "op10_rule_cascade": quality_rules.OP10_SQL,
 }
-ORACLES: dict[str, str] = {}
