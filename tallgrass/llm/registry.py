@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import binary_packing, exact_topk, language_id, piece_codec, quality_rules, secrets_cnn, tier_packing, token_counts, warc
+from . import binary_packing, exact_topk, language_id, near_dedup, piece_codec, quality_rules, secrets_cnn, tier_packing, token_counts, warc
 
 QUERIES = {
     "op1_arc_to_warc": warc.op1_arc_to_warc,
+    "op2_bottom_k_dedup": near_dedup.op2_bottom_k_dedup,
     "op3_norm_sorted_top_k": exact_topk.op3_norm_sorted_top_k,
     "op4_tier_packing": tier_packing.op4_tier_packing,
     "op5_digest_cache_counts": token_counts.op5_digest_cache_counts,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_arc_to_warc": warc.OP1_SQL,
+    "op2_bottom_k_dedup": near_dedup.OP2_SQL,
     "op3_norm_sorted_top_k": exact_topk.OP3_SQL,
     "op10_rule_cascade": quality_rules.OP10_SQL,
 }
