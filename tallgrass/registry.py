@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .operators import emissions  # noqa: F401
+from .plans.catalog import ORACLES, QUERIES  # noqa: F401
