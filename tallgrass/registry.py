@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .operators import emissions  # noqa: F401
+from .operators import disclosure, emissions, hierarchy, suppliers  # noqa: F401
 from .plans.catalog import ORACLES, QUERIES  # noqa: F401
