@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-from .operators import disclosure, emissions, hierarchy, suppliers  # noqa: F401
+from .functions import periods, text, units  # noqa: F401
+from .operators import assurance, disclosure, emissions, extraction, hierarchy, suppliers  # noqa: F401
 from .plans.catalog import ORACLES, QUERIES  # noqa: F401
