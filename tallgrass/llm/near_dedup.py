@@ -8,9 +8,9 @@
    the rarest values are listed, as many as must include one shared value.  A
    list is read once: a document that shares all but a few values with an
    earlier leader follows it, others lead; every overlap that a partner of a
-   follower could have with its leader is an edge.  So all pairs that share
-   ``need`` values are in one group, and a list costs its length times the
-   leaders that are met.  Long lists are cut by salt and their leaders meet.
+   follower could have with its leader connects the two, by no more edges than
+   the list has documents.  So all pairs that share ``need`` values are in one
+   group.  Long lists are cut by salt and their leaders meet.
 3. Groups are verified in units of bounded size (large groups as pairs of
    blocks): the union sketch estimates a pair's similarity, full sets of the
    texts decide.  A unit returns no more links than it has documents.
@@ -88,20 +88,31 @@ def read_lists(postings: DataFrame, k: int, percent: int, slack: int, needs_less
 
     def one(rows: list[tuple]) -> Iterator[tuple]:
         leaders: list[tuple] = []
+        above: list[int] = []  # leaders that edges already connect
         by_value: dict[int, list[int]] = {}
+
+        def top(i: int) -> int:
+            while above[i] != i:
+                above[i] = i = above[above[i]]
+            return i
+
         for doc, size, shared in rows:
             overlap: dict[int, int] = {}
             for v in shared:
                 for i in by_value.get(v, ()):
                     overlap[i] = overlap.get(i, 0) + 1
-            loose, follows = max(1, need(size, k, percent) - needs_less), False
+            loose, follows, met = max(1, need(size, k, percent) - needs_less), False, set()
             for i, n in overlap.items():
                 if n >= min(loose, max(1, need(leaders[i][1], k, percent) - needs_less)):
-                    yield doc, leaders[i][0], size, shared
+                    met.add(top(i))
                 follows = follows or n >= size - slack
+            for i in met:  # one edge to each group of leaders, which it joins
+                yield doc, leaders[i][0], size, shared
+                above[i] = min(met)
             if not follows:
                 for v in shared:
                     by_value.setdefault(v, []).append(len(leaders))
+                above.append(min(met, default=len(leaders)))
                 leaders.append((doc, size, shared))
         for doc, size, shared in leaders:
             yield doc, None, size, shared
