@@ -49,8 +49,9 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = TOKENIZER, l
     known = staged(rows.select("doc_id", "content_digest", "n_bytes"), "token-digests")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = chunk_table(path)
+        coder, done = chunk_table(path), set()  # rows with one id and one text are in one partition
         for b in batches:
+            b = b[[not (d in done or done.add(d)) for d in map(bytes, b["content_digest"])]]
             counts = [len(ids) // 4 for at in range(0, len(b), 512) for ids in coder.texts(b["text"].iloc[at : at + 512].tolist())]
             yield pd.DataFrame({"content_digest": b["content_digest"], "tokenizer_digest": version, "n_tokens": counts})
 
@@ -60,11 +61,9 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = TOKENIZER, l
         old = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == version)
         first = first.join(old, "content_digest", "left_anti")
     missing = rows.select("doc_id", "text", "content_digest").hint("shuffle_hash").join(first.hint("shuffle_hash"), ["content_digest", "doc_id"], "left_semi")
-    nameless = rows.where(F.col("doc_id").isNull()).select("doc_id", "text", "content_digest").join(first.where(F.col("doc_id").isNull()), "content_digest", "left_semi")
+    nameless = rows.where(F.col("doc_id").isNull()).select("doc_id", "text", "content_digest").join(first.where(F.col("doc_id").isNull()).hint("shuffle_hash"), "content_digest", "left_semi")
     missing.unionByName(nameless).mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == version)
-    # two rows with one doc_id and one text are both encoded
-    counts = counts.groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens"))
     out = known.join(counts, "content_digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
