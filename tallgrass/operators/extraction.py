@@ -78,7 +78,9 @@ def last_per_document(f: DataFrame) -> DataFrame:
     return f.select("document_id", "canonical_key", "id", F.row_number().over(w).alias("rn")).where(F.col("rn") <= 8).drop("rn")
 
 
-_W = Window.partitionBy("canonical_key", "document_id").orderBy("created_at", "id").rowsBetween(-8, -1)
+def priors():
+    """Up to eight rows before this one."""
+    return Window.partitionBy("canonical_key", "document_id").orderBy("created_at", "id").rowsBetween(-8, -1)
 
 
 @query("ag24", "extraction_field", sql="SELECT canonical_key, round(avg(value_num), 6) AS mean, round(stddev_samp(value_num), 6) AS sd, min(value_num) AS low, max(value_num) AS high FROM extraction_field GROUP BY 1")
@@ -90,7 +92,8 @@ _STATS = f"s AS (SELECT id, value_num AS v, count(*) {PRIOR} AS n, avg(value_num
 
 
 def with_priors(f: DataFrame) -> DataFrame:
-    return f.select("id", F.col("value_num").alias("v"), F.count("*").over(_W).alias("n"), F.avg("value_num").over(_W).alias("mean"), F.stddev_samp("value_num").over(_W).alias("sd"))
+    w = priors()
+    return f.select("id", F.col("value_num").alias("v"), F.count("*").over(w).alias("n"), F.avg("value_num").over(w).alias("mean"), F.stddev_samp("value_num").over(w).alias("sd"))
 
 
 @query("wn3", "extraction_field", sql=f"WITH {_STATS} SELECT id, CASE WHEN n < 3 THEN false WHEN sd < 1e-9 THEN abs(v - mean) > greatest(1, 0.5 * abs(mean)) ELSE abs(v - mean) / sd > 3 END AS outlier FROM s")
