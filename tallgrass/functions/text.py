@@ -281,7 +281,7 @@ def enforced(c: DataFrame) -> DataFrame:
     return found.union(bare.select("conv_id", F.lit("missing"))).groupBy("conv_id", "type").agg(F.count("*").alias("n"))
 
 
-@query("ret9", "conversations", "orders", sql="""WITH k AS (SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY 1), x AS (SELECT conv_id, (100 + turn)::DOUBLE AS claimed, CASE WHEN conv_id % 3 > 0 THEN 100.0 + conv_id % 4 END AS actual FROM k)
+@query("ret9", "conversations", "orders", sql="""WITH k AS (SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY 1), x AS (SELECT conv_id, (100 + turn)::DOUBLE AS claimed, CASE WHEN conv_id % 3 > 0 THEN 100.0 + conv_id % 4 END::DOUBLE AS actual FROM k)
 SELECT conv_id, claimed, actual, CASE WHEN actual IS NOT NULL THEN round(abs(claimed - actual) / greatest(abs(actual), 1e-9) * 100, 3) END AS delta_pct FROM x WHERE actual IS NULL OR abs(claimed - actual) / greatest(abs(actual), 1e-9) > 0.01""")
 def checked_claims(c: DataFrame, o: DataFrame) -> DataFrame:
     """The first claim of each conversation against what is stored; more than 1 per cent away, or nothing stored."""
