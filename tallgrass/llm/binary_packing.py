@@ -24,6 +24,8 @@ from .common import scratch_path, table, text_rows
 TOKENIZER, ROW, END_ID, PAD_ID = "word_bpe_49k.json", 2048, 1, 0
 #: Tokens that one task buffers before it packs them, and rows of a matrix.
 BUFFER_TOKENS, MATRIX_ROWS = 4_000_000, 64
+#: Matrices that move from Python to Spark at once.
+FRAME_BLOCKS = 16
 BLOCKS = "block_id long, n_rows int, row_length int, id_bytes int, ids binary, row_segments array<int>, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, starts array<long>"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -96,7 +98,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, row_len
 
         def flush() -> Iterator[pd.DataFrame]:
             nonlocal block, pieces, size
-            rows = best_fit([len(p[2]) for p in pieces], row_length)
+            rows, blocks = best_fit([len(p[2]) for p in pieces], row_length), []
             for at in range(0, len(rows), MATRIX_ROWS):
                 some = rows[at : at + MATRIX_ROWS]
                 matrix = np.full((len(some), row_length), pad_id, "<u4")
@@ -114,8 +116,13 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, row_len
                     if place < row_length:
                         resets.append(r * row_length + place)
                 narrow = matrix.max(initial=0) < 1 << 16
-                yield pd.DataFrame([(block, len(some), row_length, 2 if narrow else 4, matrix.astype("<u2" if narrow else "<u4").tobytes(), [len(row) for row in some], [0, *np.cumsum(lengths).tolist()], resets, ids, starts)], columns=columns)
+                blocks.append((block, len(some), row_length, 2 if narrow else 4, matrix.astype("<u2" if narrow else "<u4").tobytes(), [len(row) for row in some], [0, *np.cumsum(lengths).tolist()], resets, ids, starts))
                 block += 1
+                if len(blocks) == FRAME_BLOCKS:
+                    yield pd.DataFrame(blocks, columns=columns)
+                    blocks = []
+            if blocks:
+                yield pd.DataFrame(blocks, columns=columns)
             pieces, size = [], 0
 
         for batch in batches:
@@ -138,17 +145,18 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for b in batch.itertuples(index=False):
                 matrix = np.frombuffer(b.ids, f"<u{b.id_bytes}").reshape(b.n_rows, b.row_length).astype("<u4")
-                rows, k, bounds = [], 0, np.diff(b.cu_seqlens)
+                k, bounds = 0, np.diff(b.cu_seqlens).tolist()
                 for r, segments in enumerate(b.row_segments):
                     place = 0
                     for _ in range(segments):
-                        n, doc_id = int(bounds[k]), b.doc_ids[k]
-                        rows.append((None if pd.isna(doc_id) else int(doc_id), int(b.starts[k]), n, zlib.crc32(matrix[r, place : place + n].tobytes()), (b.block_id << 10) + r, place))
+                        n, doc_id = bounds[k], b.doc_ids[k]
+                        rows.append((None if pd.isna(doc_id) else int(doc_id), int(b.starts[k]), n, zlib.crc32(matrix[r, place : place + n]), (b.block_id << 10) + r, place))
                         place += n
                         k += 1
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
 
     return spark.read.schema(BLOCKS).parquet(path).mapInPandas(run, PIECES)
 

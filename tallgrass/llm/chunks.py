@@ -12,14 +12,22 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Distinct chunks that one Python worker keeps; a full table is emptied, which costs time and changes no result.
-TABLE_ROWS = 1_500_000
-_ID = np.dtype("<u4")
+#: Distinct chunks that one Python worker keeps; what comes later is encoded where it is met, which changes no result.
+TABLE_ROWS = 1_200_000
 _MARK = "▁"
+#: Marks that may close a word: ASCII ones but for the apostrophe, which has patterns of its own.
+_MARKS = string.punctuation.replace("'", "").encode()
+
+
+def ids_bytes(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes() if array("I").itemsize != 4 or sys.byteorder != "little" else array("I", ids).tobytes()
 
 
 class ChunkTable:
@@ -35,18 +43,31 @@ class ChunkTable:
         raise NotImplementedError
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        parts = [self.split(t) for t in texts]
-        table, out, at, step = self.table, [], 0, 256
-        while at < len(parts):  # a few texts at a time: the table stays near its bound whatever the batch
-            some = parts[at : at + step]
-            if len(table) > TABLE_ROWS:
-                table.clear()
-            if new := list(set().union(*some) - table.keys()):
-                table.update(zip(new, self.encode(new), strict=True))
-            out += [b"".join(map(table.__getitem__, p)) for p in some]
-            at += step
+        """Chunks come from the table; those that a few texts lack are encoded at once and enter it while there is room."""
+        get, out = self.table.get, []
+        for at in range(0, len(texts), 256):
+            lacking = []
+            for t in texts[at : at + 256]:
+                chunks = self.split(t)
+                ids = list(map(get, chunks))
+                try:
+                    out.append(b"".join(ids))
+                except TypeError:  # None stands for what is not in the table
+                    lacking.append((len(out), chunks, ids))
+                    out.append(b"")
+            if lacking:
+                new = list({c for _, chunks, ids in lacking for c, x in zip(chunks, ids, strict=True) if x is None})
+                made = dict(zip(new, self.encode(new), strict=True))
+                self.enter(made)
+                for i, chunks, ids in lacking:
+                    out[i] = b"".join([made[c] if x is None else x for c, x in zip(chunks, ids, strict=True)])
         return out
 
+    def enter(self, made: dict[bytes, bytes]) -> None:
+        """Frequent chunks come first in any text, so a full table stays as it is."""
+        if len(self.table) < TABLE_ROWS:
+            self.table.update(made)
+
 
 class WordChunks(ChunkTable):
     """A ``tokenizers`` file; chunks are what ASCII white space parts, if the file allows."""
@@ -59,6 +80,7 @@ class WordChunks(ChunkTable):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             self.parted = drops_white_space(json.load(f))
 
@@ -67,8 +89,58 @@ class WordChunks(ChunkTable):
         return raw.split() if self.parted else [raw]
 
     def encode(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)
-        return [np.array(e.ids, _ID).tobytes() for e in found]
+        """A chunk is encoded as a word and the marks behind it, each of them once."""
+        if not self.parted:
+            return self.whole(chunks)
+        parts = [word_and_marks(c) for c in chunks]
+        words = set().union(*parts)
+        known = words & self.table.keys()
+        new = words - known
+        plain = {w: x for w in new if (x := plain_letters(w)) is not None}
+        made = {w: ids_bytes([t.id for t in self.model.tokenize(x)]) for w, x in plain.items()}
+        rest = list(new - plain.keys())
+        made.update(zip(rest, self.whole(rest), strict=True))
+        self.enter(made)
+        made.update((w, self.table[w]) for w in known)
+        return [b"".join([made[x] for x in p]) for p in parts]
+
+    def whole(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in texts], add_special_tokens=False)
+        return [ids_bytes(e.ids) for e in found]
+
+
+def word_and_marks(chunk: bytes) -> tuple[bytes, ...]:
+    """Parts of a chunk that are encoded apart with the same result: marks behind a letter or digit, and ASCII words in lower case; a chunk that may hold a special string stays whole."""
+    if b"<|" in chunk:
+        return (chunk,)
+    word = chunk.rstrip(_MARKS)
+    if len(word) == len(chunk) or not (word[-1:].isalnum() or ends_with_letter(word)):
+        return (chunk.lower() if chunk.isascii() else chunk,)
+    return (word.lower() if word.isascii() else word), chunk[len(word) :]
+
+
+def ends_with_letter(word: bytes) -> bool:
+    """Of the Latin ones beyond ASCII, but for the one that ends with a mark in lower case."""
+    last = word[-2:].decode("utf-8", "ignore")[-1:]
+    return word[-1:] >= b"\x80" and "\x80" <= last < "\u0250" and last.isalpha() and last != "\u0130"
+
+
+#: The characters by which byte-level models write bytes: printable ones stand for themselves, others follow from U+0100.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = dict(zip([*_SHOWN, *(b for b in range(256) if b not in _SHOWN)], [*map(chr, _SHOWN), *map(chr, range(256, 512))], strict=False))
+
+
+def plain_letters(word: bytes) -> str | None:
+    """What normaliser and pre-tokenizer make of a word of Latin letters (one token in lower case); None for others.
+
+    Letters below U+0250 need no composition and but one of them changes its length in lower case.
+    """
+    if word.isalpha():
+        return word.decode("ascii").lower()
+    text = word.decode("utf-8")
+    if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+        return text.lower().encode("utf-8").decode("latin-1").translate(BYTE_CHARS)
+    return None
 
 
 def drops_white_space(spec: dict) -> bool:
@@ -79,8 +151,11 @@ def drops_white_space(spec: dict) -> bool:
     kept = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
     blind = re.fullmatch(r"(?:'\w+\|)*\[\\p\{L\}\]\+\|\[\\p\{N\}\]\+?\|\[\^\\s\\p\{L\}\\p\{N\}\]\+", pattern) is not None
     local = all(n.get("type") in ("NFC", "Lowercase") or n.get("pattern") == {"Regex": "\\s+"} for n in norm.get("normalizers") or [norm])
+    bytes_ = (pre.get("pretokenizers") or [pre])[1:]
+    bytewise = len(bytes_) == 1 and bytes_[0].get("type") == "ByteLevel" and not bytes_[0].get("add_prefix_space") and not bytes_[0].get("use_regex")
+    lower = any(n.get("type") == "Lowercase" for n in norm.get("normalizers") or [norm])
     added = all(not (a["lstrip"] or a["rstrip"] or a["single_word"] or re.search(r"\s", a["content"])) for a in spec.get("added_tokens") or [])
-    return kept and blind and local and added
+    return kept and blind and local and lower and bytewise and spec.get("post_processor") is None and added
 
 
 class MarkedChunks(ChunkTable):
@@ -98,7 +173,7 @@ class MarkedChunks(ChunkTable):
             and m.encode("a", out_type=str)[0].startswith(_MARK)
             and m.decode(m.encode(" a  b ")) == " a  b "
         )
-        self.marker = np.array([m.piece_to_id(_MARK)], _ID).tobytes()
+        self.marker = ids_bytes([m.piece_to_id(_MARK)])
 
     def split(self, text: str) -> list[bytes]:
         if not self.parted or not text:
@@ -110,7 +185,7 @@ class MarkedChunks(ChunkTable):
 
     def encode(self, chunks: list[bytes]) -> list[bytes]:
         ids = self.model.encode([c.decode("utf-8") for c in chunks], num_threads=1)
-        return [np.array(i, _ID).tobytes() if c or not self.parted else self.marker for c, i in zip(chunks, ids, strict=True)]
+        return [ids_bytes(i) if c or not self.parted else self.marker for c, i in zip(chunks, ids, strict=True)]
 
 
 @lru_cache(maxsize=4)

@@ -188,16 +188,19 @@ def links_among(ids: list[int], sets: list[np.ndarray], sides: np.ndarray, k: in
             fit &= sides[js] != sides[i]
         js = js[fit]
         if len(js):
-            js = js[union_estimate(sketch[i], sketch[js], k) >= least - 1e-9]
-        if not len(js):
-            continue
-        flat = np.concatenate([sets[j] for j in js])
-        at = np.minimum(np.searchsorted(sets[i], flat), sizes[i] - 1)
-        shared = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[js])[:-1]]))
-        for j in js[100 * shared >= percent * (sizes[i] + sizes[js] - shared)]:
-            if root[j] != root[i]:
-                out.append((ids[i], ids[j]))
-                root[root == root[j]] = root[i]
+            estimate = union_estimate(sketch[i], sketch[js], k)
+            js = js[np.argsort(-estimate, kind="stable")][: int((estimate >= least - 1e-9).sum())]
+        step = 8
+        while len(js):  # the likeliest first: a link settles all that are connected to it
+            now, js, step = js[:step], js[step:], 4 * step
+            flat = np.concatenate([sets[j] for j in now])
+            at = np.minimum(np.searchsorted(sets[i], flat), sizes[i] - 1)
+            shared = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[now])[:-1]]))
+            for j in now[100 * shared >= percent * (sizes[i] + sizes[now] - shared)]:
+                if root[j] != root[i]:
+                    out.append((ids[i], ids[j]))
+                    root[root == root[j]] = root[i]
+            js = js[root[js] != root[i]]
     return out
 
 

@@ -68,7 +68,7 @@ def test_chunk_tables_equal_the_libraries(word_ids):
     r, word, piece = random.Random(1), chunks.WordChunks(chunks.vocabulary("word_bpe_49k.json")), chunks.MarkedChunks(chunks.vocabulary("piece_bpe_32k.model"))
     assert word.parted and piece.parted
     parts = list("abcXYZ.,;:!?'\"<|># \t\n\r\x0b\x0c\x1c\x85 　ÉéİΣςßḴ中🙂01½▁_-") + ["<|endoftext|>", "<|STARTOFTEXT|>", "'s", "H̱", "  ", "<s>", "<0x0A>", "\x00", "won't "]
-    some = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(3000)] + [f"a{chr(c)}b {chr(c)}." for c in range(1, 0x260)]
+    some = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(3000)] + [f"a{chr(c)}b {chr(c)}. x{chr(c)}_! {chr(c)}" for c in range(1, 0x260)]
     for t, a, b in zip(some, word.texts(some), piece.texts(some), strict=True):
         assert np.frombuffer(a, "<u4").tolist() == word_ids(t), t
         assert np.frombuffer(b, "<u4").tolist() == piece.model.encode(t), t
