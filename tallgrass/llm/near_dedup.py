@@ -7,7 +7,7 @@
    their k retained values (but for a chance of ``MISS``).  Of each sketch only
    the rarest values are listed, as many as must include one shared value.  A
    list is read once: a document that shares all but a few values with an
-   earlier leader follows it, others lead; every overlap that a partner of a
+   earlier leader of no greater need follows it, others lead; every overlap that a partner of a
    follower could have with its leader connects the two, by no more edges than
    the list has documents.  So all pairs that share ``need`` values are in one
    group.  Long lists are cut by salt and their leaders meet.
@@ -105,7 +105,8 @@ def read_lists(postings: DataFrame, k: int, percent: int, slack: int, needs_less
             for i, n in overlap.items():
                 if n >= min(loose, max(1, need(leaders[i][1], k, percent) - needs_less)):
                     met.add(top(i))
-                follows = follows or n >= size - slack
+                # a leader is met again by its own need, which must ask no more than that of any document behind it
+                follows = follows or (n >= size - slack and need(leaders[i][1], k, percent) <= need(size, k, percent))
             for i in met:  # one edge to each group of leaders, which it joins
                 yield doc, leaders[i][0], size, shared
                 above[i] = min(met)

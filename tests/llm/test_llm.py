@@ -258,6 +258,23 @@ def test_large_groups(spark, monkeypatch, block, cut):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(rows, 3, 85)
 
 
+def test_short_texts_behind_long_leaders_of_a_cut_list(spark, monkeypatch):
+    """Two short sets in different parts of a cut list are candidates though their long neighbours share one value only."""
+    monkeypatch.setattr(near_dedup, "LIST", 2)
+    v, a, own = 1, [2, 3, 4, 5, 6], iter(range(10_000, 99_999))
+    parts = {r["id"]: r["s"] for r in spark.range(1, 200).select("id", F.pmod(F.xxhash64("id"), F.lit(2)).alias("s")).collect()}
+    (one, p), (two, f) = ([i for i in parts if parts[i] == s][:2] for s in (0, 1))
+    others = {one: list(range(100, 122)), two: list(range(200, 221))}
+    sets = {one: [v, a[0], *others[one]], p: [v, *a], two: [v, a[1], a[2], *others[two]], f: [v, *a, 7]}
+    # values other than v are common, by documents that share too few of them to be listed
+    for common in [a, *(x[i : i + 8] for x in others.values() for i in range(0, len(x), 8))]:
+        for _ in range(5):
+            sets[1000 + len(sets)] = [*common, *(next(own) for _ in range(24 - len(common)))]
+    marks = spark.createDataFrame([(d, sorted(s)) for d, s in sets.items()], "doc_id long, sketch array<long>")
+    group = {r["node"]: r["component"] for r in near_dedup.candidate_groups(marks, 24, 85).collect()}
+    assert p in group and group[p] == group.get(f)
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(r.randrange(200, 400), r.randrange(200, 400)) for _ in range(150)] + [(5, 5)]
