@@ -1,7 +1,8 @@
 """Operator 7: secret scans by rules and a character convolutional network in numpy.
 
 The rules give base spans.  The network looks at every other candidate, a long
-token that mixes digits and letters, together with the characters around it.
+token, together with the characters around it; a token longer than its window
+is seen in overlapping windows, of which the highest score counts.
 It is trained on labelled findings: generated ones of known kinds, and findings
 in a bounded sample of documents that the rules label.  Its scores are
 calibrated on findings kept apart, and the threshold is the highest that keeps
@@ -31,6 +32,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 KINDS = ("assign", "access", "hex", "cnn")
 #: Bounds of the training set: generated findings, documents looked at and findings taken from them.
 GENERATED, SAMPLE_DOCS, SAMPLE_FINDINGS = 2_400, 400, 1_200
+#: Windows that the network scores at a time.
+WINDOWS = 512
 RECALL, BEFORE, INSIDE, AFTER, FILTERS, WIDTH, EPOCHS = 0.95, 24, 40, 8, 16, 5, 8
 OUT = "doc_id long, n_assign long, n_access long, n_hex long, n_cnn long, base_sha256 string, spans string"
 
@@ -47,13 +50,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens of 16 characters and more with a digit and a letter that no rule has found."""
+    """Tokens of 16 characters and more with a digit or a letter that no rule has found."""
     found = []
     for m in CANDIDATE.finditer(text):
-        token = m[0]
-        if not token.isalpha() and not token.isdigit() and re.search(r"[0-9]", token) and re.search(r"[A-Za-z]", token):
-            if not any(s < m.end() and m.start() < e for s, _, e in taken):
-                found.append((m.start(), m.end()))
+        if re.search(r"[A-Za-z0-9]", m[0]) and not any(s < m.end() and m.start() < e for s, _, e in taken):
+            found.append((m.start(), m.end()))
     return found
 
 
@@ -63,11 +64,16 @@ _CLASS = {c: i for i, cs in enumerate(_CLASSES) for c in cs}
 CHANNELS, SPAN = len(_CLASSES) + 2, BEFORE + INSIDE + AFTER
 
 
+def places(start: int, end: int) -> list[tuple[int, int]]:
+    """Windows over a token: the token, or overlapping parts of a longer one, so that half a window's length is whole in one of them."""
+    last = end - INSIDE
+    return [(start, end)] if last <= start else [(s, s + INSIDE) for s in [*range(start, last, INSIDE // 2), last]]
+
+
 def window(text: str, start: int, end: int) -> np.ndarray:
-    """The token and the characters around it as one-hot classes; of a long token its two ends, so that all of its length counts once."""
+    """A token, or the first ``INSIDE`` characters of a longer one, and the characters around it as one-hot classes."""
+    end = min(end, start + INSIDE)
     token = text[start:end]
-    if len(token) > INSIDE:
-        token = token[: INSIDE // 2] + token[-(INSIDE - INSIDE // 2) :]
     left, right = text[max(0, start - BEFORE) : start], text[end : end + AFTER]
     out = np.zeros((SPAN, CHANNELS), np.float32)
     for at, part, inside in ((BEFORE - len(left), left, 0), (BEFORE, token, 1), (BEFORE + INSIDE, right, 0)):
@@ -116,9 +122,9 @@ class Network:
                     m[k], v[k] = 0.9 * m[k] + 0.1 * grads[k], 0.999 * v[k] + 0.001 * grads[k] ** 2
                     setattr(self, k, getattr(self, k) - 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8))
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt's scaling by Newton steps, then the highest threshold that keeps the recall."""
-        z, a, b = self.forward(x)[0], 1.0, 0.0
+    def calibrate(self, z: np.ndarray, y: np.ndarray, recall: float) -> None:
+        """Platt's scaling of raw scores of findings by Newton steps, then the highest threshold that keeps the recall."""
+        a, b = 1.0, 0.0
         goal = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
@@ -126,11 +132,23 @@ class Network:
             step = np.linalg.solve([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]], [(g * z).sum(), g.sum()])
             a, b = a - step[0], b - step[1]
         self.slope, self.shift = float(a), float(b)
-        hits = np.sort(self.score(x)[y > 0])
+        hits = np.sort(self.scaled(z)[y > 0])
         self.threshold = float(min(hits[int((1 - recall) * len(hits))], 0.999)) if len(hits) else 0.5
 
+    def scaled(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.forward(x)[0] + self.shift, -30, 30)))
+        return self.scaled(self.forward(x)[0])
+
+    def highest(self, findings: list[tuple[str, int, int]]) -> np.ndarray:
+        """Raw scores of tokens (text, start, end), each the highest of its windows; so many windows at a time."""
+        at = [(i, t, *p) for i, (t, s, e) in enumerate(findings) for p in places(s, e)]
+        out = np.full(len(findings), -np.inf)
+        for k in range(0, len(at), WINDOWS):
+            part = at[k : k + WINDOWS]
+            np.maximum.at(out, [i for i, *_ in part], self.forward(np.array([window(*p) for _, *p in part]))[0])
+        return out
 
 
 def generated(n: int = GENERATED, seed: int = 0) -> list[tuple[str, int, int, int]]:
@@ -144,11 +162,17 @@ def generated(n: int = GENERATED, seed: int = 0) -> list[tuple[str, int, int, in
         word = lambda: run(low, int(r.integers(2, 9)))
         left, right = f"{word()} {word()} {word()} ", f" {word()} {word()}"
         if i % 2:
-            token = pick((lambda: run(low + up + dig, int(r.integers(20, 64))), lambda: run(low + up + dig + "+/", int(r.integers(24, 64))) + pick(("", "=", "==")), lambda: run(dig + "ABCDEF", int(r.integers(32, 65))), lambda: run(dig + "abcdef", int(r.integers(24, 65))), lambda: "AKIA" + run(up + dig, 16), lambda: run(low, 3) + "_" + run(low + up + dig, 36)))()
+            token = pick((lambda: run(low + up + dig, int(r.integers(20, 64))), lambda: run(low + up + dig + "+/", int(r.integers(24, 64))) + pick(("", "=", "==")), lambda: run(dig + "ABCDEF", int(r.integers(32, 65))), lambda: run(dig + "abcdef", int(r.integers(24, 65))), lambda: "AKIA" + run(up + dig, 16), lambda: run(low, 3) + "_" + run(low + up + dig, 36), lambda: run(low + up, int(r.integers(20, 64)))))()
             left += pick(("", "key ", "auth: ", 'key = "', "bearer ", "credential=", "private_key: ", "pwd: "))
         else:
-            token = pick((lambda: "-".join(word() for _ in range(4)) + run(dig, 2), lambda: "_".join(word() for _ in range(4)) + run(dig, 1), lambda: f"20{run(dig, 2)}-{run(dig, 2)}-{run(dig, 2)}T{run(dig, 6)}", lambda: word() * 3 + word() * 2 + run(dig, 3), lambda: "/".join(word() for _ in range(4)) + "/" + run(dig, 3), lambda: run(dig, 4) + "-" + "-".join(word().upper() for _ in range(3)), lambda: "item" + run(dig, 12)))()
-        out.append((left + token + right, len(left), len(left) + len(token), i % 2))
+            token = pick((lambda: "-".join(word() for _ in range(4)) + run(dig, 2), lambda: "_".join(word() for _ in range(4)) + run(dig, 1), lambda: f"20{run(dig, 2)}-{run(dig, 2)}-{run(dig, 2)}T{run(dig, 6)}", lambda: word() * 3 + word() * 2 + run(dig, 3), lambda: "/".join(word() for _ in range(4)) + "/" + run(dig, 3), lambda: run(dig, 4) + "-" + "-".join(word().upper() for _ in range(3)), lambda: "item" + run(dig, 12), lambda: word() * 2 + word() * 2 + run(low, 8), lambda: "/".join(word() for _ in range(int(r.integers(6, 16)))), lambda: "".join(word().title() for _ in range(5)), lambda: "_".join(word().upper() for _ in range(5)), lambda: run(dig, int(r.integers(16, 24)))))()
+        if i % 8 == 1:  # a key within a path, as a window that is not in line with it may show it
+            head, tail = (pick("/-_=").join(word() for _ in range(int(r.integers(4, 8)))) for _ in range(2))
+            key, left = run(low + up + dig, 40), f"{left}/{head}/"
+            at = len(left) + int(r.integers(-10, 11))
+            out.append((f"{left}{key}/{tail}-{word()}{right}", at, at + INSIDE, 1))
+        else:
+            out.append((left + token + right, len(left), len(left) + len(token), i % 2))
     return out
 
 
@@ -172,12 +196,13 @@ def sampled(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most: int = SAMPLE_FI
 
 def train(findings: list[tuple[str, int, int, int]], recall: float = RECALL) -> Network:
     """Four of five findings train, the fifth calibrates."""
-    x, y = np.array([window(t, s, e) for t, s, e, _ in findings]), np.array([f[3] for f in findings], float)
-    kept = np.arange(len(x)) % 5 == 0
-    kept = kept[np.random.default_rng(1).permutation(len(x))]
+    y = np.array([f[3] for f in findings], float)
+    kept = np.arange(len(y)) % 5 == 0
+    kept = kept[np.random.default_rng(1).permutation(len(y))]
+    shown = [(window(t, *p), label) for (t, s, e, label), k in zip(findings, kept, strict=True) if not k for p in places(s, e)]
     net = Network.start()
-    net.train(x[~kept], y[~kept])
-    net.calibrate(x[kept], y[kept], recall)
+    net.train(np.array([x for x, _ in shown]), np.array([label for _, label in shown], float))
+    net.calibrate(net.highest([f[:3] for f, k in zip(findings, kept, strict=True) if k]), y[kept], recall)
     return net
 
 
@@ -185,7 +210,7 @@ def spans_of(text: str, net: Network) -> list[tuple[int, int, int]]:
     """All spans (start, kind, end), those of the network last among equals."""
     taken = base_spans(text)
     if more := candidates(text, taken):
-        score = net.score(np.array([window(text, s, e) for s, e in more]))
+        score = net.scaled(net.highest([(text, s, e) for s, e in more]))
         taken = sorted([*taken, *((s, 3, e) for (s, e), p in zip(more, score, strict=True) if p >= net.threshold)])
     return taken
 

@@ -365,6 +365,19 @@ def test_secret_scan(spark, docs, nothing):
     assert secrets_cnn.scan(nothing, net).count() == 0 and secrets_cnn.mask_secrets(nothing, net).count() == 0
 
 
+def test_secrets_in_long_tokens_and_without_digits():
+    net, r, letters = secrets_cnn.train(secrets_cnn.generated()), random.Random(5), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    key = lambda chars: "".join(r.choice(chars) for _ in range(40))
+    found = lambda t: [x for x in secrets_cnn.spans_of(t, net) if x[1] == 3]
+    share = lambda texts: sum(map(bool, map(found, texts))) / len(texts)
+    assert share([f"see /srv/data/{'customers/' * r.randrange(1, 5)}{key(letters + '0123456789')}/current/backup now" for _ in range(100)]) >= 0.9
+    assert share([f"the key {key(letters)} is old" for _ in range(100)]) >= 0.9
+    plain = [f"see /srv/data/{'customers/' * n}current/backup now" for n in range(1, 30)] + ["an internationalization of counterrevolutionaries", "see src/main/java/org/example/service/handlers/RequestHandlerFactory now", "-" * 60]
+    assert share(plain) <= 0.1
+    text = f"/srv/data/customers/{key(letters + '0123456789')}/current/backup"
+    assert secrets_cnn.masked(text, net) == secrets_cnn.MASK
+
+
 def test_language(spark, sf_dir, nothing):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     extra = spark.createDataFrame([(10**6, None, "en"), (10**6 + 1, "123 !!", "en"), (None, "el perro", "es")], "doc_id long, text string, lang string")
