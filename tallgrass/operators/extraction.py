@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.binding import KEYS
 from ..plans.catalog import query
+from ..sources.scratch import scratch_path
 
 
 def level(confidence: Column) -> Column:
@@ -189,10 +190,28 @@ SEVERITIES = ("LOW", "MEDIUM", "HIGH")
 
 @query("srt3", "extraction_field", sql=f"SELECT id, level, row_number() OVER (ORDER BY list_position({list(SEVERITIES)!r}, level) DESC, id)::INT AS rank FROM (SELECT id, {LEVEL} AS level FROM extraction_field WHERE document_id < 20)")
 def by_ordinal(f: DataFrame) -> DataFrame:
-    """Ranks by the place of a level in its list, not by its name; of a few documents."""
-    x = f.where(F.col("document_id") < 20).select("id", level(F.col("confidence")).alias("level"))
-    place = F.array_position(F.lit(list(SEVERITIES)), F.col("level"))
-    return x.select("id", "level", F.row_number().over(Window.orderBy(place.desc(), "id")).alias("rank"))
+    """``by_ordinal_all`` of a few documents."""
+    few = by_ordinal_all(f.where(F.col("document_id") < 20))
+    return few.withColumn("rank", F.col("rank").cast("int"))
+
+
+@query("srt3_all", "extraction_field", sql=f"SELECT id, level, row_number() OVER (ORDER BY list_position({list(SEVERITIES)!r}, level) DESC, id)::BIGINT AS rank FROM (SELECT id, {LEVEL} AS level FROM extraction_field)")
+def by_ordinal_all(f: DataFrame) -> DataFrame:
+    """Ranks of all rows by the place of a level in its list, not by its name.
+
+    Rows are numbered within sorted ranges; the window that gives a range its
+    offset runs over one row for each range.
+    """
+    spark, path, order = f.sparkSession, scratch_path(f.sparkSession, "ranges"), (F.col("place").desc(), F.col("id"))
+    x = f.select("id", level(F.col("confidence")).alias("level"))
+    x = x.withColumn("place", F.array_position(F.lit(list(SEVERITIES)), F.col("level")))
+    x = x.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "level", F.monotonically_increasing_id().alias("at"))
+    x.write.parquet(path)
+    # the upper bits of ``at`` are the range, the lower 33 the place in it
+    x = spark.read.schema(x.schema).parquet(path).select("id", "level", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = x.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    return x.join(F.broadcast(offsets), "part").select("id", "level", (F.col("before") + F.col("at") + 1).alias("rank"))
 
 
 @query("flt12", "extraction_field", sql="SELECT id FROM extraction_field WHERE confidence < 0.85 AND status = 'NEEDS_REVIEW'")

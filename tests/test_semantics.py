@@ -11,6 +11,7 @@ from tallgrass.functions.text import greedy_chunks, intent, redact
 from tallgrass.functions.units import converted
 from tallgrass.operators.assurance import hash_chain
 from tallgrass.operators.emissions import sum_by_key
+from tallgrass.operators.extraction import by_ordinal_all
 from tallgrass.operators.formulas import Formula, check_units, ordered, run_formulas
 from tallgrass.operators.suppliers import js_round
 from tallgrass.sources.files import read_csv
@@ -99,3 +100,11 @@ def test_csv_cap(spark, tmp_path):
     assert [tuple(r) for r in read_csv(spark, str(tmp_path / "x.csv")).collect()] == [("1", "2"), ("3", "4")]
     with pytest.raises(ValueError):
         read_csv(spark, str(tmp_path / "x.csv"), 1)
+
+
+def test_ranks_of_all_documents(spark):
+    rows = [(f"f{i:05d}", i % 500, (i * 7 % 100) / 100) for i in range(3000)]
+    out = by_ordinal_all(spark.createDataFrame(rows, "id string, document_id long, confidence double")).collect()
+    place = lambda c: 0 if c >= 0.85 else 1 if c >= 0.65 else 2
+    want = [i for i, _, c in sorted(rows, key=lambda r: (place(r[2]), r[0]))]
+    assert [r["id"] for r in sorted(out, key=lambda r: r["rank"])] == want and sorted(r["rank"] for r in out) == list(range(1, 3001))
