@@ -213,5 +213,11 @@ def facility_intensity(e: DataFrame, nodes: DataFrame) -> DataFrame:
 
 @query("srt7", "metric_event", sql=f"SELECT scope_node_id, round(sum(value), 3) AS emissions FROM metric_event WHERE {USABLE_SQL} AND canonical_key LIKE 'ghg_%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
 def top_facilities(e: DataFrame, n: int = 50) -> DataFrame:
+    return facilities_by_emissions(e).limit(n)
+
+
+@query("srt7_all", "metric_event", sql=f"SELECT scope_node_id, round(sum(value), 3) AS emissions FROM metric_event WHERE {USABLE_SQL} AND canonical_key LIKE 'ghg_%' GROUP BY 1 ORDER BY 2 DESC, 1")
+def facilities_by_emissions(e: DataFrame) -> DataFrame:
+    """All facilities with emissions, the largest first."""
     sums = usable(e).where(F.col("canonical_key").startswith("ghg_")).groupBy("scope_node_id").agg(F.round(F.sum("value"), 3).alias("emissions"))
-    return sums.orderBy(F.col("emissions").desc(), "scope_node_id").limit(n)
+    return sums.orderBy(F.col("emissions").desc(), "scope_node_id")

@@ -111,7 +111,13 @@ def marginal_cost(part: DataFrame) -> DataFrame:
 
 @query("srt8", "part", sql=f"SELECT id, round(mac, 4) AS mac FROM ({MAC}) ORDER BY 2, 1 LIMIT 100")
 def cost_curve(part: DataFrame) -> DataFrame:
-    return mac_frame(part).select("id", F.round("mac", 4).alias("mac")).orderBy("mac", "id").limit(100)
+    return cost_curve_all(part).limit(100)
+
+
+@query("srt8_all", "part", sql=f"SELECT id, round(mac, 4) AS mac FROM ({MAC}) ORDER BY 2, 1")
+def cost_curve_all(part: DataFrame) -> DataFrame:
+    """All projects by rising cost of a tonne."""
+    return mac_frame(part).select("id", F.round("mac", 4).alias("mac")).orderBy("mac", "id")
 
 
 @query("wn8", "part", sql=f"SELECT id, id % 16 AS portfolio, sum(reduction) OVER (PARTITION BY id % 16 ORDER BY round(mac, 4), id) AS cumulative FROM ({MAC})")

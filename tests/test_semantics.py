@@ -10,10 +10,10 @@ from tallgrass.functions.periods import parse_period, split_into_months
 from tallgrass.functions.text import greedy_chunks, intent, redact
 from tallgrass.functions.units import converted
 from tallgrass.operators.assurance import hash_chain
-from tallgrass.operators.emissions import sum_by_key
+from tallgrass.operators.emissions import facilities_by_emissions, sum_by_key
 from tallgrass.operators.extraction import by_ordinal_all
 from tallgrass.operators.formulas import Formula, check_units, ordered, run_formulas
-from tallgrass.operators.suppliers import js_round
+from tallgrass.operators.suppliers import cost_curve_all, js_round
 from tallgrass.sources.files import read_csv
 
 
@@ -108,3 +108,13 @@ def test_ranks_of_all_documents(spark):
     place = lambda c: 0 if c >= 0.85 else 1 if c >= 0.65 else 2
     want = [i for i, _, c in sorted(rows, key=lambda r: (place(r[2]), r[0]))]
     assert [r["id"] for r in sorted(out, key=lambda r: r["rank"])] == want and sorted(r["rank"] for r in out) == list(range(1, 3001))
+
+
+def test_sorts_return_all_rows(spark):
+    part = spark.createDataFrame([(i, i * 37 % 50, 900.0 + i) for i in range(1, 301)], "p_partkey long, p_size int, p_retailprice double")
+    out = [(r["mac"], r["id"]) for r in cost_curve_all(part).collect()]
+    assert len(out) == 300 and out == sorted(out)
+    rows = [(i, "ghg_scope1_total", float(i * 7 % 90 + 1), "t", "APPROVED") for i in range(120)]
+    e = spark.createDataFrame(rows, "scope_node_id long, canonical_key string, value double, unit string, status string")
+    out = [(-r["emissions"], r["scope_node_id"]) for r in facilities_by_emissions(e).collect()]
+    assert len(out) == 120 and out == sorted(out)
