@@ -19,8 +19,9 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Distinct chunks that one Python worker keeps; what comes later is encoded where it is met, which changes no result.
-TABLE_ROWS = 1_200_000
+#: Bytes of distinct chunks that one Python worker keeps, the longest of them, and what an entry takes besides its bytes;
+#: what comes later or is longer is encoded where it is met, which changes no result.
+TABLE_BYTES, CHUNK_BYTES, ENTRY_BYTES = 48 << 20, 256, 170
 _MARK = "▁"
 #: Marks that may close a word: ASCII ones but for the apostrophe, which has patterns of its own.
 _MARKS = string.punctuation.replace("'", "").encode()
@@ -35,6 +36,7 @@ class ChunkTable:
 
     def __init__(self) -> None:
         self.table: dict[bytes, bytes] = {}
+        self.held = 0
 
     def split(self, text: str) -> list[bytes]:
         raise NotImplementedError
@@ -65,8 +67,12 @@ class ChunkTable:
 
     def enter(self, made: dict[bytes, bytes]) -> None:
         """Frequent chunks come first in any text, so a full table stays as it is."""
-        if len(self.table) < TABLE_ROWS:
-            self.table.update(made)
+        for chunk, ids in made.items():
+            if self.held >= TABLE_BYTES:
+                return
+            if len(chunk) <= CHUNK_BYTES and chunk not in self.table:
+                self.table[chunk] = ids
+                self.held += len(chunk) + len(ids) + ENTRY_BYTES
 
 
 class WordChunks(ChunkTable):
@@ -188,9 +194,9 @@ class MarkedChunks(ChunkTable):
         return [ids_bytes(i) if c or not self.parted else self.marker for c, i in zip(chunks, ids, strict=True)]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def chunk_table(path: str) -> ChunkTable:
-    """One table for each file and Python worker."""
+    """One table for each Python worker; a task with another file starts another."""
     return MarkedChunks(path) if path.endswith(".model") else WordChunks(path)
 
 

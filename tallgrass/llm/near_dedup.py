@@ -26,6 +26,7 @@ from math import ceil, comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ from .components import components
 K, MISS = 24, 1e-6
 #: Values that a follower may lack of its leader's; documents of a block; length at which a list is cut.
 SLACK, BLOCK, LIST = 4, 512, 4096
+#: Rows that move from Python to Spark at once.
+ROWS = 256
 _PAD = np.iinfo(np.int64).max
 
 
@@ -75,12 +78,18 @@ def need_column(size: Column, k: int, percent: int) -> Column:
 
 
 def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingle_set(t, width) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "sketch": [s[:k] for s in sets]})
+    def mark(text: str) -> tuple[int, bytes, np.ndarray]:
+        full = shingle_set(text, width)  # only its head outlives the call
+        return len(full), hashlib.blake2b(full.tobytes(), digest_size=16).digest(), full[:k].copy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                sizes, digests, heads = zip(*(mark(t.as_py()) for t in part["text"]), strict=True)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "sketch"])
 
-    return text_rows(docs).mapInPandas(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
+    return text_rows(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
 
 
 def read_lists(postings: DataFrame, k: int, percent: int, slack: int, needs_less: int) -> DataFrame:

@@ -75,7 +75,7 @@ def test_chunk_tables_equal_the_libraries(word_ids):
 
 
 def test_full_chunk_table_changes_nothing(word_ids, monkeypatch):
-    monkeypatch.setattr(chunks, "TABLE_ROWS", 3)
+    monkeypatch.setattr(chunks, "TABLE_BYTES", 600)
     some = [t or "" for t in texts()]
     assert [np.frombuffer(x, "<u4").tolist() for x in chunks.WordChunks(chunks.vocabulary("word_bpe_49k.json")).texts(some)] == [word_ids(t) for t in some]
 
