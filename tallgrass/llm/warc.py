@@ -5,8 +5,9 @@ archive declares (1: URL, IP address, date, type, length; 2: also result code,
 checksum, location, offset, file name) and takes as many bytes as the line
 declares.  ``arc_to_warc`` synthesises what ARC lacks: record ids, WARC dates,
 record types and digests; equal payloads become revisits.  ``write_warc``
-writes standard archives (a record ends with two line ends, so Spark's own text
-writer frames them), ``read_warc`` reads them by their declared lengths.
+writes standard archives through Spark's own text writer (a record ends with two
+line ends, a compressed one is a gzip member of its own), ``read_warc`` reads
+them by their declared lengths.
 """
 
 from __future__ import annotations
@@ -18,15 +19,19 @@ import re
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, staged, table
+from .common import arrow_rows, arrow_schema, scratch_path, staged, table
 
 ARC = "archive string, version int, url string, ip string, arc_date string, content_type string, status int, payload binary"
-WARC = "record_id string, record_type string, url string, warc_date string, content_type string, payload_digest string, refers_to string, payload_bytes long, page_id long, payload binary, intact boolean"
+WARC = "record_id string, record_type string, url string, warc_date string, content_type string, payload_digest string, refers_to_record string, refers_to long, payload_bytes long, page_id long, payload binary, intact boolean"
 _ARC_FIELDS = {1: 5, 2: 10}
+#: Records of an archive file, and rows that move from Python to Spark at once.
+FILE_RECORDS, ROWS = 20_000, 1_000
+#: What parts compressed records: a gzip member without content.
+_NO_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122: names that are URLs
 
 
@@ -64,19 +69,20 @@ def parse_arc(name: str, blob: bytes) -> Iterator[tuple]:
 def read_arc(archives: DataFrame) -> DataFrame:
     """Records of ARC archives given as rows (path, content), plain or gzip; Spark's ``binaryFile`` source gives such rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in ARC.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(ARC)
         for batch in batches:
             rows = []
-            for name, blob in zip(batch["path"], batch["content"], strict=True):
-                blob = blob or b""
-                rows += parse_arc(name, gzip.decompress(blob) if blob[:2] == b"\x1f\x8b" else blob)
-                if len(rows) >= 1000:
-                    yield pd.DataFrame(rows, columns=names).astype({"status": "Int32"})
-                    rows = []
-            yield pd.DataFrame(rows, columns=names).astype({"status": "Int32"})
+            for name, blob in zip(batch["path"].to_pylist(), batch["content"], strict=True):
+                blob = blob.as_py() or b""
+                for record in parse_arc(name, gzip.decompress(blob) if blob[:2] == b"\x1f\x8b" else blob):
+                    rows.append(record)
+                    if len(rows) >= ROWS:
+                        yield arrow_rows(schema, rows)
+                        rows = []
+            yield arrow_rows(schema, rows)
 
-    return archives.select("path", "content").mapInPandas(run, ARC)
+    return archives.select("path", "content").mapInArrow(run, ARC)
 
 
 def write_arc_rows(pages: DataFrame) -> DataFrame:
@@ -96,58 +102,74 @@ def arc_to_warc(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     """WARC records (columns ``WARC`` without ``intact``) of ARC records with a ``page_id``.
 
     Of records with equal payloads of at least ``min_bytes`` bytes the one with
-    the smallest page id is the response and the others revisit it; a record
-    without a page id is a response of its own.  Digests are joined as rows of
-    a few bytes each, payloads move once, by page id.
+    the smallest page id is the response (``refers`` null) and those of other
+    pages revisit it (``refers`` names its page, url and date); a record without
+    a page id is a response of its own.  Digests are joined as rows of a few
+    bytes each, payloads move once, by page id and digest.
     """
-    payload = F.col("payload")
-    digest = F.sha1(payload)
-    marks = staged(records.select("page_id", digest.alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= min_bytes), "arc-digests")
-    first = marks.groupBy("digest").agg(F.min("page_id").alias("first_page"))
-    again = marks.join(first, "digest").where(F.col("page_id") != F.col("first_page")).select("page_id", "first_page", F.col("digest").alias("of")).distinct()
-    return records.withColumn("digest", digest).join(again, "page_id", "left").withColumn("refers_to_page", F.when(F.col("of") == F.col("digest"), F.col("first_page"))).drop("of", "first_page")
+    records = records.withColumn("digest", F.sha1("payload"))
+    marks = records.where((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest", "url", "arc_date")
+    marks = staged(marks, "arc-digests")
+    first = marks.groupBy("digest").agg(F.min(F.struct("page_id", "url", "arc_date")).alias("refers"))
+    again = marks.join(first, "digest").where(F.col("page_id") != F.col("refers.page_id")).select("page_id", "digest", "refers").distinct()
+    return records.join(again, ["page_id", "digest"], "left")
 
 
-def warc_record(r: tuple) -> bytes:
+def warc_record(page_id: int | None, url: str, date: str, content_type: str, payload: bytes | None, refers: dict | None) -> bytes:
     """The bytes of one record up to the two line ends that close it."""
-    page_id, url, date, content_type, payload, refers_to = r
-    url = re.sub(r"[\r\n]", "", url)
-    payload, revisit = payload or b"", refers_to is not None
-    block = b"" if revisit else payload
-    stamp = re.sub(r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d).*$", r"\1-\2-\3T\4:\5:\6Z", date)
+    payload = payload or b""
+    block, digest = b"" if refers else payload, base32_sha1(payload)
     head = {
-        "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": record_id(url, date, page_id),
-        "WARC-Target-URI": url,
-        "WARC-Date": stamp,
-        "WARC-Payload-Digest": f"sha1:{base32_sha1(payload)}",
-        "WARC-Block-Digest": f"sha1:{base32_sha1(block)}",
-        "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None,
-        "X-Page-Id": page_id,
-        "X-Refers-To-Page": refers_to,
-        "X-Payload-Length": len(payload),
-        "Content-Type": content_type,
-        "Content-Length": len(block),
+        "WARC-Type": "revisit" if refers else "response",
+        "WARC-Record-ID": record_id(url, date, page_id, digest),
+        "WARC-Target-URI": one_line(url),
+        "WARC-Date": warc_date(date),
+        "WARC-Payload-Digest": f"sha1:{digest}",
+        "WARC-Block-Digest": f"sha1:{base32_sha1(block) if refers else digest}",
     }
+    if refers:
+        head |= {
+            "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            "WARC-Refers-To": record_id(refers["url"], refers["arc_date"], refers["page_id"], digest),
+            "WARC-Refers-To-Target-URI": one_line(refers["url"]),
+            "WARC-Refers-To-Date": warc_date(refers["arc_date"]),
+            "X-Refers-To-Page": refers["page_id"],
+        }
+    head |= {"X-Page-Id": page_id, "X-Payload-Length": len(payload), "Content-Type": content_type, "Content-Length": len(block)}
     lines = "".join(f"{k}: {v}\r\n" for k, v in head.items() if v is not None)
     return f"WARC/1.1\r\n{lines}\r\n".encode() + block
 
 
-def record_id(url: str, date: str, page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{url} {date} {page_id}')}>"
+def one_line(url: str) -> str:
+    return re.sub(r"[\r\n]", "", url)
+
+
+def warc_date(date: str) -> str:
+    return re.sub(r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d).*$", r"\1-\2-\3T\4:\5:\6Z", date)
+
+
+def record_id(url: str, date: str, page_id: int | None, digest: str) -> str:
+    """The same for the same record; rows that repeat a page with its payload share it."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{one_line(url)} {date} {page_id} {digest}')}>"
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "none") -> None:
-    """Write records (page_id, url, arc_date, content_type, payload, refers_to_page) as WARC archives below ``path``."""
-    names = ["page_id", "url", "arc_date", "content_type", "payload", "refers_to_page"]
+    """Write records (page_id, url, arc_date, content_type, payload, refers) as WARC archives below ``path``.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    With ``gzip`` each record is a member of its own, as readers that seek to a
+    record need it; members without content stand between them.
+    """
+    zipped = {"none": False, "gzip": True}[compression]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch[c] for c in names), strict=True)
-            yield pd.DataFrame({"value": [warc_record((None if pd.isna(p) else int(p), u, d, t, b, None if pd.isna(r) else int(r))) for p, u, d, t, b, r in rows]})
+            for at in range(0, batch.num_rows, ROWS):
+                made = [warc_record(*r.values()) for r in batch.slice(at, ROWS).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"value": [gzip.compress(x + b"\r\n\r\n", 6, mtime=0) for x in made] if zipped else made})
 
-    archives = records.select(names).mapInPandas(run, "value binary")
-    archives.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    archives = records.select("page_id", "url", "arc_date", "content_type", "payload", "refers").mapInArrow(run, "value binary")
+    writer = archives.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", FILE_RECORDS)
+    writer.option("encoding", "ISO-8859-1").option("lineSep", _NO_MEMBER if zipped else "\r\n\r\n").text(path)
 
 
 def parse_warc(blob: bytes) -> Iterator[tuple]:
@@ -168,39 +190,41 @@ def parse_warc(blob: bytes) -> Iterator[tuple]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (columns ``WARC``) of all archives below ``path``, plain or gzip; ``intact`` tells whether block and digest agree."""
+    """Rows (columns ``WARC``) of all archives below ``path``, plain or gzip; ``intact`` tells whether block and digest agree.
+
+    An archive comes as one ``binaryFile`` value, so it may have 2 GB at most.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in WARC.split(", ")]
-        whole = lambda x: None if x is None else int(x)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, whole = arrow_schema(WARC), lambda x: None if x is None else int(x)
         for batch in batches:
-            for blob in batch["content"]:
-                rows = []
+            for content in batch["content"]:
+                blob, rows = content.as_py(), []
                 for h, block in parse_warc(gzip.decompress(blob) if blob[:2] == b"\x1f\x8b" else blob):
                     digest, kind = h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"]
-                    refers = f"{int(h['x-refers-to-page'])}" if "x-refers-to-page" in h else None
-                    rows.append((h["warc-record-id"], kind, h.get("warc-target-uri"), h["warc-date"], h.get("content-type"), digest, refers, whole(h.get("x-payload-length")), whole(h.get("x-page-id")), block, kind == "revisit" or base32_sha1(block) == digest))
-                    if len(rows) >= 1000:
-                        yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64"})
+                    rows.append((h["warc-record-id"], kind, h.get("warc-target-uri"), h["warc-date"], h.get("content-type"), digest, h.get("warc-refers-to"), whole(h.get("x-refers-to-page")), whole(h.get("x-payload-length")), whole(h.get("x-page-id")), block, kind == "revisit" or base32_sha1(block) == digest))
+                    if len(rows) >= ROWS:
+                        yield arrow_rows(schema, rows)
                         rows = []
-                yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64"})
+                yield arrow_rows(schema, rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, WARC)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, WARC)
 
 
 def pages_to_warc(pages: DataFrame, path: str, min_bytes: int = 0, compression: str = "gzip") -> DataFrame:
     """Pages through ARC archives into WARC archives below ``path``, and back as one row per page.
 
     A null html is an empty payload, a null url ``about:blank``, a null
-    ``page_id`` a response of its own; rows with one page id and one payload
-    are all responses if they are the first; an empty table gives no rows.
-    Other columns are dropped.
+    ``page_id`` a response of its own; rows that repeat a page id with another
+    payload are records of their own, rows that repeat it with the same payload
+    are all responses if they are the first, else all revisits; an empty table
+    gives no rows.  Other columns are dropped.
     """
     spark = pages.sparkSession
     arc = read_arc(write_arc_rows(pages)).withColumn("page_id", F.expr("try_cast(regexp_extract(archive, 'page-(-?[0-9]+)[.]arc$', 1) AS long)"))
     write_warc(arc_to_warc(arc, min_bytes), path, compression)
     back = read_warc(spark, path)
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "intact")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
