@@ -1,12 +1,14 @@
 """Operator 7: secret scans by rules and a character convolutional network in numpy.
 
-The rules give base spans.  The network looks at every other candidate, a long
-token, together with the characters around it; a token longer than its window
-is seen in overlapping windows, of which the highest score counts.
+The rules give base spans.  The network scores every candidate, the values that
+rules find and every other long token, together with the characters around it;
+a token longer than its window is seen in overlapping windows, of which the
+highest score counts.  Spans of rules stay whatever their score; other tokens
+become spans by theirs.
 It is trained on labelled findings: generated ones of known kinds, and findings
-in a bounded sample of documents that the rules label.  Its scores are
-calibrated on findings kept apart, and the threshold is the highest that keeps
-the recall asked for.
+in a bounded sample of documents, drawn by a hash of their text, that rules and
+plain words label.  Its scores are calibrated on findings kept apart, and the
+threshold of each kind is the highest that keeps the recall asked for.
 """
 
 from __future__ import annotations
@@ -17,25 +19,29 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_rows
+from .common import arrow_rows, arrow_schema, table, text_rows
 
 _WORDS = ("password", "passwd", "secret", "token", "api_?key")
 _CASED = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in _WORDS)
 ASSIGN = re.compile(rf"""({_CASED})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Tokens that are words or numbers, alone or joined: in the sample they are no secrets.
+PLAIN = re.compile(r"(?:(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+)(?:[/_=+-]+|$))+")
+#: What documents with findings of the rules hold, for Spark to draw them.
+TELLING = r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:passw(or)?d|secret|token|api_?key)[\"']?\x20*[:=]"
 KINDS = ("assign", "access", "hex", "cnn")
-#: Bounds of the training set: generated findings, documents looked at and findings taken from them.
-GENERATED, SAMPLE_DOCS, SAMPLE_FINDINGS = 2_400, 400, 1_200
+#: Bounds of the training set: generated findings, documents looked at, those of one source and kind, and findings of one label in a document.
+GENERATED, SAMPLE_DOCS, SAMPLE_EACH, SAMPLE_FINDINGS = 3_200, 600, 150, 4
 #: Windows that the network scores at a time.
 WINDOWS = 512
 RECALL, BEFORE, INSIDE, AFTER, FILTERS, WIDTH, EPOCHS = 0.95, 24, 40, 8, 16, 5, 8
-OUT = "doc_id long, n_assign long, n_access long, n_hex long, n_cnn long, base_sha256 string, spans string"
+OUT = "doc_id long, n_assign long, n_access long, n_hex long, n_cnn long, n_sure long, score double, base_sha256 string, spans string"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -49,12 +55,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens of 16 characters and more with a digit or a letter that no rule has found."""
-    found = []
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """What the network scores, as (start, end, kind): the values of the rules' spans ``taken``, in their order, then tokens of 12 characters and more with a digit, or 16 and more with a letter, that no rule has found."""
+    found = [(ASSIGN.match(text, s).start(2) if k == 0 else s, e, k) for s, k, e in taken]
     for m in CANDIDATE.finditer(text):
-        if re.search(r"[A-Za-z0-9]", m[0]) and not any(s < m.end() and m.start() < e for s, _, e in taken):
-            found.append((m.start(), m.end()))
+        worth = re.search(r"[0-9]", m[0]) or (len(m[0]) >= 16 and re.search(r"[A-Za-z]", m[0]))
+        if worth and not any(s < m.end() and m.start() < e for s, _, e in taken):
+            found.append((m.start(), m.end(), 3))
     return found
 
 
@@ -85,7 +92,7 @@ def window(text: str, start: int, end: int) -> np.ndarray:
 
 @dataclass
 class Network:
-    """Convolution, rectifier, maximum and mean over places, one logistic unit; then Platt's calibration and a threshold."""
+    """Convolution, rectifier, maximum and mean over places, one logistic unit; then Platt's calibration and a threshold for each kind."""
 
     kernel: np.ndarray
     bias: np.ndarray
@@ -93,7 +100,7 @@ class Network:
     offset: float
     slope: float = 1.0
     shift: float = 0.0
-    threshold: float = 0.5
+    thresholds: tuple[float, ...] = (0.5,) * len(KINDS)
 
     @staticmethod
     def start(seed: int = 0) -> Network:
@@ -122,8 +129,8 @@ class Network:
                     m[k], v[k] = 0.9 * m[k] + 0.1 * grads[k], 0.999 * v[k] + 0.001 * grads[k] ** 2
                     setattr(self, k, getattr(self, k) - 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8))
 
-    def calibrate(self, z: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt's scaling of raw scores of findings by Newton steps, then the highest threshold that keeps the recall."""
+    def calibrate(self, z: np.ndarray, y: np.ndarray, kind: np.ndarray, recall: float) -> None:
+        """Platt's scaling of raw scores of findings by Newton steps, then for each kind the highest threshold that keeps the recall."""
         a, b = 1.0, 0.0
         goal = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
         for _ in range(30):
@@ -132,8 +139,11 @@ class Network:
             step = np.linalg.solve([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]], [(g * z).sum(), g.sum()])
             a, b = a - step[0], b - step[1]
         self.slope, self.shift = float(a), float(b)
-        hits = np.sort(self.scaled(z)[y > 0])
-        self.threshold = float(min(hits[int((1 - recall) * len(hits))], 0.999)) if len(hits) else 0.5
+        found = []
+        for k in range(len(KINDS)):
+            hits = np.sort(self.scaled(z)[(y > 0) & (kind == k)])
+            found.append(float(min(hits[int((1 - recall) * len(hits))], 0.999)) if len(hits) else 0.5)
+        self.thresholds = tuple(found)
 
     def scaled(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
@@ -152,46 +162,78 @@ class Network:
 
 
 def generated(n: int = GENERATED, seed: int = 0) -> list[tuple[str, int, int, int]]:
-    """Labelled findings (text, start, end, label): keys of several alphabets after telling words; ids, names and numbers elsewhere."""
+    """Labelled findings (text, start, end, label): keys of several alphabets after telling words; ids, names, numbers, digests and place holders elsewhere."""
     r = np.random.default_rng(seed)
     pick = lambda xs: xs[int(r.integers(len(xs)))]
     run = lambda chars, k: "".join(chars[i] for i in r.integers(len(chars), size=k))
+    size = lambda least, most: int(r.integers(least, most))
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    word = lambda: run(low, size(2, 9))
+    keys = [
+        lambda: run(low + up + dig, size(20, 64)), lambda: run(low + up + dig + "+/", size(24, 64)) + pick(("", "=", "==")), lambda: run(dig + "ABCDEF", size(32, 65)), lambda: run(dig + "abcdef", size(24, 65)),
+        lambda: "AKIA" + run(up + dig, 16), lambda: run(low, 3) + "_" + run(low + up + dig, 36), lambda: run(low + up, size(20, 64)), lambda: run(low + dig, size(16, 40)),
+    ]
+    others = [
+        lambda: "-".join(word() for _ in range(4)) + run(dig, 2), lambda: "_".join(word() for _ in range(4)) + run(dig, 1), lambda: f"20{run(dig, 2)}-{run(dig, 2)}-{run(dig, 2)}T{run(dig, 6)}", lambda: word() * 3 + word() * 2 + run(dig, 3),
+        lambda: "/".join(word() for _ in range(4)) + "/" + run(dig, 3), lambda: run(dig, 4) + "-" + "-".join(word().upper() for _ in range(3)), lambda: "item" + run(dig, 12), lambda: word() * 2 + word() * 2 + run(low, 8),
+        lambda: "/".join(word() for _ in range(size(6, 16))), lambda: "".join(word().title() for _ in range(5)), lambda: "_".join(word().upper() for _ in range(5)), lambda: run(dig, size(12, 24)), lambda: word() + run(dig, size(10, 14)),
+    ]
+    asked = lambda: pick(("password", "Passwd", "SECRET", "token", "api_key", "apikey")) + pick((": ", " = ", "=", '": "', ' = "'))
     out = []
     for i in range(n):
-        word = lambda: run(low, int(r.integers(2, 9)))
-        left, right = f"{word()} {word()} {word()} ", f" {word()} {word()}"
-        if i % 2:
-            token = pick((lambda: run(low + up + dig, int(r.integers(20, 64))), lambda: run(low + up + dig + "+/", int(r.integers(24, 64))) + pick(("", "=", "==")), lambda: run(dig + "ABCDEF", int(r.integers(32, 65))), lambda: run(dig + "abcdef", int(r.integers(24, 65))), lambda: "AKIA" + run(up + dig, 16), lambda: run(low, 3) + "_" + run(low + up + dig, 36), lambda: run(low + up, int(r.integers(20, 64)))))()
-            left += pick(("", "key ", "auth: ", 'key = "', "bearer ", "credential=", "private_key: ", "pwd: "))
-        else:
-            token = pick((lambda: "-".join(word() for _ in range(4)) + run(dig, 2), lambda: "_".join(word() for _ in range(4)) + run(dig, 1), lambda: f"20{run(dig, 2)}-{run(dig, 2)}-{run(dig, 2)}T{run(dig, 6)}", lambda: word() * 3 + word() * 2 + run(dig, 3), lambda: "/".join(word() for _ in range(4)) + "/" + run(dig, 3), lambda: run(dig, 4) + "-" + "-".join(word().upper() for _ in range(3)), lambda: "item" + run(dig, 12), lambda: word() * 2 + word() * 2 + run(low, 8), lambda: "/".join(word() for _ in range(int(r.integers(6, 16)))), lambda: "".join(word().title() for _ in range(5)), lambda: "_".join(word().upper() for _ in range(5)), lambda: run(dig, int(r.integers(16, 24)))))()
+        left, right, label = f"{word()} {word()} {word()} ", f" {word()} {word()}", i % 2
+        token = pick(keys if label else others)()
         if i % 8 == 1:  # a key within a path, as a window that is not in line with it may show it
-            head, tail = (pick("/-_=").join(word() for _ in range(int(r.integers(4, 8)))) for _ in range(2))
+            head, tail = (pick("/-_=").join(word() for _ in range(size(4, 8))) for _ in range(2))
             key, left = run(low + up + dig, 40), f"{left}/{head}/"
-            at = len(left) + int(r.integers(-10, 11))
+            at = len(left) + size(-10, 11)
             out.append((f"{left}{key}/{tail}-{word()}{right}", at, at + INSIDE, 1))
-        else:
-            out.append((left + token + right, len(left), len(left) + len(token), i % 2))
+            continue
+        if i % 8 in (2, 3):  # what rules find: assigned keys, and assigned words or one character again and again
+            left += asked()
+            token = token if label else pick((lambda: run(low, size(6, 14)), lambda: pick("xX.-_0") * size(6, 24), lambda: "_".join(word() for _ in range(3)), lambda: "EXAMPLE" * 2))()
+        elif i % 8 in (4, 5):  # access ids that spell words, and digests that their words name
+            token = pick(keys[3:5])() if label else pick((lambda: "AKIA" + (word() + word() + word() + word()).upper().ljust(16, "X")[:16], lambda: pick("0f") * size(24, 40), lambda: "0123456789abcdef" * 2))()
+        elif label:
+            left += pick(("", "key ", "auth: ", 'key = "', "bearer ", "credential=", "private_key: ", "pwd: "))
+        out.append((left + token + right, len(left), len(left) + len(token), label))
     return out
 
 
-def sampled(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most: int = SAMPLE_FINDINGS) -> list[tuple[str, int, int, int]]:
-    """Findings in at most so many documents, labelled by the rules: values that a rule finds, and tokens with no digit that none finds."""
+def sampled(docs: DataFrame, most_docs: int = SAMPLE_DOCS, each: int = SAMPLE_EACH, most: int = SAMPLE_FINDINGS) -> list[tuple[str, int, int, int]]:
+    """Labelled findings in at most ``most_docs`` different texts: values that a rule finds, and plain tokens that none finds.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Texts are drawn by their hash, ``each`` of every source (if there are
+    sources) with and without what the rules look for, so neither the order of
+    files nor copies decide; of a text, ``most`` findings of each label.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    source = F.col("source").cast("string") if "source" in docs.columns else F.lit("")
+    rows = docs.select(text.alias("text"), F.xxhash64(text, F.lit(29)).alias("h"), source.alias("source"))
+    order = Window.partitionBy("source", "told").orderBy("h")
+    marks = rows.select("h", "source", F.col("text").rlike(TELLING).alias("told"))
+    drawn = marks.withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= each).select("h").distinct().orderBy("h").limit(most_docs)
+    hashes = [r["h"] for r in drawn.collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema("text string, start int, end int, label int")
         for b in batches:
-            rows = []
-            for text in b["text"]:
-                taken = base_spans(text)
-                spans = [(m.start(2), m.end(2), 1) for m in ASSIGN.finditer(text) if len(m[2]) >= 16] + [(s, e, 1) for s, k, e in taken if k]
-                spans += [(m.start(), m.end(), 0) for m in CANDIDATE.finditer(text) if m[0].isalpha() and not any(s < m.end() and m.start() < e for s, _, e in taken)][:8]
-                rows += [(text[max(0, s - 64) : e + 64], s - max(0, s - 64), e - max(0, s - 64), y) for s, e, y in spans]
-            yield pd.DataFrame(rows, columns=["text", "start", "end", "label"])
+            found = []
+            for t in b["text"]:
+                text = t.as_py()
+                spans = [(s, e, int(k < 3)) for s, e, k in candidates(text, base_spans(text)) if k < 3 or PLAIN.fullmatch(text, s, e)]
+                spans.sort(key=lambda x: hashlib.md5(text[x[0] : x[1]].encode()).digest())
+                few = [x for y in (0, 1) for x in [x for x in spans if x[2] == y][:most]]
+                found += [(text[max(0, s - 64) : e + 64], s - max(0, s - 64), e - max(0, s - 64), y) for s, e, y in few]
+            yield arrow_rows(schema, found)
+
+    texts = rows.where(F.col("h").isin(hashes)).groupBy("h").agg(F.first("text").alias("text")).select("text")
+    return sorted(tuple(r) for r in texts.mapInArrow(run, "text string, start int, end int, label int").collect())
+
 
-    few = text_rows(docs).select("text").limit(most_docs)
-    found = few.mapInPandas(run, "text string, start int, end int, label int").limit(most).toPandas()
-    return sorted(found.itertuples(index=False, name=None))
+def kind_of(text: str, start: int, end: int) -> int:
+    """The rule that finds a value, or 3."""
+    return next((k for s, e, k in candidates(text, base_spans(text)) if (s, e) == (start, end) and k < 3), 3)
 
 
 def train(findings: list[tuple[str, int, int, int]], recall: float = RECALL) -> Network:
@@ -202,41 +244,47 @@ def train(findings: list[tuple[str, int, int, int]], recall: float = RECALL) ->
     shown = [(window(t, *p), label) for (t, s, e, label), k in zip(findings, kept, strict=True) if not k for p in places(s, e)]
     net = Network.start()
     net.train(np.array([x for x, _ in shown]), np.array([label for _, label in shown], float))
-    net.calibrate(net.highest([f[:3] for f, k in zip(findings, kept, strict=True) if k]), y[kept], recall)
+    apart = [f[:3] for f, k in zip(findings, kept, strict=True) if k]
+    net.calibrate(net.highest(apart), y[kept], np.array([kind_of(*f) for f in apart]), recall)
     return net
 
 
-def spans_of(text: str, net: Network) -> list[tuple[int, int, int]]:
-    """All spans (start, kind, end), those of the network last among equals."""
+def scored(text: str, net: Network) -> list[tuple[int, int, int, float]]:
+    """Every candidate that is a span as (start, kind, end, score), in the order of spans, the network's last among equals."""
     taken = base_spans(text)
-    if more := candidates(text, taken):
-        score = net.scaled(net.highest([(text, s, e) for s, e in more]))
-        taken = sorted([*taken, *((s, 3, e) for (s, e), p in zip(more, score, strict=True) if p >= net.threshold)])
-    return taken
+    if not (seen := candidates(text, taken)):
+        return []
+    score = net.scaled(net.highest([(text, s, e) for s, e, _ in seen])).tolist()
+    spans = [(*span, p) for span, p in zip(taken, score, strict=False)]
+    return sorted(spans + [(s, k, e, p) for (s, e, k), p in zip(seen, score, strict=True) if k == 3 and p >= net.thresholds[3]])
 
 
-def told(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+def told(spans: list[tuple[int, int, int, float]]) -> str:
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans)
 
 
 def scan(docs: DataFrame, net: Network | None = None) -> DataFrame:
     """Counts and spans (``kind:start:end`` in code points) of every whole text.
 
+    ``n_sure`` counts the rules' spans whose score reaches the threshold of
+    their kind, ``score`` is the highest of a span (null where there is none).
     A null text is empty and has no spans; repeated rows and null ids return as
     they are, an empty table gives an empty one, other columns are dropped.
     """
     net = net or train(generated() + sampled(docs))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(OUT)
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                spans = spans_of(text, net)
-                kinds, base = [k for _, k, _ in spans], told([x for x in spans if x[1] < 3])
-                rows.append((doc_id, *(kinds.count(k) for k in range(4)), hashlib.sha256(base.encode()).hexdigest(), told(spans)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
+            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
+                spans = scored(text.as_py(), net)
+                kinds, base = [x[1] for x in spans], told([x for x in spans if x[1] < 3])
+                sure = sum(k < 3 and p >= net.thresholds[k] for _, k, _, p in spans)
+                rows.append((doc_id, *(kinds.count(k) for k in range(4)), sure, max((x[3] for x in spans), default=None), hashlib.sha256(base.encode()).hexdigest(), told(spans)))
+            yield arrow_rows(schema, rows)
 
-    return text_rows(docs).mapInPandas(run, OUT)
+    return text_rows(docs).mapInArrow(run, OUT)
 
 
 MASK = "[secret]"
@@ -244,9 +292,7 @@ MASK = "[secret]"
 
 def masked(text: str, net: Network) -> str:
     """The text with the value of every finding masked; names of assigned secrets stay."""
-    places = []
-    for s, k, e in spans_of(text, net):
-        places.append((ASSIGN.match(text, s).start(2) if k == 0 else s, e))
+    places = [(ASSIGN.match(text, s).start(2) if k == 0 else s, e) for s, k, e, _ in scored(text, net)]
     out, at = [], 0
     for s, e in sorted(places):
         if s >= at:
@@ -259,13 +305,15 @@ def mask_secrets(docs: DataFrame, net: Network | None = None) -> DataFrame:
     """All rows and columns of ``docs``; texts with findings have them masked, and ``n_chars`` follows. Null texts stay null."""
     net = net or train(generated() + sampled(docs))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [None if t is None else masked(t, net) for t in b["text"]]
-            b = b.assign(text=text)
-            yield b.assign(n_chars=[None if t is None else len(t) for t in text]) if "n_chars" in b else b
+            names = b.schema.names
+            text = [None if t.as_py() is None else masked(t.as_py(), net) for t in b["text"]]
+            new = {"text": text, "n_chars": [None if t is None else len(t) for t in text]}
+            columns = [pa.array(new[c], b.schema.field(c).type) if c in new else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_char_cnn_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,11 +310,26 @@ def test_top_k(spark):
 
 
 def test_top_k_many_blocks(spark, monkeypatch):
-    for name, n in (("BLOCK_ROWS", 16), ("QUERY_ROWS", 3), ("GROUP_BLOCKS", 2)):
+    for name, n in (("BLOCK_ROWS", 16), ("QUERY_ROWS", 3), ("SHELF_SIZE", 256)):
         monkeypatch.setattr(exact_topk, name, n)
     test_top_k(spark)
 
 
+def test_top_k_of_large_numbers_and_copies(spark):
+    big = [(1, [1e7, 1.0]), (0, [9e6, -2.0]), (100, [0.0, 0.0]), (2, [2.0**55, 0.0]), (3, [-1e7, 4.0])]
+    rows = big + [(10 + i, [1.0, 1.0]) for i in range(40)] + [(11, [1.0, 1.0])] * 9
+    good = [(i, [int(np.floor(256 * c)) for c in v]) for i, v in rows if i != 2]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for q in (0, 50, 100):
+        for v in [v for i, v in good if i == q][:1]:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(tuple(x) for x in exact_topk.top_k(df.where("vec_id != 2")).collect()) == want
+    with pytest.raises(Exception, match="no long holds"):
+        exact_topk.top_k(df).collect()
+
+
 def test_warc(spark):
     rows = [(4, "http://a/ b", "x\r\n\r\ny", 1), (2, None, "x\r\n\r\ny", 1), (3, "u\nv", None, 1), (1, "w", "", 1), (5, "é", "ü" * 5000, 1), (None, "n", "zz", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest int")
@@ -329,6 +344,27 @@ def test_warc(spark):
     assert warc.pages_to_warc(pages.where("page_id > 99"), scratch_path(spark, "w")).count() == 0
 
 
+def test_warc_repeated_rows_and_ids(spark):
+    rows = [(1, "a", "A"), (2, "b", "B"), (7, "c", "A"), (7, "c", "B"), (1, "a", "A"), (7, "c", "A"), (2**53 + 1, "d", "D"), (None, "e", "A")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for compression in ("none", "gzip"):
+        path = scratch_path(spark, "w")
+        out = sorted((r["page_id"] or -1, r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.pages_to_warc(pages, path, compression=compression).collect())
+        a, b, d = (warc.base32_sha1(x) for x in (b"A", b"B", b"D"))
+        assert out == sorted([(1, a, "response", None)] * 2 + [(2, b, "response", None), (7, a, "revisit", 1), (7, a, "revisit", 1), (7, b, "revisit", 2), (2**53 + 1, d, "response", None), (-1, a, "response", None)])
+        back = warc.read_warc(spark, path).collect()
+        ids = {r["record_id"]: r["page_id"] for r in back if r["record_type"] == "response"}
+        assert all(ids[r["refers_to_record"]] == r["refers_to"] for r in back if r["record_type"] == "revisit")
+        if compression == "gzip":  # each record, and the empty one behind it, is a member of its own
+            for f in spark.read.format("binaryFile").load(path).collect():
+                blob, members = bytes(f["content"]), []
+                while blob:
+                    z = zlib.decompressobj(31)
+                    members.append(z.decompress(blob))
+                    blob = z.unused_data
+                assert all(m.startswith(b"WARC/1.1\r\n") for m in members[::2]) and not any(members[1::2])
+
+
 def test_arc_versions():
     one = b"filedesc://a.arc 0.0.0.0 20010101000000 text/plain 72\n1 0 org\nURL IP-address Archive-date Content-type Archive-length\n" + b" " * 4
     head = b"1 0 org\nURL IP-address Archive-date Content-type Archive-length\n"
@@ -353,7 +389,7 @@ def test_secret_scan(spark, docs, nothing):
     net = secrets_cnn.train(secrets_cnn.generated())
     held = secrets_cnn.generated(400, seed=11)
     score, truth = net.score(np.array([secrets_cnn.window(*f[:3]) for f in held])), np.array([f[3] for f in held])
-    found = score >= net.threshold
+    found = score >= net.thresholds[3]
     assert found[truth == 1].mean() >= 0.9 and found[truth == 0].mean() <= 0.05
     out = {r["doc_id"]: r for r in secrets_cnn.scan(docs, net).collect()}
     row = out[14]
@@ -368,7 +404,7 @@ def test_secret_scan(spark, docs, nothing):
 def test_secrets_in_long_tokens_and_without_digits():
     net, r, letters = secrets_cnn.train(secrets_cnn.generated()), random.Random(5), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
     key = lambda chars: "".join(r.choice(chars) for _ in range(40))
-    found = lambda t: [x for x in secrets_cnn.spans_of(t, net) if x[1] == 3]
+    found = lambda t: [x for x in secrets_cnn.scored(t, net) if x[1] == 3]
     share = lambda texts: sum(map(bool, map(found, texts))) / len(texts)
     assert share([f"see /srv/data/{'customers/' * r.randrange(1, 5)}{key(letters + '0123456789')}/current/backup now" for _ in range(100)]) >= 0.9
     assert share([f"the key {key(letters)} is old" for _ in range(100)]) >= 0.9
@@ -378,6 +414,41 @@ def test_secrets_in_long_tokens_and_without_digits():
     assert secrets_cnn.masked(text, net) == secrets_cnn.MASK
 
 
+def test_planted_secrets_in_documents_never_seen(spark, sf_dir):
+    """Keys of formats that the generator does not make, planted in documents that the network did not train on."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 200")
+    seen, new = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1").drop("text").join(docs.select("doc_id", "text"), "doc_id")
+    net, r = secrets_cnn.train(secrets_cnn.generated() + secrets_cnn.sampled(seen)), random.Random(8)
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    run = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    forms = [
+        lambda: "ghp_" + run(letters + digits, 36), lambda: "xoxb-" + run(digits, 12) + "-" + run(letters + digits, 24), lambda: "sk_live_" + run(letters + digits, 24), lambda: "AIza" + run(letters + digits + "_-", 35),
+        lambda: "eyJ" + run(letters + digits + "_-", 60), lambda: run(digits + "ABCDEF", 40), lambda: run(letters + digits + "+/", 43) + "=",
+    ]
+    texts = [x["text"] for x in new.select("text").distinct().collect()]
+    clean = [[x for x in secrets_cnn.scored(t, net) if x[1] == 3] for t in texts]
+    hits, wrong, n = 0, sum(map(len, clean)), 0
+    for i, t in enumerate(texts[:140]):
+        words, key = t.split(" "), forms[i % len(forms)]()
+        at = len(" ".join(words[:20])) + 1
+        spans = secrets_cnn.scored(" ".join([*words[:20], key, *words[20:]]), net)
+        hits += any(s < at + len(key) and at < e for s, _, e, _ in spans)
+        n += 1
+    assert n >= 60 and hits / n >= 0.95 and hits / (hits + wrong) >= 0.9
+    # values that the rules find are scored too, and sure of themselves
+    extra = [(10**6 + i, f'so it goes: Token = "{run(digits + "abcdef", 40)}" and AKIA{run(digits + "ABCDEFGHXYZ", 16)}.') for i in range(30)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    rows = secrets_cnn.scan(docs, net).collect()
+    base = sum(x["n_assign"] + x["n_access"] + x["n_hex"] for x in rows)
+    assert base >= 90 and sum(x["n_sure"] for x in rows) >= 0.9 * base
+    spans = {x["doc_id"]: x["base_sha256"] for x in rows}
+    for x in docs.collect():  # the base columns by another way
+        want = [(m.start(), f"assign:{m.start()}:{m.end()}") for m in re.finditer(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", x["text"], re.ASCII) if len(m[1]) >= 6]
+        want += [(m.start(), f"access:{m.start()}:{m.end()}") for m in re.finditer(r"AKIA[A-Z0-9]+", x["text"]) if len(m[0]) >= 20]
+        want += [(m.start(), f"hex:{m.start()}:{m.end()}") for m in re.finditer(r"[0-9a-f]+", x["text"]) if len(m[0]) >= 24]
+        assert spans[x["doc_id"]] == hashlib.sha256(",".join(s for _, s in sorted(want, key=lambda y: y[0])).encode()).hexdigest()
+
+
 def test_language(spark, sf_dir, nothing):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     extra = spark.createDataFrame([(10**6, None, "en"), (10**6 + 1, "123 !!", "en"), (None, "el perro", "es")], "doc_id long, text string, lang string")
