@@ -8,24 +8,26 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, *done: DataFrame, most_rounds: int = 40) -> DataFrame:
     """``node, component`` (smallest node reachable) for every node of ``edges`` (a, b).
 
     Each round hangs nodes below the smallest neighbour and is written to the
     shared folder.  Minima are partly aggregated before they are shuffled and
     join back from a written table, so that a join on a hub can be split.
+    Scratch tables ``done``, which only ``edges`` was to read, are deleted.
     """
-    edges = staged(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = staged(edges, "edges", *done)
     for _ in range(most_rounds):
         both = edges.union(edges.select("b", "a"))
         low = staged(both.groupBy("a").agg(F.min("b").alias("m")), "large-star")
-        edges = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
-        edges = staged(edges, "large-edges")
+        large = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
+        edges = staged(large, "large-edges", edges, low)
         low = staged(edges.groupBy("a").agg(F.min("b").alias("m")), "small-star")
         pairs = edges.join(low, "a")
-        edges = pairs.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = staged(edges, "small-edges")
-        if open_nodes(edges).count() == 0:
+        small = pairs.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
+        edges = staged(small, "small-edges", edges, low)
+        if open_nodes(edges).isEmpty():
             break
     else:
         raise RuntimeError(f"no end after {most_rounds} rounds")

@@ -10,10 +10,13 @@
    earlier leader of no greater need follows it, others lead; every overlap that a partner of a
    follower could have with its leader connects the two, by no more edges than
    the list has documents.  So all pairs that share ``need`` values are in one
-   group.  Long lists are cut by salt and their leaders meet.
-3. Groups are verified in units of bounded size (large groups as pairs of
-   blocks): the union sketch estimates a pair's similarity, full sets of the
-   texts decide.  A unit returns no more links than it has documents.
+   group.  Long lists are cut by salt, and parts of their leaders meet in pairs.
+3. Groups are verified in units of bounded size: the union sketch estimates a
+   pair's similarity, full sets of the texts decide.  A unit returns no more
+   links than it has documents.  In a large group every block of documents first
+   meets a few pivots; what these links connect is one cluster, and only
+   documents outside of the largest cluster then meet all the others, in pairs
+   of blocks.
 4. Components of the links, joined back to classes and documents.
 """
 
@@ -34,8 +37,8 @@ from .common import staged, table, text_rows
 from .components import components
 
 K, MISS = 24, 1e-6
-#: Values that a follower may lack of its leader's; documents of a block; length at which a list is cut.
-SLACK, BLOCK, LIST = 4, 512, 4096
+#: Values that a follower may lack of its leader's; documents of a block; length at which a list is cut; leaders of a part; pivots of a large group.
+SLACK, BLOCK, LIST, MEET, PIVOTS = 4, 512, 4096, 1024, 64
 #: Rows that move from Python to Spark at once.
 ROWS = 256
 _PAD = np.iinfo(np.int64).max
@@ -165,10 +168,14 @@ def candidate_groups(marks: DataFrame, k: int, percent: int) -> DataFrame:
     short = read_lists(postings.repartition("value", "salt").sortWithinPartitions(*order), k, percent, SLACK, SLACK)
     first = staged(short.join(counts.where(F.col("n") > LIST).select("value", F.lit(True).alias("cut")), "value", "left").where(F.col("b").isNotNull() | F.col("cut")), "list-edges")
     # leaders of the parts of a cut list meet; a partner's leader may lack as much again
-    leaders = first.where(F.col("b").isNull()).select("value", F.lit(0).alias("salt"), F.col("a").alias("doc"), "size", "shared")
-    second = read_lists(leaders.repartition("value").sortWithinPartitions(*order), k, percent, 0, 2 * SLACK)
+    leaders = first.where(F.col("b").isNull()).select("value", F.col("a").alias("doc"), "size", "shared")
+    number = leaders.groupBy("value").agg(F.ceil(F.count("*") / MEET).alias("parts"))
+    met = leaders.join(number, "value").withColumn("part", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("parts")))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least("part", j) * F.col("parts") + F.greatest("part", j))
+    met = met.select("value", F.explode(pair).alias("salt"), "doc", "size", "shared")
+    second = read_lists(met.repartition("value", "salt").sortWithinPartitions(*order), k, percent, 0, 2 * SLACK)
     edges = first.select("a", "b").union(second.select("a", "b")).where(F.col("b").isNotNull())
-    return components(edges)
+    return components(edges, first, counts)
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
@@ -217,15 +224,11 @@ def links_among(ids: list[int], sets: list[np.ndarray], sides: np.ndarray, k: in
 def verified_links(docs: DataFrame, groups: DataFrame, width: int, k: int, percent: int) -> DataFrame:
     """Links (a, b) that connect what is similar enough inside each group, by full sets."""
     groups = staged(groups, "groups")
-    sizes = staged(groups.groupBy("component").agg(F.count("*").alias("n")), "group-sizes")
-    units = max(1, ceil(groups.count() / BLOCK))
-    placed = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
-    small = F.array(F.struct(F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j")))
-    placed = placed.withColumn("side", block).withColumn("unit", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(units))).otherwise(F.col("component")))
-    texts = text_rows(docs).join(placed.hint("shuffle_hash"), F.col("doc_id") == F.col("node"))
-    rows = texts.select("text", "node", "component", "side", "unit", F.explode(F.when(F.col("blocks") == 1, small).otherwise(pairs)).alias("at")).select("text", "node", "component", "side", "unit", "at.i", "at.j")
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
+    texts = text_rows(docs).join(groups.join(sizes, "component").hint("shuffle_hash"), F.col("doc_id") == F.col("node"))
+    texts = staged(texts.select("text", "node", "component", "n"), "group-texts", groups)
+    units = max(1, ceil(texts.count() / BLOCK))
+    no = F.lit(-1).cast("long")
 
     def run(unit: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -233,7 +236,38 @@ def verified_links(docs: DataFrame, groups: DataFrame, width: int, k: int, perce
             out += links_among(group["node"].tolist(), [shingle_set(t, width) for t in group["text"]], group["side"].to_numpy(), k, percent)
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return rows.groupBy("unit", "i", "j").applyInPandas(run, "a long, b long")
+    def linked(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("unit", "i", "j").applyInPandas(run, "a long, b long")
+
+    # small groups as they are; blocks of large ones with pivots, which are a side of their own
+    small = texts.where(F.col("n") <= BLOCK).select("text", "node", "component", no.alias("side"), F.pmod(F.xxhash64("component"), F.lit(units)).alias("unit"), no.alias("i"), no.alias("j"))
+    large = texts.where(F.col("n") > BLOCK)
+    if large.isEmpty():
+        return linked(small)
+    blocks, is_pivot = F.ceil(F.col("n") / BLOCK), F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")) < PIVOTS
+    at = F.when(is_pivot, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks)))
+    star = large.select("text", "node", "component", is_pivot.cast("long").alias("side"), F.col("component").alias("unit"), F.explode(at).alias("i"), no.alias("j"))
+    links = staged(linked(small.union(star)), "first-links")
+
+    # documents outside of their group's largest cluster, in pairs of blocks with all others
+    found = components(links).select("node", F.col("component").alias("cluster"))
+    clusters = large.select("node", "component", "n").join(found, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    clusters = staged(clusters, "clusters")
+    sizes = clusters.groupBy("component", "cluster").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("component").agg(F.max_by("cluster", F.struct("m", "cluster")).alias("main"), (F.sum("m") - F.max("m")).alias("n_open"))
+    named = clusters.join(largest.where(F.col("n_open") > 0), "component")
+    named = staged(large.select("node", "text").join(named, "node"), "open-groups", clusters)
+    if named.isEmpty():
+        return links
+    n_open, n_main = F.ceil(F.col("n_open") / BLOCK), F.ceil((F.col("n") - F.col("n_open")) / BLOCK)
+    hashed, zero = F.xxhash64("node"), F.lit(0).cast("long")
+    own, main = F.pmod(hashed, n_open), F.pmod(hashed, n_main)
+    with_open = F.transform(F.sequence(zero, n_open - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    with_main = F.transform(F.sequence(zero, n_main - 1), lambda j: F.struct(own.alias("i"), (-1 - j).alias("j")))
+    from_main = F.transform(F.sequence(zero, n_open - 1), lambda i: F.struct(i.alias("i"), (-1 - main).alias("j")))
+    at = F.when(F.col("cluster") == F.col("main"), from_main).otherwise(F.concat(with_open, with_main))
+    rows = named.select("text", "node", "component", F.col("cluster").alias("side"), F.col("component").alias("unit"), F.explode(at).alias("at"))
+    return links.union(linked(rows.select("text", "node", "component", "side", "unit", "at.i", "at.j")))
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -250,8 +284,8 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     classes = staged(live.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "classes")
     firsts = classes.withColumnRenamed("first_id", "doc_id")
     standing = staged(live.join(firsts, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"]).select("doc_id", "sketch"), "representatives")
-    links = staged(verified_links(docs, candidate_groups(standing, k, percent), width, k, percent), "links")
-    found = staged(components(links), "found")
+    links = staged(verified_links(docs, candidate_groups(standing, k, percent), width, k, percent), "links", standing)
+    found = staged(components(links, links), "found")
     out = marks.join(classes, "digest", "left").withColumn("first_id", F.when(F.col("n_shingles") > 0, F.col("first_id")))
     out = out.join(found.withColumnRenamed("node", "first_id"), "first_id", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first_id", "doc_id")).alias("component_id"))
