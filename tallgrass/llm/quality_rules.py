@@ -3,7 +3,9 @@
 Each rule is a column that is true where a document fails.  Cost and
 selectivity of every rule are measured on a bounded sample; the cascade asks
 the rules in the order of rejections per cost, and a document that fails one is
-not asked further.  The order changes the work, never the verdict.
+not asked further: features that later rules need are not worked out for it.
+Counts that are returned for every document are there anyway, so rules over
+them cost next to nothing.  The order changes the work, never the verdict.
 
 Repeated 3-word windows are found inside a row: 64-bit hashes of the windows
 are sorted, only windows with an equal neighbour are compared as text.
@@ -22,8 +24,9 @@ from .common import table
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that costs and selectivities are estimated on, and the share of rows looked at that go into them.
-SAMPLE_ROWS, SAMPLE_SHARE = 1_000, 0.2
+LETTER, BULLET, ELLIPSIS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]", r"^[\x20\x09-\x0D]*[-*•]", r"([.][.][.]|…)[\x20\x09-\x0D]*\z"
+#: Rows that costs and selectivities are estimated on, and how often a cost is paid to be told from that of starting a job.
+SAMPLE_ROWS, TIMES = 1_000, 4
 #: Up to so many distinct repeated hashes, windows are looked up in their list; beyond, all windows are sorted. Both are exact.
 FEW = 48
 
@@ -54,8 +57,24 @@ def n_dup_lines(text: Column, words: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def n_lines(text: Column, words: Column) -> Column:
-    return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+def n_letter_words(text: Column, words: Column) -> Column:
+    """Words with a character that is no ASCII mark, digit or control character."""
+    return F.size(F.filter(words, lambda x: x.rlike(LETTER))).cast("long")
+
+
+def percent_of_lines(text: Column, pattern: str) -> Column:
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return let(lines, lambda x: F.when(F.size(x) == 0, 0).otherwise(F.floor(100 * F.size(F.filter(x, lambda y: y.rlike(pattern))) / F.size(x)))).cast("long")
+
+
+def bullet_percent(text: Column, words: Column) -> Column:
+    """Of the lines with a word, those that start with a bullet."""
+    return percent_of_lines(text, BULLET)
+
+
+def ellipsis_percent(text: Column, words: Column) -> Column:
+    """Of the lines with a word, those that end with an ellipsis."""
+    return percent_of_lines(text, ELLIPSIS)
 
 
 def n_repeat_words(text: Column, words: Column) -> Column:
@@ -82,7 +101,9 @@ def n_repeat_words(text: Column, words: Column) -> Column:
     return F.when(F.size(words) < 4, 0).otherwise(let(F.transform(places, lambda i: window(i, F.xxhash64)), found)).cast("long")
 
 
-FEATURES = {"word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words, "n_shouts": n_shouts, "n_lines": n_lines}
+#: What every document is told, and what only some rules ask for.
+COUNTS = {"word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words}
+FEATURES = {**COUNTS, "n_shouts": n_shouts, "n_letter_words": n_letter_words, "bullet_percent": bullet_percent, "ellipsis_percent": ellipsis_percent}
 
 
 @dataclass(frozen=True)
@@ -102,34 +123,44 @@ RULES = (
     Rule("shouting", "n_shouts", lambda n, x: 100 * x > 25 * n),
     Rule("short_words", "word_chars", lambda n, x: x < 2 * n),
     Rule("long_words", "word_chars", lambda n, x: x > 16 * n),
+    Rule("few_letters", "n_letter_words", lambda n, x: 100 * x < 50 * n),
+    Rule("bullets", "bullet_percent", lambda n, x: x > 90),
+    Rule("ellipses", "ellipsis_percent", lambda n, x: x > 30),
     Rule("repeated_lines", "n_dup_lines", lambda n, x: (x >= 3) & (100 * x > 5 * n)),
 )
 
 
-def failing(rule: Rule, text: Column) -> Column:
-    """The rule asked alone, from the text."""
-    return let(words_of(text), lambda w: rule.fails(F.size(w), FEATURES[rule.feature](text, w) if rule.feature else None))
+def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, known: tuple[str, ...] = (), rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
+    """(rule, rejected share, seconds a row) by falling rejections per second, measured on at most ``rows`` rows.
 
-
-def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, rejected share, seconds a row) by falling rejections per second, measured on at most ``rows`` rows."""
-    sample = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.rand(7) < SAMPLE_SHARE).limit(rows).repartition(2).cache()
-
-    def timed(fails: Column) -> tuple[float, float]:
-        best, share = float("inf"), 0.0
-        for _ in range(2):
-            began = time.perf_counter()
-            n, hit = sample.agg(F.count("*"), F.coalesce(F.count_if(fails), F.lit(0))).first()
-            best, share = min(best, time.perf_counter() - began), hit / max(n, 1)
-        return share, best / max(sample_rows, 1)
+    Rows are drawn by a hash from the whole table.  A rule's cost is that of its
+    feature beyond that of a job without one; features that are ``known``, and
+    no feature, cost nothing.
+    """
+    n = docs.count()
+    if not n:
+        return [(r, 0.0, 0.0) for r in rules]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    hashed = docs.select(text.alias("text"), F.xxhash64(*(["doc_id"] if "doc_id" in docs.columns else []), text).alias("h"))
+    drawn = hashed.where(F.pmod("h", F.lit(1 << 20)) < (1 << 20) * min(1.0, 4 * rows / n)).orderBy("h").limit(rows)
+    sample = drawn.select("text", words_of(F.col("text")).alias("words")).repartition(2).cache()
+    n_words = F.size("words")
+    feature = lambda name: FEATURES[name](F.col("text"), F.col("words"))
+    many = sample.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(TIMES))))
+
+    def seconds(value: Column) -> float:
+        began = time.perf_counter()
+        many.agg(F.sum(value)).first()
+        return time.perf_counter() - began
 
     try:
-        sample_rows = sample.count()
-        found = []
-        for rule in rules:
-            found.append((rule, *timed(failing(rule, F.col("text")))))
+        hits = [F.count_if(r.fails(n_words, feature(r.feature) if r.feature else None)) for r in rules]
+        seen, *hits = sample.agg(F.count("*"), *(h.alias(f"h{i}") for i, h in enumerate(hits))).first()
+        start = seconds(n_words)
+        cost = {name: max(0.0, seconds(feature(name)) - start) / max(seen * TIMES, 1) for name in dict.fromkeys(r.feature for r in rules) if name and name not in known}
     finally:
         sample.unpersist()
+    found = [(r, h / max(seen, 1), cost.get(r.feature, 0.0)) for r, h in zip(rules, hits, strict=True)]
     return sorted(found, key=lambda x: (-x[1] / max(x[2], 1e-9), x[0].name))
 
 
@@ -149,16 +180,20 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     and null ids return as they are, an empty table gives an empty one, other
     columns are dropped.
     """
-    order = [r for r, _, _ in rule_order(docs, rules)]
+    order = [r for r, _, _ in rule_order(docs, rules, tuple(COUNTS))]
     text = F.col("text")
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    stats = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), *(f(text, w).alias(k) for k, f in FEATURES.items())))
-    out = rows.select("doc_id", stats.alias("s")).select("doc_id", "s.*")
+
+    def told(words: Column) -> Column:
+        counts = F.struct(F.size(words).cast("long").alias("n_words"), *(f(text, words).alias(k) for k, f in COUNTS.items()))
+        return let(counts, lambda c: F.struct(c.alias("counts"), cascade(order, c["n_words"], lambda name: c[name] if name in COUNTS else FEATURES[name](text, words)).alias("kept")))
+
+    out = rows.select("doc_id", let(words_of(text), told).alias("s")).select("doc_id", "s.counts.*", "s.kept")
     base = F.lit(False)
     for rule in rules:
         if rule.base:
             base = base | rule.fails(F.col("n_words"), F.col(rule.feature) if rule.feature else None)
-    return out.withColumns({"base_failed": base, "kept": cascade(order, F.col("n_words"), F.col)})
+    return out.withColumn("base_failed", base)
 
 
 def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -189,7 +224,9 @@ WITH w AS (
 ), r AS (
   SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM g GROUP BY doc_id
 ), l AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
+         100 * count(*) FILTER (regexp_matches(line, '^[\x20\x09-\x0D]*[-*•]')) // count(*) AS bullets,
+         100 * count(*) FILTER (regexp_matches(line, '([.][.][.]|…)[\x20\x09-\x0D]*\z')) // count(*) AS ellipses
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), f AS (
@@ -198,13 +235,16 @@ WITH w AS (
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-         (length(text) - length(replace(text, '!', '')))::BIGINT AS n_shouts,
-         (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines
+         length(text) - length(replace(text, '!', '')) AS n_shouts,
+         len(list_filter(words, lambda x: regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]'))) AS n_letter_words,
+         coalesce(bullets, 0) AS bullets, coalesce(ellipses, 0) AS ellipses
   FROM w LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)
 )
-SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 25 * n_words
             OR 100 * n_shouts > 25 * n_words OR word_chars < 2 * n_words OR word_chars > 16 * n_words
+            OR 100 * n_letter_words < 50 * n_words OR bullets > 90 OR ellipses > 30
             OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 5 * n_words)) AS kept
 FROM f
 """
