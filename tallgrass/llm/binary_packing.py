@@ -14,18 +14,16 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .chunks import chunk_table, vocabulary
-from .common import scratch_path, table, text_rows
+from .common import arrow_rows, arrow_schema, scratch_path, table, text_rows
 
 TOKENIZER, ROW, END_ID, PAD_ID = "word_bpe_49k.json", 2048, 1, 0
-#: Tokens that one task buffers before it packs them, and rows of a matrix.
-BUFFER_TOKENS, MATRIX_ROWS = 4_000_000, 64
-#: Matrices that move from Python to Spark at once.
-FRAME_BLOCKS = 16
+#: Tokens that one task buffers before it packs them, rows of a matrix, and bytes of the matrices that Spark's writer holds.
+BUFFER_TOKENS, MATRIX_ROWS, GROUP_BYTES = 4_000_000, 64, 16 << 20
 BLOCKS = "block_id long, n_rows int, row_length int, id_bytes int, ids binary, row_segments array<int>, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, starts array<long>"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -87,18 +85,18 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, row_len
     id alone), repeated rows are packed again, a null ``doc_id`` is written as
     null, an empty table writes no block.
     """
-    path_, columns = vocabulary(tokenizer), [c.split()[0] for c in BLOCKS.split(", ")]
+    path_ = vocabulary(tokenizer)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = chunk_table(path_)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, coder = arrow_schema(BLOCKS), chunk_table(path_)
         block = TaskContext.get().partitionId() << 32
         end = np.array([end_id], "<u4").tobytes()
         pieces: list[tuple] = []
         size = 0
 
-        def flush() -> Iterator[pd.DataFrame]:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal block, pieces, size
-            rows, blocks = best_fit([len(p[2]) for p in pieces], row_length), []
+            rows = best_fit([len(p[2]) for p in pieces], row_length)
             for at in range(0, len(rows), MATRIX_ROWS):
                 some = rows[at : at + MATRIX_ROWS]
                 matrix = np.full((len(some), row_length), pad_id, "<u4")
@@ -116,49 +114,44 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, row_len
                     if place < row_length:
                         resets.append(r * row_length + place)
                 narrow = matrix.max(initial=0) < 1 << 16
-                blocks.append((block, len(some), row_length, 2 if narrow else 4, matrix.astype("<u2" if narrow else "<u4").tobytes(), [len(row) for row in some], [0, *np.cumsum(lengths).tolist()], resets, ids, starts))
+                yield arrow_rows(schema, [(block, len(some), row_length, 2 if narrow else 4, matrix.astype("<u2" if narrow else "<u4").tobytes(), [len(row) for row in some], [0, *np.cumsum(lengths).tolist()], resets, ids, starts)])
                 block += 1
-                if len(blocks) == FRAME_BLOCKS:
-                    yield pd.DataFrame(blocks, columns=columns)
-                    blocks = []
-            if blocks:
-                yield pd.DataFrame(blocks, columns=columns)
             pieces, size = [], 0
 
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                for doc_id, raw in zip(part["doc_id"], coder.texts(part["text"].tolist()), strict=True):
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                for doc_id, raw in zip(part["doc_id"].to_pylist(), coder.texts(part["text"].to_pylist()), strict=True):
                     tokens = np.frombuffer(raw + end, "<u4")
-                    doc_id = None if pd.isna(doc_id) else int(doc_id)
                     pieces += [(doc_id, s, tokens[s : s + row_length]) for s in range(0, len(tokens), row_length)]
                     size += len(tokens)
                 if size >= BUFFER_TOKENS:
                     yield from flush()
         yield from flush()
 
-    text_rows(docs).mapInPandas(run, BLOCKS).write.parquet(path)
+    text_rows(docs).mapInArrow(run, BLOCKS).write.option("parquet.block.size", GROUP_BYTES).parquet(path)
 
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
     """The pieces of packed matrices, with a checksum of the ids that the matrix holds for each."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(PIECES)
         for batch in batches:
-            rows = []
-            for b in batch.itertuples(index=False):
-                matrix = np.frombuffer(b.ids, f"<u{b.id_bytes}").reshape(b.n_rows, b.row_length).astype("<u4")
-                k, bounds = 0, np.diff(b.cu_seqlens).tolist()
-                for r, segments in enumerate(b.row_segments):
+            for at in range(batch.num_rows):
+                b, rows, k = batch.slice(at, 1).to_pylist()[0], [], 0
+                matrix = np.frombuffer(b["ids"], f"<u{b['id_bytes']}").reshape(b["n_rows"], b["row_length"]).astype("<u4")
+                bounds = np.diff(b["cu_seqlens"]).tolist()
+                for r, segments in enumerate(b["row_segments"]):
                     place = 0
                     for _ in range(segments):
-                        n, doc_id = bounds[k], b.doc_ids[k]
-                        rows.append((None if pd.isna(doc_id) else int(doc_id), int(b.starts[k]), n, zlib.crc32(matrix[r, place : place + n]), (b.block_id << 10) + r, place))
+                        n = bounds[k]
+                        rows.append((b["doc_ids"][k], b["starts"][k], n, zlib.crc32(matrix[r, place : place + n]), (b["block_id"] << 10) + r, place))
                         place += n
                         k += 1
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
+                yield arrow_rows(schema, rows)
 
-    return spark.read.schema(BLOCKS).parquet(path).mapInPandas(run, PIECES)
+    return spark.read.schema(BLOCKS).parquet(path).mapInArrow(run, PIECES)
 
 
 def op8_best_fit_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

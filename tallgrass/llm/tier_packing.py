@@ -3,9 +3,11 @@
 A document is cut into full windows of the longest tier; what remains of it is
 routed to the shortest tier (a power of two) that holds it.  Each tier is
 packed from the longest down: a window takes one document of its tier, its gap
-takes the longest pieces of shorter tiers that fit, and the last bit of a gap is
-closed by cutting a piece, which loses nothing.  Windows are dealt to step
-groups of equal token counts.
+takes the longest pieces that fit, of shorter tiers or what is short enough of
+its own, and the last bit of a gap is closed by cutting a piece, which loses
+nothing.  Pieces lie in one pool by length, so the longest tier is packed first,
+then the next.  The windows of one buffer are dealt to step groups of equal
+token counts.
 
 It is one pass over the table without a shuffle: every task packs its own rows
 in buffers of bounded size and carries an open window from buffer to buffer.
@@ -21,13 +23,13 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import chunk_table, vocabulary
-from .common import table, text_rows
+from .common import arrow_rows, arrow_schema, table, text_rows
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -133,14 +135,14 @@ def tier_pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", tiers: tupl
     """
     path = vocabulary(tokenizer)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, packer, top = chunk_table(path), TierPacker(tiers), max(tiers)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, coder, packer, top = arrow_schema(SCHEMA), chunk_table(path), TierPacker(tiers), max(tiers)
         base = TaskContext.get().partitionId() << 36
         held: dict[int, tuple] = {}
         fresh, number, size, sequence, step = [], 0, 0, base, base
         end = np.array([end_id], "<u4").tobytes()
 
-        def flush(last: bool) -> pd.DataFrame:
+        def flush(last: bool) -> pa.RecordBatch:
             nonlocal held, fresh, size, sequence, step
             windows = packer.windows(fresh, last)
             groups = step_groups([t for t, _ in windows], top * step_windows)
@@ -155,13 +157,13 @@ def tier_pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", tiers: tupl
             step += max(groups, default=-1) + 1
             held = {p[0]: held[p[0]] for p in packer.rest}
             fresh, size = [], 0
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
+            return arrow_rows(schema, rows)
 
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                for doc_id, ids in zip(part["doc_id"], coder.texts(part["text"].tolist()), strict=True):
-                    held[number] = (None if pd.isna(doc_id) else int(doc_id), ids + end)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                for doc_id, ids in zip(part["doc_id"].to_pylist(), coder.texts(part["text"].to_pylist()), strict=True):
+                    held[number] = (doc_id, ids + end)
                     fresh.append((number, len(ids) // 4 + 1))
                     size += len(ids) // 4 + 1
                     number += 1
@@ -169,7 +171,7 @@ def tier_pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", tiers: tupl
                     yield flush(False)
         yield flush(True)
 
-    return text_rows(docs).mapInPandas(run, SCHEMA)
+    return text_rows(docs).mapInArrow(run, SCHEMA)
 
 
 def op4_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from importlib.metadata import version
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,8 +31,10 @@ def normalised(text: Column, tokenizer: str) -> Column:
 
 
 def tokenizer_digest(tokenizer: str) -> str:
+    """Of the file and of the version of the library that reads it."""
+    library = "sentencepiece" if vocabulary(tokenizer).endswith(".model") else "tokenizers"
     with open(vocabulary(tokenizer), "rb") as f:
-        return hashlib.sha256(f.read()).hexdigest()
+        return hashlib.sha256(f.read() + f"{library} {version(library)}".encode()).hexdigest()
 
 
 def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
@@ -39,10 +42,10 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = TOKENIZER, l
 
     A null text is empty: 0 bytes, 0 tokens.  A repeated row returns once for
     each time it is there, a null ``doc_id`` stays null, an empty table gives
-    an empty one, and other columns are dropped.  Runs that share a cache must
-    not append at the same time.
+    an empty one, and other columns are dropped.  Runs that append to one cache
+    at the same time may both count a text; such a digest is read once.
     """
-    spark, path, version = docs.sparkSession, vocabulary(tokenizer), tokenizer_digest(tokenizer)
+    spark, path, coded_by = docs.sparkSession, vocabulary(tokenizer), tokenizer_digest(tokenizer)
     seen = text_rows(docs)
     digest = F.unhex(F.sha2(normalised(F.col("text"), tokenizer).cast("binary"), 256))
     rows = seen.select("doc_id", "text", digest.alias("content_digest"), F.octet_length("text").cast("long").alias("n_bytes"))
@@ -53,18 +56,18 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = TOKENIZER, l
         for b in batches:
             b = b[[not (d in done or done.add(d)) for d in map(bytes, b["content_digest"])]]
             counts = [len(ids) // 4 for at in range(0, len(b), 512) for ids in coder.texts(b["text"].iloc[at : at + 512].tolist())]
-            yield pd.DataFrame({"content_digest": b["content_digest"], "tokenizer_digest": version, "n_tokens": counts})
+            yield pd.DataFrame({"content_digest": b["content_digest"], "tokenizer_digest": coded_by, "n_tokens": counts})
 
     # One row of each digest that is not cached: with texts only where the row is the one that stands for its digest.
     first = known.groupBy("content_digest").agg(F.min("doc_id").alias("doc_id"))
     if cached(spark, cache_path):
-        old = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == version)
+        old = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == coded_by)
         first = first.join(old, "content_digest", "left_anti")
     missing = rows.select("doc_id", "text", "content_digest").hint("shuffle_hash").join(first.hint("shuffle_hash"), ["content_digest", "doc_id"], "left_semi")
     nameless = rows.where(F.col("doc_id").isNull()).select("doc_id", "text", "content_digest").join(first.where(F.col("doc_id").isNull()).hint("shuffle_hash"), "content_digest", "left_semi")
     # Repeated rows of a split partition are encoded in two tasks; the cache takes one count for each digest.
     missing.unionByName(nameless).mapInPandas(encode, CACHE_SCHEMA).dropDuplicates(["content_digest"]).write.mode("append").parquet(cache_path)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == version)
+    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == coded_by).dropDuplicates(["content_digest"])
     out = known.join(counts, "content_digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

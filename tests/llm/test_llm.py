@@ -34,8 +34,10 @@ def texts():
 def docs(spark):
     rows = [(i, t, "en" if i % 2 else None, "s", 0, 7, "d", 9) for i, t in enumerate(texts())]
     rows.append(rows[7])  # a repeated row
+    base_text = "a text of its own that nothing else is like " + " ".join(f"w{i}" for i in range(60))
     rows.append((None, "no id", "en", "s", 0, 7, "d", 9))
-    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+    rows.append((2**53 + 1, base_text, "en", "s", 0, 7, "d", 9))  # no double holds this id
+    return spark.createDataFrame(rows, SCHEMA).coalesce(1).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -196,6 +198,30 @@ def test_quality(docs, nothing):
     assert quality_rules.quality(nothing).count() == 0 and quality_rules.keep_quality(nothing).count() == 0
 
 
+def test_quality_rules_beyond_the_counts(spark):
+    r, text = random.Random(1), lambda line, n=12: "\n".join(f"{line} {i} {i * 7}" for i in range(n))
+    some = {"clean": "\n".join(" ".join(r.choice(WORDS) for _ in range(9)) for _ in range(12)), "bullets": text("- one fine day we went there"), "ellipses": "\n".join(f"one day {i} we went to see it..." for i in range(12)), "few_letters": " ".join(str(i * 37) for i in range(80)), "shouting": " ".join(f"no{i}!" for i in range(60))}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(some.values())], "doc_id long, text string")
+    for rule in quality_rules.RULES:
+        if rule.name in some:
+            out = {r["doc_id"]: r["kept"] for r in quality_rules.quality(docs, (rule,)).collect()}
+            assert out == {i: k != rule.name for i, k in enumerate(some)}
+    assert [r["kept"] for r in quality_rules.quality(docs).orderBy("doc_id").collect()] == [True] + [False] * 4
+
+
+def test_cascade_stops_at_the_first_rule_that_fails(spark):
+    docs = spark.createDataFrame([(1, "few words"), (2, "one fine day we went to see the old river " * 2)], "doc_id long, text string")
+    never = quality_rules.Rule("never", "trap", lambda n, x: x > 0)
+    first = quality_rules.Rule("first", None, lambda n, _: n < 50)
+    trap = quality_rules.F.raise_error(quality_rules.F.lit("asked")).cast("long")
+    asked = lambda rules: docs.select(quality_rules.let(quality_rules.words_of(F.col("text")), lambda w: quality_rules.cascade(rules, F.size(w), lambda _: trap)).alias("kept")).collect()
+    assert [r["kept"] for r in asked([first, never])] == [False, False]
+    with pytest.raises(Exception, match="asked"):
+        asked([never, first])
+    order = quality_rules.rule_order(docs)
+    assert {r.name for r, _, _ in order} == {r.name for r in quality_rules.RULES} and order[0][0].name == "few_words"
+
+
 def test_quality_beyond_a_few_repeats(spark):
     r = random.Random(2)
     words = [f"w{r.randrange(4000)}" for _ in range(3000)]
@@ -462,6 +488,64 @@ def test_language(spark, sf_dir, nothing):
     assert {r["lang_pred"] for r in language_id.identify(extra.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_model_against_plain_python(spark, sf_dir, monkeypatch):
+    """Document frequencies, FTRL weights and temperature by dictionaries and loops."""
+    import math
+
+    learn = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and lang is not null and length(text) < 1200 and doc_id < 90").select("doc_id", "text", "lang")
+    rows = sorted({(r["lang"], r["text"]) for r in learn.collect()})
+    df, n = language_id.frequencies(learn)
+    seen = {}
+    for r in learn.collect():
+        for b in language_id.counts(r["text"])[0]:
+            seen[int(b)] = seen.get(int(b), 0) + 1
+    assert n == learn.count() > 20 and {i: int(x) for i, x in enumerate(df) if x} == seen
+    got = language_id.drawn(learn, 3000)
+    assert [x[0] for x in got] == [x for x, _ in rows]
+    text = "Año ñandú Ärger"
+    grams = [text.lower()[i : i + k] for k in (1, 2, 3) for i in range(len(text) - k + 1)]
+    assert language_id.counts(text)[1].sum() == len(grams) and len(language_id.counts(text)[0]) <= len(set(grams))
+    idf = np.log((1 + n) / (1 + df)) + 1
+    model = language_id.train([x[1:] for x in got], [x[0] for x in got], idf)
+    names, order = sorted({x[0] for x in got}), np.random.default_rng(0).permutation(len(got)).tolist()
+    vec = []
+    for _, at, c in got:
+        v = {int(a): math.log(1 + int(k)) * (math.log((1 + n) / (1 + df[a])) + 1) for a, k in zip(at, c, strict=True)}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        vec.append({a: x / size for a, x in v.items()})
+    z, m = {}, {}
+
+    def weight(a, k):
+        zk = z.get((a, k), 0.0)
+        if abs(zk) <= language_id.L1:
+            return 0.0
+        return -math.copysign(abs(zk) - language_id.L1, zk) / ((language_id.BETA + math.sqrt(m.get((a, k), 0.0))) / language_id.ALPHA + language_id.L2)
+
+    def chances(scores, t=1.0):
+        e = [math.exp((s - max(scores)) / t) for s in scores]
+        return [x / sum(e) for x in e]
+
+    for _ in range(language_id.EPOCHS):
+        for place, i in enumerate(order):
+            if place % 5 == 0:
+                continue
+            w = {(a, k): weight(a, k) for a in vec[i] for k in range(len(names))}
+            p = chances([sum(x * w[a, k] for a, x in vec[i].items()) for k in range(len(names))])
+            for (a, k), wk in w.items():
+                g = vec[i][a] * (p[k] - (names[k] == got[i][0]))
+                old = m.get((a, k), 0.0)
+                z[a, k] = z.get((a, k), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / language_id.ALPHA * wk
+                m[a, k] = old + g * g
+    full = model.weights[model.place]
+    assert all(abs(full[a, k] - weight(a, k)) < 1e-6 for a, k in z)
+    kept = [i for place, i in enumerate(order) if place % 5 == 0]
+    loss = lambda t: sum(-math.log(max(chances([sum(x * weight(a, k) for a, x in vec[i].items()) for k in range(len(names))], t)[names.index(got[i][0])], 1e-12)) for i in kept)
+    assert model.temperature == pytest.approx(min(np.geomspace(0.05, 20, 80), key=loss))
+    monkeypatch.setattr(language_id, "MOST_LANGS", 1)
+    with pytest.raises(ValueError, match="more than 1"):
+        language_id.drawn(learn, 3000)
+
+
 def test_pipeline(spark, sf_dir, word_ids):
     import corpus_pipeline
 
