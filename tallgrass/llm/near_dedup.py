@@ -224,9 +224,10 @@ def links_among(ids: list[int], sets: list[np.ndarray], sides: np.ndarray, k: in
 def verified_links(docs: DataFrame, groups: DataFrame, width: int, k: int, percent: int) -> DataFrame:
     """Links (a, b) that connect what is similar enough inside each group, by full sets."""
     groups = staged(groups, "groups")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
+    # written, so that the join on a large group can be split
+    sizes = staged(groups.groupBy("component").agg(F.count("*").alias("n")), "group-sizes")
     texts = text_rows(docs).join(groups.join(sizes, "component").hint("shuffle_hash"), F.col("doc_id") == F.col("node"))
-    texts = staged(texts.select("text", "node", "component", "n"), "group-texts", groups)
+    texts = staged(texts.select("text", "node", "component", "n"), "group-texts", groups, sizes)
     units = max(1, ceil(texts.count() / BLOCK))
     no = F.lit(-1).cast("long")
 
@@ -255,8 +256,9 @@ def verified_links(docs: DataFrame, groups: DataFrame, width: int, k: int, perce
     clusters = staged(clusters, "clusters")
     sizes = clusters.groupBy("component", "cluster").agg(F.count("*").alias("m"))
     largest = sizes.groupBy("component").agg(F.max_by("cluster", F.struct("m", "cluster")).alias("main"), (F.sum("m") - F.max("m")).alias("n_open"))
-    named = clusters.join(largest.where(F.col("n_open") > 0), "component")
-    named = staged(large.select("node", "text").join(named, "node"), "open-groups", clusters)
+    largest = staged(largest.where(F.col("n_open") > 0), "largest-clusters")
+    named = clusters.join(largest, "component")
+    named = staged(large.select("node", "text").join(named, "node"), "open-groups", clusters, largest)
     if named.isEmpty():
         return links
     n_open, n_main = F.ceil(F.col("n_open") / BLOCK), F.ceil((F.col("n") - F.col("n_open")) / BLOCK)
