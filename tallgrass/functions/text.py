@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
+from ..sources.scratch import scratch_path
 
 # Patterns of personal data in the order of redaction, with what replaces them.
 PII = (
@@ -22,10 +24,21 @@ PII = (
 )
 
 
+# What a text must hold for a pattern to find anything; it is cheaper to ask for.
+HINTS = {"email": "@", "phone": r"\d{3}[\s-]?\d{3}", "aadhaar": r"\d{4}\s?\d{4}", "salary_line": r"(?i)salary|ctc|wage|gross\s+pay|remuneration", "named_person": r"\b(?:Mr|Mrs|Ms|Dr|Shri|Smt)\b"}
+
+
 def redact(df: DataFrame, text: str, kinds: tuple = PII) -> DataFrame:
-    """``df`` with ``text`` redacted step by step and a count of each kind, taken before its step."""
+    """``df`` with ``text`` redacted step by step and a count of each kind, taken before its step.
+
+    A pattern is looked for only in texts that hold its hint, and replaced only where it is found.
+    """
     for kind, pattern, instead in kinds:
-        df = df.withColumn(kind, F.regexp_count(text, F.lit(pattern)).cast("long")).withColumn(text, F.regexp_replace(text, pattern, instead))
+        count = F.regexp_count(text, F.lit(pattern))
+        if hint := HINTS.get(kind):
+            count = F.when(F.col(text).rlike(hint), count).when(F.col(text).isNotNull(), 0)
+        df = df.withColumn(kind, count.cast("long"))
+        df = df.withColumn(text, F.when(F.col(kind) > 0, F.regexp_replace(text, pattern, instead)).otherwise(F.col(text)))
     return df
 
 
@@ -115,6 +128,29 @@ def flattened(c: DataFrame) -> DataFrame:
     return nested.select("c_custkey", F.explode(both).alias("e")).select("c_custkey", "e.label", "e.value")
 
 
+def plain_label(text: str) -> str:
+    """Compatibility forms as their plain characters, lower case, punctuation as a space; other scripts stay."""
+    return re.sub(r"[()\[\]/:.,\-–—\s]+", " ", unicodedata.normalize("NFKC", text).lower()).strip()
+
+
+def with_plain_label(df: DataFrame, label: str) -> DataFrame:
+    """``df`` with ``plain`` of a label (null: empty); each different label is worked out once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["_label"], pa.array([plain_label(t.as_py()) for t in b["_label"]], pa.string())], ["_label", "plain"])
+
+    some = df.where(F.col(label).isNotNull()).select(F.col(label).alias("_label")).distinct()
+    found = some.mapInArrow(run, "_label string, plain string")
+    return df.join(found, F.col(label) == F.col("_label"), "left").drop("_label").withColumn("plain", F.coalesce("plain", F.lit("")))
+
+
+@query("sc_s11", "part", sql=r"""SELECT p_partkey, trim(regexp_replace(lower(translate(concat('Ｔｏtal ', p_brand, ' (Ｍ²/day)— ', p_size, ', FY:', p_partkey % 7), 'ＴｏＭ²', 'ToM2')), '[()\[\]/:.,\-–—\s]+', ' ', 'g')) AS plain FROM part""")
+def plain_labels(p: DataFrame) -> DataFrame:
+    label = F.concat(F.lit("Ｔｏtal "), "p_brand", F.lit(" (Ｍ²/day)— "), F.col("p_size").cast("string"), F.lit(", FY:"), (F.col("p_partkey") % 7).cast("string"))
+    return with_plain_label(p.select("p_partkey", label.alias("label")), "label").select("p_partkey", "plain")
+
+
 @query("sc_s10", "events", sql="SELECT event_id, CASE WHEN event_type = 'purchase' THEN '***' ELSE event_type END AS token, event_type AS kind FROM events")
 def masked_map(e: DataFrame) -> DataFrame:
     """Values of sensitive keys are masked in a map."""
@@ -131,46 +167,70 @@ def character_chunks(d: DataFrame, size: int = 2000, step: int = 1800) -> DataFr
     return rows.select("doc_id", F.floor(F.col("i") / step).cast("long").alias("chunk"), F.md5(F.substring("text", F.col("i") + 1, F.lit(size))).alias("md5"))
 
 
-def greedy_chunks(text: str, budget: int, overlap: int) -> list[str]:
-    """Sentences packed up to a budget of estimated tokens; a chunk starts with the last words of the one before."""
-    out, words = [], []
-    cost = lambda ws: max(1, int(len(ws) * 1.3))
-    fresh = False
-    for sentence in re.split(r"(?<=[.!?])\s+|\n{2,}", text):
-        new = sentence.split()
-        if words and fresh and cost(words + new) > budget:
-            out.append(" ".join(words))
-            words, fresh = words[-overlap:], False
-        words = words + new
-        fresh = fresh or bool(new)
-    if fresh:
-        out.append(" ".join(words))
-    return out
+def estimated_tokens(text: str) -> int:
+    words = len(text.split())
+    return max(1, int(words * 1.3)) if text else 0
+
+
+def packed(parts: list[str], budget: int, glue: str) -> list[str]:
+    """Neighbours joined as long as their estimates stay within the budget; a part above it stands alone."""
+    out, held, size = [], [], 0
+    for part in parts:
+        n = estimated_tokens(part)
+        if held and size + n > budget:
+            out.append(glue.join(held))
+            held, size = [], 0
+        held.append(part)
+        size += n
+    return [*out, glue.join(held)] if held else out
+
+
+def paragraph_chunks(text: str, budget: int, overlap: int) -> list[str]:
+    """Paragraphs packed whole; one above the budget by its sentences. A chunk starts with the last words of the one before."""
+    chunks, run = [], []
+    for para in filter(None, (p.strip() for p in re.split(r"\n\s*\n+", text))):
+        if estimated_tokens(para) <= budget:
+            run.append(para)
+        else:
+            sentences = [s.strip() for s in re.split(r"(?<=[.!?])\s+", para) if s.strip()]
+            chunks += packed(run, budget, "\n\n") + packed(sentences, budget, " ")
+            run = []
+    chunks += packed(run, budget, "\n\n")
+    tails = ["", *(" ".join(c.split()[-overlap:]) for c in chunks)] if overlap else [""] * len(chunks)
+    return [c if not tail or c.startswith(tail) else f"{tail} {c}" for tail, c in zip(tails, chunks, strict=False)]
 
 
 @query("ret2", "documents")
-def sentence_chunks(d: DataFrame, budget: int = 400, overlap: int = 50) -> DataFrame:
+def text_chunks(d: DataFrame, budget: int = 400, overlap: int = 50) -> DataFrame:
     """A sequential fold within each text, so in Python; the rows stay where they are."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, k, c) for i, t in zip(b["doc_id"], b["text"].fillna(""), strict=True) for k, c in enumerate(greedy_chunks(t, budget, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "text"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256).to_pylist()
+                rows = [(r["doc_id"], k, c) for r in part for k, c in enumerate(paragraph_chunks(r["text"] or "", budget, overlap))]
+                ids, places, texts = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "chunk", "text"])
 
-    return d.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk long, text string")
+    return d.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk long, text string")
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def with_cosine(rows: DataFrame, e: DataFrame, query_id: int) -> DataFrame:
+    """``rows`` with the ``cosine`` of their vector and that of one row of ``e``."""
+    q = F.broadcast(e.where(F.col("vec_id") == query_id).select(F.col("embedding").alias("q")).limit(1))
+    cosine = dot(F.col("embedding"), F.col("q")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("q"), F.col("q")))
+    return rows.join(q).withColumn("cosine", cosine).drop("q")
+
+
 @query("ret3", "embeddings", sql="SELECT e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label <> 2 ORDER BY 3 DESC, 1 LIMIT 10")
 def vector_search(e: DataFrame, query_id: int = 0, k: int = 10) -> DataFrame:
     """Cosine of one query vector with all, a filter on metadata, the k best."""
-    q = F.broadcast(e.where(F.col("vec_id") == query_id).select(F.col("embedding").alias("q")).limit(1))
-    x = e.where(F.col("label") != 2).join(q)
-    score = dot(F.col("embedding"), F.col("q")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("q"), F.col("q")))
-    return x.select("vec_id", "label", F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), "vec_id").limit(k)
+    x = with_cosine(e.where(F.col("label") != 2), e, query_id)
+    return x.select("vec_id", "label", F.round("cosine", 6).alias("score")).orderBy(F.col("score").desc(), "vec_id").limit(k)
 
 
 TERMS = ("the", "and", "that", "for", "with")
@@ -179,7 +239,10 @@ TERMS = ("the", "and", "that", "for", "with")
 def bm25(d: DataFrame, terms: tuple[str, ...] = TERMS, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Okapi scores of all documents that hold a term; statistics of the collection are one small row."""
     words = d.select("doc_id", tokens(F.col("text")).alias("t"))
-    tf = words.select("doc_id", F.size("t").alias("dl"), *(F.size(F.filter("t", _equals(w))).alias(f"tf_{w}") for w in terms))
+    # written, as it is read for the statistics and for the scores: a few numbers for each text
+    tf = words.select("doc_id", F.size("t").alias("dl"), *((F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf_{w}") for w in terms))
+    tf.write.parquet(path := scratch_path(d.sparkSession, "term-counts"))
+    tf = d.sparkSession.read.schema(tf.schema).parquet(path)
     stats = tf.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf_{w}") > 0).alias(f"df_{w}") for w in terms))
     x = tf.join(F.broadcast(stats))
     score = F.lit(0.0)
@@ -190,10 +253,6 @@ def bm25(d: DataFrame, terms: tuple[str, ...] = TERMS, k1: float = 1.5, b: float
     return x.select("doc_id", F.round(score, 6).alias("score")).where(F.col("score") > 0)
 
 
-def _equals(word: str):
-    return lambda x: x == word
-
-
 _TF = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf_{w}" for w in TERMS)
 _DF = ", ".join(f"count(*) FILTER (tf_{w} > 0) AS df_{w}" for w in TERMS)
 _SCORE = " + ".join(f"ln((n - df_{w} + 0.5) / (df_{w} + 0.5) + 1) * tf_{w} * 2.5 / (tf_{w} + 1.5 * (0.25 + 0.75 * dl / avgdl))" for w in TERMS)
@@ -206,19 +265,25 @@ def bm25_scores(d: DataFrame) -> DataFrame:
     return bm25(d)
 
 
-@query("ret5", "documents", sql=f"WITH {BM25_SQL}, p AS (SELECT doc_id, score, (doc_id % 97) / 97.0 AS dense FROM b WHERE score > 0), m AS (SELECT max(score) AS top FROM p) SELECT doc_id, round(0.6 * dense + 0.4 * score / top, 6) AS blend FROM p, m ORDER BY 2 DESC, 1 LIMIT 10")
-def blended(d: DataFrame, k: int = 10) -> DataFrame:
-    """0.6 of a dense score and 0.4 of the normalised sparse one."""
+_COSINE = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+
+
+@query("ret5", "documents", "embeddings", sql=f"""WITH {BM25_SQL}, p AS (SELECT doc_id, score FROM b WHERE score > 0), m AS (SELECT max(score) AS top FROM p), v AS (SELECT e.vec_id, {_COSINE} AS dense FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
+SELECT doc_id, round(0.6 * coalesce(dense, 0) + 0.4 * score / top, 6) AS blend FROM p CROSS JOIN m LEFT JOIN v ON doc_id = vec_id ORDER BY 2 DESC, 1 LIMIT 10""")
+def blended(d: DataFrame, e: DataFrame, query_id: int = 0, k: int = 10) -> DataFrame:
+    """0.6 of the cosine with the query's vector and 0.4 of the normalised sparse score; a document's vector has its id."""
     p = bm25(d)
-    x = p.join(F.broadcast(p.agg(F.max("score").alias("top"))))
-    blend = 0.6 * ((F.col("doc_id") % 97) / 97.0) + 0.4 * F.col("score") / F.col("top")
+    dense = with_cosine(e, e, query_id).select(F.col("vec_id").alias("doc_id"), F.col("cosine").alias("dense"))
+    x = p.join(F.broadcast(p.agg(F.max("score").alias("top")))).join(dense, "doc_id", "left")
+    blend = 0.6 * F.coalesce("dense", F.lit(0.0)) + 0.4 * F.col("score") / F.col("top")
     return x.select("doc_id", F.round(blend, 6).alias("blend")).orderBy(F.col("blend").desc(), "doc_id").limit(k)
 
 
-@query("ret6", "embeddings", sql="SELECT label, max(vec_id % 100 / 100.0) - min(vec_id % 100 / 100.0) < 0.15 AS rerank FROM embeddings GROUP BY 1")
-def rerank_gate(e: DataFrame, least: float = 0.15) -> DataFrame:
-    score = F.col("vec_id") % 100 / 100.0
-    return e.groupBy("label").agg((F.max(score) - F.min(score) < least).alias("rerank"))
+@query("ret6", "embeddings", sql=f"WITH v AS (SELECT label, {_COSINE} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) SELECT label, round(max(score) - min(score), 6) AS spread, max(score) - min(score) < 0.15 AS rerank FROM v GROUP BY 1")
+def rerank_gate(e: DataFrame, query_id: int = 0, least: float = 0.15) -> DataFrame:
+    """Scores of a label that lie close together ask for another ranking."""
+    spread = F.max("cosine") - F.min("cosine")
+    return with_cosine(e, e, query_id).groupBy("label").agg(F.round(spread, 6).alias("spread"), (spread < least).alias("rerank"))
 
 
 def intent(text: Column) -> Column:

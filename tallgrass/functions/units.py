@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,18 +23,60 @@ UNITS = {
 }
 # Spellings of units.
 ALIASES = {"therms": "therm", "tonne": "t", "tonnes": "t", "tons": "t", "pounds": "lb", "lbs": "lb", "grams": "g", "kilogram": "kg", "litre": "l", "litres": "l", "m^3": "m3", "gallon": "gal_us", "barrel": "bbl", "sqm": "m2", "hectares": "ha", "acres": "acre", "miles": "mi", "feet": "ft", "hours": "h", "days": "d", "kilowatt": "kw", "t co2e": "tco2e", "kg co2e": "kgco2e"}
-# Warming potentials over 100 years (fifth and sixth assessment report).
-GWP = {"AR5": {"CO2": 1.0, "CH4_FOSSIL": 30.0, "CH4_BIOGENIC": 28.0, "N2O": 265.0, "SF6": 23500.0, "NF3": 16100.0}, "AR6": {"CO2": 1.0, "CH4_FOSSIL": 29.8, "CH4_BIOGENIC": 27.0, "N2O": 273.0, "SF6": 25200.0, "NF3": 17400.0}}
-# Kg of CO2 for a kWh from the grid, by state, and for the whole country by year.
-GRID = {"Punjab": 0.78, "Haryana": 0.81, "Delhi": 0.74, "Maharashtra": 0.85, "Gujarat": 0.82, "Karnataka": 0.72, "Kerala": 0.45, "Odisha": 0.93, "Assam": 0.55}
+# Gases, and their warming potentials by assessment report and horizon in years.
+GASES = "CO2 CH4 CH4_FOSSIL CH4_NON_FOSSIL N2O HFC-23 HFC-32 HFC-125 HFC-134a HFC-143a HFC-152a HFC-227ea HFC-236fa HFC-245fa R-404A R-407A R-407C R-410A R-507A SF6 NF3 PFC-14 PFC-116 PFC-218 PFC-318".split()
+GWP = {
+    "AR4": dict(zip(GASES, (1.0, 25.0, 25.0, 25.0, 298.0, 14800.0, 675.0, 3500.0, 1430.0, 4470.0, 124.0, 3220.0, 9810.0, 1030.0, 3922.0, 2107.0, 1774.0, 2088.0, 3985.0, 22800.0, 17200.0, 7390.0, 12200.0, 8830.0, 10300.0), strict=True)),
+    "AR5": dict(zip(GASES, (1.0, 28.0, 30.0, 28.0, 265.0, 12400.0, 677.0, 3170.0, 1300.0, 4800.0, 138.0, 3350.0, 8060.0, 858.0, 3922.0, 2107.0, 1774.0, 2088.0, 3985.0, 23500.0, 16100.0, 6630.0, 11100.0, 8900.0, 9540.0), strict=True)),
+    "AR6_100": dict(zip(GASES, (1.0, 27.9, 29.8, 27.0, 273.0, 14600.0, 771.0, 3740.0, 1530.0, 5810.0, 164.0, 3600.0, 8690.0, 962.0, 4728.0, 2262.0, 1908.0, 2256.0, 4282.0, 24300.0, 17400.0, 7380.0, 12400.0, 9290.0, 10000.0), strict=True)),
+    "AR6_20": dict(zip(GASES, (1.0, 81.2, 82.5, 79.7, 273.0, 15300.0, 2690.0, 6740.0, 4140.0, 7840.0, 591.0, 5850.0, 8240.0, 3170.0, 6940.0, 4380.0, 4115.0, 4715.0, 7110.0, 18300.0, 13400.0, 5300.0, 8940.0, 6770.0, 7110.0), strict=True)),
+}
+# Kg of CO2 for a kWh from the grid, by region and state; by region; and for the whole country by year.
+GRID = {
+    "Northern": {"Punjab": 0.78, "Haryana": 0.81, "Delhi": 0.74, "Rajasthan": 0.79, "Uttar Pradesh": 0.83, "Uttarakhand": 0.50, "Himachal Pradesh": 0.30, "Jammu and Kashmir": 0.55, "Ladakh": 0.55, "Chandigarh": 0.78},
+    "Western": {"Maharashtra": 0.85, "Gujarat": 0.82, "Madhya Pradesh": 0.91, "Chhattisgarh": 0.94, "Goa": 0.83, "Dadra and Nagar Haveli": 0.83, "Daman and Diu": 0.83},
+    "Southern": {"Karnataka": 0.72, "Tamil Nadu": 0.65, "Kerala": 0.45, "Andhra Pradesh": 0.75, "Telangana": 0.78, "Puducherry": 0.65, "Lakshadweep": 0.85, "Andaman and Nicobar Islands": 0.85},
+    "Eastern": {"West Bengal": 0.92, "Bihar": 0.95, "Jharkhand": 0.97, "Odisha": 0.93, "Sikkim": 0.25},
+    "NorthEastern": {"Assam": 0.55, "Arunachal Pradesh": 0.30, "Manipur": 0.50, "Meghalaya": 0.30, "Mizoram": 0.40, "Nagaland": 0.55, "Tripura": 0.65},
+}
+GRID_REGIONS = {"Northern": 0.78, "Western": 0.85, "Southern": 0.65, "Eastern": 0.93, "NorthEastern": 0.50, "AllIndia": 0.716}
 GRID_YEARS = {2018: 0.79, 2019: 0.77, 2020: 0.75, 2021: 0.73, 2022: 0.72, 2023: 0.718, 2024: 0.716}
-# Peers by (key, sector): mean, median, standard deviation, quartiles.
+# Fuels with their unit and kg of CO2e for one: burnt, and on the way to the tank.
+FUELS = {
+    "diesel": ("litre", 2.68, 0.61), "petrol": ("litre", 2.31, 0.61), "fuel_oil": ("litre", 3.16, 0.66), "kerosene": ("litre", 2.54, 0.55), "naphtha": ("litre", 2.12, 0.51),
+    "lpg": ("kg", 1.51, 0.22), "lng": ("kg", 2.55, 0.71), "cng": ("kg", 2.55, 0.42), "natural_gas": ("kwh", 0.18, 0.029),
+    "coal_industrial": ("tonne", 2403.0, 220.0), "coal_electricity_gen": ("tonne", 2252.0, 210.0), "coking_coal": ("tonne", 3160.0, 235.0), "lignite": ("tonne", 1281.0, 95.0), "petroleum_coke": ("tonne", 3386.0, 312.0),
+    "aviation_spirit": ("litre", 2.33, 0.54), "aviation_turbine_fuel": ("litre", 2.55, 0.55), "marine_gas_oil": ("litre", 2.78, 0.62), "marine_fuel_oil": ("litre", 3.21, 0.67),
+    "biodiesel": ("litre", 0.17, 0.55), "bioethanol": ("litre", 0.012, 0.41), "wood_pellets": ("tonne", 39.5, 92.0), "biomass_solid": ("tonne", 26.8, 67.0),
+}
+# Peers by (key, sector): companies, mean, median, standard deviation, quartiles.
 PEERS = {
-    ("ghg_intensity", "IT"): (7.4, 6.2, 3.1, 4.8, 9.6),
-    ("ghg_intensity", "MANUFACTURING"): (84.0, 71.0, 41.0, 52.0, 110.0),
-    ("women_pct", "IT"): (35.8, 35.0, 4.6, 32.5, 39.2),
-    ("women_pct", "BANKING"): (26.3, 25.7, 5.0, 22.0, 30.0),
+    ("ghg_intensity_per_revenue", "IT_SERVICES"): (38, 7.4, 6.2, 3.1, 4.8, 9.6),
+    ("ghg_intensity_per_revenue", "MANUFACTURING"): (52, 84.0, 71.0, 41.0, 52.0, 110.0),
+    ("ghg_intensity_per_revenue", "BANKING"): (27, 2.8, 2.4, 1.4, 1.7, 3.6),
+    ("water_intensity_per_revenue", "IT_SERVICES"): (38, 21.0, 18.0, 9.0, 13.0, 27.0),
+    ("water_intensity_per_revenue", "MANUFACTURING"): (52, 410.0, 305.0, 240.0, 195.0, 540.0),
+    ("women_in_workforce_pct", "IT_SERVICES"): (38, 35.8, 35.0, 4.6, 32.5, 39.2),
+    ("women_in_workforce_pct", "MANUFACTURING"): (52, 14.2, 12.8, 6.1, 9.0, 17.5),
+    ("women_in_workforce_pct", "BANKING"): (27, 26.3, 25.7, 5.0, 22.0, 30.0),
+    ("ltifr", "IT_SERVICES"): (38, 0.08, 0.05, 0.12, 0.0, 0.12),
+    ("ltifr", "MANUFACTURING"): (52, 1.65, 1.4, 1.05, 0.8, 2.2),
 }
+# Units of the convert graph with their spellings, by dimension, and its edges: one of the first is so many of the second.
+GRAPH_UNITS = {
+    "energy": {"kWh": ("kilowatthour", "kwh", "kw h", "kilo watt hour"), "MWh": ("megawatthour", "mwh", "mw h"), "GWh": ("gigawatthour", "gwh"), "GJ": ("gigajoule", "gigajoules"), "MJ": ("megajoule",), "kJ": ("kilojoule",), "TJ": ("terajoule",), "kcal": ("kilocalorie", "kilo calorie")},
+    "mass": {"kg": ("kilogram", "kilo", "kgs", "kilos", "kilograms"), "g": ("gram", "grams", "gm"), "tonnes": ("t", "ton", "tons", "metric ton", "metric tonne", "mt"), "lb": ("pound", "pounds", "lbs")},
+    "volume": {"L": ("litre", "liter", "litres", "liters", "l"), "kL": ("kilolitre", "kiloliter", "kilolitres", "kl", "m3", "cubic metre", "cubic meter"), "mL": ("millilitre", "milliliter", "ml"), "ML": ("megalitre", "megaliter"), "scm": ("standard cubic metre", "nm3", "normal cubic metre")},
+    "currency": {"INR": ("rs", "rupees", "rupee", "rs.", "inr", "₹"), "INR_lakh": ("lakh", "lakhs", "lac", "lacs"), "INR_crore": ("crore", "crores", "cr"), "USD": ("usd", "us$", "us dollar", "us dollars")},
+    "emissions": {"tCO2e": ("t co2e", "metric tons co2e", "metric tonnes co2e", "tco2eq"), "kgCO2e": ("kg co2e", "kilograms co2e")},
+    "dimensionless": {"pct": ("%", "percent", "percentage"), "count": ("nos", "number", "numbers", "headcount", "persons")},
+    "time": {"hours": ("hr", "hrs", "hour"), "days": ("day",), "years": ("year", "yr", "yrs")},
+}
+GRAPH_EDGES = (
+    ("kWh", "MWh", 0.001), ("MWh", "GWh", 0.001), ("kWh", "MJ", 3.6), ("MJ", "GJ", 0.001), ("GJ", "TJ", 0.001), ("kJ", "MJ", 0.001), ("kcal", "kJ", 4.184),
+    ("kg", "g", 1000.0), ("kg", "tonnes", 0.001), ("lb", "kg", 0.45359237), ("L", "kL", 0.001), ("L", "mL", 1000.0), ("kL", "ML", 0.001),
+    ("INR", "INR_lakh", 0.00001), ("INR_lakh", "INR_crore", 0.01), ("kgCO2e", "tCO2e", 0.001), ("hours", "days", 1 / 24), ("days", "years", 1 / 365.25),
+)
 
 
 def unit_rows(spark: SparkSession, more: dict[str, tuple[str, float]] | None = None) -> DataFrame:
@@ -88,13 +132,62 @@ def aliases(any_table: DataFrame) -> DataFrame:
     return any_table.sparkSession.createDataFrame(list(ALIASES.items()), "alias string, unit string")
 
 
+def spelled(text: Column) -> Column:
+    """A unit's name without spaces, dashes, slashes, dots and underlines, in lower case."""
+    return F.regexp_replace(F.lower(F.trim(text)), r"[\s\-_/.]+", "")
+
+
+def graph_rows() -> list[tuple[str, str, str, float]]:
+    """(spelling, unit, part, k): a unit reaches those of its part of the graph, with k of them to the part's first unit; of units with one spelling the last holds it."""
+    reach: dict[str, tuple[str, float]] = {}
+    for units in GRAPH_UNITS.values():
+        for start in units:
+            if start in reach:
+                continue
+            reach[start], waiting = (start, 1.0), [start]
+            for u in waiting:
+                for a, b, k in GRAPH_EDGES:
+                    for here, there, factor in ((a, b, 1 / k), (b, a, k)):
+                        if here == u and there not in reach:
+                            reach[there] = (start, reach[u][1] * factor)
+                            waiting.append(there)
+    names = {re.sub(r"[\s\-_/.]+", "", n.lower()): u for units in GRAPH_UNITS.values() for u, more in units.items() for n in (u, *more)}
+    return [(n, u, *reach[u]) for n, u in names.items()]
+
+
+def graph_converted(df: DataFrame, value: str, source: str, target: str) -> DataFrame:
+    """``df`` with ``converted``: null for unknown units and where no edges lead from one to the other."""
+    rows = df.sparkSession.createDataFrame(graph_rows(), "name string, unit string, part string, k double")
+    a, b = (rows.select(*(F.col(c).alias(f"_{side}_{c}") for c in rows.columns)) for side in "ab")
+    x = df.join(F.broadcast(a), spelled(F.col(source)) == F.col("_a_name"), "left").join(F.broadcast(b), spelled(F.col(target)) == F.col("_b_name"), "left")
+    same = F.when(F.col("_a_part") == F.col("_b_part"), F.col(value) * F.col("_a_k") / F.col("_b_k"))
+    return x.withColumn("converted", same).select(*df.columns, "converted")
+
+
+_GRAPH_PAIRS = (("lakh", "crore"), ("Rs.", "lacs"), ("scm", "L"), ("%", "percent"), ("kilo watt hour", "GJ"), ("k-cal", "MJ"), ("US$", "INR"), ("headcount", "pct"), ("parsec", "kg"), ("M3", "litres"), ("hrs", "yr"), ("lbs", "metric_ton"))
+_GRAPH_SQL = f"WITH g AS {_values(graph_rows(), 'name, unit, part, k')}, x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, {[a for a, _ in _GRAPH_PAIRS]!r}[(l_partkey % 12 + 1)::INT] AS a, {[b for _, b in _GRAPH_PAIRS]!r}[(l_partkey % 12 + 1)::INT] AS b FROM lineitem)"
+
+
+@query("sc_m4", "lineitem", sql=_GRAPH_SQL + r"""
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN ga.part = gb.part THEN round(l_quantity * ga.k / gb.k, 9) END AS converted FROM x
+LEFT JOIN g ga ON ga.name = regexp_replace(lower(trim(a)), '[\s\-_/.]+', '', 'g') LEFT JOIN g gb ON gb.name = regexp_replace(lower(trim(b)), '[\s\-_/.]+', '', 'g')""")
+def convert_by_graph(line: DataFrame) -> DataFrame:
+    at = (F.col("l_partkey") % 12 + 1).cast("int")
+    x = line.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.element_at(F.lit([a for a, _ in _GRAPH_PAIRS]), at).alias("a"), F.element_at(F.lit([b for _, b in _GRAPH_PAIRS]), at).alias("b"))
+    return graph_converted(x, "l_quantity", "a", "b").select("l_orderkey", "l_linenumber", "l_partkey", F.round("converted", 9).alias("converted"))
+
+
 @query("sc_m5", "lineitem", sql="SELECT l_orderkey, l_linenumber, try_cast(regexp_replace(concat('INR ', l_quantity::BIGINT, ',000.', l_linenumber, ' /-'), '[^0-9.eE]', '', 'g') AS DOUBLE) AS number FROM lineitem")
 def parse_numbers(line: DataFrame) -> DataFrame:
     text = F.concat(F.lit("INR "), F.col("l_quantity").cast("long").cast("string"), F.lit(",000."), F.col("l_linenumber").cast("string"), F.lit(" /-"))
     return line.select("l_orderkey", "l_linenumber", F.regexp_replace(text, "[^0-9.eE]", "").try_cast("double").alias("number"))
 
 
-_GAS = "['CO2', 'CH4_FOSSIL', 'N2O', 'SF6'][(l_linenumber % 4 + 1)::INT]"
+_GAS = f"{GASES!r}[(l_partkey % {len(GASES)} + 1)::INT]"
+
+
+def _gas() -> Column:
+    return F.element_at(F.lit(GASES), (F.col("l_partkey") % len(GASES) + 1).cast("int"))
 
 
 def gwp_rows(spark: SparkSession) -> DataFrame:
@@ -106,34 +199,41 @@ GWP_SQL = _values([(b, g, k) for b, gs in GWP.items() for g, k in gs.items()], "
 
 @query("ag32", "lineitem", sql=f"WITH g AS {GWP_SQL}, x AS (SELECT l_suppkey, l_quantity, {_GAS} AS gas FROM lineitem) SELECT l_suppkey, basis, round(sum(l_quantity * gwp), 4) AS co2e FROM x JOIN g USING (gas) GROUP BY ALL")
 def co2e(line: DataFrame) -> DataFrame:
-    gas = F.element_at(F.lit(["CO2", "CH4_FOSSIL", "N2O", "SF6"]), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    rows = line.select("l_suppkey", "l_quantity", gas.alias("gas")).join(F.broadcast(gwp_rows(line.sparkSession)), "gas")
+    rows = line.select("l_suppkey", "l_quantity", _gas().alias("gas")).join(F.broadcast(gwp_rows(line.sparkSession)), "gas")
     return rows.groupBy("l_suppkey", "basis").agg(F.round(F.sum(F.col("l_quantity") * F.col("gwp")), 4).alias("co2e"))
 
 
-@query("jn20", "lineitem", sql=f"WITH g AS {GWP_SQL}, x AS (SELECT l_orderkey, l_linenumber, l_quantity, {_GAS} AS gas FROM lineitem) SELECT l_orderkey, l_linenumber, gas, round(l_quantity * gwp, 4) AS co2e FROM x JOIN g USING (gas) WHERE basis = 'AR6'")
+@query("jn20", "lineitem", sql=f"WITH g AS {GWP_SQL}, x AS (SELECT l_orderkey, l_linenumber, l_quantity, {_GAS} AS gas FROM lineitem) SELECT l_orderkey, l_linenumber, gas, round(l_quantity * gwp, 4) AS co2e FROM x JOIN g USING (gas) WHERE basis = 'AR6_100'")
 def strict_gwp(line: DataFrame) -> DataFrame:
     """A gas that is not in the table stops the job."""
-    gas = F.element_at(F.lit(["CO2", "CH4_FOSSIL", "N2O", "SF6"]), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    table = gwp_rows(line.sparkSession).where(F.col("basis") == "AR6")
-    x = line.select("l_orderkey", "l_linenumber", "l_quantity", gas.alias("gas")).join(F.broadcast(table), "gas", "left")
+    table = gwp_rows(line.sparkSession).where(F.col("basis") == "AR6_100")
+    x = line.select("l_orderkey", "l_linenumber", "l_quantity", _gas().alias("gas")).join(F.broadcast(table), "gas", "left")
     factor = F.coalesce(F.col("gwp"), F.raise_error(F.concat(F.lit("no potential for "), F.col("gas"))).cast("double"))
     return x.select("l_orderkey", "l_linenumber", "gas", F.round(F.col("l_quantity") * factor, 4).alias("co2e"))
 
 
-_STATE = "['delhi', ' Kerala', 'Atlantis', 'GUJARAT'][(o_custkey % 4 + 1)::INT]"
+def grid_rows() -> list[tuple[str, str, float]]:
+    """(state, region, factor)."""
+    return [(state, region, k) for region, states in GRID.items() for state, k in states.items()]
+
+
+#: Names as they come in reports: all states, some with spaces or capitals, and one that is none.
+_STATES = [s.upper() if i % 5 == 0 else f" {s} " if i % 5 == 1 else s for i, (s, _, _) in enumerate(grid_rows())] + ["Atlantis"]
+_STATE = f"{_STATES!r}[(o_custkey % {len(_STATES)} + 1)::INT]"
 
 
-@query("jn18", "orders", sql=f"WITH s AS {_values([(k.lower(), v) for k, v in GRID.items()], 'state, f')}, y AS {_values(list(GRID_YEARS.items()), 'year, f')}, x AS (SELECT o_orderkey, lower(trim({_STATE})) AS state, 2016 + o_orderkey % 10 AS year FROM orders) SELECT o_orderkey, coalesce(s.f, y.f, 0.716)::DOUBLE AS factor FROM x LEFT JOIN s USING (state) LEFT JOIN y ON x.year = y.year")
+@query("jn18", "orders", sql=f"""WITH s AS {_values([(k.lower(), r, GRID_REGIONS[r], v) for k, r, v in grid_rows()], 'state, region, by_region, f')}, y AS {_values(list(GRID_YEARS.items()), 'year, f')}, x AS (SELECT o_orderkey, lower(trim({_STATE})) AS state, 2016 + o_orderkey % 10 AS year FROM orders)
+SELECT o_orderkey, coalesce(s.f, y.f, 0.716)::DOUBLE AS factor, coalesce(region, 'AllIndia') AS region, coalesce(by_region, 0.716)::DOUBLE AS by_region FROM x LEFT JOIN s USING (state) LEFT JOIN y ON x.year = y.year""")
 def grid_factor(o: DataFrame) -> DataFrame:
-    """The state's factor, else the country's for the year, else the country's newest."""
+    """The state's factor, else the country's for the year, else the country's newest; beside it the factor of the region."""
     spark = o.sparkSession
-    states = spark.createDataFrame([(k.lower(), v) for k, v in GRID.items()], "state string, by_state double")
+    states = spark.createDataFrame([(k.lower(), r, GRID_REGIONS[r], v) for k, r, v in grid_rows()], "state string, region string, by_region double, by_state double")
     years = spark.createDataFrame(list(GRID_YEARS.items()), "year long, by_year double")
-    state = F.element_at(F.lit(["delhi", " Kerala", "Atlantis", "GUJARAT"]), (F.col("o_custkey") % 4 + 1).cast("int"))
+    state = F.element_at(F.lit(_STATES), (F.col("o_custkey") % len(_STATES) + 1).cast("int"))
     x = o.select("o_orderkey", F.lower(F.trim(state)).alias("state"), (F.col("o_orderkey") % 10 + 2016).alias("year"))
     x = x.join(F.broadcast(states), "state", "left").join(F.broadcast(years), "year", "left")
-    return x.select("o_orderkey", F.coalesce("by_state", "by_year", F.lit(GRID_YEARS[2024])).alias("factor"))
+    whole = F.lit(GRID_REGIONS["AllIndia"])
+    return x.select("o_orderkey", F.coalesce("by_state", "by_year", whole).alias("factor"), F.coalesce("region", F.lit("AllIndia")).alias("region"), F.coalesce("by_region", whole).alias("by_region"))
 
 
 def erf(x: Column) -> Column:
@@ -143,20 +243,23 @@ def erf(x: Column) -> Column:
     return F.signum(x) * (1 - poly * F.exp(-x * x))
 
 
-_PEER_SQL = _values([(k, s, *v) for (k, s), v in PEERS.items()], "key, sector, mean, median, sd, p25, p75")
+_PEER_SQL = _values([(k, s, *v) for (k, s), v in PEERS.items()], "key, sector, companies, mean, median, sd, p25, p75")
 _ERF = "sign(x) * (1 - (t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))) * exp(-x * x))"
 
 
 def peer_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, s, *v) for (k, s), v in PEERS.items()], "key string, sector string, mean double, median double, sd double, p25 double, p75 double")
+    return spark.createDataFrame([(k, s, *v) for (k, s), v in PEERS.items()], "key string, sector string, companies int, mean double, median double, sd double, p25 double, p75 double")
+
+
+_ASKED = [*PEERS, ("unheard", "IT_SERVICES")]
 
 
 def _measured(c: DataFrame) -> DataFrame:
-    k = (F.col("c_custkey") % 5 + 1).cast("int")
-    return c.select("c_custkey", F.element_at(F.lit(["ghg_intensity", "ghg_intensity", "women_pct", "women_pct", "unheard"]), k).alias("key"), F.element_at(F.lit(["IT", "MANUFACTURING", "IT", "BANKING", "IT"]), k).alias("sector"), (F.col("c_custkey") % 120).cast("double").alias("value"))
+    k = (F.col("c_custkey") % len(_ASKED) + 1).cast("int")
+    return c.select("c_custkey", F.element_at(F.lit([x for x, _ in _ASKED]), k).alias("key"), F.element_at(F.lit([x for _, x in _ASKED]), k).alias("sector"), (F.col("c_custkey") % 120).cast("double").alias("value"))
 
 
-_MEASURED = "m AS (SELECT c_custkey, ['ghg_intensity', 'ghg_intensity', 'women_pct', 'women_pct', 'unheard'][(c_custkey % 5 + 1)::INT] AS key, ['IT', 'MANUFACTURING', 'IT', 'BANKING', 'IT'][(c_custkey % 5 + 1)::INT] AS sector, (c_custkey % 120)::DOUBLE AS value FROM customer)"
+_MEASURED = f"m AS (SELECT c_custkey, {[x for x, _ in _ASKED]!r}[(c_custkey % {len(_ASKED)} + 1)::INT] AS key, {[x for _, x in _ASKED]!r}[(c_custkey % {len(_ASKED)} + 1)::INT] AS sector, (c_custkey % 120)::DOUBLE AS value FROM customer)"
 
 
 @query("jn21", "customer", sql=f"WITH p AS {_PEER_SQL}, {_MEASURED} SELECT c_custkey, value, mean FROM m LEFT JOIN p USING (key, sector)")

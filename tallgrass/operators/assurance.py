@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
+from ..sources.scratch import scratch_path
 from .emissions import USABLE_SQL, usable
 
 
@@ -100,14 +101,17 @@ def exception_states(o: DataFrame) -> DataFrame:
     return o.select("o_orderkey", F.when(closed, "CLOSED").when(F.col("o_custkey") % 2 == 0, "RESPONDED").otherwise("OPEN").alias("status"), F.when(closed, F.col("o_orderdate")).alias("closed_at"))
 
 
+ZERO = b"\0" * 32
+
+
 def _chain(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["created_at", "id"])
-    prev, before, own = b"\0" * 32, [], []
+    prev, before, own = ZERO, [], []
     for payload in rows["payload"]:
         before.append(prev.hex())
         prev = hashlib.sha256(prev + payload.encode()).digest()
         own.append(prev.hex())
-    return pd.DataFrame({"tenant_id": rows["tenant_id"], "id": rows["id"], "prev_hash": before, "row_hash": own})
+    return pd.DataFrame({"tenant_id": rows["tenant_id"], "hour": rows["hour"], "id": rows["id"], "place": range(len(rows)), "prev_hash": before, "row_hash": own})
 
 
 def payload():
@@ -116,26 +120,78 @@ def payload():
 
 @query("wn6", "audit_log")
 def hash_chain(log: DataFrame) -> DataFrame:
-    """Each row's hash covers the hash of the row before it, by tenant and day: a chain is sequential by its nature, so it is anchored anew each day to keep a group bounded."""
-    rows = log.select(F.concat_ws("-", "tenant_id", F.date_format("created_at", "yyyyMMdd")).alias("chain"), "tenant_id", "id", "created_at", payload().alias("payload"))
-    return rows.groupBy("chain").applyInPandas(_chain, "tenant_id long, id long, prev_hash string, row_hash string")
+    """Each row's hash covers the hash of the row before it, for each tenant.
+
+    A chain is sequential by its nature, so it has two levels: rows of an hour
+    are chained from zeros, and the last hashes of a tenant's hours are chained
+    in ``anchor``, which covers all hours up to the row's own; a row or a whole
+    hour that is changed or left out breaks every later anchor.  The largest
+    group is a tenant's busiest hour, or the number of its hours.
+    """
+    rows = log.select("tenant_id", F.date_trunc("hour", "created_at").alias("hour"), "id", "created_at", payload().alias("payload"))
+    chained = rows.groupBy("tenant_id", "hour").applyInPandas(_chain, "tenant_id long, hour timestamp, id long, place long, prev_hash string, row_hash string")
+
+    def anchors(hours: pd.DataFrame) -> pd.DataFrame:
+        hours, anchor, out = hours.sort_values("hour"), ZERO, []
+        for last in hours["last"]:
+            anchor = hashlib.sha256(anchor + bytes.fromhex(last)).digest()
+            out.append(anchor.hex())
+        return pd.DataFrame({"tenant_id": hours["tenant_id"], "hour": hours["hour"], "anchor": out})
+
+    chained.write.parquet(path := scratch_path(log.sparkSession, "hash-chain"))
+    chained = log.sparkSession.read.schema(chained.schema).parquet(path)
+    last = chained.groupBy("tenant_id", "hour").agg(F.max_by("row_hash", "place").alias("last"))
+    anchored = last.groupBy("tenant_id").applyInPandas(anchors, "tenant_id long, hour timestamp, anchor string")
+    return chained.join(anchored, ["tenant_id", "hour"]).select("tenant_id", "id", "prev_hash", "row_hash", "anchor")
+
+
+#: Hashes that one task folds: so many levels of a tree at a time.
+LEVELS = 10
+
+
+def merkle(rows: DataFrame, by: list[str], order: list) -> DataFrame:
+    """(by, leaves, root) of the hashes ``h``: pairs are hashed level by level, an odd one pairs with itself.
+
+    Blocks of 1,024 neighbours become one hash each until one is left, so no
+    task holds a whole tree.
+    """
+    spark, size = rows.sparkSession, 1 << LEVELS
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    x = rows.select(*by, "h", place.cast("long").alias("place"), F.count("*").over(Window.partitionBy(*by)).alias("leaves")).withColumn("n", F.col("leaves"))
+
+    def fold(block: pd.DataFrame) -> pd.DataFrame:
+        nodes, levels = [bytes.fromhex(h) for h in block.sort_values("place")["h"]], 0
+        whole = block["n"].iloc[0] <= size
+        while len(nodes) > 1 or (not whole and levels < LEVELS):
+            nodes = [hashlib.sha256(nodes[i] + nodes[min(i + 1, len(nodes) - 1)]).digest() for i in range(0, len(nodes), 2)]
+            levels += 1
+        return block.head(1).assign(h=nodes[0].hex(), place=block["place"].iloc[0] // size)[list(block.columns)]
+
+    while True:
+        x.write.parquet(path := scratch_path(spark, "merkle"))
+        x = spark.read.schema(x.schema).parquet(path)
+        if (x.agg(F.max("n")).first()[0] or 0) <= 1:
+            return x.select(*by, "leaves", F.col("h").alias("root"))
+        schema = x.withColumn("block", F.lit(0).cast("long")).schema
+        x = x.withColumn("block", F.floor(F.col("place") / size)).groupBy(*by, "block").applyInPandas(fold, schema)
+        x = x.drop("block").withColumn("n", F.ceil(F.col("n") / size))
 
 
 @query("wn16", "audit_log")
 def merkle_roots(log: DataFrame) -> DataFrame:
-    """A Merkle root for each tenant and day: pairs are hashed level by level, an odd leaf pairs with itself."""
-
-    def root(leaves: list[bytes]) -> str:
-        while len(leaves) > 1:
-            leaves = [hashlib.sha256(leaves[i] + leaves[min(i + 1, len(leaves) - 1)]).digest() for i in range(0, len(leaves), 2)]
-        return leaves[0].hex()
+    """A Merkle root for each tenant and day."""
+    rows = log.select("tenant_id", F.date_format("created_at", "yyyy-MM-dd").alias("day"), "id", "created_at", F.sha2(payload(), 256).alias("h"))
+    return merkle(rows, ["tenant_id", "day"], ["created_at", "id"])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["created_at", "id"])
-        return pd.DataFrame({"tenant_id": [rows["tenant_id"].iloc[0]], "day": [rows["day"].iloc[0]], "leaves": [len(rows)], "root": [root([bytes.fromhex(h) for h in rows["h"]])]})
 
-    rows = log.select("tenant_id", F.date_format("created_at", "yyyy-MM-dd").alias("day"), "id", "created_at", F.sha2(payload(), 256).alias("h"))
-    return rows.groupBy("tenant_id", "day").applyInPandas(run, "tenant_id long, day string, leaves long, root string")
+@query("str7", "audit_log")
+def daily_anchor(log: DataFrame, today: str | None = None) -> DataFrame:
+    """The anchor of the day before ``today`` (unset: the newest day of the table) for each tenant: root, its hash, and the first and last id."""
+    newest = F.lit(today).cast("date") if today else F.lit(log.agg(F.max(F.to_date("created_at"))).first()[0])
+    rows = log.where(F.to_date("created_at") == F.date_sub(newest, 1)).select("tenant_id", "id", F.sha2(payload(), 256).alias("h"))
+    ends = rows.groupBy("tenant_id").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    roots = merkle(rows, ["tenant_id"], ["id"])
+    return roots.join(ends, "tenant_id").select("tenant_id", F.date_format(F.date_sub(newest, 1), "yyyy-MM-dd").alias("day"), "leaves", "root", F.sha2("root", 256).alias("chained"), "first_id", "last_id")
 
 
 @query("jn7", "customer", sql="""WITH r AS (SELECT * FROM (VALUES ('admin', 'read'), ('admin', 'write'), ('admin', 'approve'), ('auditor', 'read'), ('editor', 'read'), ('editor', 'write')) t(role, permission)),

@@ -124,9 +124,9 @@ def report_steps(o: DataFrame) -> DataFrame:
 @query("sc_m6", "lineitem", sql="SELECT l_orderkey, l_linenumber, round(l_quantity * 29.8, 4)::DOUBLE AS ar6, round(l_quantity * 30, 4)::DOUBLE AS ar5 FROM lineitem")
 def methane(line: DataFrame) -> DataFrame:
     """CO2e of methane by two assessment reports."""
-    gwp = gwp_rows(line.sparkSession).where(F.col("gas") == "CH4_FOSSIL").groupBy().pivot("basis", ["AR5", "AR6"]).agg(F.first("gwp"))
+    gwp = gwp_rows(line.sparkSession).where(F.col("gas") == "CH4_FOSSIL").groupBy().pivot("basis", ["AR5", "AR6_100"]).agg(F.first("gwp"))
     x = line.join(F.broadcast(gwp))
-    return x.select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") * F.col("AR6"), 4).alias("ar6"), F.round(F.col("l_quantity") * F.col("AR5"), 4).alias("ar5"))
+    return x.select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") * F.col("AR6_100"), 4).alias("ar6"), F.round(F.col("l_quantity") * F.col("AR5"), 4).alias("ar5"))
 
 
 @query("ret10", "conversations", "embeddings")

@@ -74,12 +74,13 @@ def resolve_strict(e: DataFrame) -> DataFrame:
 
 
 @query("ag11", "metric_event", sql=f"""WITH {MAPPING_SQL}, x AS (SELECT mapping_id, unnest(keys) AS canonical_key FROM mapping)
-SELECT mapping_id, tenant_id, scope_node_id, md5(string_agg(id, ',' ORDER BY id)) AS evidence, count(DISTINCT document_id)::BIGINT AS n_documents
+SELECT mapping_id, tenant_id, scope_node_id, md5(concat(count(*), '-', sum(('0x' || substr(md5(id), 1, 15))::BIGINT))) AS evidence, count(DISTINCT document_id)::BIGINT AS n_documents
 FROM x JOIN metric_event USING (canonical_key) WHERE {USABLE_SQL} GROUP BY ALL""")
 def evidence(e: DataFrame) -> DataFrame:
-    """Evidence of each mapping by scope node: a digest of the sorted event ids, and distinct documents."""
+    """Evidence of each mapping by scope node: a digest of its event ids in any order (of their number and the sum of their 60-bit hashes), and distinct documents."""
     rows = usable(e).join(exploded(e.sparkSession), "canonical_key")
-    return rows.groupBy("mapping_id", "tenant_id", "scope_node_id").agg(F.md5(F.concat_ws(",", F.sort_array(F.collect_list("id")))).alias("evidence"), F.count_distinct("document_id").alias("n_documents"))
+    hashed = F.conv(F.substring(F.md5("id"), 1, 15), 16, 10).cast("decimal(20, 0)")
+    return rows.groupBy("mapping_id", "tenant_id", "scope_node_id").agg(F.md5(F.concat_ws("-", F.count("*").cast("string"), F.sum(hashed).cast("string"))).alias("evidence"), F.count_distinct("document_id").alias("n_documents"))
 
 
 @query("ag12", "metric_event", sql=f"""WITH {MAPPING_SQL}, x AS (SELECT mapping_id, unnest(keys) AS canonical_key FROM mapping),

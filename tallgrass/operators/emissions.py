@@ -211,12 +211,11 @@ def facility_intensity(e: DataFrame, nodes: DataFrame) -> DataFrame:
     return x.select("id", "path", F.round(zero("emissions"), 3).alias("emissions"), F.round(zero("energy"), 3).alias("energy"), F.when(F.col("energy") > 0, F.round(zero("emissions") / F.col("energy"), 6)).alias("intensity"))
 
 
-@query("srt7", "metric_event", sql=f"SELECT scope_node_id, round(sum(value), 3) AS emissions FROM metric_event WHERE {USABLE_SQL} AND canonical_key LIKE 'ghg_%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
-def top_facilities(e: DataFrame, n: int = 50) -> DataFrame:
-    return facilities_by_emissions(e).limit(n)
+_BY_EMISSIONS = f"SELECT scope_node_id, round(sum(value), 3) AS emissions FROM metric_event WHERE {USABLE_SQL} AND canonical_key LIKE 'ghg_%' GROUP BY 1 ORDER BY 2 DESC, 1"
 
 
-@query("srt7_all", "metric_event", sql=f"SELECT scope_node_id, round(sum(value), 3) AS emissions FROM metric_event WHERE {USABLE_SQL} AND canonical_key LIKE 'ghg_%' GROUP BY 1 ORDER BY 2 DESC, 1")
+@query("srt7", "metric_event", sql=_BY_EMISSIONS)
+@query("srt7_all", "metric_event", sql=_BY_EMISSIONS)
 def facilities_by_emissions(e: DataFrame) -> DataFrame:
     """All facilities with emissions, the largest first."""
     sums = usable(e).where(F.col("canonical_key").startswith("ghg_")).groupBy("scope_node_id").agg(F.round(F.sum("value"), 3).alias("emissions"))

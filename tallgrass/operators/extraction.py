@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -188,14 +189,11 @@ def review_queue(f: DataFrame) -> DataFrame:
 SEVERITIES = ("LOW", "MEDIUM", "HIGH")
 
 
-@query("srt3", "extraction_field", sql=f"SELECT id, level, row_number() OVER (ORDER BY list_position({list(SEVERITIES)!r}, level) DESC, id)::INT AS rank FROM (SELECT id, {LEVEL} AS level FROM extraction_field WHERE document_id < 20)")
-def by_ordinal(f: DataFrame) -> DataFrame:
-    """``by_ordinal_all`` of a few documents."""
-    few = by_ordinal_all(f.where(F.col("document_id") < 20))
-    return few.withColumn("rank", F.col("rank").cast("int"))
+_RANKED = f"SELECT id, level, row_number() OVER (ORDER BY list_position({list(SEVERITIES)!r}, level) DESC, id)::BIGINT AS rank FROM (SELECT id, {LEVEL} AS level FROM extraction_field)"
 
 
-@query("srt3_all", "extraction_field", sql=f"SELECT id, level, row_number() OVER (ORDER BY list_position({list(SEVERITIES)!r}, level) DESC, id)::BIGINT AS rank FROM (SELECT id, {LEVEL} AS level FROM extraction_field)")
+@query("srt3", "extraction_field", sql=_RANKED)
+@query("srt3_all", "extraction_field", sql=_RANKED)
 def by_ordinal_all(f: DataFrame) -> DataFrame:
     """Ranks of all rows by the place of a level in its list, not by its name.
 
@@ -248,9 +246,17 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
+CONSUMED = "electricity_kwh renewable_kwh grid_kwh diesel_l water_consumed water_withdrawn water_recycled water_discharged waste_recycled waste_haz waste_non".split()
+COUNTED = "headcount_total headcount_female headcount_male lgbtq pwd complaints_received complaints_resolved directors women_directors independent_directors fatalities".split()
+
+
+def _any(names: list[str], fails: Callable[[Column], Column]) -> Column:
+    return reduce(lambda a, b: a | b, (fails(_c(n)) for n in names))
+
+
 RULES = (
-    Rule("PHY_NON_NEGATIVE", "E", lambda: (_c("electricity_kwh") < 0) | (_c("water_consumed") < 0)),
-    Rule("PHY_COUNT_INTEGER", "W", lambda: F.abs(_c("headcount_total") - F.round("headcount_total")) > 1e-6),
+    Rule("PHY_NON_NEGATIVE", "E", lambda: _any(CONSUMED, lambda c: c < 0)),
+    Rule("PHY_COUNT_INTEGER", "W", lambda: _any(COUNTED, lambda c: F.abs(c - F.round(c)) > 1e-6)),
     Rule("PHY_PERCENT_RANGE", "E", lambda: (_c("women_mgmt_pct") < 0) | (_c("women_mgmt_pct") > 100)),
     Rule("LOG_GENDER_SUM_LE_TOTAL", "E", lambda: _c("headcount_male") + _c("headcount_female") > _c("headcount_total") + 0.5),
     Rule("LOG_LGBTQ_PWD_SUM_LE_TOTAL", "W", lambda: _c("lgbtq") + _c("pwd") > _c("headcount_total") + 0.5),
@@ -282,10 +288,10 @@ RULES = (
 
 
 def pivoted(line: DataFrame) -> DataFrame:
-    """One row per document (order) with a column per field, each the last value of its key."""
+    """One row per document (order) with a column per field, each the last value of its key: by date of shipment, then by what names the line."""
     key = F.element_at(F.lit(FIELDS), ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 5 + F.col("l_partkey")) % len(FIELDS) + 1).cast("int"))
-    rows = line.select((F.col("l_orderkey") % 1000).alias("document_id"), key.alias("k"), (F.col("l_quantity") - 2).alias("v"))
-    return rows.groupBy("document_id").pivot("k", FIELDS).agg(F.max("v"))
+    rows = line.select((F.col("l_orderkey") % 1000).alias("document_id"), key.alias("k"), (F.col("l_quantity") - 2).alias("v"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("at"))
+    return rows.groupBy("document_id").pivot("k", FIELDS).agg(F.max_by("v", "at"))
 
 
 def apply_rules(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -294,9 +300,9 @@ def apply_rules(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFr
     return documents.select("document_id", F.explode(broken).alias("r")).select("document_id", "r.*")
 
 
-_PIVOT = "d AS (SELECT document_id, " + ", ".join(f"max(v) FILTER (k = '{f}') AS {f}" for f in FIELDS) + f" FROM (SELECT l_orderkey % 1000 AS document_id, {FIELDS!r}[((l_orderkey * 7 + l_linenumber * 5 + l_partkey) % {len(FIELDS)} + 1)::INT] AS k, l_quantity - 2 AS v FROM lineitem) GROUP BY 1)"
+_PIVOT = "d AS (SELECT document_id, " + ", ".join(f"max_by(v, place) FILTER (k = '{f}') AS {f}" for f in FIELDS) + f" FROM (SELECT l_orderkey % 1000 AS document_id, {FIELDS!r}[((l_orderkey * 7 + l_linenumber * 5 + l_partkey) % {len(FIELDS)} + 1)::INT] AS k, l_quantity - 2 AS v, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS place FROM lineitem) GROUP BY 1)"
 _RULE_SQL = {
-    "PHY_NON_NEGATIVE": "electricity_kwh < 0 OR water_consumed < 0", "PHY_COUNT_INTEGER": "abs(headcount_total - round(headcount_total)) > 1e-6", "PHY_PERCENT_RANGE": "women_mgmt_pct < 0 OR women_mgmt_pct > 100",
+    "PHY_NON_NEGATIVE": " OR ".join(f"{c} < 0" for c in CONSUMED), "PHY_COUNT_INTEGER": " OR ".join(f"abs({c} - round({c})) > 1e-6" for c in COUNTED), "PHY_PERCENT_RANGE": "women_mgmt_pct < 0 OR women_mgmt_pct > 100",
     "LOG_GENDER_SUM_LE_TOTAL": "headcount_male + headcount_female > headcount_total + 0.5", "LOG_LGBTQ_PWD_SUM_LE_TOTAL": "lgbtq + pwd > headcount_total + 0.5", "LOG_COMPLAINTS_RESOLVED_LE_RECEIVED": "complaints_resolved > complaints_received + 0.5",
     "LOG_WOMEN_MGMT_VS_WORKFORCE": "women_mgmt_pct > 100 * headcount_female / nullif(headcount_total, 0) + 25", "LOG_RENEWABLE_LE_TOTAL_ELEC": "renewable_kwh > electricity_kwh * 1.001",
     "LOG_GRID_RENEW_SUM_EQ_TOTAL": "abs(grid_kwh + renewable_kwh - electricity_kwh) > 0.05 * greatest(electricity_kwh, 1e-9)", "LOG_WATER_CONSUMED_LE_WITHDRAWN": "water_consumed > water_withdrawn * 1.001",
@@ -324,3 +330,70 @@ def rule_score(line: DataFrame) -> DataFrame:
     x = docs.select("document_id").join(issues, "document_id", "left").select("document_id", F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("warnings", F.lit(0)).alias("warnings"))
     score = F.when(F.col("errors") == 0, 1.0).when(F.col("errors") == 1, 0.5).otherwise(0.0)
     return x.withColumn("score", score).withColumn("needs_review", F.col("errors") + F.col("warnings") > 0)
+
+
+# --- rules over single fields -------------------------------------------------------------------------------------------
+
+#: The day that the period rule takes as today.
+TODAY = "1997-07-01"
+CIN, PAN = "^[LU][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6}$", "^[A-Z]{5}[0-9]{4}[A-Z]$"
+
+
+def _shaped(name: str, pattern: str) -> Column:
+    text = F.upper(F.trim("text"))
+    return (F.col("canonical_key") == name) & (text != "") & ~text.rlike(pattern)
+
+
+def _off_priors() -> Column:
+    gap = F.abs(F.col("value") - F.col("mean"))
+    return F.when(F.col("n") >= 3, F.when(F.col("sd") < 1e-9, gap > F.greatest(F.lit(1.0), 0.5 * F.abs("mean"))).otherwise(gap / F.col("sd") > 3))
+
+
+def field_rules(today: str = TODAY) -> tuple[Rule, ...]:
+    """Rules over (canonical_key, value, unit, text, period_end, n, mean, sd, low, high)."""
+    year, unit = F.year(F.lit(today).cast("date")), F.lower(F.trim("unit"))
+    return (
+        Rule("PER_IN_CURRENT_OR_PRIOR_FY", "W", lambda: ~F.year("period_end").between(year - 2, year + 1)),
+        Rule("STAT_POP_ZSCORE", "W", _off_priors),
+        Rule("UNIT_DIESEL_SUSPECT_TONNES", "W", lambda: (F.col("canonical_key") == "diesel_l") & (F.contains(unit, F.lit("tonne")) | unit.isin("mt", "t"))),
+        Rule("IND_CIN_FORMAT", "E", lambda: _shaped("cin", CIN)),
+        Rule("IND_PAN_FORMAT", "E", lambda: _shaped("pan", PAN)),
+        Rule("REG_VALUE_CONSTRAINTS", "W", lambda: (F.col("value") < F.col("low") - 1e-9) | (F.col("value") > F.col("high") + 1e-9)),
+    )
+
+
+_TEXTS = ["L12345MH2001PLC123456", "l12345mh2001plc123456 ", "X12345MH2001PLC123456", "ABCDE1234F", "ABCD1234F", ""]
+_UNITS = ["L", "tonnes", "MT", " t ", "kL"]
+
+
+def field_rows(f: DataFrame) -> DataFrame:
+    """Extracted fields with their priors and the bounds of their key; every seventh document holds registration numbers in place of values."""
+    v, doc = F.col("value_num"), F.col("document_id")
+    key = F.when(doc % 7 == 0, "cin").when(doc % 7 == 1, "pan").otherwise(F.col("canonical_key"))
+    bounds = f.sparkSession.createDataFrame([(k, 10.0 if k == "revenue" else 0.0, 40.0 if k == "scope1" else 1000.0) for k in KEYS], "canonical_key string, low double, high double")
+    w = priors()
+    text, unit = (F.element_at(F.lit(xs), (v.cast("long") % len(xs) + 1).cast("int")) for xs in (_TEXTS, _UNITS))
+    stats = f.select("id", "document_id", "canonical_key", "value_num", "created_at", F.count("value_num").over(w).alias("n"), F.avg("value_num").over(w).alias("mean"), F.stddev_samp("value_num").over(w).alias("sd"))
+    x = stats.select("id", key.alias("canonical_key"), F.when(doc % 7 > 1, v).alias("value"), F.when(doc % 7 < 2, text).alias("text"), unit.alias("unit"), F.col("created_at").cast("date").alias("period_end"), "n", "mean", "sd")
+    return x.join(F.broadcast(bounds), "canonical_key", "left")
+
+
+def apply_field_rules(fields: DataFrame, today: str = TODAY) -> DataFrame:
+    """(id, rule, severity) for every broken rule of every field."""
+    return apply_rules(fields.withColumnRenamed("id", "document_id"), field_rules(today)).withColumnRenamed("document_id", "id")
+
+
+_FIELD_SQL = f"""WITH s AS (SELECT *, count(value_num) {PRIOR} AS n, avg(value_num) {PRIOR} AS mean, stddev_samp(value_num) {PRIOR} AS sd FROM extraction_field),
+x AS (SELECT id, n, mean, sd, CASE document_id % 7 WHEN 0 THEN 'cin' WHEN 1 THEN 'pan' ELSE canonical_key END AS k, CASE WHEN document_id % 7 > 1 THEN value_num END AS v, CASE WHEN document_id % 7 < 2 THEN upper(trim({_TEXTS!r}[(value_num::BIGINT % 6 + 1)::INT])) END AS t,
+ lower(trim({_UNITS!r}[(value_num::BIGINT % 5 + 1)::INT])) AS u, year(created_at) AS y FROM s)
+SELECT id, 'PER_IN_CURRENT_OR_PRIOR_FY' AS rule, 'W' AS severity FROM x WHERE y NOT BETWEEN 1995 AND 1998
+UNION ALL SELECT id, 'STAT_POP_ZSCORE', 'W' FROM x WHERE n >= 3 AND CASE WHEN sd < 1e-9 THEN abs(v - mean) > greatest(1, 0.5 * abs(mean)) ELSE abs(v - mean) / sd > 3 END
+UNION ALL SELECT id, 'UNIT_DIESEL_SUSPECT_TONNES', 'W' FROM x WHERE k = 'diesel_l' AND (contains(u, 'tonne') OR u IN ('mt', 't'))
+UNION ALL SELECT id, 'IND_CIN_FORMAT', 'E' FROM x WHERE k = 'cin' AND t <> '' AND NOT regexp_matches(t, '{CIN}')
+UNION ALL SELECT id, 'IND_PAN_FORMAT', 'E' FROM x WHERE k = 'pan' AND t <> '' AND NOT regexp_matches(t, '{PAN}')
+UNION ALL SELECT id, 'REG_VALUE_CONSTRAINTS', 'W' FROM x WHERE k NOT IN ('cin', 'pan') AND (v < CASE k WHEN 'revenue' THEN 10 ELSE 0 END - 1e-9 OR v > CASE k WHEN 'scope1' THEN 40 ELSE 1000 END + 1e-9)"""
+
+
+@query("rules_field", "extraction_field", sql=_FIELD_SQL)
+def field_issues(f: DataFrame) -> DataFrame:
+    return apply_field_rules(field_rows(f))

@@ -55,9 +55,18 @@ def ordered(formulas: tuple[Formula, ...]) -> list[Formula]:
 
 
 def check_units(formulas: list[Formula], units: dict[str, str]) -> None:
-    """Sums and differences of unlike units are refused; a factor has none."""
+    """Sums and differences of unlike units are refused; a factor has none.
+
+    Beside operands that stand next to each other, inputs of unlike units may
+    not be in one formula with a sum, a difference, a comparison or a choice
+    among values: only products and quotients are safe then.
+    """
     known = dict(units) | {f.output: f.unit for f in formulas}
     for f in formulas:
+        met = sorted({known[i] for i in f.inputs if known.get(i)})
+        plain = re.sub(r"\b\d[\d.]*(e[+-]?\d+)?", "", f.expression, flags=re.IGNORECASE)
+        if len(met) > 1 and re.search(r"[+<>=-]|\b(greatest|least|coalesce|nvl|ifnull|between|in)\b", plain, re.IGNORECASE):
+            raise ValueError(f"{f.output}: an input is in {met[0]}, another in {met[1]}")
         for a, b in re.findall(r"\b(\w+)\b\s*[+-]\s*(?=(\w+))", f.expression):
             if known.get(a) and known.get(b) and known[a] != known[b]:
                 raise ValueError(f"{f.output}: {a} is in {known[a]}, {b} in {known[b]}")
@@ -69,7 +78,11 @@ def run_formulas(e: DataFrame, by: list[str], formulas: tuple[Formula, ...] = FO
     outputs = {f.output for f in order}
     keys = sorted({i for f in order for i in f.inputs if i not in outputs})
     rows = usable(e).where(F.col("canonical_key").isin(*keys))
-    check_units(order, {r["canonical_key"]: r["unit"] for r in rows.select("canonical_key", "unit").distinct().collect()})
+    seen = rows.groupBy("canonical_key").agg(F.min("unit").alias("unit"), F.max("unit").alias("other"), F.count_if(F.col("unit").isNull()).alias("without")).collect()
+    for r in seen:
+        if r["unit"] != r["other"] or (r["unit"] is not None and r["without"]):
+            raise ValueError(f"mixed units for {r['canonical_key']}: {r['unit']} and {r['other'] if r['unit'] != r['other'] else None}")
+    check_units(order, {r["canonical_key"]: r["unit"] for r in seen})
     wide = rows.groupBy(*by).pivot("canonical_key", keys).agg(F.sum("value"))
     for f in order:
         wide = wide.withColumn(f.output, F.expr(f.expression).cast("double"))

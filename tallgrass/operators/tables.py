@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.units import FUELS
 from ..plans.catalog import query
 
 #: Aliases of our own for the labels that joins look up.
@@ -60,12 +61,17 @@ def sibling_lookup(f: DataFrame) -> DataFrame:
     return d.select("document_id", t.alias("t"), w.alias("w"), F.coalesce(w > t + 0.5, F.lit(False)).alias("fails"))
 
 
-@query("jn19", "lineitem", sql="WITH f AS (SELECT * FROM (VALUES ('diesel', 2.68), ('petrol', 2.31), ('lpg', 1.56)) t(fuel, k)), x AS (SELECT l_orderkey, l_linenumber, l_quantity, ['diesel', 'petrol', 'lpg', 'dung'][(l_linenumber % 4 + 1)::INT] AS fuel FROM lineitem) SELECT l_orderkey, l_linenumber, round(l_quantity * k, 4)::DOUBLE AS kg FROM x LEFT JOIN f USING (fuel)")
+_FUELS = [*FUELS, "dung"]
+_FUEL_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"('{k}', {a!r}::DOUBLE, {b!r}::DOUBLE)" for k, (_, a, b) in FUELS.items()) + ") t(fuel, burnt, upstream))"
+
+
+@query("jn19", "lineitem", sql=f"WITH f AS {_FUEL_SQL}, x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, {_FUELS!r}[(l_partkey % {len(_FUELS)} + 1)::INT] AS fuel FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity * burnt, 4) AS burnt, round(l_quantity * upstream, 4) AS upstream FROM x LEFT JOIN f USING (fuel)")
 def fuel_factors(line: DataFrame) -> DataFrame:
-    """Null for a fuel that is not known; factors are examples of our own."""
-    factors = line.sparkSession.createDataFrame([("diesel", 2.68), ("petrol", 2.31), ("lpg", 1.56)], "fuel string, k double")
-    x = line.select("l_orderkey", "l_linenumber", "l_quantity", F.element_at(F.lit(["diesel", "petrol", "lpg", "dung"]), (F.col("l_linenumber") % 4 + 1).cast("int")).alias("fuel"))
-    return x.join(F.broadcast(factors), "fuel", "left").select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") * F.col("k"), 4).alias("kg"))
+    """kg of CO2e burnt and on the way to the tank; null for a fuel that is not known."""
+    factors = line.sparkSession.createDataFrame([(k, a, b) for k, (_, a, b) in FUELS.items()], "fuel string, burnt double, upstream double")
+    x = line.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.element_at(F.lit(_FUELS), (F.col("l_partkey") % len(_FUELS) + 1).cast("int")).alias("fuel"))
+    kg = lambda c: F.round(F.col("l_quantity") * F.col(c), 4).alias(c)
+    return x.join(F.broadcast(factors), "fuel", "left").select("l_orderkey", "l_linenumber", "l_partkey", kg("burnt"), kg("upstream"))
 
 
 @query("ag22", "lineitem", sql=f"WITH {_LABEL_SQL}, x AS (SELECT l_orderkey % 500 AS sheet, {_SEEN} AS label, l_quantity - 10 AS v FROM lineitem), d AS (SELECT DISTINCT label FROM x), h AS (SELECT label, max_by(key, (lower(label) = alias, length(alias), alias)) AS key FROM d JOIN a ON contains(lower(label), alias) GROUP BY 1) SELECT sheet, key, round(sum(v), 4) AS total FROM x JOIN h USING (label) GROUP BY ALL HAVING sum(v) > 0")
@@ -163,10 +169,9 @@ def meter_triples(line: DataFrame) -> DataFrame:
 @query("doc14", "orders", "lineitem", sql="""WITH c AS (SELECT l_orderkey, list(l_extendedprice * (1 - l_discount)) AS charges, min(l_shipdate) AS shipped FROM lineitem GROUP BY 1)
 SELECT o_orderkey, abs(list_sum(charges) - o_totalprice) <= 0.02 * o_totalprice AS reconciled, shipped >= o_orderdate AS dates_in_order, o_totalprice BETWEEN 1 AND 1e9 AS plausible FROM orders JOIN c ON o_orderkey = l_orderkey""")
 def bill_checks(o: DataFrame, line: DataFrame) -> DataFrame:
-    charges = line.groupBy("l_orderkey").agg(F.collect_list(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("charges"), F.min("l_shipdate").alias("shipped"))
+    charges = line.groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("charges"), F.min("l_shipdate").alias("shipped"))
     x = o.join(charges, o.o_orderkey == charges.l_orderkey)
-    total = F.aggregate("charges", F.lit(0.0), lambda a, c: a + c)
-    return x.select("o_orderkey", (F.abs(total - F.col("o_totalprice")) <= 0.02 * F.col("o_totalprice")).alias("reconciled"), (F.col("shipped") >= F.col("o_orderdate")).alias("dates_in_order"), F.col("o_totalprice").between(1, 1e9).alias("plausible"))
+    return x.select("o_orderkey", (F.abs(F.col("charges") - F.col("o_totalprice")) <= 0.02 * F.col("o_totalprice")).alias("reconciled"), (F.col("shipped") >= F.col("o_orderdate")).alias("dates_in_order"), F.col("o_totalprice").between(1, 1e9).alias("plausible"))
 
 
 @query("doc16", "extraction_field", sql="WITH s AS (SELECT id, exp((ln(greatest(confidence, 1e-3)) + ln(greatest(least(value_num / 50, 1), 1e-3)) + ln(CASE WHEN value_text IS NULL THEN 0.9 ELSE 0.6 END) + ln(CASE status WHEN 'APPROVED' THEN 1.0 WHEN 'REJECTED' THEN 0.4 ELSE 0.8 END)) / 4) AS c FROM extraction_field) SELECT id, round(c, 6) AS composite, c < 0.85 AS review FROM s")

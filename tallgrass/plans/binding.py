@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Order and line number alone do not name a line item of these tables.
+_ID_SQL = "l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', l_shipdate::DATE, '-', l_quantity::BIGINT"
+
+
+def line_id() -> Column:
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date").cast("string"), F.col("l_quantity").cast("long").cast("string"))
+
+
 def metric_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One fact per line item: key by flag and status, month of shipment as period, approval by order status."""
     line, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
@@ -25,7 +33,7 @@ def metric_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     day = F.col("l_shipdate").cast("date")
     return e.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"),
+        line_id().alias("id"),
         (F.col("l_suppkey") % 8).cast("long").alias("tenant_id"),
         F.col("l_suppkey").alias("scope_node_id"),
         F.col("l_orderkey").alias("document_id"),
@@ -38,8 +46,8 @@ def metric_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-METRIC_EVENT = """
-SELECT concat(l_orderkey, '-', l_linenumber) AS id, (l_suppkey % 8)::BIGINT AS tenant_id, l_suppkey AS scope_node_id,
+METRIC_EVENT = f"""
+SELECT concat({_ID_SQL}) AS id, (l_suppkey % 8)::BIGINT AS tenant_id, l_suppkey AS scope_node_id,
        l_orderkey AS document_id,
        CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'ghg_scope1_total' WHEN l_returnflag = 'A' THEN 'ghg_scope2_location'
             WHEN l_linestatus = 'F' THEN 'ghg_scope2_market' WHEN l_linenumber <= 3 THEN 'purchased_electricity_kwh'
@@ -55,7 +63,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 def extraction_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One extracted field per line item, with a confidence and a review status."""
     return read(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", F.lit("f"), "l_orderkey", "l_linenumber").alias("id"),
+        F.concat(F.lit("f-"), line_id()).alias("id"),
         (F.col("l_orderkey") % 500).alias("document_id"),
         F.element_at(F.array(*map(F.lit, KEYS)), (F.col("l_partkey") % len(KEYS) + 1).cast("int")).alias("canonical_key"),
         F.col("l_quantity").alias("value_num"),
@@ -68,7 +76,7 @@ def extraction_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 KEYS = ("electricity_kwh", "diesel_l", "water_kl", "waste_t", "headcount_total", "headcount_female", "scope1", "revenue")
 EXTRACTION_FIELD = f"""
-SELECT concat('f-', l_orderkey, '-', l_linenumber) AS id, l_orderkey % 500 AS document_id,
+SELECT concat('f-', {_ID_SQL}) AS id, l_orderkey % 500 AS document_id,
        {list(KEYS)!r}[(l_partkey % {len(KEYS)} + 1)::INT] AS canonical_key, l_quantity AS value_num,
        CASE WHEN l_linenumber % 5 = 0 THEN l_returnflag END AS value_text, round(1.0 - l_discount * 5, 4) AS confidence,
        CASE WHEN l_returnflag = 'R' THEN 'REJECTED' WHEN l_linestatus = 'F' THEN 'APPROVED' ELSE 'NEEDS_REVIEW' END AS status,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.units import FUELS, GRID_REGIONS, GRID_YEARS, GWP, PEERS, grid_rows
 from ..plans.catalog import query
 from .scratch import scratch_path
 
@@ -70,11 +71,18 @@ def tolerant_series(e: DataFrame) -> DataFrame:
     return e.select("event_id", F.size(numbers).cast("long").alias("n"), F.round(F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query("src17", "region", sql="SELECT year, factor::DOUBLE AS factor FROM (VALUES (2018, 0.79), (2019, 0.77), (2020, 0.75), (2021, 0.73), (2022, 0.72), (2023, 0.718), (2024, 0.716)) t(year, factor)")
-def reference_table(any_table: DataFrame) -> DataFrame:
-    from ..functions.units import GRID_YEARS
+def reference_rows() -> list[tuple[str, str, str, float]]:
+    """(table, name, detail, value) of all reference tables; bounds of the registry are those of ``flt13``."""
+    rows = [("grid_state", s, r, k) for s, r, k in grid_rows()] + [("grid_region", r, "", k) for r, k in GRID_REGIONS.items()] + [("grid_year", str(y), "", k) for y, k in GRID_YEARS.items()]
+    rows += [("fuel", f"{f} ({unit})", part, k) for f, (unit, *ks) in FUELS.items() for part, k in zip(("burnt", "upstream"), ks, strict=True)]
+    rows += [("gwp", g, basis, k) for basis, gases in GWP.items() for g, k in gases.items()]
+    rows += [("peer", f"{key} {sector}", part, float(k)) for (key, sector), ks in PEERS.items() for part, k in zip(("companies", "mean", "median", "sd", "p25", "p75"), ks, strict=True)]
+    return rows
+
 
-    return any_table.sparkSession.createDataFrame(list(GRID_YEARS.items()), "year int, factor double")
+@query("src17", "region", sql="SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{n}', '{d}', {k!r}::DOUBLE)" for t, n, d, k in reference_rows()) + ") t(name_of_table, name, detail, value)")
+def reference_table(any_table: DataFrame) -> DataFrame:
+    return any_table.sparkSession.createDataFrame(reference_rows(), "name_of_table string, name string, detail string, value double")
 
 
 @query("snk4", "supplier", sql="SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey > 10")

@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..plans.catalog import ORACLES, QUERIES
 from ..sources.scratch import scratch_path
 
+#: Files that one batch of a stream takes at most.
+BATCH_FILES = 64
+
+
+def file_stream(spark: SparkSession, path: str, like: DataFrame, most: int = BATCH_FILES) -> DataFrame:
+    """New Parquet files below a path or pattern as a stream, at most so many in a batch."""
+    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", most).parquet(path)
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files; a pattern, so that it may be one file or a folder."""
-    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]")
+    return file_stream(spark, f"{sf_dir}/events.parque[t]", spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def started(writer: DataStreamWriter, checkpoint: str, every: str | None) -> None:
+    """Run until what is there has been read, or on and on with a trigger ``every`` so long."""
+    writer = writer.option("checkpointLocation", checkpoint)
+    (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start().awaitTermination()
 
 
 def feedback_sink(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> None:
     """Append a stream to JSON lines; what is written is known from the checkpoint, so nothing is lost or written twice. ``every`` keeps it running."""
-    writer = stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
-    (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start().awaitTermination()
+    started(stream.writeStream.format("json").option("path", path).outputMode("append"), checkpoint, every)
+
+
+def hourly_sink(stream: DataFrame, at: Column, path: str, checkpoint: str, every: str | None = None) -> None:
+    """``feedback_sink`` into a folder ``flush=yyyymmddThhmmssZ.jsonl`` for each hour of ``at`` in UTC (null: none is named)."""
+    hour = F.date_format(F.date_trunc("hour", at), "yyyyMMdd'T'HHmmss'Z.jsonl'")
+    named = stream.withColumn("flush", hour)
+    started(named.writeStream.format("json").option("path", path).partitionBy("flush").outputMode("append"), checkpoint, every)
 
 
 def str1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,18 +49,39 @@ def str1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_id long, user_id long, event_type string").json(path)
 
 
-def tumbling_counts(stream: DataFrame, key, length: str, late: str = "1 day") -> DataFrame:
+def src14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events through a stream in batches of bounded size."""
+    like = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "value")
+    path = scratch_path(spark, "events")
+    started(event_stream(spark, sf_dir).select(like.columns).writeStream.format("parquet").option("path", path), scratch_path(spark, "events-state"), None)
+    return spark.read.schema(like.schema).parquet(path)
+
+
+def snk5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in hourly files of JSON lines, and how many each has."""
+    path = scratch_path(spark, "hourly")
+    hourly_sink(event_stream(spark, sf_dir).select("event_id", "event_type", "ts"), F.col("ts"), path, scratch_path(spark, "hourly-state"))
+    return spark.read.schema("event_id long, event_type string, flush string").json(path).groupBy("flush").agg(F.count("*").alias("n"))
+
+
+def tumbling_counts(stream: DataFrame, key: Column, length: str, late: str = "1 day") -> DataFrame:
     """Events of a key in each window; state of windows older than the watermark goes."""
     timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     return timed.groupBy(F.window("at", length).alias("w"), key.alias("key")).agg(F.count("*").alias("n"))
 
 
-def counted(spark: SparkSession, sf_dir: str, key, length: str, limit: int) -> DataFrame:
-    """Counts over the limit, gathered in complete mode from a stream that ends."""
-    name = "tallgrass_counts_" + scratch_path(spark, "x")[-12:]
-    stream = tumbling_counts(event_stream(spark, sf_dir), key, length)
-    stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", scratch_path(spark, "counts-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "key", "n", (F.col("n") > limit).alias("over_limit"))
+def by_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """Write each batch to a folder of its own, so that a batch that runs again replaces itself."""
+    return lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def counted(spark: SparkSession, sf_dir: str, key: Column, length: str, limit: int) -> DataFrame:
+    """Counts and whether they are over the limit; a batch writes the windows that it has changed, the newest count of a window is its largest."""
+    counts = tumbling_counts(event_stream(spark, sf_dir), key, length)
+    path = scratch_path(spark, "counts")
+    started(counts.writeStream.foreachBatch(by_batch(path)).outputMode("update"), scratch_path(spark, "counts-state"), None)
+    newest = spark.read.schema(counts.schema).parquet(path).groupBy("w.start", "key").agg(F.max("n").alias("n"))
+    return newest.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "key", "n", (F.col("n") > limit).alias("over_limit"))
 
 
 def str2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +94,10 @@ def str4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COUNT = "SELECT strftime(time_bucket(INTERVAL {length}, ts), '%Y-%m-%d %H:%M:%S') AS start, {key} AS key, count(*)::BIGINT AS n, count(*) > {limit} AS over_limit FROM events GROUP BY 1, 2"
-QUERIES.update(str1=str1, str2=str2, str4=str4)
+QUERIES.update(src14=src14, snk5=snk5, str1=str1, str2=str2, str4=str4)
 ORACLES.update(
+    src14="SELECT event_id, event_type, value FROM events",
+    snk5="SELECT strftime(date_trunc('hour', ts), '%Y%m%dT%H%M%SZ.jsonl') AS flush, count(*)::BIGINT AS n FROM events GROUP BY 1",
     str1="SELECT event_id, user_id, event_type FROM events",
     str2=_COUNT.format(length="1 HOUR", key="(user_id % 8)::BIGINT", limit=3),
     str4=_COUNT.format(length="1 DAY", key="CASE WHEN user_id % 3 = 0 THEN concat('tenant-', user_id % 8) ELSE concat('user-', user_id) END", limit=5),
