@@ -48,10 +48,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written before the next reads it."""
+    """All stages over ``documents``, each written before the next reads it; what a written stage has read is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = staged(docs, f"stage-{name}")
+        kept = stage(spark, docs, sf_dir)
+        docs = staged(kept, f"stage-{name}", docs) if k < len(STAGES) - 1 else kept
     return docs
