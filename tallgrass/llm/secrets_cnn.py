@@ -36,8 +36,8 @@ PLAIN = re.compile(r"(?:(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+)(?:[/_=+-]+|$))+")
 #: What documents with findings of the rules hold, for Spark to draw them.
 TELLING = r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:passw(or)?d|secret|token|api_?key)[\"']?\x20*[:=]"
 KINDS = ("assign", "access", "hex", "cnn")
-#: Bounds of the training set: generated findings, documents looked at, those of one source and kind, and findings of one label in a document.
-GENERATED, SAMPLE_DOCS, SAMPLE_EACH, SAMPLE_FINDINGS = 3_200, 600, 150, 4
+#: Bounds of the training set: generated findings, rows that the documents are drawn from, documents, those of one source and kind, and findings of one label in a document.
+GENERATED, SAMPLE_ROWS, SAMPLE_DOCS, SAMPLE_EACH, SAMPLE_FINDINGS = 3_200, 40_000, 600, 150, 4
 #: Windows that the network scores at a time.
 WINDOWS = 512
 RECALL, BEFORE, INSIDE, AFTER, FILTERS, WIDTH, EPOCHS = 0.95, 24, 40, 8, 16, 5, 8
@@ -203,13 +203,16 @@ def generated(n: int = GENERATED, seed: int = 0) -> list[tuple[str, int, int, in
 def sampled(docs: DataFrame, most_docs: int = SAMPLE_DOCS, each: int = SAMPLE_EACH, most: int = SAMPLE_FINDINGS) -> list[tuple[str, int, int, int]]:
     """Labelled findings in at most ``most_docs`` different texts: values that a rule finds, and plain tokens that none finds.
 
-    Texts are drawn by their hash, ``each`` of every source (if there are
-    sources) with and without what the rules look for, so neither the order of
-    files nor copies decide; of a text, ``most`` findings of each label.
+    Texts are drawn by their hash, first some ``SAMPLE_ROWS`` and of these
+    ``each`` of every source (if there are sources) with and without what the
+    rules look for, so neither the order of files nor copies decide; of a text,
+    ``most`` findings of each label.
     """
+    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
     text = F.coalesce(F.col("text"), F.lit(""))
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit("")
     rows = docs.select(text.alias("text"), F.xxhash64(text, F.lit(29)).alias("h"), source.alias("source"))
+    rows = rows.where(F.pmod("h", F.lit(1 << 20)) < (1 << 20) * share)
     order = Window.partitionBy("source", "told").orderBy("h")
     marks = rows.select("h", "source", F.col("text").rlike(TELLING).alias("told"))
     drawn = marks.withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= each).select("h").distinct().orderBy("h").limit(most_docs)
