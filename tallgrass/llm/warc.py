@@ -17,6 +17,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,13 +29,31 @@ from .common import arrow_rows, arrow_schema, scratch_path, staged, table
 ARC = "archive string, version int, url string, ip string, arc_date string, content_type string, status int, payload binary"
 WARC = "record_id string, record_type string, url string, warc_date string, content_type string, payload_digest string, refers_to_record string, refers_to long, payload_bytes long, page_id long, payload binary, intact boolean"
 _ARC_FIELDS = {1: 5, 2: 10}
-#: Records of an archive file, and rows that move from Python to Spark at once.
-FILE_RECORDS, ROWS = 20_000, 1_000
+#: Records of an archive file, rows that move from Python to Spark at once, and bytes that are unzipped at a time.
+FILE_RECORDS, ROWS, UNZIP = 20_000, 1_000, 1 << 14
 #: What parts compressed records: a gzip member without content.
 _NO_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122: names that are URLs
 
 
+def unzipped(blob: bytes) -> bytes:
+    """All members of a gzip file, or the bytes as they are; in time that grows with the bytes, however many members they are in."""
+    if blob[:2] != b"\x1f\x8b":
+        return blob
+    view, at, out = memoryview(blob), 0, []
+    while at < len(view):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            part = view[at : at + UNZIP]
+            if not len(part):
+                raise EOFError("the archive ends within a member")
+            out.append(member.decompress(part))
+            at += len(part) - len(member.unused_data)
+        while at < len(view) and not view[at]:  # padding
+            at += 1
+    return b"".join(out)
+
+
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -75,7 +94,7 @@ def read_arc(archives: DataFrame) -> DataFrame:
             rows = []
             for name, blob in zip(batch["path"].to_pylist(), batch["content"], strict=True):
                 blob = blob.as_py() or b""
-                for record in parse_arc(name, gzip.decompress(blob) if blob[:2] == b"\x1f\x8b" else blob):
+                for record in parse_arc(name, unzipped(blob)):
                     rows.append(record)
                     if len(rows) >= ROWS:
                         yield arrow_rows(schema, rows)
@@ -200,7 +219,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch["content"]:
                 blob, rows = content.as_py(), []
-                for h, block in parse_warc(gzip.decompress(blob) if blob[:2] == b"\x1f\x8b" else blob):
+                for h, block in parse_warc(unzipped(blob)):
                     digest, kind = h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"]
                     rows.append((h["warc-record-id"], kind, h.get("warc-target-uri"), h["warc-date"], h.get("content-type"), digest, h.get("warc-refers-to"), whole(h.get("x-refers-to-page")), whole(h.get("x-payload-length")), whole(h.get("x-page-id")), block, kind == "revisit" or base32_sha1(block) == digest))
                     if len(rows) >= ROWS:
