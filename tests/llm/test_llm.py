@@ -141,6 +141,16 @@ def test_binary_packing(spark, docs, nothing, word_ids):
     assert binary_packing.read_packed(spark, path).count() == 0
 
 
+def test_binary_packing_of_equal_texts(spark, word_ids):
+    same = spark.createDataFrame([(i, "one two three " * 200) for i in range(9)] + [(3, "one two three " * 200)], "doc_id long, text string").coalesce(1)
+    packed = []
+    for _ in range(2):
+        binary_packing.write_packed(same, path := scratch_path(spark, "t"))
+        packed.append(sorted(map(tuple, binary_packing.read_packed(spark, path).collect())))
+    assert packed[0] == packed[1] and len({r[4] for r in packed[0]}) == 4
+    check_pieces(binary_packing.read_packed(spark, path).collect(), same, word_ids, 2048)
+
+
 def test_best_fit_decreasing():
     r = random.Random(5)
     lengths = [r.randrange(1, 101) for _ in range(400)]
@@ -391,6 +401,17 @@ def test_warc_repeated_rows_and_ids(spark):
                 assert all(m.startswith(b"WARC/1.1\r\n") for m in members[::2]) and not any(members[1::2])
 
 
+def test_unzipped_members():
+    import gzip
+
+    r = random.Random(6)
+    parts = [r.randbytes(r.choice((0, 1, 100, 40_000))) for _ in range(60)]
+    blob = b"".join(gzip.compress(p) + b"\0" * (i % 3) for i, p in enumerate(parts))
+    assert warc.unzipped(blob) == b"".join(parts) and warc.unzipped(b"WARC/1.1") == b"WARC/1.1" and warc.unzipped(b"") == b""
+    with pytest.raises(EOFError):
+        warc.unzipped(gzip.compress(b"abc" * 1000)[:-9])
+
+
 def test_arc_versions():
     one = b"filedesc://a.arc 0.0.0.0 20010101000000 text/plain 72\n1 0 org\nURL IP-address Archive-date Content-type Archive-length\n" + b" " * 4
     head = b"1 0 org\nURL IP-address Archive-date Content-type Archive-length\n"
@@ -488,6 +509,11 @@ def test_language(spark, sf_dir, nothing):
     assert {r["lang_pred"] for r in language_id.identify(extra.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_ties_go_to_the_first_name():
+    model = language_id.Model(["a", "b"], np.ones(language_id.BUCKETS), np.zeros((1, 2)), np.zeros(language_id.BUCKETS, np.int32))
+    assert model.predict("text") == ("a", 0.5) and model.predict("12 !") == ("und", 0.0) and model.predict(None) == ("und", 0.0)
+
+
 def test_language_model_against_plain_python(spark, sf_dir, monkeypatch):
     """Document frequencies, FTRL weights and temperature by dictionaries and loops."""
     import math
