@@ -198,4 +198,4 @@ def range_bands(f: DataFrame) -> DataFrame:
     """Values outside their key's band lose confidence; there is a band for each key."""
     bands = f.groupBy("canonical_key").agg((F.avg("value_num") - F.stddev_samp("value_num")).alias("lo"), (F.avg("value_num") + F.stddev_samp("value_num")).alias("hi"))
     inside = F.col("value_num").between(F.col("lo"), F.col("hi"))
-    return f.join(F.broadcast(bands), "canonical_key").select("id", F.round(F.col("confidence") * F.when(inside, 1.0).otherwise(0.6), 6).alias("confidence"))
+    return f.join(bands, "canonical_key").select("id", F.round(F.col("confidence") * F.when(inside, 1.0).otherwise(0.6), 6).alias("confidence"))
