@@ -141,8 +141,9 @@ def hash_chain(log: DataFrame) -> DataFrame:
     chained.write.parquet(path := scratch_path(log.sparkSession, "hash-chain"))
     chained = log.sparkSession.read.schema(chained.schema).parquet(path)
     last = chained.groupBy("tenant_id", "hour").agg(F.max_by("row_hash", "place").alias("last"))
-    anchored = last.groupBy("tenant_id").applyInPandas(anchors, "tenant_id long, hour timestamp, anchor string")
-    return chained.join(anchored, ["tenant_id", "hour"]).select("tenant_id", "id", "prev_hash", "row_hash", "anchor")
+    anchored = last.groupBy("tenant_id").applyInPandas(anchors, "tenant_id long, hour timestamp, anchor string").toDF("_tenant", "_hour", "anchor")
+    same = F.col("tenant_id").eqNullSafe(F.col("_tenant")) & F.col("hour").eqNullSafe(F.col("_hour"))
+    return chained.join(anchored, same).select("tenant_id", "id", "prev_hash", "row_hash", "anchor")
 
 
 #: Hashes that one task folds: so many levels of a tree at a time.
