@@ -283,6 +283,22 @@ def test_near_duplicates(spark, docs, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0 and near_dedup.keep_one(nothing).count() == 0
 
 
+def test_recall_close_to_the_limit(spark):
+    """Pairs of texts whose similarity is just above or below the limit: every link is found, no other is made."""
+    r, rows, want = random.Random(12), [], {}
+    for i in range(500):
+        a = [f"{r.choice(WORDS)}{i}x{j}" for j in range(r.randrange(60, 240))]
+        b = list(a)
+        for j in r.sample(range(len(a)), max(1, round(len(a) * r.uniform(0.02, 0.035)))):
+            b[j] = "new" + b[j]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        x, y = ({tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (a, b))
+        want[2 * i + 1] = 2 * i if 100 * len(x & y) >= 85 * len(x | y) else 2 * i + 1
+    out = {q["doc_id"]: q["component_id"] for q in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert {d: out[d] for d in want} == want and all(out[d] == d for d in range(0, 1000, 2))
+    assert 100 < sum(d != c for d, c in want.items()) < 400
+
+
 @pytest.mark.parametrize(("block", "cut"), [(512, 4096), (40, 30)])
 def test_large_groups(spark, monkeypatch, block, cut):
     """The same components when groups are split into blocks and lists are cut."""
