@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes of distinct chunks that one Python worker keeps, the longest of them, and what an entry takes besides its bytes;
-#: what is longer or has not been met for long is encoded again where it is met, which changes no result.
+#: what comes later or is longer is encoded where it is met, which changes no result.
 TABLE_BYTES, CHUNK_BYTES, ENTRY_BYTES = 48 << 20, 256, 170
 _MARK = "▁"
 #: Marks that may close a word: ASCII ones but for the apostrophe, which has patterns of its own.
@@ -36,7 +36,6 @@ class ChunkTable:
 
     def __init__(self) -> None:
         self.table: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
         self.held = 0
 
     def split(self, text: str) -> list[bytes]:
@@ -46,10 +45,10 @@ class ChunkTable:
         raise NotImplementedError
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        """Chunks come from the table; those that a few texts lack are encoded at once and enter it."""
-        out = []
+        """Chunks come from the table; those that a few texts lack are encoded at once and enter it while there is room."""
+        get, out = self.table.get, []
         for at in range(0, len(texts), 256):
-            get, lacking = self.table.get, []
+            lacking = []
             for t in texts[at : at + 256]:
                 chunks = self.split(t)
                 ids = list(map(get, chunks))
@@ -59,21 +58,19 @@ class ChunkTable:
                     lacking.append((len(out), chunks, ids))
                     out.append(b"")
             if lacking:
-                new = {c for _, chunks, ids in lacking for c, x in zip(chunks, ids, strict=True) if x is None}
-                made = {c: self.old[c] for c in new & self.old.keys()}
-                rest = list(new - made.keys())
-                made.update(zip(rest, self.encode(rest), strict=True))
+                new = list({c for _, chunks, ids in lacking for c, x in zip(chunks, ids, strict=True) if x is None})
+                made = dict(zip(new, self.encode(new), strict=True))
                 self.enter(made)
                 for i, chunks, ids in lacking:
                     out[i] = b"".join([made[c] if x is None else x for c, x in zip(chunks, ids, strict=True)])
         return out
 
     def enter(self, made: dict[bytes, bytes]) -> None:
-        """A full half makes room for a new one; it stays as the old one, from which chunks that are met again come back."""
+        """Frequent chunks come first in any text, so a full table stays as it is."""
         for chunk, ids in made.items():
+            if self.held >= TABLE_BYTES:
+                return
             if len(chunk) <= CHUNK_BYTES and chunk not in self.table:
-                if self.held >= TABLE_BYTES // 2:
-                    self.old, self.table, self.held = self.table, {}, 0
                 self.table[chunk] = ids
                 self.held += len(chunk) + len(ids) + ENTRY_BYTES
 
@@ -103,7 +100,7 @@ class WordChunks(ChunkTable):
             return self.whole(chunks)
         parts = [word_and_marks(c) for c in chunks]
         words = set().union(*parts)
-        known = {w: t[w] for t in (self.old, self.table) for w in words & t.keys()}
+        known = {w: self.table[w] for w in words & self.table.keys()}
         new = words - known.keys()
         plain = {w: x for w in new if (x := plain_letters(w)) is not None}
         made = {w: ids_bytes([t.id for t in self.model.tokenize(x)]) for w, x in plain.items()}

@@ -3,8 +3,8 @@
 No piece of the model crosses the place before a word marker, so a table of
 distinct marked words stands for the texts: a worker segments a word when it
 first meets it, and the ids are joined back by position.  The table is of
-bounded size, so a word that has not been met for long is segmented again; a
-table of all words, joined by position over the cluster, would move more bytes
+bounded size, so a word that comes when it is full is segmented where it is met;
+a table of all words, joined by position over the cluster, would move more bytes
 than the texts have (figures in the README).  The library itself decodes the
 joined ids.
 """
