@@ -27,6 +27,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 LETTER, BULLET, ELLIPSIS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]", r"^[\x20\x09-\x0D]*[-*•]", r"([.][.][.]|…)[\x20\x09-\x0D]*\z"
 #: Rows that costs and selectivities are estimated on, and how often a cost is paid to be told from that of starting a job.
 SAMPLE_ROWS, TIMES = 1_000, 4
+#: Lines that a text must have for rules over shares of its lines.
+LEAST_LINES = 3
 #: Up to so many distinct repeated hashes, windows are looked up in their list; beyond, all windows are sorted. Both are exact.
 FEW = 48
 
@@ -63,8 +65,9 @@ def n_letter_words(text: Column, words: Column) -> Column:
 
 
 def percent_of_lines(text: Column, pattern: str) -> Column:
+    """Of the lines with a word, those that match; 0 for fewer lines than tell."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return let(lines, lambda x: F.when(F.size(x) == 0, 0).otherwise(F.floor(100 * F.size(F.filter(x, lambda y: y.rlike(pattern))) / F.size(x)))).cast("long")
+    return let(lines, lambda x: F.when(F.size(x) < LEAST_LINES, 0).otherwise(F.floor(100 * F.size(F.filter(x, lambda y: y.rlike(pattern))) / F.size(x)))).cast("long")
 
 
 def bullet_percent(text: Column, words: Column) -> Column:
@@ -225,8 +228,8 @@ WITH w AS (
   SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM g GROUP BY doc_id
 ), l AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
-         100 * count(*) FILTER (regexp_matches(line, '^[\x20\x09-\x0D]*[-*•]')) // count(*) AS bullets,
-         100 * count(*) FILTER (regexp_matches(line, '([.][.][.]|…)[\x20\x09-\x0D]*\z')) // count(*) AS ellipses
+         CASE WHEN count(*) < 3 THEN 0 ELSE 100 * count(*) FILTER (regexp_matches(line, '^[\x20\x09-\x0D]*[-*•]')) // count(*) END AS bullets,
+         CASE WHEN count(*) < 3 THEN 0 ELSE 100 * count(*) FILTER (regexp_matches(line, '([.][.][.]|…)[\x20\x09-\x0D]*\z')) // count(*) END AS ellipses
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), f AS (

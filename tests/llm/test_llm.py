@@ -217,6 +217,8 @@ def test_quality_rules_beyond_the_counts(spark):
             out = {r["doc_id"]: r["kept"] for r in quality_rules.quality(docs, (rule,)).collect()}
             assert out == {i: k != rule.name for i, k in enumerate(some)}
     assert [r["kept"] for r in quality_rules.quality(docs).orderBy("doc_id").collect()] == [True] + [False] * 4
+    one = spark.createDataFrame([(1, "- " + some["clean"].replace("\n", " ") + " ...")], "doc_id long, text string")  # a line alone tells nothing
+    assert quality_rules.quality(one).first()["kept"]
 
 
 def test_cascade_stops_at_the_first_rule_that_fails(spark):
