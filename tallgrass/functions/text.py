@@ -396,35 +396,12 @@ def carried_down(e: DataFrame) -> DataFrame:
     return e.select("event_id", F.last(F.when(F.col("event_type") != "click", F.col("event_type")), ignorenulls=True).over(w).alias("carried"))
 
 
-# Telling words of document types with weights.
-DOC_TYPES = {"tabular": ((" | ", 1.5), ("total", 1.0)), "licence": (("license", 2.0), ("copyright", 1.0)), "mail": (("@", 1.5), ("example.com", 1.0)), "secret": (("token", 1.5), ("key", 1.0))}
-
-
-@query("doc5", "documents", sql="WITH s AS (SELECT doc_id, " + ", ".join(f"least(1, ({' + '.join(f'CASE WHEN contains(lower(text), {w!r}) THEN {k} ELSE 0 END' for w, k in ws)}) / 2.5) AS {t}" for t, ws in DOC_TYPES.items()) + f" FROM documents) SELECT doc_id, round(greatest({', '.join(DOC_TYPES)}), 4)::DOUBLE AS score, CASE WHEN greatest({', '.join(DOC_TYPES)}) < 0.4 THEN 'unknown' " + " ".join(f"WHEN {t} = greatest({', '.join(DOC_TYPES)}) THEN '{t}'" for t in DOC_TYPES) + " END AS type FROM s")
-def document_types(d: DataFrame, least: float = 0.4) -> DataFrame:
-    """Weighted hits of telling words; the first type wins ties, below a threshold it is unknown."""
-    text = F.lower("text")
-    scores = {t: F.least(F.lit(1.0), sum((F.when(F.contains(text, F.lit(w)), k).otherwise(0.0) for w, k in ws), F.lit(0.0)) / 2.5) for t, ws in DOC_TYPES.items()}
-    s = d.select("doc_id", *(c.alias(t) for t, c in scores.items()))
-    best = F.greatest(*DOC_TYPES)
-    kind = F.when(best < least, "unknown")
-    for t in DOC_TYPES:
-        kind = kind.when(F.col(t) == best, t)
-    return s.select("doc_id", F.round(best, 4).alias("score"), kind.alias("type"))
-
-
 @query("doc4", "documents", sql=r"SELECT doc_id, (regexp_matches(text, '(?i)license')::INT + regexp_matches(text, '(?i)copyright')::INT + regexp_matches(text, '\d{4}')::INT)::BIGINT AS hits, round(least(0.95, 0.40 + 0.18 * (regexp_matches(text, '(?i)license')::INT + regexp_matches(text, '(?i)copyright')::INT + regexp_matches(text, '\d{4}')::INT)), 4)::DOUBLE AS confidence FROM documents")
 def heuristic_type(d: DataFrame) -> DataFrame:
     hits = sum((F.col("text").rlike(p).cast("long") for p in ("(?i)license", "(?i)copyright", r"\d{4}")), F.lit(0).cast("long"))
     return d.select("doc_id", hits.alias("hits"), F.round(F.least(F.lit(0.95), 0.40 + 0.18 * hits), 4).alias("confidence"))
 
 
-@query("doc8", "documents", sql=r"WITH x AS (SELECT doc_id, regexp_extract(text, '(?i)token\s*=\s*\"([0-9a-f]+)\"', 1) AS value FROM documents) SELECT doc_id, value FROM x WHERE value <> ''")
-def pattern_fields(d: DataFrame) -> DataFrame:
-    value = F.regexp_extract("text", r'(?i)token\s*=\s*"([0-9a-f]+)"', 1)
-    return d.select("doc_id", value.alias("value")).where(F.col("value") != "")
-
-
 @query("doc11", "documents", sql=r"SELECT doc_id, k AS label, v AS value FROM (SELECT doc_id, regexp_extract(line, '^\s*([A-Za-z][\w -]{0,40}?)\s*[:=]\s*(\S.*)$', 1) AS k, regexp_extract(line, '^\s*([A-Za-z][\w -]{0,40}?)\s*[:=]\s*(\S.*)$', 2) AS v FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE k <> ''")
 def key_values(d: DataFrame) -> DataFrame:
     """Lines that are a label, a colon and a value."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.matching import longest_alias
 from ..functions.units import FUELS
 from ..plans.catalog import query
 
@@ -16,37 +17,15 @@ SEEN = ["Electricity consumed (kWh)", "diesel", "Total water drawn", "Headcount"
 
 
 def alias_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(LABELS), "alias string, key string")
-
-
-def labelled(line: DataFrame) -> DataFrame:
-    return line.select("l_orderkey", "l_linenumber", "l_quantity", F.element_at(F.lit(SEEN), (F.col("l_partkey") % 6 + 1).cast("int")).alias("label"))
+    return spark.createDataFrame([(a, k, i) for i, (a, k) in enumerate(LABELS)], "alias string, key string, place int")
 
 
 def resolved_labels(rows: DataFrame) -> DataFrame:
     """``rows`` with ``key``: the exact alias, else the longest one inside the label. Labels are made distinct before they meet the aliases."""
-    labels = rows.select("label").distinct()
-    low = F.lower(F.trim("label"))
-    hits = labels.join(F.broadcast(alias_rows(rows.sparkSession)), F.contains(low, F.col("alias")))
-    best = hits.withColumn("exact", low == F.col("alias")).groupBy("label").agg(F.max_by("key", F.struct("exact", F.length("alias"), "alias")).alias("key"))
+    best = longest_alias(rows.select("label").distinct(), alias_rows(rows.sparkSession)).select("label", "key")
     return rows.join(best, "label", "left")
 
 
-@query("jn16", "lineitem", sql=f"WITH {_LABEL_SQL}, x AS (SELECT l_orderkey, l_linenumber, {_SEEN} AS label FROM lineitem), d AS (SELECT DISTINCT label FROM x), h AS (SELECT label, max_by(key, (lower(label) = alias, length(alias), alias)) AS key FROM d JOIN a ON contains(lower(label), alias) GROUP BY 1) SELECT l_orderkey, l_linenumber, key FROM x LEFT JOIN h USING (label)")
-def label_keys(line: DataFrame) -> DataFrame:
-    return resolved_labels(labelled(line)).select("l_orderkey", "l_linenumber", "key")
-
-
-@query("jn17", "lineitem", sql=f"WITH {_LABEL_SQL}, d AS (SELECT DISTINCT {_SEEN} AS label FROM lineitem), h AS (SELECT label, alias, CASE WHEN lower(label) = alias THEN 1.0 WHEN contains(lower(label), alias) OR contains(alias, lower(label)) THEN 0.85 END::DOUBLE AS score FROM d, a WHERE length(alias) >= 4) SELECT label, max(score) AS score FROM h WHERE score IS NOT NULL GROUP BY 1")
-def label_scores(line: DataFrame) -> DataFrame:
-    """1 for an exact label, 0.85 where one holds the other (4 characters or more)."""
-    low = F.lower("label")
-    labels = labelled(line).select("label").distinct()
-    held = F.contains(low, F.col("alias")) | F.contains(F.col("alias"), low)
-    x = labels.join(F.broadcast(alias_rows(line.sparkSession).where(F.length("alias") >= 4)), held)
-    return x.groupBy("label").agg(F.max(F.when(low == F.col("alias"), 1.0).otherwise(0.85)).alias("score"))
-
-
 @query("jn15", "extraction_field", sql="SELECT id, CASE WHEN canonical_key IN ('revenue', 'scope1') THEN 'strict' ELSE 'plain' END AS kind FROM extraction_field")
 def with_registry(f: DataFrame) -> DataFrame:
     registry = f.sparkSession.createDataFrame([("revenue", "strict"), ("scope1", "strict")], "canonical_key string, kind string")

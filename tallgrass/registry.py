@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .functions import periods, text, units  # noqa: F401
-from .operators import assurance, bills, disclosure, emissions, extraction, formulas, hierarchy, suppliers, tables  # noqa: F401
+from .functions import matching, periods, text, units  # noqa: F401
+from .operators import assurance, bills, disclosure, emissions, extraction, extractors, formulas, hierarchy, suppliers, tables  # noqa: F401
 from .plans.catalog import ORACLES, QUERIES  # noqa: F401
 from .sources import files  # noqa: F401
 from .streaming import streams  # noqa: F401
