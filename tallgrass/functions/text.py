@@ -215,77 +215,6 @@ def text_chunks(d: DataFrame, budget: int = 400, overlap: int = 50) -> DataFrame
     return d.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk long, text string")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def with_cosine(rows: DataFrame, e: DataFrame, query_id: int) -> DataFrame:
-    """``rows`` with the ``cosine`` of their vector and that of one row of ``e``."""
-    q = F.broadcast(e.where(F.col("vec_id") == query_id).select(F.col("embedding").alias("q")).limit(1))
-    cosine = dot(F.col("embedding"), F.col("q")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("q"), F.col("q")))
-    return rows.join(q).withColumn("cosine", cosine).drop("q")
-
-
-@query("ret3", "embeddings", sql="SELECT e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label <> 2 ORDER BY 3 DESC, 1 LIMIT 10")
-def vector_search(e: DataFrame, query_id: int = 0, k: int = 10) -> DataFrame:
-    """Cosine of one query vector with all, a filter on metadata, the k best."""
-    x = with_cosine(e.where(F.col("label") != 2), e, query_id)
-    return x.select("vec_id", "label", F.round("cosine", 6).alias("score")).orderBy(F.col("score").desc(), "vec_id").limit(k)
-
-
-TERMS = ("the", "and", "that", "for", "with")
-
-
-def bm25(d: DataFrame, terms: tuple[str, ...] = TERMS, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Okapi scores of all documents that hold a term; statistics of the collection are one small row."""
-    words = d.select("doc_id", tokens(F.col("text")).alias("t"))
-    # written, as it is read for the statistics and for the scores: a few numbers for each text
-    tf = words.select("doc_id", F.size("t").alias("dl"), *((F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf_{w}") for w in terms))
-    tf.write.parquet(path := scratch_path(d.sparkSession, "term-counts"))
-    tf = d.sparkSession.read.schema(tf.schema).parquet(path)
-    stats = tf.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf_{w}") > 0).alias(f"df_{w}") for w in terms))
-    x = tf.join(F.broadcast(stats))
-    score = F.lit(0.0)
-    for w in terms:
-        idf = F.ln((F.col("n") - F.col(f"df_{w}") + 0.5) / (F.col(f"df_{w}") + 0.5) + 1)
-        f = F.col(f"tf_{w}")
-        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return x.select("doc_id", F.round(score, 6).alias("score")).where(F.col("score") > 0)
-
-
-_TF = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf_{w}" for w in TERMS)
-_DF = ", ".join(f"count(*) FILTER (tf_{w} > 0) AS df_{w}" for w in TERMS)
-_SCORE = " + ".join(f"ln((n - df_{w} + 0.5) / (df_{w} + 0.5) + 1) * tf_{w} * 2.5 / (tf_{w} + 1.5 * (0.25 + 0.75 * dl / avgdl))" for w in TERMS)
-BM25_SQL = rf"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: regexp_matches(t, '^[\pL\pN]+$')) AS t FROM documents), f AS (SELECT doc_id, len(t) AS dl, {_TF} FROM w),
-s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {_DF} FROM f), b AS (SELECT doc_id, round({_SCORE}, 6) AS score FROM f, s)"""
-
-
-@query("ret4", "documents", sql=f"WITH {BM25_SQL} SELECT doc_id, score FROM b WHERE score > 0")
-def bm25_scores(d: DataFrame) -> DataFrame:
-    return bm25(d)
-
-
-_COSINE = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
-
-
-@query("ret5", "documents", "embeddings", sql=f"""WITH {BM25_SQL}, p AS (SELECT doc_id, score FROM b WHERE score > 0), m AS (SELECT max(score) AS top FROM p), v AS (SELECT e.vec_id, {_COSINE} AS dense FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
-SELECT doc_id, round(0.6 * coalesce(dense, 0) + 0.4 * score / top, 6) AS blend FROM p CROSS JOIN m LEFT JOIN v ON doc_id = vec_id ORDER BY 2 DESC, 1 LIMIT 10""")
-def blended(d: DataFrame, e: DataFrame, query_id: int = 0, k: int = 10) -> DataFrame:
-    """0.6 of the cosine with the query's vector and 0.4 of the normalised sparse score; a document's vector has its id."""
-    p = bm25(d)
-    dense = with_cosine(e, e, query_id).select(F.col("vec_id").alias("doc_id"), F.col("cosine").alias("dense"))
-    x = p.join(F.broadcast(p.agg(F.max("score").alias("top")))).join(dense, "doc_id", "left")
-    blend = 0.6 * F.coalesce("dense", F.lit(0.0)) + 0.4 * F.col("score") / F.col("top")
-    return x.select("doc_id", F.round(blend, 6).alias("blend")).orderBy(F.col("blend").desc(), "doc_id").limit(k)
-
-
-@query("ret6", "embeddings", sql=f"WITH v AS (SELECT label, {_COSINE} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) SELECT label, round(max(score) - min(score), 6) AS spread, max(score) - min(score) < 0.15 AS rerank FROM v GROUP BY 1")
-def rerank_gate(e: DataFrame, query_id: int = 0, least: float = 0.15) -> DataFrame:
-    """Scores of a label that lie close together ask for another ranking."""
-    spread = F.max("cosine") - F.min("cosine")
-    return with_cosine(e, e, query_id).groupBy("label").agg(F.round(spread, 6).alias("spread"), (spread < least).alias("rerank"))
-
-
 def intent(text: Column) -> Column:
     """The first rule that holds names the intent."""
     q = F.lower(F.trim(text))
