@@ -1,7 +1,7 @@
 """Operator 12: toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-1. Every text becomes the set of hashed character n-grams of its words, edges
-   marked, and of those that two of its words share.  Over all labelled documents that are not held out, Spark counts the
+1. Every text becomes the set of hashed character n-grams of its different
+   words, edges marked, and of those that they hold more than once.  Over all labelled documents that are not held out, Spark counts the
    toxic and the other documents that hold each n-gram.
 2. The log-count ratio of an n-gram is its weight in a naive Bayes classifier.
    N-grams that are too rare, or whose ratio is too small to tell, are left out.
@@ -14,10 +14,8 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,66 +33,79 @@ MIN_DOCS, MIN_RATIO, FEATURES = 3, 1.0, 200_000
 SAMPLE_EACH = 4_000
 L1, L2, STEPS, INTERPOLATION = 2e-4, 1e-3, 400, 0.25
 THRESHOLD = 0.3
-#: Words of a worker's table, and the longest word that it holds.
-WORDS, WORD_CHARS = 200_000, 32
+#: Places that are worked on at a time; numbers of the hash.
+BLOCK = 1 << 18
+_FACTOR, _LAST, _SHIFT = np.uint32(668265263), np.uint32(2654435761), np.uint32(32 - (BUCKETS.bit_length() - 1))
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def word_grams(word: str) -> set[int]:
-    """Buckets of the n-grams of a word in lower case with its edges marked."""
-    marked = f"<{word}>".encode("utf-8", "surrogatepass")
-    if marked.isascii():
-        return {zlib.crc32(marked[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)}
-    chars = f"<{word}>"
-    return {zlib.crc32(chars[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in GRAMS for i in range(len(chars) - n + 1)}
+def grams(text: str) -> np.ndarray:
+    """Buckets of the n-grams of the different words of a whole text in lower case, edges marked; as often as they are met."""
+    words = set(WORD.findall(text.lower()))
+    if not words:
+        return np.zeros(0, np.uint32)
+    codes = np.frombuffer(f"<{'><'.join(words)}>".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
+    ends = np.flatnonzero(codes == ord(">"))
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(codes)) + 1  # characters up to the end of the word
+    out, most = [], max(GRAMS)
+    for at in range(0, len(codes), BLOCK):
+        part, room = codes[at : at + BLOCK + most - 1], left[at : at + BLOCK]
+        mixed = np.zeros(len(room), np.uint32)
+        for n in range(1, most + 1):
+            # where fewer characters are left, what is read is not kept
+            mixed = mixed[: max(0, len(part) - n + 1)] ^ part[n - 1 : n - 1 + len(mixed)]
+            mixed *= _FACTOR
+            mixed ^= mixed >> np.uint32(15)
+            if n in GRAMS:
+                out.append((mixed[room[: len(mixed)] >= n] * _LAST) >> _SHIFT)
+    return np.concatenate(out)
 
 
-class GramTable:
-    """The n-grams of each word that a worker has met, only those that ``place`` asks for if it is set; a full one begins anew.
+@dataclass
+class Places:
+    """Which feature of the n-grams is which of a model (-1: none), and buckets that have one."""
 
-    A text has two features for each n-gram: that one of its words holds it (twice
-    its bucket), and that two different words do (one more).  ``place`` tells which
-    of these is which feature of a model.
-    """
+    at: np.ndarray
+    asked: np.ndarray
+
+    @staticmethod
+    def of(buckets: np.ndarray) -> Places:
+        at = np.full(2 * BUCKETS, -1, np.int32)
+        at[buckets] = np.arange(len(buckets))
+        return Places(at, (at.reshape(-1, 2) >= 0).any(axis=1))
 
-    def __init__(self, place: dict[int, int] | None = None):
-        self.place, self.known = place, {}
-        self.asked = None if place is None else {a >> 1 for a in place}
-
-    def word(self, word: str) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None:
-            grams = word_grams(word)
-            found = tuple(grams if self.asked is None else grams & self.asked)
-            if len(word) <= WORD_CHARS:
-                if len(self.known) >= WORDS:
-                    self.known.clear()
-                self.known[word] = found
-        return found
-
-    def text(self, text: str) -> np.ndarray:
-        """The features of a whole text, each once."""
-        words = set(WORD.findall(text.lower()))
-        grams, n = np.unique(np.fromiter(chain.from_iterable(map(self.word, words)), np.int64), return_counts=True)
-        at = np.concatenate([2 * grams, 2 * grams[n > 1] + 1])
-        return at if self.place is None else np.array(sorted(self.place[a] for a in at.tolist() if a in self.place), np.int64)
+
+def features(text: str, place: Places | None = None) -> np.ndarray:
+    """The features of a whole text, each once: for each n-gram that its different words hold it (twice its bucket), and that they hold it again (one more).
+
+    Only those of a model, if its places are given.
+    """
+    found = grams(text)
+    if place is not None:
+        found = found[place.asked[found]]
+    once, n = np.unique(found, return_counts=True)
+    at = np.concatenate([2 * once, 2 * once[n > 1] + 1]).astype(np.int64)
+    if place is None:
+        return at
+    at = place.at[at]
+    return np.sort(at[at >= 0])
 
 
 @dataclass
 class Model:
     """Weights of features by bucket, already scaled by their ratios; without features every score is ``prior``."""
 
-    place: dict[int, int] = field(default_factory=dict)
+    place: Places = field(default_factory=lambda: Places.of(np.zeros(0, np.int64)))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     offset: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
     prior: float = 0.0
 
-    def score(self, at: np.ndarray) -> float:
+    def score(self, text: str) -> float:
         if not len(self.weights):
             return self.prior
-        return float(logistic(self.slope * (self.weights[at].sum() + self.offset) + self.shift))
+        return float(logistic(self.slope * (self.weights[features(text, self.place)].sum() + self.offset) + self.shift))
 
 
 def logistic(z: np.ndarray) -> np.ndarray:
@@ -117,10 +128,10 @@ def gram_counts(learn: DataFrame) -> DataFrame:
     """``bucket, toxic, other``: the documents of either label that have a feature; bucket -1 has all documents. ``learn`` has text and toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, n = GramTable(), np.zeros((2, 2 * BUCKETS + 1), np.int32)
+        n = np.zeros((2, 2 * BUCKETS + 1), np.int32)
         for b in batches:
             for text, y in zip(b["text"], b["toxic"].to_pylist(), strict=True):
-                at = grams.text(text.as_py())
+                at = features(text.as_py())
                 n[1 - y, at] += 1
                 n[1 - y, -1] += 1
         at = np.flatnonzero(n.any(axis=0))
@@ -195,7 +206,7 @@ def trained(sample: list[tuple[np.ndarray, int]], buckets: np.ndarray, ratio: np
     z = np.array([w[r].sum() + b for (r, _), a in zip(sample, apart, strict=True) if a])
     slope, shift = calibrated(z, y[apart], prior)
     live = np.flatnonzero(w)
-    return Model({int(buckets[i]): k for k, i in enumerate(live)}, w[live], b, slope, shift, prior)
+    return Model(Places.of(buckets[live]), w[live], b, slope, shift, prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH) -> Broadcast:
@@ -207,12 +218,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH) -> B
     prior = total["toxic"] / (total["toxic"] + total["other"]) if total else 0.0
     told = ratios(counts).toPandas().sort_values("bucket")
     buckets, ratio = told["bucket"].to_numpy(np.int64), told["ratio"].to_numpy(float)
-    place = spark.sparkContext.broadcast({int(b): i for i, b in enumerate(buckets)})
+    place = spark.sparkContext.broadcast(Places.of(buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = GramTable(place.value)
         for b in batches:
-            yield arrow_rows(arrow_schema("doc_id long, toxic int, at array<int>"), [(i, y, grams.text(t.as_py()).tolist()) for i, y, t in zip(b["doc_id"].to_pylist(), b["toxic"].to_pylist(), b["text"], strict=True)])
+            yield arrow_rows(arrow_schema("doc_id long, toxic int, at array<int>"), [(i, y, features(t.as_py(), place.value).tolist()) for i, y, t in zip(b["doc_id"].to_pylist(), b["toxic"].to_pylist(), b["text"], strict=True)])
 
     ids = spark.createDataFrame(drawn(known, sample_each).collect(), "doc_id long, toxic int")  # 2 * sample_each rows at most
     sample = named.join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, toxic int, at array<int>").dropDuplicates(["doc_id"])
@@ -234,9 +244,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     model = fit(docs, labels, sample_each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = GramTable(model.value.place)
         for b in batches:
-            score = [model.value.score(grams.text(t.as_py())) for t in b["text"]]
+            score = [model.value.score(t.as_py()) for t in b["text"]]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     return text_rows(docs, held_out().alias("held_out")).mapInArrow(run, OUT)
