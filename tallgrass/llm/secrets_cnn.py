@@ -1,7 +1,8 @@
 """Operator 7: secret scans by rules and a character convolutional network in numpy.
 
 The rules give base spans.  The network scores every candidate, the values that
-rules find and every other long token, together with the characters around it;
+rules find and every other long token (where rules find a part of a token, the
+rest of it), together with the characters around it;
 a token longer than its window is seen in overlapping windows, of which the
 highest score counts.  Spans of rules stay whatever their score; other tokens
 become spans by theirs.
@@ -31,6 +32,7 @@ ASSIGN = re.compile(rf"""({_CASED})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 #: Tokens that are words or numbers, alone or joined: in the sample they are no secrets.
 PLAIN = re.compile(r"(?:(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+)(?:[/_=+-]+|$))+")
 #: What documents with findings of the rules hold, for Spark to draw them.
@@ -56,15 +58,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """What the network scores, as (start, end, kind): the values of the rules' spans ``taken``, in their order, then tokens of 12 characters and more with a digit, or 16 and more with a letter, that no rule has found."""
+    """What the network scores, as (start, end, kind): the values of the rules' spans ``taken``, in their order, then all other tokens.
+
+    A token has 12 characters and more with a digit, or 16 and more with a
+    letter.  Where rules have found a part of a token, what is left on either
+    side, and between, is a token of its own; so nothing beside a finding hides.
+    """
     found = [(ASSIGN.match(text, s).start(2) if k == 0 else s, e, k) for s, k, e in taken]
+    told, first = sorted((s, e) for s, _, e in taken), 0
     for m in CANDIDATE.finditer(text):
-        worth = re.search(r"[0-9]", m[0]) or (len(m[0]) >= 16 and re.search(r"[A-Za-z]", m[0]))
-        if worth and not any(s < m.end() and m.start() < e for s, _, e in taken):
-            found.append((m.start(), m.end(), 3))
+        at, end = m.span()
+        while first < len(told) and told[first][1] <= at:
+            first += 1
+        k = first
+        while at < end:
+            # the next span that reaches into the token, if there is one
+            while k < len(told) and told[k][1] <= at:
+                k += 1
+            start, after = told[k] if k < len(told) and told[k][0] < end else (end, end)
+            if start - at >= 12 and worth(text, at, start):
+                found.append((at, start, 3))
+            at = max(at, after)
     return found
 
 
+def worth(text: str, start: int, end: int) -> bool:
+    """Whether a token can be a secret: it has a digit, or 16 characters and a letter."""
+    return bool(DIGIT.search(text, start, end) or (end - start >= 16 and LETTER.search(text, start, end)))
+
+
 #: Classes of characters that the network tells apart; the last channel marks the token itself.
 _CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/", "=", "_-", ".", "\"'", " \t\n", ":", "@")
 _CLASS = {c: i for i, cs in enumerate(_CLASSES) for c in cs}
@@ -77,19 +99,35 @@ def places(start: int, end: int) -> list[tuple[int, int]]:
     return [(start, end)] if last <= start else [(s, s + INSIDE) for s in [*range(start, last, INSIDE // 2), last]]
 
 
-def window(text: str, start: int, end: int) -> np.ndarray:
-    """A token, or the first ``INSIDE`` characters of a longer one, and the characters around it as one-hot classes."""
-    end = min(end, start + INSIDE)
-    token = text[start:end]
-    left, right = text[max(0, start - BEFORE) : start], text[end : end + AFTER]
-    out = np.zeros((SPAN, CHANNELS), np.float32)
-    for at, part, inside in ((BEFORE - len(left), left, 0), (BEFORE, token, 1), (BEFORE + INSIDE, right, 0)):
-        for i, c in enumerate(part):
-            out[at + i, _CLASS.get(c, len(_CLASSES))] = 1
-            out[at + i, -1] = inside
+#: A character's code is its class, one more for each; those of the token itself come after all others; 0 is no character.
+_OTHER = len(_CLASSES)
+CODES = 2 * (_OTHER + 1) + 1
+_CODE = np.array([1 + _CLASS.get(chr(i), _OTHER) for i in range(128)] + [1 + _OTHER], np.uint8)
+_ONE_HOT = np.zeros((CODES, CHANNELS), np.float32)
+for _i in range(_OTHER + 1):
+    _ONE_HOT[1 + _i, _i] = _ONE_HOT[2 + _OTHER + _i, _i] = _ONE_HOT[2 + _OTHER + _i, -1] = 1
+
+
+def codes_of(text: str) -> np.ndarray:
+    return _CODE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 128)]
+
+
+def coded(codes: np.ndarray, start: int, end: int) -> np.ndarray:
+    """A token, or the first ``INSIDE`` characters of a longer one, and the characters around it, as codes."""
+    end, left = min(end, start + INSIDE), max(0, start - BEFORE)
+    out = np.zeros(SPAN, np.uint8)
+    out[BEFORE - (start - left) : BEFORE] = codes[left:start]
+    out[BEFORE : BEFORE + end - start] = codes[start:end] + np.uint8(1 + _OTHER)
+    right = codes[end : end + AFTER]
+    out[BEFORE + INSIDE : BEFORE + INSIDE + len(right)] = right
     return out
 
 
+def window(text: str, start: int, end: int) -> np.ndarray:
+    """``coded`` as one-hot classes, the last channel marks the token."""
+    return _ONE_HOT[coded(codes_of(text), start, end)]
+
+
 @dataclass
 class Network:
     """Convolution, rectifier, maximum and mean over places, one logistic unit; then Platt's calibration and a threshold for each kind."""
@@ -101,6 +139,7 @@ class Network:
     slope: float = 1.0
     shift: float = 0.0
     thresholds: tuple[float, ...] = (0.5,) * len(KINDS)
+    pairs: list[np.ndarray] | None = None
 
     @staticmethod
     def start(seed: int = 0) -> Network:
@@ -151,13 +190,39 @@ class Network:
     def score(self, x: np.ndarray) -> np.ndarray:
         return self.scaled(self.forward(x)[0])
 
+    def raw(self, codes: np.ndarray) -> np.ndarray:
+        """``forward`` of coded windows: the filters' answers are looked up by pairs of neighbours, which is all that a one-hot product does."""
+        if self.pairs is None:
+            each = (_ONE_HOT @ self.kernel.reshape(WIDTH, CHANNELS, FILTERS)).astype(np.float32)
+            self.pairs = [(each[k][:, None] + each[k + 1][None]).reshape(-1, FILTERS) if k + 1 < WIDTH else each[k] for k in range(0, WIDTH, 2)]
+        places = SPAN - WIDTH + 1
+        two = codes[:, :-1].astype(np.intp) * CODES + codes[:, 1:]
+        h = np.broadcast_to(self.bias.astype(np.float32), (len(codes), places, FILTERS)).copy()
+        for k, table in zip(range(0, WIDTH, 2), self.pairs, strict=True):
+            h += np.take(table, (two if k + 1 < WIDTH else codes)[:, k : k + places], axis=0)
+        np.maximum(h, 0, out=h)
+        return np.concatenate([h.max(axis=1), h.mean(axis=1)], axis=1) @ self.dense + self.offset
+
     def highest(self, findings: list[tuple[str, int, int]]) -> np.ndarray:
         """Raw scores of tokens (text, start, end), each the highest of its windows; so many windows at a time."""
-        at = [(i, t, *p) for i, (t, s, e) in enumerate(findings) for p in places(s, e)]
-        out = np.full(len(findings), -np.inf)
-        for k in range(0, len(at), WINDOWS):
-            part = at[k : k + WINDOWS]
-            np.maximum.at(out, [i for i, *_ in part], self.forward(np.array([window(*p) for _, *p in part]))[0])
+        out, seen, codes = np.full(len(findings), -np.inf), None, np.zeros(0, np.uint8)
+        at, rows = [], []
+
+        def told() -> None:
+            if rows:
+                np.maximum.at(out, at, self.raw(np.array(rows)))
+            at.clear()
+            rows.clear()
+
+        for i, (text, s, e) in enumerate(findings):
+            if text is not seen:
+                seen, codes = text, codes_of(text)
+            for p in places(s, e):
+                at.append(i)
+                rows.append(coded(codes, *p))
+                if len(rows) == WINDOWS:
+                    told()
+        told()
         return out
 
 
