@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 BUCKETS, GRAMS = 1 << 15, (1, 2, 3)
+#: Characters of a text whose n-grams are sorted rather than counted into all buckets.
+FEW = 4_000
 #: Bounds of the training sample: documents in all (but 50 of each language), and languages.
 #: Documents beyond so many characters are drawn only where a language has too few others.
 SAMPLE_DOCS, MOST_LANGS, SAMPLE_CHARS = 3_000, 200, 50_000
@@ -33,14 +35,18 @@ OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 def counts(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the character n-grams of a whole text in lower case, and how often each is met."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
-    shift, total = np.uint32(32 - (buckets.bit_length() - 1)), np.zeros(buckets, np.int64)
+    shift, found = np.uint32(32 - (buckets.bit_length() - 1)), []
     for n in GRAMS:
         if len(codes) >= n:
             mixed = np.full(len(codes) - n + 1, n * 374761393 & 0xFFFFFFFF, np.uint32)
             for k in range(n):
                 mixed ^= codes[k : len(codes) - n + 1 + k] * _FACTORS[k]
                 mixed *= np.uint32(668265263)
-            total += np.bincount(mixed >> shift, minlength=buckets)
+            found.append(mixed >> shift)
+    if len(codes) < FEW:  # sorting a few is cheaper than a count of all buckets
+        at, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+        return at.astype(np.int64), n
+    total = sum(np.bincount(f, minlength=buckets) for f in found)
     at = np.flatnonzero(total)
     return at, total[at]
 
