@@ -9,7 +9,7 @@ from .common import staged
 
 
 def components(edges: DataFrame, *done: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """``node, component`` (smallest node reachable) for every node of ``edges`` (a, b).
+    """``node, component`` (smallest node reachable) for every node of ``edges`` (a, b), as a written table.
 
     Each round hangs nodes below the smallest neighbour and is written to the
     shared folder.  Minima are partly aggregated before they are shuffled and
@@ -31,7 +31,8 @@ def components(edges: DataFrame, *done: DataFrame, most_rounds: int = 40) -> Dat
             break
     else:
         raise RuntimeError(f"no end after {most_rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+    found = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+    return staged(found, "components", edges)
 
 
 def open_nodes(edges: DataFrame) -> DataFrame:

@@ -1,14 +1,18 @@
 """Operator 2: near-duplicates by bottom-k sketches of one hash function.
 
 1. Every document becomes its set of hashed word shingles, a digest of the set
-   and the k smallest hashes.  Documents with equal sets form a class, which
-   its smallest id stands for.
+   and its smallest hashes, of which the first k are its sketch.  Documents with
+   equal sets form a class, which its smallest id stands for.
 2. Inverted lists: two sets that are similar enough share at least ``need`` of
-   their k retained values (but for a chance of ``MISS``).  Of each sketch only
+   their k retained values (but for a chance of ``MISS``).  A document that
+   shares fewer with all others together has no partner; what gets through is
+   held against its ``WIDE`` smallest hashes in the same way, which parts texts
+   that have no more than a passage in common.  Of each sketch only
    the rarest values are listed, as many as must include one shared value.  A
-   list is read once: a document that shares all but a few values with an
-   earlier leader of no greater need follows it, others lead; every overlap that a partner of a
-   follower could have with its leader connects the two, by no more edges than
+   list is read twice: a document that shares all but a few values with an
+   earlier leader of no greater need follows it, others lead; then every overlap
+   that a link needs connects a document and a leader, and less where a follower's
+   partner could have less with its leader, by no more edges than
    the list has documents.  So all pairs that share ``need`` values are in one
    group.  Long lists are cut by salt, and parts of their leaders meet in pairs.
 3. Groups are verified in units of bounded size: the union sketch estimates a
@@ -33,10 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_rows
+from .common import dropped, staged, table, text_rows
 from .components import components
 
 K, MISS = 24, 1e-6
+#: Values that are kept of a document's set: the first ``K`` are its sketch, all of them tell whether it can have a partner.
+WIDE = 96
 #: Values that a follower may lack of its leader's; documents of a block; length at which a list is cut; leaders of a part; pivots of a large group.
 SLACK, BLOCK, LIST, MEET, PIVOTS = 4, 512, 4096, 1024, 64
 #: Rows that move from Python to Spark at once.
@@ -81,6 +87,8 @@ def need_column(size: Column, k: int, percent: int) -> Column:
 
 
 def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
+    """``doc_id, n_shingles, digest, sketch`` of every row: the ``k`` smallest hashes of its set."""
+
     def mark(text: str) -> tuple[int, bytes, np.ndarray]:
         full = shingle_set(text, width)  # only its head outlives the call
         return len(full), hashlib.blake2b(full.tobytes(), digest_size=16).digest(), full[:k].copy()
@@ -95,85 +103,129 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
     return text_rows(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
 
 
-def read_lists(postings: DataFrame, k: int, percent: int, slack: int, needs_less: int) -> DataFrame:
-    """Edges (a, b) inside each list, and its leaders as rows with b null; ``postings`` (value, salt, doc, size, shared) are sorted by list."""
+def read_lists(postings: DataFrame, k: int, percent: int, slack: int) -> DataFrame:
+    """Edges (a, b) inside each list, and its leaders as rows with b null; ``postings`` (value, salt, doc, size, shared, led) are sorted by list.
+
+    ``led``: whether others follow a document, which may then lack ``SLACK``
+    values of what these share with a partner.
+    """
+
+    def overlaps(by_value: dict[int, list[int]], shared: list[int]) -> dict[int, int]:
+        found: dict[int, int] = {}
+        for v in shared:
+            for i in by_value.get(v, ()):
+                found[i] = found.get(i, 0) + 1
+        return found
 
     def one(rows: list[tuple]) -> Iterator[tuple]:
         leaders: list[tuple] = []
-        above: list[int] = []  # leaders that edges already connect
+        followed: list[bool] = []
+        place: list[int | None] = []
         by_value: dict[int, list[int]] = {}
+        for doc, size, shared, led in rows:
+            own = need(size, k, percent)
+            # a leader is met again by its own need, which must ask no more than that of any document behind it
+            behind = [i for i, n in overlaps(by_value, shared).items() if n >= size - slack and need(leaders[i][1], k, percent) <= own]
+            for i in behind:
+                followed[i] = True
+            place.append(None if behind else len(leaders))
+            if not behind:
+                for v in shared:
+                    by_value.setdefault(v, []).append(len(leaders))
+                followed.append(led)
+                leaders.append((doc, size, shared))
+        # edges, now that it is known who is followed: only the needs of these are loose
+        above = list(range(len(leaders)))  # leaders that edges already connect
 
         def top(i: int) -> int:
             while above[i] != i:
                 above[i] = i = above[above[i]]
             return i
 
-        for doc, size, shared in rows:
-            overlap: dict[int, int] = {}
-            for v in shared:
-                for i in by_value.get(v, ()):
-                    overlap[i] = overlap.get(i, 0) + 1
-            loose, follows, met = max(1, need(size, k, percent) - needs_less), False, set()
-            for i, n in overlap.items():
-                if n >= min(loose, max(1, need(leaders[i][1], k, percent) - needs_less)):
+        by_value = {}
+        for (doc, size, shared, led), at in zip(rows, place, strict=True):
+            own, met = need(size, k, percent) - SLACK * (led and slack == 0), set()
+            for i, n in overlaps(by_value, shared).items():
+                asked = min(own, need(leaders[i][1], k, percent) - SLACK * (led and slack == 0)) - SLACK * followed[i]
+                if n >= max(1, asked) or (at is None and n >= size - slack):
                     met.add(top(i))
-                # a leader is met again by its own need, which must ask no more than that of any document behind it
-                follows = follows or (n >= size - slack and need(leaders[i][1], k, percent) <= need(size, k, percent))
             for i in met:  # one edge to each group of leaders, which it joins
-                yield doc, leaders[i][0], size, shared
+                yield doc, leaders[i][0], size, shared, False
                 above[i] = min(met)
-            if not follows:
+            if at is not None:
                 for v in shared:
-                    by_value.setdefault(v, []).append(len(leaders))
-                above.append(min(met, default=len(leaders)))
-                leaders.append((doc, size, shared))
-        for doc, size, shared in leaders:
-            yield doc, None, size, shared
+                    by_value.setdefault(v, []).append(at)
+                above[at] = min(met, default=at)
+        for (doc, size, shared), has in zip(leaders, followed, strict=True):
+            yield doc, None, size, shared, has
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, rows, out = None, [], []
 
         def frame() -> pd.DataFrame:
-            made = pd.DataFrame(out, columns=["value", "a", "b", "size", "shared"]).astype({"b": "Int64"})
+            made = pd.DataFrame(out, columns=["value", "a", "b", "size", "shared", "led"]).astype({"b": "Int64"})
             out.clear()
             return made
 
         for batch in batches:
-            for value, salt, doc, size, shared in zip(batch["value"], batch["salt"], batch["doc"], batch["size"], batch["shared"], strict=True):
+            for value, salt, doc, size, shared, led in zip(*(batch[c] for c in ("value", "salt", "doc", "size", "shared", "led")), strict=True):
                 if (value, salt) != now:
                     if now:
                         out += [(now[0], *x) for x in one(rows)] if len(rows) > 1 else [(now[0], rows[0][0], None, *rows[0][1:])]
                     now, rows = (value, salt), []
-                rows.append((doc, size, shared.tolist()))
+                rows.append((doc, size, shared.tolist(), bool(led)))
             if len(out) > 10_000:
                 yield frame()
         if now:
             out += [(now[0], *x) for x in one(rows)] if len(rows) > 1 else [(now[0], rows[0][0], None, *rows[0][1:])]
         yield frame()
 
-    return postings.mapInPandas(run, "value long, a long, b long, size int, shared array<long>")
+    return postings.mapInPandas(run, "value long, a long, b long, size int, shared array<long>, led boolean")
 
 
-def candidate_groups(marks: DataFrame, k: int, percent: int) -> DataFrame:
-    """``node, component``: groups of class representatives that hold every pair sharing enough retained values."""
-    entries = marks.select("doc_id", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
+def shared_enough(entries: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of (doc_id, size, value): values that more than one document has (value, n), as a table; and ``doc_id, size, kept`` of the documents with as many of these as a partner would share."""
     counts = staged(entries.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > 1), "value-counts")
     kept = entries.join(counts, "value").groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("kept"))
+    return counts, kept.where(F.size("kept") >= need_column(F.col("size"), k, percent))
+
+
+def with_partners(marks: DataFrame, kept: DataFrame, wide: int, percent: int) -> DataFrame:
+    """The rows of ``kept`` that can have a partner by their ``wide`` smallest hashes, too.
+
+    Texts with a passage in common share values of it but not those of their own
+    words; the more values are kept, the less a share that is too small gets
+    through.  Only documents that the sketch has let through count, as a partner
+    is one of these.
+    """
+    some = marks.join(kept.select("doc_id"), "doc_id", "left_semi")
+    entries = some.select("doc_id", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
+    twice = entries.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("value")
+    enough = entries.join(twice, "value").groupBy("doc_id", "size").agg(F.count("*").alias("n")).where(F.col("n") >= need_column(F.col("size"), wide, percent))
+    return kept.join(enough.select("doc_id"), "doc_id", "left_semi")
+
+
+def candidate_groups(marks: DataFrame, k: int, percent: int, wide: int = WIDE) -> DataFrame:
+    """``node, component``: groups of class representatives that hold every pair sharing enough retained values, as a written table."""
+    entries = marks.select("doc_id", F.least(F.size("sketch"), F.lit(k)).alias("size"), F.explode(F.slice("sketch", 1, k)).alias("value"))
+    counts, kept = shared_enough(entries, k, percent)
+    kept = staged(kept, "kept-values")
+    likely = with_partners(marks, kept, wide, percent)
     least = need_column(F.col("size"), k, percent)
-    kept = kept.where(F.size("kept") >= least).withColumn("prefix", F.slice("kept", 1, F.size("kept") - least + 1))
-    listed = kept.select(F.col("doc_id").alias("doc"), "size", F.col("kept.value").alias("shared"), F.explode("prefix").alias("p"))
+    likely = likely.withColumn("prefix", F.slice("kept", 1, F.size("kept") - least + 1))
+    listed = likely.select(F.col("doc_id").alias("doc"), "size", F.col("kept.value").alias("shared"), F.explode("prefix").alias("p"))
     salt = F.pmod(F.xxhash64("doc"), F.ceil(F.col("p.n") / LIST))
-    postings = listed.select(F.col("p.value").alias("value"), salt.alias("salt"), "doc", "size", "shared", (F.col("p.n") > LIST).alias("cut"))
+    postings = listed.select(F.col("p.value").alias("value"), salt.alias("salt"), "doc", "size", "shared", F.lit(False).alias("led"))
     order = ["value", "salt", "doc"]
-    short = read_lists(postings.repartition("value", "salt").sortWithinPartitions(*order), k, percent, SLACK, SLACK)
-    first = staged(short.join(counts.where(F.col("n") > LIST).select("value", F.lit(True).alias("cut")), "value", "left").where(F.col("b").isNotNull() | F.col("cut")), "list-edges")
-    # leaders of the parts of a cut list meet; a partner's leader may lack as much again
-    leaders = first.where(F.col("b").isNull()).select("value", F.col("a").alias("doc"), "size", "shared")
+    short = read_lists(postings.repartition("value", "salt").sortWithinPartitions(*order), k, percent, SLACK)
+    first = staged(short.join(counts.where(F.col("n") > LIST).select("value", F.lit(True).alias("cut")), "value", "left").where(F.col("b").isNotNull() | F.col("cut")), "list-edges", kept)
+    # leaders of the parts of a cut list meet; those that others follow are loose on either side
+    leaders = first.where(F.col("b").isNull()).select("value", F.col("a").alias("doc"), "size", "shared", "led")
     number = leaders.groupBy("value").agg(F.ceil(F.count("*") / MEET).alias("parts"))
     met = leaders.join(number, "value").withColumn("part", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("parts")))
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least("part", j) * F.col("parts") + F.greatest("part", j))
-    met = met.select("value", F.explode(pair).alias("salt"), "doc", "size", "shared")
-    second = read_lists(met.repartition("value", "salt").sortWithinPartitions(*order), k, percent, 0, 2 * SLACK)
+    met = met.select("value", F.explode(pair).alias("salt"), "doc", "size", "shared", "led")
+    second = read_lists(met.repartition("value", "salt").sortWithinPartitions(*order), k, percent, 0)
     edges = first.select("a", "b").union(second.select("a", "b")).where(F.col("b").isNotNull())
     return components(edges, first, counts)
 
@@ -222,8 +274,7 @@ def links_among(ids: list[int], sets: list[np.ndarray], sides: np.ndarray, k: in
 
 
 def verified_links(docs: DataFrame, groups: DataFrame, width: int, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect what is similar enough inside each group, by full sets."""
-    groups = staged(groups, "groups")
+    """Links (a, b) that connect what is similar enough inside each group, by full sets, as a written table; ``groups`` is deleted."""
     # written, so that the join on a large group can be split
     sizes = staged(groups.groupBy("component").agg(F.count("*").alias("n")), "group-sizes")
     texts = text_rows(docs).join(groups.join(sizes, "component").hint("shuffle_hash"), F.col("doc_id") == F.col("node"))
@@ -244,22 +295,23 @@ def verified_links(docs: DataFrame, groups: DataFrame, width: int, k: int, perce
     small = texts.where(F.col("n") <= BLOCK).select("text", "node", "component", no.alias("side"), F.pmod(F.xxhash64("component"), F.lit(units)).alias("unit"), no.alias("i"), no.alias("j"))
     large = texts.where(F.col("n") > BLOCK)
     if large.isEmpty():
-        return linked(small)
+        return staged(linked(small), "links", texts)
     blocks, is_pivot = F.ceil(F.col("n") / BLOCK), F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")) < PIVOTS
     at = F.when(is_pivot, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks)))
     star = large.select("text", "node", "component", is_pivot.cast("long").alias("side"), F.col("component").alias("unit"), F.explode(at).alias("i"), no.alias("j"))
     links = staged(linked(small.union(star)), "first-links")
 
     # documents outside of their group's largest cluster, in pairs of blocks with all others
-    found = components(links).select("node", F.col("component").alias("cluster"))
-    clusters = large.select("node", "component", "n").join(found, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
-    clusters = staged(clusters, "clusters")
+    found = components(links)
+    clusters = large.select("node", "component", "n").join(found.select("node", F.col("component").alias("cluster")), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    clusters = staged(clusters, "clusters", found)
     sizes = clusters.groupBy("component", "cluster").agg(F.count("*").alias("m"))
     largest = sizes.groupBy("component").agg(F.max_by("cluster", F.struct("m", "cluster")).alias("main"), (F.sum("m") - F.max("m")).alias("n_open"))
     largest = staged(largest.where(F.col("n_open") > 0), "largest-clusters")
     named = clusters.join(largest, "component")
-    named = staged(large.select("node", "text").join(named, "node"), "open-groups", clusters, largest)
+    named = staged(large.select("node", "text").join(named, "node"), "open-groups", clusters, largest, texts)
     if named.isEmpty():
+        dropped(named)
         return links
     n_open, n_main = F.ceil(F.col("n_open") / BLOCK), F.ceil((F.col("n") - F.col("n_open")) / BLOCK)
     hashed, zero = F.xxhash64("node"), F.lit(0).cast("long")
@@ -269,7 +321,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, width: int, k: int, perce
     from_main = F.transform(F.sequence(zero, n_open - 1), lambda i: F.struct(i.alias("i"), (-1 - main).alias("j")))
     at = F.when(F.col("cluster") == F.col("main"), from_main).otherwise(F.concat(with_open, with_main))
     rows = named.select("text", "node", "component", F.col("cluster").alias("side"), F.col("component").alias("unit"), F.explode(at).alias("at"))
-    return links.union(linked(rows.select("text", "node", "component", "side", "unit", "at.i", "at.j")))
+    return staged(links.union(linked(rows.select("text", "node", "component", "side", "unit", "at.i", "at.j"))), "links", links, named)
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -281,13 +333,15 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     id with another text is linked by its own text.  Repeated rows return as
     they are, an empty table gives an empty one, other columns are dropped.
     """
-    marks = staged(sketches(docs, width, k), "sketches")
+    marks = staged(sketches(docs, width, max(k, WIDE)), "sketches")
     live = marks.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = staged(live.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "classes")
     firsts = classes.withColumnRenamed("first_id", "doc_id")
     standing = staged(live.join(firsts, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"]).select("doc_id", "sketch"), "representatives")
-    links = staged(verified_links(docs, candidate_groups(standing, k, percent), width, k, percent), "links", standing)
-    found = staged(components(links, links), "found")
+    groups = candidate_groups(standing, k, percent)
+    dropped(standing)
+    links = verified_links(docs, groups, width, k, percent)
+    found = components(links, links)
     out = marks.join(classes, "digest", "left").withColumn("first_id", F.when(F.col("n_shingles") > 0, F.col("first_id")))
     out = out.join(found.withColumnRenamed("node", "first_id"), "first_id", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first_id", "doc_id")).alias("component_id"))

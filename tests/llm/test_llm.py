@@ -655,3 +655,31 @@ def test_secret_scan_beside_columns_of_its_own_names(spark):
     assert found == [(1, 1, "assign:0:25"), (1, 1, "assign:0:25"), (2**53 + 1, 0, "")]
     kept = secrets_cnn.mask_secrets(odd, net)
     assert kept.columns == odd.columns and sorted(r["spans"] for r in kept.collect()) == ["x", "x", "y"]
+
+
+def test_a_common_passage_makes_no_candidates(spark):
+    r = random.Random(4)
+    passage = " ".join(f"licence{r.randrange(10**6)}" for _ in range(200))
+    rows = [(i, passage + " " + " ".join(f"own{i}x{r.randrange(10**6)}" for _ in range(200))) for i in range(3000)]
+    rows += [(3000 + i, rows[i][1] + " and a word") for i in range(0, 100, 10)]  # some do have a partner
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    marks = near_dedup.sketches(frame, 3, near_dedup.WIDE)
+    groups = near_dedup.candidate_groups(marks, near_dedup.K, 85).groupBy("component").count().collect()
+    assert sum(g["count"] for g in groups) < 200, groups  # of 3,010
+    out = {q["doc_id"]: q["component_id"] for q in near_dedup.near_components(frame, 3, 85).collect()}
+    assert out == {i: i - 3000 if i >= 3000 else i for i, _ in rows}
+
+
+def test_scratch_tables_that_nothing_reads_are_deleted(spark, sf_dir, monkeypatch, tmp_path):
+    import os
+
+    made = []
+
+    def path(spark, name):
+        made.append(name)
+        return f"{tmp_path}/{name}-{len(made)}"
+
+    monkeypatch.setattr("tallgrass.llm.common.scratch_path", path)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    near_dedup.near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 85).count()
+    assert "group-texts" in made and {n.rsplit("-", 1)[0] for n in os.listdir(tmp_path)} == {"sketches", "classes", "components"}
