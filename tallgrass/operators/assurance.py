@@ -251,17 +251,3 @@ def contains_any_case(c: DataFrame) -> DataFrame:
 @query("ag36", "events", sql="SELECT event_type, count(*)::BIGINT AS n, count(*) FILTER (value <= 10)::BIGINT AS le_10, count(*) FILTER (value <= 50)::BIGINT AS le_50, count(*) FILTER (value <= 100)::BIGINT AS le_100 FROM events GROUP BY 1")
 def latency_buckets(e: DataFrame) -> DataFrame:
     return e.groupBy("event_type").agg(F.count("*").alias("n"), *(F.count_if(F.col("value") <= b).alias(f"le_{b}") for b in (10, 50, 100)))
-
-
-@query("str3", "events", sql="SELECT event_id, count(*) OVER (PARTITION BY user_id % 50 ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)::BIGINT AS n FROM events")
-def sliding_count(e: DataFrame) -> DataFrame:
-    """Events of a key in the last hour, each event included."""
-    second = F.unix_date(F.to_date("ts")) * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
-    w = Window.partitionBy(F.col("user_id") % 50).orderBy(second.cast("long")).rangeBetween(-3600, 0)
-    return e.select("event_id", F.count("*").over(w).alias("n"))
-
-
-@query("str5", "events", sql="WITH c AS (SELECT event_id, user_id, ts, round(sum(value) OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id), 6) AS spent FROM events) SELECT event_id, spent, spent > 100 AS over_ceiling FROM c")
-def daily_cost(e: DataFrame, ceiling: float = 100.0) -> DataFrame:
-    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("event_id", F.round(F.sum("value").over(w), 6).alias("spent")).withColumn("over_ceiling", F.col("spent") > ceiling)

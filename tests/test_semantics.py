@@ -18,7 +18,6 @@ from tallgrass.operators.formulas import Formula, check_units, ordered, run_form
 from tallgrass.operators.suppliers import cost_curve_all, js_round
 from tallgrass.plans.binding import extraction_field, metric_event
 from tallgrass.sources.files import read_csv
-from tallgrass.streaming.streams import feedback_sink, file_stream, hourly_sink
 
 
 def one(spark, column):
@@ -206,19 +205,6 @@ def test_plain_labels(spark):
     assert sorted(r["plain"] for r in with_plain_label(df, "l").collect()) == ["", "", "a b", "a b"]
 
 
-def test_streams_go_on_where_they_stopped(spark, tmp_path):
-    rows = lambda a, b: spark.range(a, b).select("id", F.timestamp_seconds(F.col("id") * 1000).alias("ts")).coalesce(1)
-    source, out, state, hourly, hourly_state = (str(tmp_path / x) for x in ("in", "out", "state", "hourly", "hourly_state"))
-    for a, b in ((0, 10), (10, 25)):
-        rows(a, b).write.mode("append").parquet(source)
-        stream = lambda: file_stream(spark, source, rows(0, 1), 1)
-        feedback_sink(stream(), out, state)
-        hourly_sink(stream(), F.col("ts"), hourly, hourly_state)
-    assert sorted(r["id"] for r in spark.read.schema("id long").json(out).collect()) == list(range(25))
-    got = {r["flush"]: r["count"] for r in spark.read.schema("id long, flush string").json(hourly).groupBy("flush").count().collect()}
-    assert got["19700101T000000Z.jsonl"] == 4 and sum(got.values()) == 25 and len(got) == 7
-
-
 def test_csv_cap(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a;b\n1; 2\n\n3;4\n")
     assert [tuple(r) for r in read_csv(spark, str(tmp_path / "x.csv")).collect()] == [("1", "2"), ("3", "4")]
