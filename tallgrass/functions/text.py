@@ -24,6 +24,18 @@ PII = (
 )
 
 
+# What logs must not show, in the order of redaction.
+LOG_PII = (
+    ("api_key", r"sk-[A-Za-z0-9]{20,}", "[REDACTED_API_KEY]"),
+    ("bearer", r"(?i)Bearer\s+[A-Za-z0-9._\-]+", "Bearer [REDACTED]"),
+    ("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "[REDACTED_EMAIL]"),
+    ("aadhaar", r"\b\d{4}[\-\s]?\d{4}[\-\s]?\d{4}\b", "[REDACTED_AADHAAR]"),
+    ("pan", r"\b[A-Z]{5}\d{4}[A-Z]\b", "[REDACTED_PAN]"),
+    ("card", r"\b(?:\d[ \-]?){13,19}\b", "[REDACTED_CARD]"),
+    ("phone", r"(?:(?:\+?91[\-\s]?)|0)?[6-9]\d{9}", "[REDACTED_PHONE]"),
+)
+
+
 # What a text must hold for a pattern to find anything; it is cheaper to ask for.
 HINTS = {"email": "@", "phone": r"\d{3}[\s-]?\d{3}", "aadhaar": r"\d{4}\s?\d{4}", "salary_line": r"(?i)salary|ctc|wage|gross\s+pay|remuneration", "named_person": r"\b(?:Mr|Mrs|Ms|Dr|Shri|Smt)\b"}
 
@@ -47,6 +59,20 @@ def redacted_documents(d: DataFrame) -> DataFrame:
     return redact(d.select("doc_id", "text"), "text").select("doc_id", *(k for k, _, _ in PII), F.md5("text").alias("text_md5"))
 
 
+_LOGGED = "concat(coalesce(text, ''), ' by Bearer abc.', user_no, '-x key sk-', repeat('a1B2', 6), ' card 4111 1111 1111 ', 1000 + user_no, ' of ABCDE1234F')"
+
+
+@query("sc_s7_log", "conversations", sql=rf"""WITH t0 AS (SELECT conv_id, turn, {_LOGGED} AS t FROM (SELECT *, conv_id % 9000 AS user_no FROM conversations)),
+{", ".join(f"t{k + 1} AS (SELECT conv_id, turn, regexp_replace(t, '{p}', '{r}', 'g') AS t FROM t{k})" for k, (_, p, r) in enumerate(LOG_PII))}
+SELECT conv_id, turn, md5(t) AS text_md5, contains(t, 'sk-a1B2') AS key_left FROM t{len(LOG_PII)}""")
+def redacted_log(c: DataFrame) -> DataFrame:
+    """Turns as log lines with a bearer token, a key, a card and a tax number, none of which stays."""
+    no = (F.col("conv_id") % 9000).cast("string")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" by Bearer abc."), no, F.lit("-x key sk-" + "a1B2" * 6 + " card 4111 1111 1111 "), (F.col("conv_id") % 9000 + 1000).cast("string"), F.lit(" of ABCDE1234F"))
+    x = redact(c.select("conv_id", "turn", text.alias("text")), "text", LOG_PII)
+    return x.select("conv_id", "turn", F.md5("text").alias("text_md5"), F.contains("text", F.lit("sk-a1B2")).alias("key_left"))
+
+
 @query("sc_s7_email", "documents", sql=r"SELECT doc_id, len(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b'))::BIGINT AS email, md5(regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[REDACTED_EMAIL]', 'g')) AS text_md5 FROM documents")
 def redacted_emails(d: DataFrame) -> DataFrame:
     return redact(d.select("doc_id", "text"), "text", PII[:1]).select("doc_id", "email", F.md5("text").alias("text_md5"))
@@ -97,10 +123,31 @@ def tax_ids(c: DataFrame) -> DataFrame:
     return c.select("c_custkey", text.rlike("^[A-Z]{5}[0-9]{4}[A-Z]$").alias("valid"))
 
 
-@query("sc_m13", "customer", sql="SELECT c_custkey, sha256(concat('{\"id\":', c_custkey, ',\"segment\":\"', c_mktsegment, '\"}')) AS object_hash FROM customer")
-def object_hash(c: DataFrame) -> DataFrame:
-    """A hash of JSON with sorted keys."""
-    return c.select("c_custkey", F.sha2(F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))), 256).alias("object_hash"))
+#: A string of JSON, or a whole number with a fraction of zero.
+_WHOLE = r'("(?:[^"\\\\]|\\\\.)*")|(-?\d+)\.0(?=[,\]}]|$)'
+
+
+def stable_json(text: Column) -> Column:
+    """JSON of any shape with its keys sorted at every depth and no space; lists keep their order. Null for text that is none, or that names a key twice.
+
+    Numbers of 1e21 and more, and below 1e-6, are written with ``E``.
+    """
+    return F.regexp_replace(F.to_json(F.try_parse_json(text)), _WHOLE, "$1$2")
+
+
+def json_hash(text: Column) -> Column:
+    return F.sha2(stable_json(text), 256)
+
+
+@query("sc_m13", "events", sql="""SELECT event_id, sha256(concat('{"a":{"c":"', event_type, '","d":', event_id, '},"b":[{"x":null,"y":', user_id, '},2.5,"q\\"e"],"p":', replace(props, ' ', ''), '}')) AS object_hash FROM events""")
+def object_hash(e: DataFrame) -> DataFrame:
+    """A hash of nested JSON, whose keys come in one order or another."""
+    a = F.concat(F.lit('"a": {"d": '), F.col("event_id").cast("string"), F.lit(', "c": "'), "event_type", F.lit('"}'))
+    a2 = F.concat(F.lit('"a":{"c":"'), "event_type", F.lit('","d":'), F.col("event_id").cast("string"), F.lit(".0}"))
+    b = F.concat(F.lit('"b": [{"y": '), F.col("user_id").cast("string"), F.lit(', "x": null}, 2.50, "q\\"e"]'))
+    p = F.concat(F.lit('"p": '), "props")
+    text = lambda *xs: F.concat(F.lit("{"), F.concat_ws(", ", *xs), F.lit("}"))
+    return e.select("event_id", json_hash(F.when(F.col("event_id") % 2 == 0, text(a, b, p)).otherwise(text(p, b, a2))).alias("object_hash"))
 
 
 @query("sc_m14", "customer", sql="SELECT c_custkey, (('0x' || substr(sha256(c_name), 1, 16))::UBIGINT)::VARCHAR AS stable_id FROM customer")
@@ -108,9 +155,14 @@ def stable_id(c: DataFrame) -> DataFrame:
     return c.select("c_custkey", F.conv(F.substring(F.sha2("c_name", 256), 1, 16), 16, 10).alias("stable_id"))
 
 
-@query("sc_m15", "audit_log", sql="SELECT id, substr(sha256(tenant_id::VARCHAR), 1, 12) AS tenant FROM audit_log")
+@query("sc_m15", "audit_log", sql="SELECT id, CASE WHEN actor_id IS NULL THEN '' ELSE substr(sha256(actor_id), 1, 16) END AS actor, substr(sha256(tenant_id::VARCHAR), 1, 16) AS tenant FROM audit_log")
 def tenant_hash(log: DataFrame) -> DataFrame:
-    return log.select("id", F.substring(F.sha2(F.col("tenant_id").cast("string"), 256), 1, 12).alias("tenant"))
+    """The first 16 digits of a name's digest for logs; of no name nothing."""
+    return log.select("id", short_hash(F.col("actor_id")).alias("actor"), short_hash(F.col("tenant_id").cast("string")).alias("tenant"))
+
+
+def short_hash(name: Column) -> Column:
+    return F.when(F.coalesce(name, F.lit("")) == "", "").otherwise(F.substring(F.sha2(name, 256), 1, 16))
 
 
 @query("sc_j2", "documents", sql=r"WITH x AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN n_chars::VARCHAR ELSE source END AS raw FROM documents) SELECT doc_id, CASE WHEN regexp_matches(raw, '^-?\d+(\.\d+)?$') THEN raw::DOUBLE END AS value_num, CASE WHEN NOT regexp_matches(raw, '^-?\d+(\.\d+)?$') THEN raw END AS value_text FROM x")

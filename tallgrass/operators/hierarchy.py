@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import append_child, depth, is_ancestor, parent_path, sanitize_label, valid_path
 from ..plans.catalog import query
+from ..sources.scratch import scratch_path
 
 
 def ancestors(path: Column) -> Column:
@@ -61,18 +62,48 @@ def move_subtree(n: DataFrame, old: str = "europe", new: str = "world.europe") -
     return n.select("id", F.when((p == old) | p.startswith(old + "."), moved).otherwise(p).alias("path"))
 
 
+def climbed(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """(node, up, steps) after as many doublings as there may be levels, and the number of rows with ``up``: those never come to a root.
+
+    ``nodes`` is (id, parent_id); a parent that is not there makes a root, an id
+    that is there twice takes its smallest parent.  A round joins each pointer
+    with that of the node it points to, so a chain of n nodes needs log2(n) rounds.
+    """
+    spark = nodes.sparkSession
+    one = nodes.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("parent_id").alias("parent_id"))
+    known = one.select(F.col("id").alias("_id"))
+    x = one.join(known, F.col("parent_id") == F.col("_id"), "left").select(F.col("id").alias("node"), F.col("_id").alias("up"), F.when(F.col("_id").isNotNull(), 1).otherwise(0).cast("long").alias("steps"))
+    x.write.parquet(path := scratch_path(spark, "pointers"))
+    x = spark.read.schema(x.schema).parquet(path)
+    n = x.count()
+    left = x.where(F.col("up").isNotNull()).count()
+    for _ in range(n.bit_length() + 1):
+        if not left:
+            break
+        above = x.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("steps").alias("_s"))
+        further = x.where(F.col("up").isNotNull()).join(above, F.col("up") == F.col("_n")).select("node", F.col("_u").alias("up"), (F.col("steps") + F.col("_s")).alias("steps"))
+        further.union(x.where(F.col("up").isNull())).write.parquet(path := scratch_path(spark, "pointers"))
+        x = spark.read.schema(x.schema).parquet(path)
+        left = x.where(F.col("up").isNotNull()).count()
+    return x, left
+
+
+def depths(nodes: DataFrame) -> DataFrame:
+    """``id, depth`` of (id, parent_id), so that parents come before children; a cycle is an error that names its nodes."""
+    x, left = climbed(nodes)
+    if left:
+        # a pointer that has gone further than there are nodes stands on a cycle, and every node of a cycle is pointed to
+        on = [r["up"] for r in x.where(F.col("up").isNotNull()).select("up").distinct().orderBy("up").limit(10).collect()]
+        raise ValueError(f"cycle at {', '.join(map(str, on))}")
+    return x.select(F.col("node").alias("id"), F.col("steps").cast("int").alias("depth"))
+
+
 @query("srt10", "entity_node", sql="""
-WITH RECURSIVE t AS (SELECT id, 0 AS depth FROM entity_node WHERE parent_id IS NULL UNION ALL SELECT n.id, t.depth + 1 FROM entity_node n JOIN t ON n.parent_id = t.id)
-SELECT n.id, t.depth::INT AS depth FROM entity_node n LEFT JOIN t USING (id)""")
+WITH RECURSIVE t AS (SELECT id, 0 AS depth FROM entity_node WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM entity_node) UNION ALL SELECT n.id, t.depth + 1 FROM entity_node n JOIN t ON n.parent_id = t.id)
+SELECT id, depth::INT AS depth FROM t""")
 def topological(n: DataFrame) -> DataFrame:
-    """Depth from the root by parent ids alone; null for nodes of a cycle or without a root."""
-    spark = n.sparkSession
-    n.createOrReplaceTempView("tallgrass_nodes")
-    return spark.sql("""
-        WITH RECURSIVE t(id, depth) AS (
-          SELECT id, 0 FROM tallgrass_nodes WHERE parent_id IS NULL
-          UNION ALL SELECT n.id, t.depth + 1 FROM tallgrass_nodes n JOIN t ON n.parent_id = t.id)
-        SELECT n.id, t.depth FROM tallgrass_nodes n LEFT JOIN t ON n.id = t.id""")
+    """Depth from the root by parent ids alone."""
+    return depths(n.select("id", "parent_id"))
 
 
 #: Which kinds of node may stand below which.

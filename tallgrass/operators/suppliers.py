@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
+from ..sources.scratch import scratch_path
+from ..sources.upsert import created, partitions, upsert
 
 
 def js_round(x: Column) -> Column:
@@ -54,11 +56,13 @@ def grade_histogram(scores: DataFrame) -> DataFrame:
 
 
 @query("snk3", "supplier_score", sql="SELECT supplier_id, fy, (composite + CASE WHEN fy >= 1996 THEN 1 ELSE 0 END)::BIGINT AS composite FROM supplier_score")
-def upsert(scores: DataFrame) -> DataFrame:
-    """New rows replace old ones with the same supplier and year."""
-    old = scores.select("supplier_id", "fy", "composite", F.lit(0).alias("version"))
-    new = scores.where(F.col("fy") >= 1996).select("supplier_id", "fy", F.col("composite") + 1, F.lit(1).alias("version"))
-    return old.union(new).groupBy("supplier_id", "fy").agg(F.max_by("composite", "version").alias("composite"))
+def upsert_scores(scores: DataFrame) -> DataFrame:
+    """A table of scores by year, and new scores of some years upserted into it by supplier and year."""
+    path = scratch_path(scores.sparkSession, "scores")
+    rows = scores.select("supplier_id", "composite", "computed_at", "fy")
+    created(rows, path, "fy")
+    upsert(rows.where(F.col("fy") >= 1996).withColumn("composite", F.col("composite") + 1), path, ["supplier_id"], "fy", "computed_at")
+    return partitions(scores.sparkSession, path, rows.schema).select("supplier_id", "fy", "composite")
 
 
 #: A survey response holds scores as JSON.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import FUELS, GRID_REGIONS, GRID_YEARS, GWP, PEERS, grid_rows
@@ -23,13 +23,6 @@ def read_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> Dat
     return df
 
 
-def checked_import(df: DataFrame, required: tuple[str, ...], numbers: tuple[str, ...]) -> DataFrame:
-    """Rows with ``problem``: what is missing or is no number; nothing is dropped."""
-    problems = [F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(f"{c} is missing")) for c in required]
-    problems += [F.when(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull(), F.lit(f"{c} is no number")) for c in numbers]
-    return df.withColumn("problem", F.coalesce(*problems))
-
-
 @query("src1", "supplier", sql="SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 5000 AND s_nationkey < 10")
 def scan(s: DataFrame) -> DataFrame:
     """Predicates and columns reach the Parquet scan."""
@@ -54,21 +47,96 @@ def sniffed_csv(n: DataFrame) -> DataFrame:
     return read_csv(n.sparkSession, path).select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
 
 
-@query("src5", "supplier", sql="SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'name is missing' WHEN s_suppkey % 11 = 0 THEN 'value is no number' END AS problem FROM supplier")
-def import_errors(s: DataFrame) -> DataFrame:
-    rows = s.select("s_suppkey", F.when(F.col("s_suppkey") % 7 != 0, F.col("s_name")).alias("name"), F.when(F.col("s_suppkey") % 11 == 0, F.lit("n/a")).otherwise(F.col("s_acctbal").cast("string")).alias("value"))
-    return checked_import(rows, ("name",), ("value",)).select("s_suppkey", "problem")
-
-
-@query("src16", "events", sql="SELECT event_id, CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 3 END::BIGINT AS n, round(CASE event_id % 3 WHEN 0 THEN 2 * value WHEN 1 THEN value ELSE 6 END, 6)::DOUBLE AS total FROM events")
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line, text`` of text files, lines numbered from 1 in each file whatever its parts."""
+    # an id's upper bits are the task, its lower 33 the place; a task may read parts of several files
+    x = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    x.write.parquet(lines := scratch_path(spark, "lines"))
+    x = spark.read.schema(x.schema).parquet(lines)
+    parts = x.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("file", "start", "first", before.alias("before"))
+    return x.join(parts, ["file", "start"]).select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), F.col("value").alias("text"))
+
+
+def read_import(spark: SparkSession, path: str, required: tuple[str, ...], numbers: tuple[str, ...] = (), dates: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of CSV files with a header: rows as text columns with ``file`` and ``line``, rejects as ``file, line, reason, text``.
+
+    A line with too few or too many cells or a quote that does not end is
+    rejected, as are lines without a required cell and with a number or date
+    that is none; nothing is dropped but empty lines, and the header, whose
+    columns must hold all that are required in every file.  Cells may be quoted
+    but not broken over lines.
+    """
+    lines = numbered_lines(spark, path)
+    heads = [(r["file"], r["text"]) for r in lines.where(F.col("line") == 1).select("file", "text").distinct().limit(10_001).collect()]
+    if len(heads) > 10_000:
+        raise ValueError("more than 10,000 files")
+    headers = {t for _, t in heads}
+    if len(headers) > 1:
+        raise ValueError(f"files differ in their header: {sorted(headers)[:2]}")
+    if not headers:
+        raise ValueError(f"{path} has no line")
+    names = [c.strip().strip('"') for c in headers.pop().removeprefix("\ufeff").split(",")]
+    if missing := [c for c in required if c not in names]:
+        raise ValueError(f"Missing required column: {missing[0]}")
+    cells = ", ".join(f"`{c}` string" for c in [*names, "_corrupt"])
+    body = lines.where((F.col("line") > 1) & (F.trim("text") != ""))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    x = body.withColumn("_c", F.from_csv("text", cells, options)).select("file", "line", "text", "_c.*")
+    told = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    problems = [F.when(F.col("_corrupt").isNotNull(), F.lit("cells do not fit the header"))]
+    problems += [F.when(~told(c), F.lit(f"{c} is missing")) for c in required]
+    problems += [F.when(told(c) & F.col(c).try_cast("double").isNull(), F.lit(f"{c} is no number")) for c in numbers]
+    problems += [F.when(told(c) & F.col(c).try_cast("date").isNull(), F.lit(f"{c} is no date")) for c in dates]
+    x = x.withColumn("reason", F.coalesce(*problems))
+    x.write.parquet(parsed := scratch_path(spark, "import"))
+    x = spark.read.schema(x.schema).parquet(parsed)
+    return x.where(F.col("reason").isNull()).select("file", "line", *names), x.where(F.col("reason").isNotNull()).select("file", "line", "reason", "text")
+
+
+@query("src5", "supplier", sql="""SELECT s_suppkey::VARCHAR AS key, CASE WHEN s_suppkey % 13 = 0 THEN 'cells do not fit the header' WHEN s_suppkey % 7 = 0 THEN 'name is missing' WHEN s_suppkey % 11 = 0 THEN 'value is no number' WHEN s_suppkey % 17 = 0 THEN 'day is no date' END AS reason,
+CASE WHEN s_suppkey % 13 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 11 <> 0 AND s_suppkey % 17 <> 0 THEN s_name || CASE WHEN s_suppkey % 5 = 0 THEN ', Ltd' ELSE '' END END AS name FROM supplier""")
+def imported(s: DataFrame) -> DataFrame:
+    """Suppliers written as CSV with broken lines, read with its rejects: every line is a row or a reject."""
+    k, spark = F.col("s_suppkey"), s.sparkSession
+    name = F.when(k % 7 == 0, "").when(k % 5 == 0, F.concat(F.lit('"'), "s_name", F.lit(', Ltd"'))).otherwise(F.col("s_name"))
+    cells = [k.cast("string"), name, F.when(k % 11 == 0, "n/a").otherwise(F.col("s_acctbal").cast("string")), F.when(k % 17 == 0, "31.02.2024").otherwise("2024-02-29")]
+    line = F.when(k % 26 == 0, F.concat_ws(",", *cells, F.lit("more"))).when(k % 13 == 0, F.concat_ws(",", *cells[:2])).otherwise(F.concat_ws(",", *cells))
+    # each line is one cell of a file of its own columns, so that it is written as it is
+    s.select(line.alias("key,name,value,day")).write.options(header=True, sep="\x01", quote="", escape="").csv(path := scratch_path(spark, "import-csv"))
+    rows, rejects = read_import(spark, path, ("key", "name", "value"), ("value",), ("day",))
+    bad = rejects.select(F.element_at(F.split("text", ","), 1).alias("key"), "reason", F.lit(None).cast("string").alias("name"))
+    return rows.select("key", F.lit(None).cast("string").alias("reason"), "name").union(bad)
+
+
+#: Names that hold a list of entries, and names of an entry's number, in the order of preference.
+LISTS, NUMBERS = ("events", "data"), ("value_num", "valueNum", "value", "valueCanonical")
+
+
+def numeric_series(text: Column) -> Column:
+    """The numbers of a JSON text of whatever shape: a list, or an object with one, of numbers or of objects with a number; none for other text.
+
+    An empty list goes on to the next name; strings are no numbers, true is 1.
+    """
+    v = F.try_parse_json(text)
+    array = lambda path: F.try_variant_get(v, path, "array<variant>")
+    some = lambda a: F.when(F.size(a) > 0, a)
+    items = F.coalesce(*[some(array(f"$.{c}")) for c in LISTS], array("$"), F.array().cast("array<variant>"))
+    kind = r"^(BIGINT|DOUBLE|FLOAT|BOOLEAN|DECIMAL.*)$"
+    number = lambda x, path: F.when(F.schema_of_variant(F.try_variant_get(x, path, "variant")).rlike(kind), F.try_variant_get(x, path, "double"))
+    return F.filter(F.transform(items, lambda x: F.coalesce(*[number(x, p) for p in ("$", *(f"$.{c}" for c in NUMBERS))])), lambda x: x.isNotNull())
+
+
+@query("src16", "events", sql="SELECT event_id, CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 0 END::BIGINT AS n, round(CASE event_id % 4 WHEN 0 THEN 2 * value WHEN 1 THEN value WHEN 2 THEN 3.5 + event_id ELSE 0 END, 6)::DOUBLE AS total FROM events")
 def tolerant_series(e: DataFrame) -> DataFrame:
-    """Numbers out of three shapes of response: {events: [{value}]}, {data: [{value}]} or [numbers]."""
-    obj = F.struct(F.col("value").alias("value"))
-    k = F.col("event_id") % 3
-    text = F.when(k == 0, F.to_json(F.struct(F.array(obj, obj).alias("events")))).when(k == 1, F.to_json(F.struct(F.array(obj).alias("data")))).otherwise(F.lit("[1, 2, 3]"))
-    parsed = F.from_json(text, "events array<struct<value double>>, data array<struct<value double>>")
-    numbers = F.coalesce(F.transform(parsed["events"], lambda x: x["value"]), F.transform(parsed["data"], lambda x: x["value"]), F.from_json(text, "array<double>"))
-    return e.select("event_id", F.size(numbers).cast("long").alias("n"), F.round(F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    """Numbers out of several shapes of response."""
+    entry = lambda name: F.struct(F.col("value").alias(name), F.lit("7").alias("valueCanonical"))
+    k, key = F.col("event_id") % 4, F.col("event_id").cast("string")
+    shapes = [F.to_json(F.struct(F.array(entry("valueNum"), entry("valueNum")).alias("events"))), F.to_json(F.struct(F.array().alias("events"), F.array(entry("value")).alias("data")))]
+    text = F.when(k == 0, shapes[0]).when(k == 1, shapes[1]).when(k == 2, F.concat(F.lit("[1, 2.5, \"9\", {\"value\": "), key, F.lit("}, {\"other\": 1}, null]"))).otherwise(F.concat(F.lit("{\"events\": "), key))
+    x = e.select("event_id", numeric_series(text).alias("numbers"))
+    return x.select("event_id", F.size("numbers").cast("long").alias("n"), F.round(F.aggregate("numbers", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
 
 
 def reference_rows() -> list[tuple[str, str, str, float]]:
@@ -80,9 +148,22 @@ def reference_rows() -> list[tuple[str, str, str, float]]:
     return rows
 
 
-@query("src17", "region", sql="SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{n}', '{d}', {k!r}::DOUBLE)" for t, n, d, k in reference_rows()) + ") t(name_of_table, name, detail, value)")
-def reference_table(any_table: DataFrame) -> DataFrame:
-    return any_table.sparkSession.createDataFrame(reference_rows(), "name_of_table string, name string, detail string, value double")
+_REFERENCE_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{n}', '{d}', {k!r}::DOUBLE)" for t, n, d, k in reference_rows()) + ") t(name_of_table, name, detail, value))"
+
+
+def reference_tables(spark: SparkSession) -> DataFrame:
+    """All reference tables as one Parquet table, a folder for each, written and read."""
+    rows = spark.createDataFrame(reference_rows(), "name_of_table string, name string, detail string, value double")
+    rows.write.partitionBy("name_of_table").parquet(path := scratch_path(spark, "reference"))
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query("src17", "lineitem", sql=f"WITH g AS (SELECT name, value FROM {_REFERENCE_SQL} WHERE name_of_table = 'grid_year'), x AS (SELECT year(l_shipdate) + 20 AS y, l_quantity FROM lineitem) SELECT y::BIGINT AS year, count(*)::BIGINT AS n, round(sum(l_quantity) * any_value(value), 4) AS emissions FROM x LEFT JOIN g ON y::VARCHAR = name GROUP BY 1")
+def with_reference_table(line: DataFrame) -> DataFrame:
+    """Quantities by year, 20 years on, by the grid factor of that year out of the reference tables; null for a year without one."""
+    grid = reference_tables(line.sparkSession).where(F.col("name_of_table") == "grid_year").select("name", "value")
+    by = line.groupBy((F.year("l_shipdate") + 20).cast("long").alias("year")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+    return by.join(F.broadcast(grid), F.col("year").cast("string") == F.col("name"), "left").select("year", "n", F.round(F.col("q") * F.col("value"), 4).alias("emissions"))
 
 
 @query("snk4", "supplier", sql="SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey > 10")
