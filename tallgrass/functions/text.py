@@ -124,7 +124,7 @@ def tax_ids(c: DataFrame) -> DataFrame:
 
 
 #: A string of JSON, or a whole number with a fraction of zero.
-_WHOLE = r'("(?:[^"\\\\]|\\\\.)*")|(-?\d+)\.0(?=[,\]}]|$)'
+_WHOLE = r'("(?:[^"\\]|\\.)*")|(-?\d+)\.0(?=[,\]}]|$)'
 
 
 def stable_json(text: Column) -> Column:

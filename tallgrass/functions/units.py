@@ -122,14 +122,24 @@ def convert(line: DataFrame) -> DataFrame:
     return converted(_pairs(line), "l_quantity", "from_unit", "to_unit").select("l_orderkey", "l_linenumber", "problem", F.round("converted", 6).alias("converted"))
 
 
-@query("sc_m2", "region", sql=f"SELECT family, count(*)::BIGINT AS n, string_agg(unit, ',' ORDER BY unit) AS units FROM {UNIT_SQL} GROUP BY 1")
-def units_in_family(any_table: DataFrame) -> DataFrame:
-    return unit_rows(any_table.sparkSession).groupBy("family").agg(F.count("*").alias("n"), F.concat_ws(",", F.sort_array(F.collect_list("unit"))).alias("units"))
-
-
-@query("sc_m3", "region", sql=f"SELECT * FROM {_values(list(ALIASES.items()), 'alias, unit')}")
-def aliases(any_table: DataFrame) -> DataFrame:
-    return any_table.sparkSession.createDataFrame(list(ALIASES.items()), "alias string, unit string")
+@query("sc_m2", "lineitem", sql=f"""WITH u AS {UNIT_SQL}, x AS (SELECT {_PAIR_SQL[0]} AS from_unit, {_PAIR_SQL[1]} AS to_unit, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2), f AS (SELECT family, count(*)::BIGINT AS in_family, string_agg(unit, ',' ORDER BY unit) AS units FROM u GROUP BY 1)
+SELECT from_unit, to_unit, n, a.family, in_family, units, coalesce(a.family = b.family AND a.family <> 'MONEY', false) AS can_convert FROM x LEFT JOIN u a ON lower(from_unit) = a.unit LEFT JOIN u b ON lower(to_unit) = b.unit LEFT JOIN f ON f.family = a.family""")
+def families_of_units(line: DataFrame) -> DataFrame:
+    """The family of each pair of units, all units of that family, and whether the pair converts."""
+    units = unit_rows(line.sparkSession)
+    families = units.groupBy("family").agg(F.count("*").alias("in_family"), F.concat_ws(",", F.sort_array(F.collect_list("unit"))).alias("units"))
+    x = _pairs(line).groupBy("from_unit", "to_unit").agg(F.count("*").alias("n"))
+    x = converted(x.withColumn("one", F.lit(1.0)), "one", "from_unit", "to_unit").withColumn("can_convert", F.col("problem").isNull())
+    of = units.join(families, "family").select(F.col("unit").alias("_unit"), "family", "in_family", "units")
+    return x.join(F.broadcast(of), F.lower("from_unit") == F.col("_unit"), "left").select("from_unit", "to_unit", "n", "family", "in_family", "units", "can_convert")
+
+
+@query("sc_m3", "lineitem", sql=f"WITH a AS {_values(list(ALIASES.items()), 'alias, unit')} SELECT l_orderkey, l_linenumber, coalesce(unit, lower(trim(f))) AS unit FROM (SELECT l_orderkey, l_linenumber, {_PAIR_SQL[0]} AS f FROM lineitem) LEFT JOIN a ON lower(trim(f)) = alias")
+def normal_units(line: DataFrame) -> DataFrame:
+    """The unit that each line's spelling stands for; an unknown spelling stays, trimmed and in lower case."""
+    rows = line.sparkSession.createDataFrame(list(ALIASES.items()), "alias string, unit string")
+    low = F.lower(F.trim("from_unit"))
+    return _pairs(line).join(F.broadcast(rows), low == F.col("alias"), "left").select("l_orderkey", "l_linenumber", F.coalesce("unit", low).alias("unit"))
 
 
 def spelled(text: Column) -> Column:

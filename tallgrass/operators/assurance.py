@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
+from ..sources.numbered import numbered
 from ..sources.scratch import scratch_path
 from .emissions import USABLE_SQL, usable
 
@@ -157,8 +158,7 @@ def merkle(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     task holds a whole tree.
     """
     spark, size = rows.sparkSession, 1 << LEVELS
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    x = rows.select(*by, "h", place.cast("long").alias("place"), F.count("*").over(Window.partitionBy(*by)).alias("leaves")).withColumn("n", F.col("leaves"))
+    x = numbered(rows, by, order).select(*by, "h", "place", F.col("n").alias("leaves"), "n")
 
     def fold(block: pd.DataFrame) -> pd.DataFrame:
         nodes, levels = [bytes.fromhex(h) for h in block.sort_values("place")["h"]], 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
+from ..sources.scratch import scratch_path
 from .emissions import USABLE_SQL, usable
 
 #: (mapping, disclosure, keys, rule): literal mapping rows of our own, one for each rule that resolution knows.
@@ -102,25 +103,41 @@ def framework_keys(e: DataFrame) -> DataFrame:
     return e.join(F.broadcast(keys), "canonical_key", "left_semi").groupBy("canonical_key").agg(F.count("*").alias("n"))
 
 
-@query("jn22", "region", sql=f"WITH {MAPPING_SQL}, x AS (SELECT unnest(keys) AS canonical_key, disclosure FROM mapping UNION SELECT 'ghg_scope1_total', 'GRI-305-1' UNION SELECT 'ghg_scope2_location', 'GRI-305-2') SELECT canonical_key, string_agg(disclosure, ',' ORDER BY disclosure) AS disclosures FROM x GROUP BY 1")
-def crosswalk(any_table: DataFrame) -> DataFrame:
-    """Keys to disclosures: inverted mappings merged with literal pairs."""
-    spark = any_table.sparkSession
-    golden = spark.createDataFrame([("ghg_scope1_total", "GRI-305-1"), ("ghg_scope2_location", "GRI-305-2")], "canonical_key string, disclosure string")
+#: Pairs that are known without a mapping.
+GOLDEN = (("ghg_scope1_total", "GRI-305-1"), ("ghg_scope2_location", "GRI-305-2"))
+_CROSSWALK = "w AS (SELECT canonical_key, string_agg(disclosure, ',' ORDER BY disclosure) AS disclosures FROM (SELECT unnest(keys) AS canonical_key, disclosure FROM mapping UNION " + " UNION ".join(f"SELECT '{k}', '{d}'" for k, d in GOLDEN) + ") GROUP BY 1)"
+
+
+def crosswalk(spark: SparkSession) -> DataFrame:
+    """Keys to disclosures: inverted mappings merged with literal pairs, as a table that is written and read."""
+    golden = spark.createDataFrame(list(GOLDEN), "canonical_key string, disclosure string")
     pairs = mappings(spark).select(F.explode("keys").alias("canonical_key"), "disclosure").union(golden)
-    return pairs.groupBy("canonical_key").agg(F.concat_ws(",", F.sort_array(F.collect_set("disclosure"))).alias("disclosures"))
+    rows = pairs.groupBy("canonical_key").agg(F.concat_ws(",", F.sort_array(F.collect_set("disclosure"))).alias("disclosures"))
+    rows.write.parquet(path := scratch_path(spark, "crosswalk"))
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query("jn22", "metric_event", sql=f"WITH {MAPPING_SQL}, {_CROSSWALK} SELECT coalesce(e.canonical_key, w.canonical_key) AS canonical_key, disclosures, count(e.canonical_key)::BIGINT AS n FROM metric_event e FULL JOIN w ON e.canonical_key = w.canonical_key GROUP BY 1, 2")
+def covered_keys(e: DataFrame) -> DataFrame:
+    """Which disclosures the keys of events serve, and how many events a key has; keys of either side alone stay."""
+    by = e.groupBy("canonical_key").agg(F.count("*").alias("n"))
+    return by.join(crosswalk(e.sparkSession), "canonical_key", "full").select("canonical_key", "disclosures", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("set1", "region", sql=f"WITH {MAPPING_SQL} SELECT DISTINCT unnest(keys) AS canonical_key FROM mapping")
-def union_distinct(any_table: DataFrame) -> DataFrame:
-    return mappings(any_table.sparkSession).select(F.explode("keys").alias("canonical_key")).distinct()
+@query("set1", "metric_event", sql=f"WITH {MAPPING_SQL}, x AS (SELECT DISTINCT unnest(keys) AS canonical_key FROM mapping), r AS (SELECT DISTINCT canonical_key FROM metric_event) SELECT coalesce(x.canonical_key, r.canonical_key) AS canonical_key, x.canonical_key IS NOT NULL AS mapped, r.canonical_key IS NOT NULL AS reported FROM x FULL JOIN r ON x.canonical_key = r.canonical_key")
+def union_distinct(e: DataFrame) -> DataFrame:
+    """All keys of mappings and events, each once, and where they are from."""
+    mapped = mappings(e.sparkSession).select(F.explode("keys").alias("canonical_key"), F.lit(True).alias("mapped"), F.lit(False).alias("reported"))
+    both = mapped.union(e.select("canonical_key", F.lit(False), F.lit(True)))
+    return both.groupBy("canonical_key").agg(F.max("mapped").alias("mapped"), F.max("reported").alias("reported"))
 
 
-@query("set3", "region", sql=f"WITH {MAPPING_SQL}, x AS (SELECT left(disclosure, 2) AS framework, unnest(keys) AS k FROM mapping UNION SELECT 'P6', 'energy_total') SELECT framework, string_agg(k, ',' ORDER BY k) AS keys FROM x GROUP BY 1")
-def union_by_framework(any_table: DataFrame) -> DataFrame:
-    derived = F.when(F.col("framework") == "P6", F.array(F.lit("energy_total"))).otherwise(F.array().cast("array<string>"))
-    by = mappings(any_table.sparkSession).groupBy(F.substring("disclosure", 1, 2).alias("framework")).agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("k"))
-    return by.select("framework", F.concat_ws(",", F.sort_array(F.array_union("k", derived))).alias("keys"))
+@query("set3", "metric_event", sql=f"WITH {MAPPING_SQL}, x AS (SELECT left(disclosure, 2) AS framework, unnest(keys) AS k FROM mapping UNION SELECT 'P6', canonical_key FROM metric_event WHERE canonical_key LIKE 'ghg_scope3%') SELECT framework, string_agg(k, ',' ORDER BY k) AS keys FROM x GROUP BY 1")
+def union_by_framework(e: DataFrame) -> DataFrame:
+    """Of each framework the keys of its mappings and those derived from events, each once."""
+    derived = e.where(F.col("canonical_key").startswith("ghg_scope3")).select(F.lit("P6").alias("framework"), F.col("canonical_key").alias("k")).distinct()
+    both = mappings(e.sparkSession).select(F.substring("disclosure", 1, 2).alias("framework"), F.explode("keys").alias("k")).union(derived)
+    return both.groupBy("framework").agg(F.concat_ws(",", F.sort_array(F.collect_set("k"))).alias("keys"))
 
 
 @query("set4", "metric_event", sql=f"WITH {MAPPING_SQL}, x AS (SELECT DISTINCT unnest(keys) AS k FROM mapping), t AS (SELECT DISTINCT tenant_id FROM metric_event) SELECT tenant_id, count(*)::BIGINT AS missing FROM t CROSS JOIN x WHERE NOT EXISTS (SELECT 1 FROM metric_event e WHERE e.tenant_id = t.tenant_id AND canonical_key = k) GROUP BY 1")

@@ -215,7 +215,6 @@ _BY_EMISSIONS = f"SELECT scope_node_id, round(sum(value), 3) AS emissions FROM m
 
 
 @query("srt7", "metric_event", sql=_BY_EMISSIONS)
-@query("srt7_all", "metric_event", sql=_BY_EMISSIONS)
 def facilities_by_emissions(e: DataFrame) -> DataFrame:
     """All facilities with emissions, the largest first."""
     sums = usable(e).where(F.col("canonical_key").startswith("ghg_")).groupBy("scope_node_id").agg(F.round(F.sum("value"), 3).alias("emissions"))

@@ -141,13 +141,26 @@ def agreement(f: DataFrame) -> DataFrame:
     return f.groupBy("document_id", "canonical_key").agg(F.round(F.exp(-6 * (high - low) / F.greatest(F.abs(high), F.lit(1e-9))), 6).alias("agreement"))
 
 
-@query("ag29", "extraction_field", sql="""WITH g AS (SELECT document_id, canonical_key, min_by(value_num, id) AS base, max(value_num) AS hi, min(value_num) AS lo, max_by(id, (confidence, id)) AS best FROM extraction_field GROUP BY ALL)
-SELECT document_id, canonical_key, CASE WHEN greatest(abs(hi - base), abs(lo - base)) / greatest(abs(base), 1e-9) <= 0.02 THEN best END AS best FROM g""")
+@query("ag29", "extraction_field", sql="""WITH x AS (SELECT *, year(created_at)::BIGINT AS year, coalesce(value_text, '') AS dimension, length(value_num::BIGINT::VARCHAR) AS size FROM extraction_field),
+d AS (SELECT document_id, canonical_key, year, dimension, round(value_num, 4) AS v, min(id) AS first, min((-confidence, size, id)) AS best FROM x GROUP BY ALL),
+g AS (SELECT document_id, canonical_key, year, dimension, count(*) AS n, min_by(v, first) AS base, max(v) AS hi, min(v) AS lo, min(best) AS best FROM d GROUP BY ALL),
+t AS (SELECT *, n < 2 OR CASE WHEN base = 0 THEN greatest(abs(hi), abs(lo)) < 1e-9 ELSE greatest(abs(hi - base), abs(lo - base)) / abs(base) <= 0.02 END AS agree FROM g)
+SELECT document_id, canonical_key, year, dimension, best[3] AS id, false AS needs_review FROM t WHERE agree UNION ALL
+SELECT document_id, canonical_key, year, dimension, first, true FROM (SELECT d.*, row_number() OVER (PARTITION BY document_id, canonical_key, year, dimension ORDER BY first) AS r FROM d JOIN t USING (document_id, canonical_key, year, dimension) WHERE NOT agree) WHERE r <= 2""")
 def merge_fields(f: DataFrame) -> DataFrame:
-    """Values within 2 per cent of the first agree and leave the best; others stay apart (null)."""
-    g = f.groupBy("document_id", "canonical_key").agg(F.min_by("value_num", "id").alias("pivot"), F.max("value_num").alias("hi"), F.min("value_num").alias("lo"), F.max_by("id", F.struct("confidence", "id")).alias("best"))
-    spread = F.greatest(F.abs(F.col("hi") - F.col("pivot")), F.abs(F.col("lo") - F.col("pivot"))) / F.greatest(F.abs("pivot"), F.lit(1e-9))
-    return g.select("document_id", "canonical_key", F.when(spread <= 0.02, F.col("best")).alias("best"))
+    """One field for each key, period and dimension of a document where its values are within 2 per cent of the first: the surest, then the shortest, then the first.
+
+    Where they are not, the first two different values stay, both for review.
+    """
+    by = ["document_id", "canonical_key", "year", "dimension"]
+    x = f.withColumns({"year": F.year("created_at").cast("long"), "dimension": F.coalesce("value_text", F.lit("")), "v": F.round("value_num", 4), "size": F.length(F.col("value_num").cast("long").cast("string"))})
+    values = x.groupBy(*by, "v").agg(F.min("id").alias("first"), F.min(F.struct((-F.col("confidence")).alias("c"), "size", "id")).alias("best"))
+    g = values.groupBy(*by).agg(F.count("*").alias("n"), F.min_by("v", "first").alias("pivot"), F.max("v").alias("hi"), F.min("v").alias("lo"), F.min("best").alias("best"))
+    pivot = F.col("pivot")
+    far = F.when(pivot == 0, F.greatest(F.abs("hi"), F.abs("lo")) < 1e-9).otherwise(F.greatest(F.abs(F.col("hi") - pivot), F.abs(F.col("lo") - pivot)) / F.abs(pivot) <= 0.02)
+    g = g.withColumn("agree", (F.col("n") < 2) | far)
+    two = values.join(g.where(~F.col("agree")).select(*by), by).withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("first"))).where(F.col("r") <= 2)
+    return g.where("agree").select(*by, F.col("best.id").alias("id"), F.lit(False).alias("needs_review")).union(two.select(*by, F.col("first").alias("id"), F.lit(True).alias("needs_review")))
 
 
 @query("snk9", "extraction_field", sql="SELECT document_id, count(*) FILTER (confidence < 0.85)::BIGINT AS needs_review, CASE WHEN avg(confidence) < 0.85 THEN 'NEEDS_REVIEW' ELSE 'EXTRACTED' END AS status FROM extraction_field GROUP BY 1")
@@ -193,7 +206,6 @@ _RANKED = f"SELECT id, level, row_number() OVER (ORDER BY list_position({list(SE
 
 
 @query("srt3", "extraction_field", sql=_RANKED)
-@query("srt3_all", "extraction_field", sql=_RANKED)
 def by_ordinal_all(f: DataFrame) -> DataFrame:
     """Ranks of all rows by the place of a level in its list, not by its name.
 
@@ -226,11 +238,14 @@ def in_bounds(f: DataFrame) -> DataFrame:
 
 # --- the rule pack: every rule is one column over a document's pivoted fields -------------------------------------------
 
+# Who complains.
+GROUPS = ("employees", "consumers", "workers", "community", "shareholders", "value_chain")
+COMPLAINTS = tuple(f"complaints_{what}_{g}" for g in GROUPS for what in ("received", "resolved"))
 FIELDS = (
-    "headcount_total headcount_female headcount_male lgbtq pwd complaints_received complaints_resolved women_mgmt_pct renewable_kwh grid_kwh electricity_kwh "
+    "headcount_total headcount_female headcount_male lgbtq pwd women_mgmt_pct gender_pay_gap_pct renewable_kwh grid_kwh electricity_kwh "
     "water_consumed water_withdrawn water_recycled water_discharged waste_recycled waste_haz waste_non scope2_location scope2_market women_directors directors "
     "independent_directors certified_independent diesel_l fatalities safety_trained hr_trained capex turnover csr_spend pat cost_inr period_days"
-).split()
+).split() + list(COMPLAINTS)
 
 
 @dataclass(frozen=True)
@@ -247,20 +262,21 @@ def _c(name: str) -> Column:
 
 
 CONSUMED = "electricity_kwh renewable_kwh grid_kwh diesel_l water_consumed water_withdrawn water_recycled water_discharged waste_recycled waste_haz waste_non".split()
-COUNTED = "headcount_total headcount_female headcount_male lgbtq pwd complaints_received complaints_resolved directors women_directors independent_directors fatalities".split()
+COUNTED = "headcount_total headcount_female headcount_male lgbtq pwd directors women_directors independent_directors fatalities".split() + list(COMPLAINTS)
 
 
 def _any(names: list[str], fails: Callable[[Column], Column]) -> Column:
     return reduce(lambda a, b: a | b, (fails(_c(n)) for n in names))
 
 
+# Names, severities and limits of the rules.
 RULES = (
     Rule("PHY_NON_NEGATIVE", "E", lambda: _any(CONSUMED, lambda c: c < 0)),
     Rule("PHY_COUNT_INTEGER", "W", lambda: _any(COUNTED, lambda c: F.abs(c - F.round(c)) > 1e-6)),
-    Rule("PHY_PERCENT_RANGE", "E", lambda: (_c("women_mgmt_pct") < 0) | (_c("women_mgmt_pct") > 100)),
+    Rule("PHY_PERCENT_RANGE", "E", lambda: (_c("women_mgmt_pct") < 0) | (_c("women_mgmt_pct") > 100) | (F.abs("gender_pay_gap_pct") > 100)),
     Rule("LOG_GENDER_SUM_LE_TOTAL", "E", lambda: _c("headcount_male") + _c("headcount_female") > _c("headcount_total") + 0.5),
     Rule("LOG_LGBTQ_PWD_SUM_LE_TOTAL", "W", lambda: _c("lgbtq") + _c("pwd") > _c("headcount_total") + 0.5),
-    Rule("LOG_COMPLAINTS_RESOLVED_LE_RECEIVED", "E", lambda: _c("complaints_resolved") > _c("complaints_received") + 0.5),
+    Rule("LOG_COMPLAINTS_RESOLVED_LE_RECEIVED", "E", lambda: reduce(lambda a, b: a | b, (_c(f"complaints_resolved_{g}") > _c(f"complaints_received_{g}") + 0.5 for g in GROUPS))),
     Rule("LOG_WOMEN_MGMT_VS_WORKFORCE", "W", lambda: _c("women_mgmt_pct") > 100 * _c("headcount_female") / F.nullif(_c("headcount_total"), F.lit(0.0)) + 25),
     Rule("LOG_RENEWABLE_LE_TOTAL_ELEC", "E", lambda: _c("renewable_kwh") > _c("electricity_kwh") * 1.001),
     Rule("LOG_GRID_RENEW_SUM_EQ_TOTAL", "W", lambda: F.abs(_c("grid_kwh") + _c("renewable_kwh") - _c("electricity_kwh")) > 0.05 * F.greatest(_c("electricity_kwh"), F.lit(1e-9))),
@@ -302,8 +318,8 @@ def apply_rules(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFr
 
 _PIVOT = "d AS (SELECT document_id, " + ", ".join(f"max_by(v, place) FILTER (k = '{f}') AS {f}" for f in FIELDS) + f" FROM (SELECT l_orderkey % 1000 AS document_id, {FIELDS!r}[((l_orderkey * 7 + l_linenumber * 5 + l_partkey) % {len(FIELDS)} + 1)::INT] AS k, l_quantity - 2 AS v, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS place FROM lineitem) GROUP BY 1)"
 _RULE_SQL = {
-    "PHY_NON_NEGATIVE": " OR ".join(f"{c} < 0" for c in CONSUMED), "PHY_COUNT_INTEGER": " OR ".join(f"abs({c} - round({c})) > 1e-6" for c in COUNTED), "PHY_PERCENT_RANGE": "women_mgmt_pct < 0 OR women_mgmt_pct > 100",
-    "LOG_GENDER_SUM_LE_TOTAL": "headcount_male + headcount_female > headcount_total + 0.5", "LOG_LGBTQ_PWD_SUM_LE_TOTAL": "lgbtq + pwd > headcount_total + 0.5", "LOG_COMPLAINTS_RESOLVED_LE_RECEIVED": "complaints_resolved > complaints_received + 0.5",
+    "PHY_NON_NEGATIVE": " OR ".join(f"{c} < 0" for c in CONSUMED), "PHY_COUNT_INTEGER": " OR ".join(f"abs({c} - round({c})) > 1e-6" for c in COUNTED), "PHY_PERCENT_RANGE": "women_mgmt_pct < 0 OR women_mgmt_pct > 100 OR abs(gender_pay_gap_pct) > 100",
+    "LOG_GENDER_SUM_LE_TOTAL": "headcount_male + headcount_female > headcount_total + 0.5", "LOG_LGBTQ_PWD_SUM_LE_TOTAL": "lgbtq + pwd > headcount_total + 0.5", "LOG_COMPLAINTS_RESOLVED_LE_RECEIVED": " OR ".join(f"complaints_resolved_{g} > complaints_received_{g} + 0.5" for g in GROUPS),
     "LOG_WOMEN_MGMT_VS_WORKFORCE": "women_mgmt_pct > 100 * headcount_female / nullif(headcount_total, 0) + 25", "LOG_RENEWABLE_LE_TOTAL_ELEC": "renewable_kwh > electricity_kwh * 1.001",
     "LOG_GRID_RENEW_SUM_EQ_TOTAL": "abs(grid_kwh + renewable_kwh - electricity_kwh) > 0.05 * greatest(electricity_kwh, 1e-9)", "LOG_WATER_CONSUMED_LE_WITHDRAWN": "water_consumed > water_withdrawn * 1.001",
     "LOG_WATER_RECYCLED_LE_BASIS": "water_recycled > (water_consumed + water_discharged) * 1.001", "LOG_WASTE_RECYCLED_LE_TOTAL": "waste_haz + waste_non > 0 AND waste_recycled > (waste_haz + waste_non) * 1.001",
@@ -322,20 +338,11 @@ def rule_issues(line: DataFrame) -> DataFrame:
     return apply_rules(pivoted(line))
 
 
-@query("sc_m12", "lineitem", sql=f"WITH {_ISSUES} SELECT d.document_id, count(rule) FILTER (severity = 'E')::BIGINT AS errors, count(rule) FILTER (severity = 'W')::BIGINT AS warnings, CASE count(rule) FILTER (severity = 'E') WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS score, count(rule) FILTER (severity IN ('E', 'W')) > 0 AS needs_review FROM d LEFT JOIN i USING (document_id) GROUP BY 1")
-def rule_score(line: DataFrame) -> DataFrame:
-    """Score by errors; any error or warning asks for review."""
-    docs = pivoted(line)
-    issues = apply_rules(docs).groupBy("document_id").agg(F.count_if(F.col("severity") == "E").alias("errors"), F.count_if(F.col("severity") == "W").alias("warnings"))
-    x = docs.select("document_id").join(issues, "document_id", "left").select("document_id", F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("warnings", F.lit(0)).alias("warnings"))
-    score = F.when(F.col("errors") == 0, 1.0).when(F.col("errors") == 1, 0.5).otherwise(0.0)
-    return x.withColumn("score", score).withColumn("needs_review", F.col("errors") + F.col("warnings") > 0)
-
-
 # --- rules over single fields -------------------------------------------------------------------------------------------
 
 #: The day that the period rule takes as today.
 TODAY = "1997-07-01"
+# Forms of registration numbers.
 CIN, PAN = "^[LU][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6}$", "^[A-Z]{5}[0-9]{4}[A-Z]$"
 
 
@@ -397,3 +404,18 @@ UNION ALL SELECT id, 'REG_VALUE_CONSTRAINTS', 'W' FROM x WHERE k NOT IN ('cin',
 @query("rules_field", "extraction_field", sql=_FIELD_SQL)
 def field_issues(f: DataFrame) -> DataFrame:
     return apply_field_rules(field_rows(f))
+
+
+@query("sc_m12", "lineitem", "extraction_field", sql=f"""WITH {_ISSUES}, j AS ({_FIELD_SQL}), k AS (SELECT document_id, severity FROM i UNION ALL SELECT document_id, severity FROM j JOIN (SELECT id, document_id FROM extraction_field) USING (id)),
+c AS (SELECT d.document_id, count(*) FILTER (severity = 'E')::BIGINT AS errors, count(*) FILTER (severity = 'W')::BIGINT AS warnings FROM d LEFT JOIN k USING (document_id) GROUP BY 1)
+SELECT *, CASE errors WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS score, round(greatest(0, 1 - 0.5 * errors - 0.1 * warnings), 6)::DOUBLE AS layer_score, errors + warnings > 0 AS needs_review FROM c""")
+def rule_score(line: DataFrame, f: DataFrame) -> DataFrame:
+    """Scores of a document by the errors, and by errors and warnings, of all rules over its fields together and over each; any of them asks for review."""
+    docs = pivoted(line)
+    single = apply_field_rules(field_rows(f)).join(f.select("id", "document_id"), "id")
+    issues = apply_rules(docs).select("document_id", "severity").union(single.select("document_id", "severity"))
+    counts = issues.groupBy("document_id").agg(F.count_if(F.col("severity") == "E").alias("errors"), F.count_if(F.col("severity") == "W").alias("warnings"))
+    x = docs.select("document_id").join(counts, "document_id", "left").select("document_id", F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("warnings", F.lit(0)).alias("warnings"))
+    score = F.when(F.col("errors") == 0, 1.0).when(F.col("errors") == 1, 0.5).otherwise(0.0)
+    layer = F.round(F.greatest(F.lit(0.0), 1 - 0.5 * F.col("errors") - 0.1 * F.col("warnings")), 6)
+    return x.withColumns({"score": score, "layer_score": layer, "needs_review": F.col("errors") + F.col("warnings") > 0})

@@ -117,7 +117,6 @@ _BY_COST = f"SELECT id, round(mac, 4) AS mac FROM ({MAC}) ORDER BY 2, 1"
 
 
 @query("srt8", "part", sql=_BY_COST)
-@query("srt8_all", "part", sql=_BY_COST)
 def cost_curve_all(part: DataFrame) -> DataFrame:
     """All projects by rising cost of a tonne."""
     return mac_frame(part).select("id", F.round("mac", 4).alias("mac")).orderBy("mac", "id")
