@@ -29,29 +29,76 @@ from .common import arrow_rows, arrow_schema, scratch_path, staged, table
 ARC = "archive string, version int, url string, ip string, arc_date string, content_type string, status int, payload binary"
 WARC = "record_id string, record_type string, url string, warc_date string, content_type string, payload_digest string, refers_to_record string, refers_to long, payload_bytes long, page_id long, payload binary, intact boolean"
 _ARC_FIELDS = {1: 5, 2: 10}
-#: Records of an archive file, rows that move from Python to Spark at once, and bytes that are unzipped at a time.
-FILE_RECORDS, ROWS, UNZIP = 20_000, 1_000, 1 << 14
+#: Payload bytes that an archive file is meant to have and has at most (or one record), its records at most.
+FILE_BYTES, MOST_BYTES, FILE_RECORDS = 128 << 20, 1 << 30, 20_000
+#: Rows, and bytes of their payloads, that move from Python to Spark at once; bytes that are unzipped at a time.
+ROWS, ROW_BYTES, UNZIP = 1_000, 32 << 20, 1 << 14
 #: What parts compressed records: a gzip member without content.
 _NO_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122: names that are URLs
 
 
-def unzipped(blob: bytes) -> bytes:
-    """All members of a gzip file, or the bytes as they are; in time that grows with the bytes, however many members they are in."""
+def pieces(blob: bytes) -> Iterator[bytes]:
+    """What a gzip file of however many members holds, or the bytes as they are, a piece at a time."""
+    view, at = memoryview(blob), 0
     if blob[:2] != b"\x1f\x8b":
-        return blob
-    view, at, out = memoryview(blob), 0, []
+        for at in range(0, len(view), 4 * UNZIP):
+            yield bytes(view[at : at + 4 * UNZIP])
+        return
     while at < len(view):
         member = zlib.decompressobj(31)
         while not member.eof:
             part = view[at : at + UNZIP]
             if not len(part):
                 raise EOFError("the archive ends within a member")
-            out.append(member.decompress(part))
+            yield member.decompress(part)
             at += len(part) - len(member.unused_data)
         while at < len(view) and not view[at]:  # padding
             at += 1
-    return b"".join(out)
+
+
+class Reader:
+    """Bytes out of pieces, of which only what is asked for is held."""
+
+    def __init__(self, parts: Iterator[bytes]):
+        self.parts, self.held, self.first, self.at = parts, bytearray(), 0, 0
+
+    def more(self) -> bool:
+        part = next((p for p in self.parts if p), None)
+        if part is None:
+            return False
+        del self.held[: self.first]
+        self.first = 0
+        self.held += part
+        return True
+
+    def left(self) -> int:
+        return len(self.held) - self.first
+
+    def next_byte(self) -> bytes:
+        """The byte that comes next, which stays; none at the end."""
+        while not self.left():
+            if not self.more():
+                return b""
+        return bytes(self.held[self.first : self.first + 1])
+
+    def take(self, n: int) -> bytes:
+        """So many bytes, or as many as there are."""
+        while self.left() < n and self.more():
+            pass
+        out = bytes(self.held[self.first : self.first + n])
+        self.first += len(out)
+        self.at += len(out)
+        return out
+
+    def until(self, mark: bytes) -> bytes | None:
+        """The bytes before a mark, which is passed over; None where there is none."""
+        seen = 0
+        while (end := self.held.find(mark, self.first + seen)) < 0:
+            seen = max(0, self.left() - len(mark) + 1)
+            if not self.more():
+                return None
+        return self.take(end - self.first + len(mark))[: -len(mark)]
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -59,30 +106,44 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def parse_arc(name: str, blob: bytes) -> Iterator[tuple]:
-    """Records of one ARC archive, its own description left out; ``ValueError`` names the place of a broken record."""
-    at, version = 0, 0
-    while at < len(blob):
-        if blob[at : at + 1] in (b"\n", b"\r"):  # between records
-            at += 1
+    """Records of one ARC archive, plain or gzip, its own description left out; ``ValueError`` names the place of a broken record."""
+    r, version = Reader(pieces(blob)), 0
+    while mark := r.next_byte():
+        if mark in (b"\n", b"\r"):  # between records
+            r.take(1)
             continue
-        end = blob.find(b"\n", at)
-        if end < 0:
+        at = r.at
+        line = r.until(b"\n")
+        if line is None:
             raise ValueError(f"{name}: no end of the header line at byte {at}")
-        fields = blob[at:end].rstrip(b"\r").decode("utf-8", "replace").split(" ")
+        fields = line.rstrip(b"\r").decode("utf-8", "replace").split(" ")
         described = fields[0].startswith("filedesc://")
+        length = int(fields[-1]) if fields[-1].isdigit() else None
+        start = r.at
+        payload = r.take(length) if length is not None else b""
         if described:
-            own = blob[end + 1 : blob.find(b"\n", end + 1)].split(b" ")
+            own = payload.split(b"\n", 1)[0].split(b" ")
             version = int(own[0]) if own[0].isdigit() else 0
         want = _ARC_FIELDS.get(version)
-        if want is None or not fields[-1].isdigit() or len(fields) < want:
+        if want is None or length is None or len(fields) < want:
             raise ValueError(f"{name}: not a header line of ARC version {version} at byte {at}")
-        length = int(fields[-1])
-        start, at = end + 1, end + 1 + length
-        if at > len(blob):
-            raise ValueError(f"{name}: the record at byte {start} declares {length} bytes, {len(blob) - start} are there")
+        if len(payload) < length:
+            raise ValueError(f"{name}: the record at byte {start} declares {length} bytes, {len(payload)} are there")
         if not described:
             head, tail = " ".join(fields[: len(fields) - want + 1]), fields[len(fields) - want + 1 :]  # a URL may hold spaces
-            yield name, version, head, tail[0], tail[1], tail[2], int(tail[3]) if version == 2 and tail[3].isdigit() else None, blob[start:at]
+            yield name, version, head, tail[0], tail[1], tail[2], int(tail[3]) if version == 2 and tail[3].isdigit() else None, payload
+
+
+def in_batches(schema: pa.Schema, rows: Iterator[tuple], payload: int) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of bounded length and size; ``payload`` is the place of the column that counts."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[payload] or b"")
+        if len(held) >= ROWS or size >= ROW_BYTES:
+            yield arrow_rows(schema, held)
+            held, size = [], 0
+    yield arrow_rows(schema, held)
 
 
 def read_arc(archives: DataFrame) -> DataFrame:
@@ -91,15 +152,8 @@ def read_arc(archives: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(ARC)
         for batch in batches:
-            rows = []
-            for name, blob in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-                blob = blob.as_py() or b""
-                for record in parse_arc(name, unzipped(blob)):
-                    rows.append(record)
-                    if len(rows) >= ROWS:
-                        yield arrow_rows(schema, rows)
-                        rows = []
-            yield arrow_rows(schema, rows)
+            records = (x for name, blob in zip(batch["path"].to_pylist(), batch["content"], strict=True) for x in parse_arc(name, blob.as_py() or b""))
+            yield from in_batches(schema, records, 7)
 
     return archives.select("path", "content").mapInArrow(run, ARC)
 
@@ -127,11 +181,14 @@ def arc_to_warc(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     bytes each, payloads move once, by page id and digest.
     """
     records = records.withColumn("digest", F.sha1("payload"))
-    marks = records.where((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest", "url", "arc_date")
-    marks = staged(marks, "arc-digests")
+    marks = staged(records.select("page_id", "digest", "url", "arc_date", F.octet_length("payload").alias("size")), "arc-digests")
+    files = marks.agg(F.ceil(F.sum("size") / FILE_BYTES)).first()[0] or 1
+    marks = marks.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).drop("size")
     first = marks.groupBy("digest").agg(F.min(F.struct("page_id", "url", "arc_date")).alias("refers"))
     again = marks.join(first, "digest").where(F.col("page_id") != F.col("refers.page_id")).select("page_id", "digest", "refers").distinct()
-    return records.join(again, ["page_id", "digest"], "left")
+    # as many parts as there are to be files, and no fewer than Spark would make
+    parts = max(files, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return records.repartition(parts, "page_id", "digest").join(again, ["page_id", "digest"], "left")
 
 
 def warc_record(page_id: int | None, url: str, date: str, content_type: str, payload: bytes | None, refers: dict | None) -> bytes:
@@ -176,9 +233,12 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
     """Write records (page_id, url, arc_date, content_type, payload, refers) as WARC archives below ``path``.
 
     With ``gzip`` each record is a member of its own, as readers that seek to a
-    record need it; members without content stand between them.
+    record need it; members without content stand between them.  A part of
+    ``records`` becomes a file, or several: of as many records as have no more
+    than ``MOST_BYTES`` even if all were like the longest.
     """
     zipped = {"none": False, "gzip": True}[compression]
+    longest = records.agg(F.max(F.octet_length("payload"))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,45 +247,43 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
                 yield pa.RecordBatch.from_pydict({"value": [gzip.compress(x + b"\r\n\r\n", 6, mtime=0) for x in made] if zipped else made})
 
     archives = records.select("page_id", "url", "arc_date", "content_type", "payload", "refers").mapInArrow(run, "value binary")
-    writer = archives.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", FILE_RECORDS)
+    writer = archives.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", max(1, min(FILE_RECORDS, MOST_BYTES // max(1, longest))))
     writer.option("encoding", "ISO-8859-1").option("lineSep", _NO_MEMBER if zipped else "\r\n\r\n").text(path)
 
 
-def parse_warc(blob: bytes) -> Iterator[tuple]:
-    """Records of one archive by their declared lengths."""
-    at = 0
-    while at < len(blob):
-        end = blob.index(b"\r\n\r\n", at)
-        version, *lines = blob[at:end].decode("utf-8").split("\r\n")
+def parse_warc(blob: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of one archive, plain or gzip, by their declared lengths."""
+    r = Reader(pieces(blob))
+    while r.next_byte():
+        at = r.at
+        lines = r.until(b"\r\n\r\n")
+        version, *lines = (lines or b"").decode("utf-8").split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
-        start = end + 4
-        stop = start + int(head["content-length"])
-        if blob[stop : stop + 4] != b"\r\n\r\n":
+        block = r.take(int(head["content-length"]))
+        if len(block) < int(head["content-length"]) or r.take(4) != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} does not end where it declares")
-        yield head, blob[start:stop]
-        at = stop + 4
+        yield head, block
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Rows (columns ``WARC``) of all archives below ``path``, plain or gzip; ``intact`` tells whether block and digest agree.
 
-    An archive comes as one ``binaryFile`` value, so it may have 2 GB at most.
+    An archive comes as one ``binaryFile`` value, so it may have 2 GB at most; it
+    is unzipped and cut a record at a time.
     """
 
+    whole = lambda x: None if x is None else int(x)
+
+    def row(h: dict[str, str], block: bytes) -> tuple:
+        digest, kind = h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"]
+        return h["warc-record-id"], kind, h.get("warc-target-uri"), h["warc-date"], h.get("content-type"), digest, h.get("warc-refers-to"), whole(h.get("x-refers-to-page")), whole(h.get("x-payload-length")), whole(h.get("x-page-id")), block, kind == "revisit" or base32_sha1(block) == digest
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, whole = arrow_schema(WARC), lambda x: None if x is None else int(x)
         for batch in batches:
             for content in batch["content"]:
-                blob, rows = content.as_py(), []
-                for h, block in parse_warc(unzipped(blob)):
-                    digest, kind = h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"]
-                    rows.append((h["warc-record-id"], kind, h.get("warc-target-uri"), h["warc-date"], h.get("content-type"), digest, h.get("warc-refers-to"), whole(h.get("x-refers-to-page")), whole(h.get("x-payload-length")), whole(h.get("x-page-id")), block, kind == "revisit" or base32_sha1(block) == digest))
-                    if len(rows) >= ROWS:
-                        yield arrow_rows(schema, rows)
-                        rows = []
-                yield arrow_rows(schema, rows)
+                yield from in_batches(arrow_schema(WARC), (row(*x) for x in parse_warc(content.as_py())), 10)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, WARC)
 

@@ -425,9 +425,45 @@ def test_unzipped_members():
     r = random.Random(6)
     parts = [r.randbytes(r.choice((0, 1, 100, 40_000))) for _ in range(60)]
     blob = b"".join(gzip.compress(p) + b"\0" * (i % 3) for i, p in enumerate(parts))
-    assert warc.unzipped(blob) == b"".join(parts) and warc.unzipped(b"WARC/1.1") == b"WARC/1.1" and warc.unzipped(b"") == b""
+    unzipped = lambda x: b"".join(warc.pieces(x))
+    assert unzipped(blob) == b"".join(parts) and unzipped(b"WARC/1.1") == b"WARC/1.1" and unzipped(b"") == b""
     with pytest.raises(EOFError):
-        warc.unzipped(gzip.compress(b"abc" * 1000)[:-9])
+        unzipped(gzip.compress(b"abc" * 1000)[:-9])
+    for size in (1, 7, 1000):  # marks and bytes over the ends of pieces
+        data = r.randbytes(3000).replace(b"\r", b"x") + b"\r\n\r\n" + b"rest"
+        reader = warc.Reader(data[i : i + size] for i in range(0, len(data), size))
+        assert reader.until(b"\r\n\r\n") == data[:3000] and reader.next_byte() == b"r" and reader.take(9) == b"rest" and reader.next_byte() == b"" and reader.until(b"x") is None
+
+
+def test_long_payloads_in_several_files(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_BYTES", 3_000_000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 2_000_000)
+    r = random.Random(8)
+    rows = [(i, f"http://h/{i}", "".join(r.choices("abcdefgh <>&\r\n", k=r.choice((10, 200_000, 900_000))))) for i in range(40)]
+    rows += [(100 + i, f"http://h/{i}", rows[i][2]) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    for compression in ("none", "gzip"):
+        path = scratch_path(spark, "w")
+        out = {x["page_id"]: x for x in warc.pages_to_warc(pages, path, compression=compression).collect()}
+        assert {p: (x["payload_bytes"], x["payload_digest"], x["refers_to"], x["intact"]) for p, x in out.items()} == {p: (len(h), warc.base32_sha1(h.encode()), p - 100 if p >= 100 else None, True) for p, _, h in rows}
+        sizes = [f["length"] for f in spark.read.format("binaryFile").load(path).select("length").collect()]
+        assert len(sizes) > 5 and max(sizes) < 3_100_000
+
+
+def test_arc_of_many_records_in_several_files(spark):
+    import gzip
+
+    def archive(name, ids, version):
+        head = b"%d 0 org\nURL ...\n" % version
+        rest = b"" if version == 1 else b"200 - - 0 x.arc "
+        parts = [b"filedesc://%s 0.0.0.0 20010101000000 text/plain %s%d\n%s\n" % (name.encode(), rest, len(head), head)]
+        return parts + [b"http://h/%d 1.2.3.4 20020304050607 text/html %s%d\n%s\n" % (i, rest, 20_000 + i, bytes([65 + i % 20]) * (20_000 + i)) for i in ids]
+
+    plain, member = archive("a.arc", range(30), 1), archive("b.arc", range(30, 70), 2)
+    whole = gzip.compress(b"".join(archive("c.arc", range(70, 90), 1)))
+    frame = spark.createDataFrame([("a", b"".join(plain)), ("b", b"".join(gzip.compress(m) for m in member)), ("c", whole), ("d", None)], "path string, content binary")
+    out = {x["url"]: (x["archive"], x["version"], bytes(x["payload"])) for x in warc.read_arc(frame).collect()}
+    assert out == {f"http://h/{i}": ("a" if i < 30 else "b" if i < 70 else "c", 2 if 30 <= i < 70 else 1, bytes([65 + i % 20]) * (20_000 + i)) for i in range(90)}
 
 
 def test_arc_versions():
