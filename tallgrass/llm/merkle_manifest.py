@@ -2,7 +2,7 @@
 
 1. Every row becomes a leaf, in SQL functions.  Leaves are sorted by group and
    id in ranges, numbered, and written once.
-2. Blocks of ``SIZE`` neighbours become one hash each, in tasks.  Blocks of
+2. Blocks of 2 ** ``LEVELS`` neighbours become one hash each, in tasks.  Blocks of
    blocks follow until no more than ``TOP`` are left, so that at any size of the
    table the top tree is small.
 3. The driver builds the top tree from these: the rest of every group's tree and
@@ -75,9 +75,9 @@ def fold(node: str, steps: list[str]) -> str:
     return node
 
 
-def block_levels(n: int) -> int:
-    """Levels inside a block of a group of ``n`` nodes: all that a small group has, else ``LEVELS``."""
-    return min(LEVELS, (n - 1).bit_length())
+def block_levels(n: int, levels: int) -> int:
+    """Levels inside a block of a group of ``n`` nodes: all that a small group has, else ``levels``."""
+    return min(levels, (n - 1).bit_length())
 
 
 def numbered(leaves: DataFrame, group: str, by: list[str]) -> DataFrame:
@@ -98,16 +98,16 @@ def numbered(leaves: DataFrame, group: str, by: list[str]) -> DataFrame:
     return x.withColumn("at", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_part", "_g", "_p", "_first", "_before")
 
 
-def of_blocks(nodes: DataFrame) -> DataFrame:
+def of_blocks(nodes: DataFrame, levels: int) -> DataFrame:
     """The hash of each block of ``nodes`` (lang, at, n, h) as nodes again."""
 
     def run(block: pa.Table) -> pa.Table:
         block = block.sort_by("at")
         n, at = block["n"][0].as_py(), block["at"][0].as_py()
-        top = tree(block["h"].to_pylist(), block_levels(n))[-1][0]
-        return pa.table([block["lang"][:1], [at >> LEVELS], [-(-n >> LEVELS)], [top]], schema=arrow_schema("lang string, at long, n long, h string"))
+        top = tree(block["h"].to_pylist(), block_levels(n, levels))[-1][0]
+        return pa.table([block["lang"][:1], [at >> levels], [-(-n >> levels)], [top]], schema=arrow_schema("lang string, at long, n long, h string"))
 
-    rows = nodes.select("lang", "at", "n", "h", F.shiftright("at", LEVELS).alias("block"))
+    rows = nodes.select("lang", "at", "n", "h", F.shiftright("at", levels).alias("block"))
     return rows.groupBy("lang", "block").applyInArrow(run, "lang string, at long, n long, h string")
 
 
@@ -135,7 +135,7 @@ def top_tree(nodes: list[tuple[str | None, int, str]]) -> Top:
 OUT = "doc_id long, lang string, leaf string, subroot string, root string, steps array<string>, folded_root string"
 
 
-def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, tampered: dict[str, Column] | None = None, altered: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, tampered: dict[str, Column] | None = None, altered: Column | None = None, levels: int = LEVELS, most: int = TOP) -> DataFrame:
     """``doc_id, lang, leaf, subroot, root, steps, folded_root`` of every row of ``docs``.
 
     Rows of a ``lang`` are leaves by ``doc_id`` (null first, ties by their
@@ -153,19 +153,19 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, tampered: dict
     leaves = staged(numbered(staged(x, "leaves"), "lang", ["doc_id", "h", "tie"]).drop("tie"), "leaves-numbered")
     rounds = [leaves]
     while True:
-        rounds.append(staged(of_blocks(rounds[-1]), "merkle-blocks"))
-        left = rounds[-1].limit(TOP + 1).collect()
-        if len(left) <= TOP or all(r["n"] == 1 for r in left) and rounds[-1].where("n > 1").isEmpty():
+        rounds.append(staged(of_blocks(rounds[-1], levels), "merkle-blocks"))
+        left = rounds[-1].limit(most + 1).collect()
+        if len(left) <= most or all(r["n"] == 1 for r in left) and rounds[-1].where("n > 1").isEmpty():
             break
-    if len(left) > TOP:
-        raise ValueError(f"lang has more than {TOP} values")
+    if len(left) > most:
+        raise ValueError(f"lang has more than {most} values")
     top = top_tree([(r["lang"], r["at"], r["h"]) for r in left]) if left else Top({}, {}, "")
-    found = finished(rounds[:-1], top)
+    found = finished(rounds[:-1], top, levels)
     dropped(*rounds[1:])
     return found
 
 
-def finished(rounds: list[DataFrame], top: Top) -> DataFrame:
+def finished(rounds: list[DataFrame], top: Top, levels: int) -> DataFrame:
     """Every leaf with its steps, by way of the blocks of each round from the last to the first."""
     spark = rounds[0].sparkSession
     sent = spark.sparkContext.broadcast(top)
@@ -175,9 +175,9 @@ def finished(rounds: list[DataFrame], top: Top) -> DataFrame:
     def walked(block: pa.Table, above: list[str] | None) -> tuple[pa.Table, list[list[str]]]:
         block = block.sort_by("at")
         n, at, lang = (block[c][0].as_py() for c in ("n", "at", "lang"))
-        rest = sent.value.suffix[(lang, at >> LEVELS)] if above is None else above
-        levels = tree(block["h"].to_pylist(), block_levels(n))
-        return block, [path(levels, i) + rest for i in range(block.num_rows)]
+        rest = sent.value.suffix[(lang, at >> levels)] if above is None else above
+        own = tree(block["h"].to_pylist(), block_levels(n, levels))
+        return block, [path(own, i) + rest for i in range(block.num_rows)]
 
     def inner(block: pa.Table) -> pa.Table:
         block, steps = walked(block, block["above"][0].as_py() if "above" in block.column_names else None)
@@ -193,7 +193,7 @@ def finished(rounds: list[DataFrame], top: Top) -> DataFrame:
         return pa.Table.from_batches([arrow_rows(arrow_schema(OUT), rows)])
 
     for k in range(len(rounds) - 1, -1, -1):
-        x = rounds[k].withColumn("block", F.shiftright("at", LEVELS))
+        x = rounds[k].withColumn("block", F.shiftright("at", levels))
         if above is not None:
             names = above.select(F.col("lang").alias("_lang"), F.col("at").alias("_at"), F.col("steps").alias("above"))
             x = x.join(names, x["lang"].eqNullSafe(F.col("_lang")) & (F.col("block") == F.col("_at"))).drop("_lang", "_at")
