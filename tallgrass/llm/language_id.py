@@ -207,7 +207,12 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
 
 
 def keep_language(docs: DataFrame, min_score: float = 0.5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """The rows of ``docs`` with a known language by a score of at least ``min_score``, all columns as they are."""
+    """The rows of ``docs`` with a known language by a score of at least ``min_score``, all columns as they are.
+
+    A null text and one without a letter go; where there is nothing to learn
+    from, all go.  Repeated rows are kept or rejected together, rows with a null
+    id are predicted but not learnt from, an empty table gives an empty one.
+    """
     model = fit(docs, sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -200,7 +200,11 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows whose text passes every rule, unchanged; a feature is worked out only where the cascade comes to it."""
+    """The rows whose text passes every rule, all columns as they are; a feature is worked out only where the cascade comes to it.
+
+    A null or empty text has no words and fails.  Repeated rows are kept or
+    rejected together, a null id does not matter, an empty table gives an empty one.
+    """
     order = [r for r, _, _ in rule_order(docs, rules)]
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.where(let(words_of(text), lambda w: cascade(order, F.size(w), lambda name: FEATURES[name](text, w))))

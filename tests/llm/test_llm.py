@@ -719,3 +719,39 @@ def test_scratch_tables_that_nothing_reads_are_deleted(spark, sf_dir, monkeypatc
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     near_dedup.near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 85).count()
     assert "group-texts" in made and {n.rsplit("-", 1)[0] for n in os.listdir(tmp_path)} == {"sketches", "classes", "components"}
+
+
+def test_language_beside_columns_of_its_own_names(spark, sf_dir):
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    odd = given.select("*", F.lit("x").alias("lang_pred"), F.lit(True).alias("held_out"), F.lit(9.0).alias("score"), F.lit("b").alias("bucket"))
+    again = odd.limit(3)
+    rows = [(2**53 + 1, again.first()["text"], "en", "y", False, 1.0, "c"), (2**53 + 2, None, "en", "y", False, 1.0, "c")]
+    frame = odd.union(again).union(spark.createDataFrame(rows, odd.schema))
+    out = language_id.identify(frame)
+    assert out.columns == ["doc_id", "held_out", "lang_pred", "score"] and out.count() == frame.count()
+    by = {}
+    for r in out.collect():
+        by.setdefault(r["doc_id"], []).append((r["lang_pred"], r["score"], r["held_out"]))
+    for r in again.collect():
+        assert len(by[r["doc_id"]]) == 2 and len(set(by[r["doc_id"]])) == 1
+    assert by[2**53 + 1][0][:2] == by[again.first()["doc_id"]][0][:2] and by[2**53 + 2][0][:2] == ("und", 0.0)
+    assert all(held == (zlib.crc32(str(i).encode()) % 3 == 1) for i, x in by.items() for _, _, held in x)
+    kept = language_id.keep_language(frame)
+    assert kept.columns == frame.columns and {r["lang_pred"] for r in kept.select("lang_pred").collect()} <= {"x", "y"} and kept.where("doc_id = 9007199254740993").count() == 1
+
+
+def test_counts_by_sorting_and_by_buckets(monkeypatch):
+    r = random.Random(2)
+    some = ["", "a", "ab", *("".join(r.choice("abc äé 🙂\n") for _ in range(r.randrange(3000))) for _ in range(20))]
+    sorted_ones = [language_id.counts(t) for t in some]
+    monkeypatch.setattr(language_id, "FEW", 0)
+    for (a, n), (b, m) in zip(sorted_ones, map(language_id.counts, some), strict=True):
+        assert a.tolist() == b.tolist() and n.tolist() == m.tolist()
+
+
+def test_quality_beside_columns_of_its_own_names(spark):
+    rows = [(2**53 + 1, " ".join(f"{w}{i}" for i, w in enumerate(WORDS * 4)), "a", 7, False), (1, None, "b", None, True), (1, None, "b", None, True), (None, "", "c", 1, True)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, n_words string, word_chars long, kept boolean")
+    out = sorted(((r["doc_id"], r["n_words"], r["kept"]) for r in quality_rules.quality(odd).collect()), key=str)
+    assert out == sorted([(2**53 + 1, len(WORDS) * 4, True), (1, 0, False), (1, 0, False), (None, 0, False)], key=str)
+    assert [tuple(r) for r in quality_rules.keep_quality(odd).collect()] == [rows[0]]
