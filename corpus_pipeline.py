@@ -2,6 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and returns what the next one works on: the
 columns of ``documents`` for all but the last, which returns packed pieces.
+Every stage works on all rows that it is given, takes other columns along as
+they are (the last drops them), and gives an empty table for an empty one.
 """
 
 from __future__ import annotations
@@ -17,27 +19,27 @@ from tallgrass.llm.tier_packing import tier_pack
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule."""
+    """Documents that pass every rule. A null or empty text fails; rows that repeat stay or go together, whatever their ids."""
     return keep_quality(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language."""
+    """Documents in a known language. A null text, or one without a letter, is in none; rows that repeat stay or go together; rows with a null id are not learnt from."""
     return keep_language(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group on five-word shingles at a similarity of 0.8 or more."""
+    """One document of each group on five-word shingles at a similarity of 0.8 or more. Texts without words are no group; of rows that repeat an id one stays; rows with a null id stay."""
     return keep_one(docs, width=5, percent=80)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, the secrets in their texts masked."""
+    """All documents, the secrets in their texts masked. Null texts stay null; rows that repeat are masked alike."""
     return mask_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of several lengths."""
+    """Pieces of the documents in windows of several lengths. A null text is an empty one, which is its end mark; rows that repeat are packed as often."""
     return tier_pack(docs)
 
 
