@@ -744,7 +744,7 @@ def test_counts_by_sorting_and_by_buckets(monkeypatch):
     r = random.Random(2)
     some = ["", "a", "ab", *("".join(r.choice("abc äé 🙂\n") for _ in range(r.randrange(3000))) for _ in range(20))]
     sorted_ones = [language_id.counts(t) for t in some]
-    monkeypatch.setattr(language_id, "FEW", 0)
+    monkeypatch.setattr(language_id, "FEW", 1)
     for (a, n), (b, m) in zip(sorted_ones, map(language_id.counts, some), strict=True):
         assert a.tolist() == b.tolist() and n.tolist() == m.tolist()
 
