@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_, or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -180,9 +182,13 @@ def flattened(c: DataFrame) -> DataFrame:
     return nested.select("c_custkey", F.explode(both).alias("e")).select("c_custkey", "e.label", "e.value")
 
 
+# Punctuation that stands for a space in labels.
+PUNCTUATION = r"[()\[\]/:.,\-–—\s]+"
+
+
 def plain_label(text: str) -> str:
     """Compatibility forms as their plain characters, lower case, punctuation as a space; other scripts stay."""
-    return re.sub(r"[()\[\]/:.,\-–—\s]+", " ", unicodedata.normalize("NFKC", text).lower()).strip()
+    return re.sub(PUNCTUATION, " ", unicodedata.normalize("NFKC", text).lower()).strip()
 
 
 def with_plain_label(df: DataFrame, label: str) -> DataFrame:
@@ -267,30 +273,38 @@ def text_chunks(d: DataFrame, budget: int = 400, overlap: int = 50) -> DataFrame
     return d.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk long, text string")
 
 
+# Intents in the order that they are asked for; of each phrase list one must be there, at the start or anywhere.
+INTENTS: tuple[tuple[str, bool, tuple[tuple[str, ...], ...]], ...] = (
+    ("DEFINITION", True, (("what is", "define", "explain the term"),)),
+    ("ANALYTICAL", True, (("why is", "why did", "what changed", "compare to"),)),
+    ("WRITER", False, (("generate",), ("narrative", "paragraph", "section"))),
+    ("COMPLETENESS", False, (("missing", "completeness", "what's left"),)),
+    ("BENCHMARKING", False, (("peers", "benchmark", "industry average"),)),
+    ("PROVENANCE", False, (("how was",), ("calculated",))),
+    ("PROVENANCE", False, (("show me how",), ("computed", "calculated"))),
+)
+
+
 def intent(text: Column) -> Column:
-    """The first rule that holds names the intent."""
-    q = F.lower(F.trim(text))
-    has = lambda w: F.contains(q, F.lit(w))
-    starts = lambda *ws: F.rlike(q, F.lit("^(" + "|".join(ws) + ")"))
-    return (
-        F.when(starts("what is", "define", "explain the term"), "DEFINITION")
-        .when(starts("why is", "why did", "what changed", "compare to"), "ANALYTICAL")
-        .when(has("generate") & (has("narrative") | has("paragraph") | has("section")), "WRITER")
-        .when(has("missing") | has("completeness") | has("what's left"), "COMPLETENESS")
-        .when(has("peers") | has("benchmark") | has("industry average"), "BENCHMARKING")
-        .when(has("how was") & has("calculated"), "PROVENANCE")
-        .when(has("show me how") & (has("computed") | has("calculated")), "PROVENANCE")
-        .otherwise("GENERAL")
-    )
+    """The first of ``INTENTS`` whose phrases are there, else ``GENERAL``."""
+    q, found = F.lower(F.trim(text)), None
+    for name, first, lists in INTENTS:
+        there = F.startswith if first else F.contains
+        holds = reduce(and_, (reduce(or_, (there(q, F.lit(p)) for p in phrases)) for phrases in lists))
+        found = (F if found is None else found).when(holds, name)
+    return found.otherwise("GENERAL")
+
+
+def _intent_sql(q: str) -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    cases = (" AND ".join("(" + " OR ".join(f"{'starts_with' if first else 'contains'}({q}, {quoted(p)})" for p in ps) + ")" for ps in lists) for _, first, lists in INTENTS)
+    return "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for c, (n, _, _) in zip(cases, INTENTS, strict=True)) + " ELSE 'GENERAL' END"
 
 
 _ASKED = "['What is scope 3? ', 'why did it rise ', 'Generate a section on ', 'completeness of ', 'our peers and ', 'show me how it is computed ', ''][(conv_id % 7 + 1)::INT]"
 
 
-@query("ret7", "conversations", sql=f"""SELECT conv_id, turn, CASE WHEN regexp_matches(q, '^(what is|define|explain the term)') THEN 'DEFINITION' WHEN regexp_matches(q, '^(why is|why did|what changed|compare to)') THEN 'ANALYTICAL'
- WHEN contains(q, 'generate') AND (contains(q, 'narrative') OR contains(q, 'paragraph') OR contains(q, 'section')) THEN 'WRITER' WHEN contains(q, 'missing') OR contains(q, 'completeness') OR contains(q, 'what''s left') THEN 'COMPLETENESS'
- WHEN contains(q, 'peers') OR contains(q, 'benchmark') OR contains(q, 'industry average') THEN 'BENCHMARKING' WHEN contains(q, 'how was') AND contains(q, 'calculated') THEN 'PROVENANCE'
- WHEN contains(q, 'show me how') AND (contains(q, 'computed') OR contains(q, 'calculated')) THEN 'PROVENANCE' ELSE 'GENERAL' END AS intent FROM (SELECT conv_id, turn, lower(trim(concat({_ASKED}, text))) AS q FROM conversations)""")
+@query("ret7", "conversations", sql=f"SELECT conv_id, turn, {_intent_sql('q')} AS intent FROM (SELECT conv_id, turn, lower(trim(concat({_ASKED}, text))) AS q FROM conversations)")
 def intents(c: DataFrame) -> DataFrame:
     asked = F.element_at(F.lit(["What is scope 3? ", "why did it rise ", "Generate a section on ", "completeness of ", "our peers and ", "show me how it is computed ", ""]), (F.col("conv_id") % 7 + 1).cast("int"))
     return c.select("conv_id", "turn", intent(F.concat(asked, F.coalesce("text", F.lit("")))).alias("intent"))
@@ -377,19 +391,6 @@ def carried_down(e: DataFrame) -> DataFrame:
     return e.select("event_id", F.last(F.when(F.col("event_type") != "click", F.col("event_type")), ignorenulls=True).over(w).alias("carried"))
 
 
-@query("doc4", "documents", sql=r"SELECT doc_id, (regexp_matches(text, '(?i)license')::INT + regexp_matches(text, '(?i)copyright')::INT + regexp_matches(text, '\d{4}')::INT)::BIGINT AS hits, round(least(0.95, 0.40 + 0.18 * (regexp_matches(text, '(?i)license')::INT + regexp_matches(text, '(?i)copyright')::INT + regexp_matches(text, '\d{4}')::INT)), 4)::DOUBLE AS confidence FROM documents")
-def heuristic_type(d: DataFrame) -> DataFrame:
-    hits = sum((F.col("text").rlike(p).cast("long") for p in ("(?i)license", "(?i)copyright", r"\d{4}")), F.lit(0).cast("long"))
-    return d.select("doc_id", hits.alias("hits"), F.round(F.least(F.lit(0.95), 0.40 + 0.18 * hits), 4).alias("confidence"))
-
-
-@query("doc11", "documents", sql=r"SELECT doc_id, k AS label, v AS value FROM (SELECT doc_id, regexp_extract(line, '^\s*([A-Za-z][\w -]{0,40}?)\s*[:=]\s*(\S.*)$', 1) AS k, regexp_extract(line, '^\s*([A-Za-z][\w -]{0,40}?)\s*[:=]\s*(\S.*)$', 2) AS v FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE k <> ''")
-def key_values(d: DataFrame) -> DataFrame:
-    """Lines that are a label, a colon and a value."""
-    p = r"^\s*([A-Za-z][\w -]{0,40}?)\s*[:=]\s*(\S.*)$"
-    return lines(d).select("doc_id", F.regexp_extract("line", p, 1).alias("label"), F.regexp_extract("line", p, 2).alias("value")).where(F.col("label") != "")
-
-
 @query("doc19", "documents", sql="SELECT sha256(text) AS sha256, source, min(doc_id) AS doc_id FROM documents GROUP BY ALL")
 def file_dedupe(d: DataFrame) -> DataFrame:
     """The earliest file of each (source, digest)."""

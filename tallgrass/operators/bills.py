@@ -18,17 +18,6 @@ def bill(line: DataFrame) -> DataFrame:
     return line.select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", text.alias("text"))
 
 
-_BILL = "b AS (SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate, concat(['Units Consumed: ', 'Net Units ', 'Water supplied ', 'Scrap lifted '][(l_linenumber % 4 + 1)::INT], l_quantity::BIGINT, ' kWh Bill Period: ', strftime(l_shipdate, '%d-%m-%Y'), ' to ', strftime(l_shipdate::DATE + 29, '%d-%m-%Y'), ' Meter ', l_linenumber) AS text FROM lineitem)"
-
-
-@query("sc_d11", "lineitem", sql=f"WITH {_BILL} SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d') AS start, strftime(l_shipdate::DATE + 29, '%Y-%m-%d') AS \"end\" FROM b")
-def bill_periods(line: DataFrame) -> DataFrame:
-    """Day-month-year ranges out of text."""
-    p = r"Bill Period:\s*(\d{2}-\d{2}-\d{4})\s*to\s*(\d{2}-\d{2}-\d{4})"
-    day = lambda i: F.date_format(F.try_to_timestamp(F.regexp_extract("text", p, i), F.lit("dd-MM-yyyy")), "yyyy-MM-dd")
-    return bill(line).select("l_orderkey", "l_linenumber", day(1).alias("start"), day(2).alias("end"))
-
-
 @query("sc_s5", "lineitem", sql="SELECT l_orderkey, l_linenumber, l_quantity::BIGINT::DOUBLE AS number, CASE l_linenumber % 3 WHEN 0 THEN 'kwh' WHEN 1 THEN 't' END AS unit FROM lineitem")
 def cells(line: DataFrame) -> DataFrame:
     """A cell into number and unit; a cell without a unit has none."""
@@ -50,15 +39,6 @@ def plausible_values(c: DataFrame) -> DataFrame:
     return c.select("c_custkey", F.when(F.col("c_name").rlike("^[A-Za-z#0-9 ]{3,40}$"), F.trim(F.replace("c_name", F.lit("#"), F.lit(" ")))).alias("name"), (F.abs("c_acctbal") < 1e6).alias("plausible"))
 
 
-@query("doc3", "documents", sql="SELECT doc_id, CASE WHEN (contains(lower(text), ' | ')::INT + contains(lower(text), 'total')::INT) = 0 AND (contains(lower(text), 'license')::INT + contains(lower(text), 'version')::INT) = 0 THEN 'other' WHEN (contains(lower(text), ' | ')::INT + contains(lower(text), 'total')::INT) >= (contains(lower(text), 'license')::INT + contains(lower(text), 'version')::INT) THEN 'consumption' ELSE 'legal' END AS label FROM documents")
-def table_labels(d: DataFrame) -> DataFrame:
-    """The label with the most telling tokens; the first wins ties."""
-    text = F.lower("text")
-    hits = lambda *ws: sum((F.contains(text, F.lit(w)).cast("int") for w in ws), F.lit(0))
-    a, b = hits(" | ", "total"), hits("license", "version")
-    return d.select("doc_id", F.when((a == 0) & (b == 0), "other").when(a >= b, "consumption").otherwise("legal").alias("label"))
-
-
 @query("doc7", "customer", sql="SELECT c_custkey, 'segment' AS label, c_mktsegment AS value, NULL::VARCHAR AS unit FROM customer UNION ALL SELECT c_custkey, 'balance', floor(c_acctbal)::BIGINT::VARCHAR, 'INR' FROM customer")
 def label_value_tables(c: DataFrame) -> DataFrame:
     """Rows of label, value and perhaps unit."""
@@ -67,13 +47,6 @@ def label_value_tables(c: DataFrame) -> DataFrame:
     return x.select("c_custkey", F.get("r", F.lit(0)).alias("label"), F.get("r", F.lit(1)).alias("value"), F.get("r", F.lit(2)).alias("unit"))
 
 
-@query("doc13", "lineitem", sql="SELECT l_orderkey % 400 AS document_id, l_returnflag AS label, min_by(l_extendedprice * CASE WHEN l_linestatus = 'F' THEN -1 ELSE 1 END, (l_linenumber, l_shipdate, l_partkey, l_extendedprice)) AS charge FROM lineitem GROUP BY 1, 2")
-def first_values(line: DataFrame) -> DataFrame:
-    """Of each label in a document the first value; credits are negative."""
-    charge = F.col("l_extendedprice") * F.when(F.col("l_linestatus") == "F", -1).otherwise(1)
-    return line.groupBy((F.col("l_orderkey") % 400).alias("document_id"), F.col("l_returnflag").alias("label")).agg(F.min_by(charge, F.struct("l_linenumber", "l_shipdate", "l_partkey", "l_extendedprice")).alias("charge"))
-
-
 @query("doc17", "extraction_field", sql="WITH d AS (SELECT document_id, max(value_num) FILTER (canonical_key = 'headcount_total') AS t, max(value_num) FILTER (canonical_key = 'headcount_female') AS f, max(value_num) FILTER (canonical_key = 'scope1') AS s, max(value_num) FILTER (canonical_key = 'diesel_l') AS l FROM extraction_field GROUP BY 1) SELECT document_id, coalesce(f > t, false) AS women_over_total, coalesce(s > 0 AND l IS NULL, false) AS scope1_without_fuel, coalesce(abs(s - l * 0.00268) > 0.1 * s, false) AS fuel_mismatch FROM d")
 def cross_checks(f: DataFrame) -> DataFrame:
     """Checks across the fields of a document, from one pivot."""
@@ -83,15 +56,6 @@ def cross_checks(f: DataFrame) -> DataFrame:
     return d.select("document_id", ok(F.col("headcount_female") > F.col("headcount_total")).alias("women_over_total"), ok((s > 0) & fuel.isNull()).alias("scope1_without_fuel"), ok(F.abs(s - fuel * 0.00268) > 0.1 * s).alias("fuel_mismatch"))
 
 
-@query("wn11", "documents", sql="""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10)))))::INT AS n, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT a.doc_id, len(list_filter(string_split(b.line, ' '), lambda w: regexp_matches(w, '[0-9]'))) < 0.2 * len(string_split(b.line, ' ')) AS continues FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.n = a.n + 1 WHERE a.n = 0""")
-def header_continues(d: DataFrame) -> DataFrame:
-    """Whether the line below the first is a header too: fewer than a fifth of its words have digits."""
-    second = F.get(F.split("text", "\n"), F.lit(1))
-    words = F.split(second, " ")
-    return d.where(second.isNotNull()).select("doc_id", (F.size(F.filter(words, lambda w: w.rlike("[0-9]"))) < 0.2 * F.size(words)).alias("continues"))
-
-
 #: Fixed values: (from, action, to) of reports; a creator does not approve an own report.
 REPORT_STEPS = (("DRAFT", "approve", "APPROVED"), ("GENERATED", "approve", "APPROVED"), ("IN_REVIEW", "approve", "APPROVED"), ("APPROVED", "file", "FILED"))
 
@@ -113,6 +77,8 @@ def methane(line: DataFrame) -> DataFrame:
 
 @query("ret10", "conversations", "embeddings")
 def redact_then_embed(c: DataFrame, e: DataFrame) -> DataFrame:
-    """Redacted turns with the vector that is stored for the conversation."""
+    """Redacted turns with the vector, of length 1, that is stored for the conversation; null where there is none."""
     clean = redact(c.select("conv_id", "turn", "text"), "text", PII[:4])
-    return clean.join(e.select(F.col("vec_id").alias("conv_id"), F.size("embedding").alias("dims")), "conv_id", "left").select("conv_id", "turn", F.md5("text").alias("text_md5"), "dims")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    vectors = e.select(F.col("vec_id").alias("conv_id"), F.transform("embedding", lambda x: x / norm).alias("vector"))
+    return clean.join(vectors, "conv_id", "left").select("conv_id", "turn", F.md5("text").alias("text_md5"), F.size("vector").alias("dims"), "vector")

@@ -270,14 +270,15 @@ def bills(o: DataFrame) -> DataFrame:
     thousands = F.format_number(whole, 0)
     day = F.to_date("o_orderdate")
     iso = F.concat(F.lit("Period: "), F.date_format(day, "yyyy-MM-dd"), F.lit(" to "), F.date_format(F.date_add(day, 29), "yyyy-MM-dd"), F.lit("\n"))
-    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("o_custkey") % len(xs) + 1).cast("int"))
+    named = F.concat(F.lit("Period: "), F.date_format(day, "dd MMMM yyyy"), F.lit(" to "), F.date_format(F.date_add(day, 29), "dd MMMM yyyy"), F.lit("\n"))
+    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs]), (F.col("o_custkey") % len(xs) + 1).cast("int"))
     power = F.concat(
         pick("ADANI ELECTRICITY MUMBAI\n", "Electricity Bill of the town\n", "Tata Power\n", "BESCOM\n", "Invoice\n"), pick("Total Units Consumed: ", "Units billed: ", "Energy Consumed (kWh): "), thousands, F.lit(" kWh\n"),
-        F.lit("Billing Month: "), F.date_format(day, "MMMM yyyy"), F.lit("\n"), pick("", "Sanctioned Load: 45 kW\n"), pick("Power Factor: 0.95\n", "Power Factor: 1.500\n"), F.lit("Bill Amount (INR): "), whole.cast("string"), F.lit(".50\n"),
+        F.lit("Billing Month: "), F.date_format(day, "MMMM yyyy"), F.lit("\n"), pick("", "Sanctioned Load: 45 kW\n"), pick("Power Factor: 0.95\n", "Power Factor: 1.500\n"), F.lit("Bill Amount (INR): "), whole.cast("string"), F.lit(".50\nKWH 5200 5,000 200\n"),
     )
-    water = F.concat(pick("Municipal water\n", "WATER BILL\n", "Tankers\n"), F.lit("Total water withdrawn: "), thousands, F.lit(" kL\n"), pick("Source: borewell\n", "Third Party: 12.5 kL\n"), iso)
+    water = F.concat(pick("Municipal water\n", "WATER BILL\n", "Tankers\n"), F.lit("Total water withdrawn: "), thousands, F.lit(" kL\n"), pick("Source: borewell\n", "Third Party: 12.5 kL\n"), pick(named, iso))
     waste = F.concat(F.lit("WASTE MANIFEST\n"), pick("Total Hazardous waste: ", "Hazardous waste, ", "Landfilled: "), thousands, F.lit(" kg\n"), pick("Plastic waste: 7\n", ""), iso)
-    staff = F.concat(pick("HR Report\n", "Payroll\n"), F.lit("Total Employees: "), thousands, F.lit("\nWomen Employees: "), (whole % 100).cast("string"), F.lit("\nPwD: 0\nFY "), F.year(day).cast("string"), F.lit("-"), (F.year(day) + 1).cast("string"))
+    staff = F.concat(pick("HR Report\n", "Payroll\n"), F.lit("Total Employees: "), thousands, F.lit("\nWomen Employees: "), (whole % 100).cast("string"), F.lit("\nPwD: 0\nFY "), F.year(day).cast("string"), F.lit("-"), (F.year(day) + 1).cast("string"), F.lit("\nContract workers   12"))
     kind = (F.col("o_orderkey") % 4).cast("int")
     return o.select(F.col("o_orderkey").cast("long").alias("id"), F.element_at(F.lit(list(KINDS)), kind + 1).alias("kind"), F.element_at(F.array(power, water, waste, staff), kind + 1).alias("text"))
 
@@ -314,10 +315,10 @@ def water_waste_and_staff(o: DataFrame) -> DataFrame:
 
 
 _TEXT_SQL = """t AS (SELECT id, c, CASE id % 4
-WHEN 0 THEN concat(['ADANI ELECTRICITY MUMBAI\n', 'Electricity Bill of the town\n', 'Tata Power\n', 'BESCOM\n', 'Invoice\n'][(c % 5 + 1)::INT], ['Total Units Consumed: ', 'Units billed: ', 'Energy Consumed (kWh): '][(c % 3 + 1)::INT], format('{:,}', w), ' kWh\nBilling Month: ', strftime(day, '%B %Y'), '\n', ['', 'Sanctioned Load: 45 kW\n'][(c % 2 + 1)::INT], ['Power Factor: 0.95\n', 'Power Factor: 1.500\n'][(c % 2 + 1)::INT], 'Bill Amount (INR): ', w, '.50\n')
-WHEN 1 THEN concat(['Municipal water\n', 'WATER BILL\n', 'Tankers\n'][(c % 3 + 1)::INT], 'Total water withdrawn: ', format('{:,}', w), ' kL\n', ['Source: borewell\n', 'Third Party: 12.5 kL\n'][(c % 2 + 1)::INT], 'Period: ', strftime(day, '%Y-%m-%d'), ' to ', strftime(day + 29, '%Y-%m-%d'), '\n')
+WHEN 0 THEN concat(['ADANI ELECTRICITY MUMBAI\n', 'Electricity Bill of the town\n', 'Tata Power\n', 'BESCOM\n', 'Invoice\n'][(c % 5 + 1)::INT], ['Total Units Consumed: ', 'Units billed: ', 'Energy Consumed (kWh): '][(c % 3 + 1)::INT], format('{:,}', w), ' kWh\nBilling Month: ', strftime(day, '%B %Y'), '\n', ['', 'Sanctioned Load: 45 kW\n'][(c % 2 + 1)::INT], ['Power Factor: 0.95\n', 'Power Factor: 1.500\n'][(c % 2 + 1)::INT], 'Bill Amount (INR): ', w, '.50\nKWH 5200 5,000 200\n')
+WHEN 1 THEN concat(['Municipal water\n', 'WATER BILL\n', 'Tankers\n'][(c % 3 + 1)::INT], 'Total water withdrawn: ', format('{:,}', w), ' kL\n', ['Source: borewell\n', 'Third Party: 12.5 kL\n'][(c % 2 + 1)::INT], 'Period: ', [strftime(day, '%d %B %Y'), strftime(day, '%Y-%m-%d')][(c % 2 + 1)::INT], ' to ', [strftime(day + 29, '%d %B %Y'), strftime(day + 29, '%Y-%m-%d')][(c % 2 + 1)::INT], '\n')
 WHEN 2 THEN concat('WASTE MANIFEST\n', ['Total Hazardous waste: ', 'Hazardous waste, ', 'Landfilled: '][(c % 3 + 1)::INT], format('{:,}', w), ' kg\n', ['Plastic waste: 7\n', ''][(c % 2 + 1)::INT], 'Period: ', strftime(day, '%Y-%m-%d'), ' to ', strftime(day + 29, '%Y-%m-%d'), '\n')
-ELSE concat(['HR Report\n', 'Payroll\n'][(c % 2 + 1)::INT], 'Total Employees: ', format('{:,}', w), '\nWomen Employees: ', w % 100, '\nPwD: 0\nFY ', year(day), '-', year(day) + 1) END AS text FROM b)""".replace("\\n'", "' || chr(10)").replace("\\n", "' || chr(10) || '")
+ELSE concat(['HR Report\n', 'Payroll\n'][(c % 2 + 1)::INT], 'Total Employees: ', format('{:,}', w), '\nWomen Employees: ', w % 100, '\nPwD: 0\nFY ', year(day), '-', year(day) + 1, '\\nContract workers   12') END AS text FROM b)""".replace("\\n'", "' || chr(10)").replace("\\n", "' || chr(10) || '")
 _TYPE_SCORES = ", ".join("least(1.0, (" + " + ".join(f"{round(w * 1000)} * contains(low, '{s}')::INT" for s, w in signals) + f") / {1000 * FULL}) AS {t}" for t, signals in DOC_TYPES.items())
 _BEST = f"greatest({', '.join(DOC_TYPES)})"
 

@@ -163,15 +163,6 @@ def composite_confidence(f: DataFrame) -> DataFrame:
     return f.select("id", F.round(c, 6).alias("composite"), (c < 0.85).alias("review"))
 
 
-@query("doc15", "extraction_field", sql="""SELECT document_id, canonical_key, id, value FROM (SELECT *, value_num * CASE canonical_key WHEN 'water_kl' THEN 1000 ELSE 1 END AS value, row_number() OVER (PARTITION BY document_id, canonical_key ORDER BY confidence DESC, id, value_num) AS rn FROM extraction_field WHERE value_num BETWEEN 5 AND 45) WHERE rn = 1""")
-def normalised_fields(f: DataFrame) -> DataFrame:
-    """To canonical units, inside bounds, the best of each key and document."""
-    units = F.broadcast(f.sparkSession.createDataFrame([("water_kl", 1000.0)], "canonical_key string, k double"))
-    x = f.where(F.col("value_num").between(5, 45)).join(units, "canonical_key", "left")
-    w = Window.partitionBy("document_id", "canonical_key").orderBy(F.col("confidence").desc(), "id", "value_num")
-    return x.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).select("document_id", "canonical_key", "id", (F.col("value_num") * F.coalesce("k", F.lit(1.0))).alias("value"))
-
-
 @query("doc18", "extraction_field", sql="SELECT id, round(confidence * CASE WHEN value_num BETWEEN lo AND hi THEN 1 ELSE 0.6 END, 6) AS confidence FROM extraction_field JOIN (SELECT canonical_key, avg(value_num) - stddev_samp(value_num) AS lo, avg(value_num) + stddev_samp(value_num) AS hi FROM extraction_field GROUP BY 1) USING (canonical_key)")
 def range_bands(f: DataFrame) -> DataFrame:
     """Values outside their key's band lose confidence; there is a band for each key."""
