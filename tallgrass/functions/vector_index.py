@@ -23,8 +23,8 @@ from ..sources.scratch import scratch_path
 from .inverted_index import B, EPSILON, K1, best, collection_sizes, impact, rarity, term_counts
 from .text import tokens
 
-#: Bound of the sample that cells are fitted on, rounds of fitting, rows of a part of a list.
-SAMPLE, ROUNDS, PART = 20_000, 12, 8_192
+#: Bound of the sample that cells are fitted on, rounds of fitting, rows of a part of a list, queries that meet it at a time.
+SAMPLE, ROUNDS, PART, QUERIES = 20_000, 12, 8_192, 4_096
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -101,8 +101,14 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, *kept: str) -
 def looked_up(index: Cells, probes: DataFrame, k: int, others: bool) -> DataFrame:
     """``query, id, score``: the ``k`` best of each part of the cells that (query, vector, cell) ask for; with ``others`` a query's own row is left out."""
     spark = probes.sparkSession
-    split = spark.createDataFrame([(i, p) for i, n in enumerate(index.parts.tolist()) for p in range(n)], "cell int, part int")
-    asked = probes.join(F.broadcast(split), "cell")
+    # queries of a cell are cut in blocks as well, each of which meets every part of its list
+    probes.write.parquet(path := scratch_path(spark, "asked"))
+    probes = spark.read.schema(probes.schema).parquet(path)
+    blocks = {r["cell"]: -(-r["n"] // QUERIES) for r in probes.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row for each cell
+    split = spark.createDataFrame([(i, p, blocks.get(i, 0)) for i, n in enumerate(index.parts.tolist()) for p in range(n)], "cell int, part int, blocks int")
+    asked = probes.join(F.broadcast(split), "cell").withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int")).drop("blocks")
+    lists = index.lists.join(F.broadcast(split.where(F.col("blocks") > 0)), ["cell", "part"])
+    lists = lists.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def run(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or queries.empty:
@@ -119,8 +125,8 @@ def looked_up(index: Cells, probes: DataFrame, k: int, others: bool) -> DataFram
             out.append(pd.DataFrame({"query": q, "id": ids[at], "score": score[at]}))
         return pd.concat(out)
 
-    by = ["cell", "part"]
-    return index.lists.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(run, "query long, id long, score double")
+    by = ["cell", "part", "block"]
+    return lists.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(run, "query long, id long, score double")
 
 
 def probed(index: Cells, queries: DataFrame, probes: int | None) -> DataFrame:

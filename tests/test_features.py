@@ -123,6 +123,7 @@ def vectors(spark, n=1500, dims=16, seed=3):
 
 def test_nearest_vectors(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(vector_index, "PART", 40)
+    monkeypatch.setattr(vector_index, "QUERIES", 3)
     x, frame = vectors(spark)
     index = vector_index.build(frame, str(tmp_path / "cells"))
     assert index.lists.count() == len(x) and index.parts.max() > 1
