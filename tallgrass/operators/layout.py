@@ -36,6 +36,11 @@ NEGATIVE = ("rebate", "subsidy")
 NUMBER, DAY = r"-?\d[\d,]*\.?\d*", r"\d{1,2}[-/.][A-Za-z0-9]{2,9}[-/.]\d{2,4}|\d{4}-\d{2}-\d{2}"
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def most_hits(hits: dict[str, Column], otherwise: str) -> tuple[Column, Column]:
     """The name with the most hits, the first among equals, and how many these are."""
     best = F.greatest(*hits.values())
@@ -105,7 +110,7 @@ def meter_rows(lines: DataFrame) -> DataFrame:
 
 def cells(text: Column) -> Column:
     """What two spaces and more, or tabs, part."""
-    return F.filter(F.transform(F.split(F.trim(text), r"\s{2,}|\t"), lambda c: F.trim(c)), lambda c: c != "")
+    return F.filter(F.transform(F.split(stripped(text), r"\s{2,}|\t"), lambda c: stripped(c)), lambda c: c != "")
 
 
 def like_value(c: Column) -> Column:
@@ -115,7 +120,7 @@ def like_value(c: Column) -> Column:
 def text_lines(texts: DataFrame) -> DataFrame:
     """``id, line, text`` of (id, text): trimmed lines that are not empty and no comment, from 0."""
     x = texts.select("id", F.posexplode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")).alias("line", "t"))
-    x = x.select("id", "line", F.regexp_replace("t", r"^\s+|\s+$", "").alias("text"))
+    x = x.select("id", "line", stripped(F.col("t")).alias("text"))
     return x.where((F.col("text") != "") & ~F.startswith("text", F.lit("#")))
 
 
@@ -129,11 +134,11 @@ def harvest(texts: DataFrame, aliases: DataFrame, least: float = 0.6) -> DataFra
     x = x.where(~metered)
     at = F.locate(":", F.col("text"))
     rest = F.substring(F.col("text"), at + 1, F.length("text"))
-    one = x.where(at > 0).select("id", "line", F.lit(1).alias("way"), F.trim(F.substring(F.col("text"), F.lit(1), at - 1)).alias("key"), F.coalesce(F.get(cells(rest), F.lit(0)), F.trim(rest)).alias("value"))
+    one = x.where(at > 0).select("id", "line", F.lit(1).alias("way"), stripped(F.substring(F.col("text"), F.lit(1), at - 1)).alias("key"), F.coalesce(F.get(cells(rest), F.lit(0)), stripped(rest)).alias("value"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.struct(F.get("c", i).alias("key"), F.get("c", i + 1).alias("value")))
     two = x.withColumn("c", cells(F.col("text"))).where(F.size("c") > 1).select("id", "line", F.lit(2).alias("way"), F.inline(pairs)).where(like_value(F.col("value")))
     tail = r"^(.*?)(-?\d[\d,]*\.?\d*)\s*$"
-    three = x.where(F.col("text").rlike(tail)).select("id", "line", F.lit(3).alias("way"), F.trim(F.regexp_extract("text", tail, 1)).alias("key"), F.regexp_extract("text", tail, 2).alias("value"))
+    three = x.where(F.col("text").rlike(tail)).select("id", "line", F.lit(3).alias("way"), stripped(F.regexp_extract("text", tail, 1)).alias("key"), F.regexp_extract("text", tail, 2).alias("value"))
     asked = two.union(three)
     known = scored_alias(asked.select(F.col("key").alias("label")).distinct(), aliases).where(F.col("score") >= least).select(F.col("label").alias("key"))
     return one.where((F.col("key") != "") & (F.col("value") != "")).union(asked.join(known, "key", "left_semi").select("id", "line", "way", "key", "value"))
@@ -178,7 +183,7 @@ def mapped(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """``id, canonical, value, unit, sign, confidence`` of (id, text): of each label's canonical name the first value of a document; codes that reduce a bill have a negative sign."""
     kv = harvest(texts, aliases)
     known = scored_alias(kv.select(F.col("key").alias("label")).distinct(), aliases).select(F.col("label").alias("_label"), F.col("key").alias("canonical"), "score")
-    clean = F.trim(F.regexp_replace(F.regexp_replace("value", r"^[\s:;|*★·.\-]+", ""), r"\s+", " "))
+    clean = stripped(F.regexp_replace(F.regexp_replace("value", r"^[\s:;|*★·.\-]+", ""), r"\s+", " "))
     number, unit = parsed_value(clean)
     x = kv.join(known, F.col("key") == F.col("_label")).select("id", "line", "way", "canonical", "score", clean.alias("raw"), number.alias("value"), unit.alias("unit"))
     first = x.groupBy("id", "canonical").agg(F.min_by(F.struct("raw", "value", "unit", "score"), F.struct("line", "way")).alias("f"))
