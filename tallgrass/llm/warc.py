@@ -171,8 +171,8 @@ def write_arc_rows(pages: DataFrame) -> DataFrame:
     return pages.select(name.alias("path"), F.concat(own.cast("binary"), line.cast("binary"), payload, F.lit("\n").cast("binary")).alias("content"))
 
 
-def arc_to_warc(records: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """WARC records (columns ``WARC`` without ``intact``) of ARC records with a ``page_id``.
+def arc_to_warc(records: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, int]:
+    """WARC records (as ``write_warc`` takes them) of ARC records with a ``page_id``, and the bytes of the longest payload.
 
     Of records with equal payloads of at least ``min_bytes`` bytes the one with
     the smallest page id is the response (``refers`` null) and those of other
@@ -182,13 +182,13 @@ def arc_to_warc(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     records = records.withColumn("digest", F.sha1("payload"))
     marks = staged(records.select("page_id", "digest", "url", "arc_date", F.octet_length("payload").alias("size")), "arc-digests")
-    files = marks.agg(F.ceil(F.sum("size") / FILE_BYTES)).first()[0] or 1
+    files, longest = marks.agg(F.ceil(F.sum("size") / FILE_BYTES), F.max("size")).first()
     marks = marks.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).drop("size")
     first = marks.groupBy("digest").agg(F.min(F.struct("page_id", "url", "arc_date")).alias("refers"))
     again = marks.join(first, "digest").where(F.col("page_id") != F.col("refers.page_id")).select("page_id", "digest", "refers").distinct()
     # as many parts as there are to be files, and no fewer than Spark would make
-    parts = max(files, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return records.repartition(parts, "page_id", "digest").join(again, ["page_id", "digest"], "left")
+    parts = max(files or 1, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return records.repartition(parts, "page_id", "digest").join(again, ["page_id", "digest"], "left"), longest or 0
 
 
 def warc_record(page_id: int | None, url: str, date: str, content_type: str, payload: bytes | None, refers: dict | None) -> bytes:
@@ -229,16 +229,15 @@ def record_id(url: str, date: str, page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{one_line(url)} {date} {page_id} {digest}')}>"
 
 
-def write_warc(records: DataFrame, path: str, compression: str = "none") -> None:
+def write_warc(records: DataFrame, path: str, compression: str = "none", longest: int = 0) -> None:
     """Write records (page_id, url, arc_date, content_type, payload, refers) as WARC archives below ``path``.
 
     With ``gzip`` each record is a member of its own, as readers that seek to a
     record need it; members without content stand between them.  A part of
     ``records`` becomes a file, or several: of as many records as have no more
-    than ``MOST_BYTES`` even if all were like the longest.
+    than ``MOST_BYTES`` even if all were like the ``longest`` payload.
     """
     zipped = {"none": False, "gzip": True}[compression]
-    longest = records.agg(F.max(F.octet_length("payload"))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,7 +298,8 @@ def pages_to_warc(pages: DataFrame, path: str, min_bytes: int = 0, compression:
     """
     spark = pages.sparkSession
     arc = read_arc(write_arc_rows(pages)).withColumn("page_id", F.expr("try_cast(regexp_extract(archive, 'page-(-?[0-9]+)[.]arc$', 1) AS long)"))
-    write_warc(arc_to_warc(arc, min_bytes), path, compression)
+    records, longest = arc_to_warc(arc, min_bytes)
+    write_warc(records, path, compression, longest)
     back = read_warc(spark, path)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
