@@ -6,7 +6,8 @@
    blocks follow until no more than ``TOP`` are left, so that at any size of the
    table the top tree is small.
 3. The driver builds the top tree from these: the rest of every group's tree and
-   the tree of the groups' roots.  It sends the executors the suffix path of each
+   the tree of the groups' roots.  (Of more groups than ``TOP`` the roots are
+   reduced by blocks in their turn.)  It sends the executors the suffix path of each
    block, from its hash to the root.
 4. Executors go through the blocks once more, finish every row's proof with its
    block's suffix path and fold it.
@@ -122,6 +123,8 @@ class Top:
 
 def top_tree(nodes: list[tuple[str | None, int, str]]) -> Top:
     """The top tree on (group, place, hash); groups are ordered null first, then by their bytes in UTF-8."""
+    if not nodes:
+        return Top({}, {}, "")
     groups: dict[str | None, list[str]] = {}
     for g, _, h in sorted(nodes, key=lambda x: (x[0] is not None, (x[0] or "").encode(), x[1])):
         groups.setdefault(g, []).append(h)
@@ -151,26 +154,44 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, tampered: dict
     tie = F.monotonically_increasing_id()  # repeated rows may lie in several ranges
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), own.alias("h"), shown.alias("shown"), tie.alias("tie"))
     leaves = staged(numbered(staged(x, "leaves"), "lang", ["doc_id", "h", "tie"]).drop("tie"), "leaves-numbered")
+    rounds, left = reduced(leaves, levels, most)
+    if left is not None:
+        found = finished(rounds[:-1], top_tree(left), levels)
+    else:  # more groups than the driver is to hold: their roots are the leaves of one more tree
+        roots = rounds[-1].select(F.lit(None).cast("string").alias("lang"), F.col("lang").alias("name"), "h")
+        roots = staged(numbered(staged(roots, "subroots"), "lang", ["name"]), "subroots-numbered")
+        outer, last = reduced(roots, levels, most)
+        top = top_tree(last)
+        steps = staged(finished(outer[:-1], top, levels, only_steps=True), "subroot-steps", *outer[1:])
+        above = roots.join(steps.select("at", "steps"), "at").select(F.col("name").alias("lang"), F.lit(0).cast("long").alias("at"), "steps")
+        found = finished(rounds[:-1], Top({}, {}, top.root), levels, above, roots.select("name", F.col("h").alias("subroot")))
+    dropped(*rounds[1:])
+    return found
+
+
+def reduced(leaves: DataFrame, levels: int, most: int) -> tuple[list[DataFrame], list[tuple[str | None, int, str]] | None]:
+    """The nodes of each round of blocks, ``leaves`` first, and those of the last for the driver; None if every group has come to its root and these are more than ``most``."""
     rounds = [leaves]
     while True:
         rounds.append(staged(of_blocks(rounds[-1], levels), "merkle-blocks"))
         left = rounds[-1].limit(most + 1).collect()
-        if len(left) <= most or all(r["n"] == 1 for r in left) and rounds[-1].where("n > 1").isEmpty():
-            break
-    if len(left) > most:
-        raise ValueError(f"lang has more than {most} values")
-    top = top_tree([(r["lang"], r["at"], r["h"]) for r in left]) if left else Top({}, {}, "")
-    found = finished(rounds[:-1], top, levels)
-    dropped(*rounds[1:])
-    return found
+        if len(left) <= most:
+            return rounds, [(r["lang"], r["at"], r["h"]) for r in left]
+        if rounds[-1].where("n > 1").isEmpty():
+            return rounds, None
+
+
+STEPS = "lang string, at long, steps array<string>"
 
 
-def finished(rounds: list[DataFrame], top: Top, levels: int) -> DataFrame:
-    """Every leaf with its steps, by way of the blocks of each round from the last to the first."""
+def finished(rounds: list[DataFrame], top: Top, levels: int, above: DataFrame | None = None, subroots: DataFrame | None = None, only_steps: bool = False) -> DataFrame:
+    """Every leaf with its steps, by way of the blocks of each round from the last to the first.
+
+    ``top`` has the steps of the last blocks, or else ``above`` (lang, at, steps),
+    with ``subroots`` (name, subroot).
+    """
     spark = rounds[0].sparkSession
     sent = spark.sparkContext.broadcast(top)
-    steps_schema = "lang string, at long, steps array<string>"
-    above: DataFrame | None = None  # the steps of each block, where the broadcast does not have them
 
     def walked(block: pa.Table, above: list[str] | None) -> tuple[pa.Table, list[list[str]]]:
         block = block.sort_by("at")
@@ -181,13 +202,14 @@ def finished(rounds: list[DataFrame], top: Top, levels: int) -> DataFrame:
 
     def inner(block: pa.Table) -> pa.Table:
         block, steps = walked(block, block["above"][0].as_py() if "above" in block.column_names else None)
-        return pa.table([block["lang"], block["at"], pa.array(steps, pa.list_(pa.string()))], schema=arrow_schema(steps_schema))
+        return pa.table([block["lang"], block["at"], pa.array(steps, pa.list_(pa.string()))], schema=arrow_schema(STEPS))
 
     def leaves(block: pa.Table) -> pa.Table:
         block, steps = walked(block, block["above"][0].as_py() if "above" in block.column_names else None)
-        lang, t = block["lang"][0].as_py(), sent.value
+        lang = block["lang"][0].as_py()
+        subroot = block["subroot"][0].as_py() if "subroot" in block.column_names else sent.value.subroots[lang]
         rows = [
-            (doc_id, lang, h, t.subroots[lang], t.root, s, fold(shown or h, s))
+            (doc_id, lang, h, subroot, sent.value.root, s, fold(shown or h, s))
             for doc_id, h, shown, s in zip(block["doc_id"].to_pylist(), block["h"].to_pylist(), block["shown"].to_pylist(), steps, strict=True)
         ]
         return pa.Table.from_batches([arrow_rows(arrow_schema(OUT), rows)])
@@ -197,10 +219,12 @@ def finished(rounds: list[DataFrame], top: Top, levels: int) -> DataFrame:
         if above is not None:
             names = above.select(F.col("lang").alias("_lang"), F.col("at").alias("_at"), F.col("steps").alias("above"))
             x = x.join(names, x["lang"].eqNullSafe(F.col("_lang")) & (F.col("block") == F.col("_at"))).drop("_lang", "_at")
+        if k == 0 and subroots is not None:
+            x = x.join(subroots, x["lang"].eqNullSafe(F.col("name"))).drop("name")
         grouped = x.groupBy("lang", "block")
         if k == 0:
-            return grouped.applyInArrow(leaves, OUT)
-        above = staged(grouped.applyInArrow(inner, steps_schema), "merkle-steps")
+            return grouped.applyInArrow(inner, STEPS) if only_steps else grouped.applyInArrow(leaves, OUT)
+        above = staged(grouped.applyInArrow(inner, STEPS), "merkle-steps")
     raise AssertionError
 
 

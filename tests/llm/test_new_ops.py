@@ -146,10 +146,12 @@ def test_lengths_keep_values_apart(spark):
     assert frame.select(merkle_manifest.leaf(("x", "y")).alias("l")).distinct().count() == 6
 
 
-def test_manifest_stops_at_too_many_groups(spark):
-    frame = spark.range(12).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), (F.col("id") % 4).cast("string").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
-    with pytest.raises(ValueError, match="more than 3"):
-        merkle_manifest.manifest(frame, most=3)
+@pytest.mark.parametrize("most", [1, 3, 16])
+def test_manifest_of_more_groups_than_the_driver_holds(spark, most):
+    langs = [None, "", "ü", "z", "Z", "é", *(f"l{i}" for i in range(30))]
+    rows = [(i, f"t{i}", langs[i * i % len(langs)], None, i) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert result(frame, levels=2, most=most) == brute(rows, lambda r: zlib.crc32(str(r[0]).encode()) % 7 == 0)
 
 
 # --- toxicity --------------------------------------------------------------------------------------------------------------
