@@ -147,7 +147,7 @@ def test_windows_of_many_files_in_reverse(spark, sf_dir, tmp_path):
     n = -(-len(rows) // 70)
     for k in range(70):
         spark.createDataFrame(rows[k * n : (k + 1) * n], e.schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k:03d}")) if rows[k * n : (k + 1) * n] else None
-    stream = lambda: streams.file_stream(spark, str(tmp_path / "in" / "*"), e)
+    stream = lambda: streams.file_stream(spark, str(tmp_path / "in" / "*"), e, 16)
     found = streams.counted(stream(), (F.col("user_id") % 8).cast("long"), "1 hour", 3, streams.span(e, "ts"))
     assert found.agg(F.sum("n")).first()[0] == len(rows)
     with pytest.raises(ValueError, match="late"):
