@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,21 +107,47 @@ def exception_states(o: DataFrame) -> DataFrame:
 ZERO = b"\0" * 32
 
 
-def _chain(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["created_at", "id"])
-    prev, before, own = ZERO, [], []
-    for payload in rows["payload"]:
-        before.append(prev.hex())
-        prev = hashlib.sha256(prev + payload.encode()).digest()
-        own.append(prev.hex())
-    return pd.DataFrame({"tenant_id": rows["tenant_id"], "hour": rows["hour"], "id": rows["id"], "place": range(len(rows)), "prev_hash": before, "row_hash": own})
+def chained(rows: DataFrame, by: list[str], order: list[str], data: str, out: list[str]) -> DataFrame:
+    """``out`` columns of ``rows`` with ``place``, ``prev_hash`` and ``row_hash``: SHA-256 of the hash before it, zeros at first, and the bytes ``data``, along each group.
+
+    Rows of a group come sorted to one task, which holds no more than a batch of them.
+    """
+    names = [*dict.fromkeys([*by, *out])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, prev, k = None, ZERO, 0
+        for b in batches:
+            places, before, own = [], [], []
+            for key, x in zip(zip(*(b[c].to_pylist() for c in by), strict=True), b["_data"].to_pylist(), strict=True):
+                if key != now:
+                    now, prev, k = key, ZERO, 0
+                places.append(k)
+                k += 1
+                before.append(prev.hex())
+                prev = hashlib.sha256(prev + x).digest()
+                own.append(prev.hex())
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(places, pa.int64()), pa.array(before, pa.string()), pa.array(own, pa.string())], [*names, "place", "prev_hash", "row_hash"])
+
+    x = rows.withColumn("_data", F.col(data).cast("binary")).repartition(*by).sortWithinPartitions(*by, *order).select(*names, "_data")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.drop("_data").schema)
+    return x.mapInArrow(run, f"{schema}, place long, prev_hash string, row_hash string")
 
 
 def payload():
     return F.concat_ws("|", "id", "tenant_id", F.coalesce("actor_id", F.lit("")), "target_type", "target_id", "action")
 
 
-@query("wn6", "audit_log")
+_PAYLOAD = "concat_ws('|', id, tenant_id, coalesce(actor_id, ''), target_type, target_id, action)"
+_ZERO = "'" + ZERO.hex() + "'"
+
+
+@query("wn6", "audit_log", sql=f"""
+WITH RECURSIVE e AS (SELECT tenant_id, date_trunc('hour', created_at) AS hour, id, {_PAYLOAD} AS payload, row_number() OVER (PARTITION BY tenant_id, date_trunc('hour', created_at) ORDER BY created_at, id) AS k FROM audit_log),
+c AS (SELECT tenant_id, hour, k, id, {_ZERO} AS prev_hash, sha256(unhex({_ZERO}) || encode(payload)) AS row_hash FROM e WHERE k = 1
+UNION ALL SELECT e.tenant_id, e.hour, e.k, e.id, c.row_hash, sha256(unhex(c.row_hash) || encode(e.payload)) FROM c JOIN e ON c.tenant_id = e.tenant_id AND c.hour = e.hour AND e.k = c.k + 1),
+h AS (SELECT tenant_id, hour, arg_max(row_hash, k) AS last, row_number() OVER (PARTITION BY tenant_id ORDER BY hour) AS k FROM c GROUP BY 1, 2),
+a AS (SELECT tenant_id, hour, k, sha256(unhex({_ZERO}) || unhex(last)) AS anchor FROM h WHERE k = 1 UNION ALL SELECT h.tenant_id, h.hour, h.k, sha256(unhex(a.anchor) || unhex(h.last)) FROM a JOIN h ON a.tenant_id = h.tenant_id AND h.k = a.k + 1)
+SELECT c.tenant_id, id, prev_hash, row_hash, anchor FROM c JOIN a ON c.tenant_id = a.tenant_id AND c.hour = a.hour""")
 def hash_chain(log: DataFrame) -> DataFrame:
     """Each row's hash covers the hash of the row before it, for each tenant.
 
@@ -130,21 +158,13 @@ def hash_chain(log: DataFrame) -> DataFrame:
     group is a tenant's busiest hour, or the number of its hours.
     """
     rows = log.select("tenant_id", F.date_trunc("hour", "created_at").alias("hour"), "id", "created_at", payload().alias("payload"))
-    chained = rows.groupBy("tenant_id", "hour").applyInPandas(_chain, "tenant_id long, hour timestamp, id long, place long, prev_hash string, row_hash string")
-
-    def anchors(hours: pd.DataFrame) -> pd.DataFrame:
-        hours, anchor, out = hours.sort_values("hour"), ZERO, []
-        for last in hours["last"]:
-            anchor = hashlib.sha256(anchor + bytes.fromhex(last)).digest()
-            out.append(anchor.hex())
-        return pd.DataFrame({"tenant_id": hours["tenant_id"], "hour": hours["hour"], "anchor": out})
-
-    chained.write.parquet(path := scratch_path(log.sparkSession, "hash-chain"))
-    chained = log.sparkSession.read.schema(chained.schema).parquet(path)
-    last = chained.groupBy("tenant_id", "hour").agg(F.max_by("row_hash", "place").alias("last"))
-    anchored = last.groupBy("tenant_id").applyInPandas(anchors, "tenant_id long, hour timestamp, anchor string").toDF("_tenant", "_hour", "anchor")
+    links = chained(rows, ["tenant_id", "hour"], ["created_at", "id"], "payload", ["id"])
+    links.write.parquet(path := scratch_path(log.sparkSession, "hash-chain"))
+    links = log.sparkSession.read.schema(links.schema).parquet(path)
+    last = links.groupBy("tenant_id", "hour").agg(F.unhex(F.max_by("row_hash", "place")).alias("last"))
+    anchored = chained(last, ["tenant_id"], ["hour"], "last", ["hour"]).select(F.col("tenant_id").alias("_tenant"), F.col("hour").alias("_hour"), F.col("row_hash").alias("anchor"))
     same = F.col("tenant_id").eqNullSafe(F.col("_tenant")) & F.col("hour").eqNullSafe(F.col("_hour"))
-    return chained.join(anchored, same).select("tenant_id", "id", "prev_hash", "row_hash", "anchor")
+    return links.join(anchored, same).select("tenant_id", "id", "prev_hash", "row_hash", "anchor")
 
 
 #: Hashes that one task folds: so many levels of a tree at a time.
@@ -178,14 +198,23 @@ def merkle(rows: DataFrame, by: list[str], order: list) -> DataFrame:
         x = x.drop("block").withColumn("n", F.ceil(F.col("n") / size))
 
 
-@query("wn16", "audit_log")
+def _roots(rows: str, by: str) -> str:
+    """Common table expressions up to ``roots`` (by, leaves, root) over ``rows`` (by, h, place, n)."""
+    return f"""t AS (SELECT {by}, place, n AS leaves, n, h FROM {rows}
+UNION ALL SELECT {by}, place // 2, leaves, (n + 1) // 2, sha256(unhex(arg_min(h, place)) || unhex(arg_max(h, place))) FROM t WHERE n > 1 GROUP BY {by}, place // 2, leaves, n),
+roots AS (SELECT {by}, leaves, h AS root FROM t WHERE n = 1)"""
+
+
+@query("wn16", "audit_log", sql=f"""WITH RECURSIVE l AS (SELECT tenant_id, strftime(created_at, '%Y-%m-%d') AS day, sha256({_PAYLOAD}) AS h, row_number() OVER (PARTITION BY tenant_id, created_at::DATE ORDER BY created_at, id) - 1 AS place, count(*) OVER (PARTITION BY tenant_id, created_at::DATE) AS n FROM audit_log),
+{_roots('l', 'tenant_id, day')} SELECT tenant_id, day, leaves, root FROM roots""")
 def merkle_roots(log: DataFrame) -> DataFrame:
     """A Merkle root for each tenant and day."""
     rows = log.select("tenant_id", F.date_format("created_at", "yyyy-MM-dd").alias("day"), "id", "created_at", F.sha2(payload(), 256).alias("h"))
     return merkle(rows, ["tenant_id", "day"], ["created_at", "id"])
 
 
-@query("str7", "audit_log")
+@query("str7", "audit_log", sql=f"""WITH RECURSIVE d AS (SELECT max(created_at)::DATE - 1 AS day FROM audit_log), l AS (SELECT tenant_id, id, sha256({_PAYLOAD}) AS h, row_number() OVER (PARTITION BY tenant_id ORDER BY id) - 1 AS place, count(*) OVER (PARTITION BY tenant_id) AS n FROM audit_log, d WHERE created_at::DATE = day),
+{_roots('l', 'tenant_id')} SELECT tenant_id, strftime((SELECT day FROM d), '%Y-%m-%d') AS day, leaves, root, sha256(root) AS chained, first_id, last_id FROM roots JOIN (SELECT tenant_id, min(id) AS first_id, max(id) AS last_id FROM l GROUP BY 1) USING (tenant_id)""")
 def daily_anchor(log: DataFrame, today: str | None = None) -> DataFrame:
     """The anchor of the day before ``today`` (unset: the newest day of the table) for each tenant: root, its hash, and the first and last id."""
     newest = F.lit(today).cast("date") if today else F.lit(log.agg(F.max(F.to_date("created_at"))).first()[0])
