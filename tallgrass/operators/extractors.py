@@ -51,6 +51,8 @@ class Extractor:
     least: int = 1
     tags: tuple[tuple[str, str], ...] = ()
     years: bool = False
+    #: Rows of numbers by signature, which are looked for before the first field's ladder: the last number counts, 0 is one that is less sure.
+    rows: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
 
 CAP = 0.96
@@ -90,6 +92,7 @@ ELECTRICITY = Extractor(
         )),
     ),
     base=0.62, step=0.12, dated=0.08, bases={"GENERIC": 0.40}, least=40,
+    rows={"MSEDCL": tuple(r"(?m)एकूण[\s\S]{0,400}?(?:^|\n)\s*" + r"\s+".join([r"(\d+(?:\.\d+)?)"] * n) + r"\b" for n in (6, 5, 4))},
 )
 _KL = r"[^\n:]*[:\-]\s*([\d,]+(?:\.\d+)?)\s*kL"
 WATER = Extractor(
@@ -201,6 +204,14 @@ def value_of(f: Field, text: str) -> float | None:
     return None
 
 
+def row_value(patterns: tuple[str, ...], text: str) -> float | None:
+    """The last number of the first row of numbers that is found."""
+    for p in patterns:
+        if (m := re.search(p, text)) and (v := number(m.groups()[-1])) is not None and v < 1e8:
+            return v
+    return None
+
+
 def extract(text: str | None, by: Extractor) -> tuple[str, tuple[date, date] | None, list[tuple[str, float, str | None, float]], float] | None:
     """(signature, period, fields as (key, value, unit, confidence), confidence of all), or None for another kind of document or one without a field."""
     if not text or len(text) < by.least:
@@ -208,7 +219,9 @@ def extract(text: str | None, by: Extractor) -> tuple[str, tuple[date, date] | N
     name = next((n for n, p in by.signatures if re.search(p, text, re.I)), None)
     if name is None:
         return None
-    found = [(f.key, v, f.unit, f.confidence) for f in by.fields if (v := value_of(f, text)) is not None]
+    first, told = by.fields[0], row_value(by.rows.get(name, ()), text)
+    found = [] if told is None else [(first.key, told, first.unit, first.confidence if told > 0 else 0.85)]
+    found += [(f.key, v, f.unit, f.confidence) for f in by.fields[len(found) :] if (v := value_of(f, text)) is not None]
     if by.tags and found and found[0][0] == by.fields[0].key:
         for key, p in by.tags:
             if key not in {k for k, *_ in found} and re.search(p, text, re.I):

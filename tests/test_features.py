@@ -174,6 +174,14 @@ def test_extractors():
     assert [str(d) for d in extractors.period("Billing Month: February 2024")] == ["2024-02-01", "2024-02-29"] and extractors.period("Billing Month: Smarch 2024") is None
 
 
+def test_rows_of_numbers():
+    head = "महाराष्ट्र स्टेट इलेक्ट्रिसिटी\nवीज पुरवठा देयक माहे: AUG-2025\n"
+    name, days, fields, overall = extractors.extract(head + "चालू मागील एकूण\n 5200 5120 1 80 0 80\n देयक रक्कम रु: 3,380.00", extractors.ELECTRICITY)
+    assert name == "MSEDCL" and [f[:2] for f in fields] == [("purchased_electricity_kwh", 80.0), ("bill_amount_inr", 3380.0)] and [str(d) for d in days] == ["2025-08-01", "2025-08-31"] and overall == pytest.approx(0.94)
+    assert extractors.extract(head + "एकूण\n12 12 1 0\n", extractors.ELECTRICITY)[2] == [("purchased_electricity_kwh", 0.0, "kWh", 0.85)]
+    assert extractors.extract(head + "एकूण : 75 युनिट", extractors.ELECTRICITY)[2][0][1] == 75.0
+
+
 def test_table_function_needs_a_known_extractor(spark):
     rows = spark.createDataFrame([(1, BILL), (2, None)], "id long, text string")
     out = extractors.extracted(rows, "electricity")
