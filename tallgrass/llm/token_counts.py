@@ -64,9 +64,11 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = TOKENIZER, l
         old = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == coded_by)
         first = first.join(old, "content_digest", "left_anti")
     missing = rows.select("doc_id", "text", "content_digest").hint("shuffle_hash").join(first.hint("shuffle_hash"), ["content_digest", "doc_id"], "left_semi")
-    nameless = rows.where(F.col("doc_id").isNull()).select("doc_id", "text", "content_digest").join(first.where(F.col("doc_id").isNull()).hint("shuffle_hash"), "content_digest", "left_semi")
+    if not known.where(F.col("doc_id").isNull()).isEmpty():  # a join does not meet them; the texts are read again for them alone
+        unnamed = first.where(F.col("doc_id").isNull()).hint("shuffle_hash")
+        missing = missing.unionByName(rows.where(F.col("doc_id").isNull()).select("doc_id", "text", "content_digest").join(unnamed, "content_digest", "left_semi"))
     # Repeated rows of a split partition are encoded in two tasks; the cache takes one count for each digest.
-    missing.unionByName(nameless).mapInPandas(encode, CACHE_SCHEMA).dropDuplicates(["content_digest"]).write.mode("append").parquet(cache_path)
+    missing.mapInPandas(encode, CACHE_SCHEMA).dropDuplicates(["content_digest"]).write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == coded_by).dropDuplicates(["content_digest"])
     out = known.join(counts, "content_digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
