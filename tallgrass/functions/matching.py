@@ -84,7 +84,9 @@ def longest_alias(labels: DataFrame, aliases: DataFrame) -> DataFrame:
     ``labels`` has different labels, ``aliases`` (alias, key, place).  An exact
     alias is the longest inside its label, so one rule tells both.
     """
-    table = alias_table(aliases)
+    spark = labels.sparkSession
+    alias_table(aliases).write.parquet(path := scratch_path(spark, "aliases"))
+    table = spark.read.parquet(path)
     low = labels.select("label", F.lower(F.trim("label")).alias("low"))
     texts = low.select("low").distinct()
     hits = occurrences(texts, "low", "low", table, "alias").join(table, F.col("pattern") == F.col("alias"))
@@ -107,8 +109,13 @@ def scored_alias(labels: DataFrame, aliases: DataFrame, least: int = 4, held: fl
     Exact aliases may be short, others have ``least`` characters; of equally long
     ones the first counts.
     """
-    table = alias_table(aliases)
+    spark = labels.sparkSession
+    alias_table(aliases).write.parquet(path := scratch_path(spark, "aliases"))
+    table = spark.read.parquet(path)
+    # written, as both ways read them
     low = labels.select("label", F.lower(F.trim("label")).alias("low")).where(F.length("low") > 0)
+    low.write.parquet(path := scratch_path(spark, "labels"))
+    low = spark.read.parquet(path)
     some = low.select("low").distinct()
     inside = occurrences(some, "low", "low", table, "alias").select(F.col("id").alias("low"), F.col("pattern").alias("alias"))
     parts = table.where(F.length("alias") >= least).select("alias", F.explode(substrings(F.col("alias"))).alias("part"))

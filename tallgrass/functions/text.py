@@ -82,7 +82,7 @@ def redacted_emails(d: DataFrame) -> DataFrame:
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens between white space that are letters and digits only."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t.rlike(r"^[\p{L}\p{N}]+$"))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?<!\S)[\p{L}\p{N}]+(?!\S)"), F.lit(0))
 
 
 @query("sc_s15", "documents", sql=r"SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: regexp_matches(t, '^[\pL\pN]+$')))::BIGINT AS n FROM documents")

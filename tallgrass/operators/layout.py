@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.matching import scored_alias
 from ..functions.units import UNIT_SQL, converted
 from ..plans.catalog import query
+from ..sources.scratch import scratch_path
 from .extractors import _BILLS, _TEXT_SQL, ALIASES, bills
 
 # Words of header rows by the table that they tell; tables in the order that ties go by.
@@ -139,9 +140,12 @@ def harvest(texts: DataFrame, aliases: DataFrame, least: float = 0.6) -> DataFra
     two = x.withColumn("c", cells(F.col("text"))).where(F.size("c") > 1).select("id", "line", F.lit(2).alias("way"), F.inline(pairs)).where(like_value(F.col("value")))
     tail = r"^(.*?)(-?\d[\d,]*\.?\d*)\s*$"
     three = x.where(F.col("text").rlike(tail)).select("id", "line", F.lit(3).alias("way"), stripped(F.regexp_extract("text", tail, 1)).alias("key"), F.regexp_extract("text", tail, 2).alias("value"))
-    asked = two.union(three)
+    found = one.where((F.col("key") != "") & (F.col("value") != "")).union(two).union(three)
+    found.write.parquet(path := scratch_path(texts.sparkSession, "labels-with-values"))  # read for the labels and for the rows
+    found = texts.sparkSession.read.schema(found.schema).parquet(path)
+    asked = found.where(F.col("way") > 1)
     known = scored_alias(asked.select(F.col("key").alias("label")).distinct(), aliases).where(F.col("score") >= least).select(F.col("label").alias("key"))
-    return one.where((F.col("key") != "") & (F.col("value") != "")).union(asked.join(known, "key", "left_semi").select("id", "line", "way", "key", "value"))
+    return found.where(F.col("way") == 1).union(asked.join(known, "key", "left_semi").select("id", "line", "way", "key", "value"))
 
 
 def alias_frame(df: DataFrame) -> DataFrame:
@@ -181,7 +185,9 @@ def parsed_value(raw: Column) -> tuple[Column, Column]:
 
 def mapped(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """``id, canonical, value, unit, sign, confidence`` of (id, text): of each label's canonical name the first value of a document; codes that reduce a bill have a negative sign."""
-    kv = harvest(texts, aliases)
+    kv, spark = harvest(texts, aliases), texts.sparkSession
+    kv.write.parquet(path := scratch_path(spark, "harvest"))
+    kv = spark.read.schema(kv.schema).parquet(path)
     known = scored_alias(kv.select(F.col("key").alias("label")).distinct(), aliases).select(F.col("label").alias("_label"), F.col("key").alias("canonical"), "score")
     clean = stripped(F.regexp_replace(F.regexp_replace("value", r"^[\s:;|*★·.\-]+", ""), r"\s+", " "))
     number, unit = parsed_value(clean)

@@ -87,9 +87,10 @@ def okapi(corpus, asked):
     return [sum(idf.get(w, 0) * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / avg)) for w in tokens(asked)) for d in docs]
 
 
-@pytest.mark.parametrize("seeds", [500, 1])
-def test_search_against_all_scores(spark, tmp_path, monkeypatch, seeds):
-    monkeypatch.setattr(inverted_index, "SEEDS", seeds)
+@pytest.mark.parametrize(("documents", "queries"), [(8192, 2048), (50, 2)])
+def test_search_against_all_scores(spark, tmp_path, monkeypatch, documents, queries):
+    monkeypatch.setattr(inverted_index, "DOCUMENTS", documents)
+    monkeypatch.setattr(inverted_index, "QUERIES", queries)
     r = random.Random(5)
     words = [f"w{int(r.paretovariate(0.7))}" for _ in range(20_000)]
     corpus = [" ".join(r.choice(words) for _ in range(r.randrange(1, 60))) for _ in range(400)] + ["", "!!! ???"]
@@ -105,12 +106,14 @@ def test_search_against_all_scores(spark, tmp_path, monkeypatch, seeds):
         assert not got or got[0][3] == 1.0
 
 
-def test_common_terms_only_add(spark, tmp_path):
-    """A term that every document has is read for the documents that the rare ones have found, not for all."""
+def test_a_posting_moves_once(spark, tmp_path):
+    """However many queries ask for a term; and only terms that are asked for are read."""
     corpus = [f"common shared everywhere rare{i % 100} words{i}" for i in range(3000)]
     index = inverted_index.build(spark.createDataFrame(list(enumerate(corpus)), "id long, text string"), str(tmp_path / "index"))
     found = inverted_index.search(index, spark.createDataFrame([(0, "common shared everywhere rare7 words107")], "query long, text string"), 5)
     assert [x["id"] for x in found.orderBy("rank").collect()] == [107, 7, 207, 307, 407]
+    many = inverted_index.search(index, spark.createDataFrame([(i, f"common rare{i % 100}") for i in range(900)], "query long, text string"), 3)
+    assert many.count() == 2700 and {x["id"] % 100 for x in many.where("query = 42").collect()} == {42}
 
 
 def vectors(spark, n=1500, dims=16, seed=3):
