@@ -34,7 +34,8 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def put(files: fs.FileSystem, path: str, text: str) -> None:
-    """A small file that is there as a whole or not at all."""
+    """A small file that is there as a whole or not at all; its folder is made if need be."""
+    files.create_dir(path.rpartition("/")[0] or "/", recursive=True)
     with files.open_output_stream(f"{path}.part") as out:
         out.write(text.encode())
     files.move(f"{path}.part", path)

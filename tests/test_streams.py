@@ -29,7 +29,7 @@ def flushed(folder):
 def folders(tmp_path):
     source = tmp_path / "log"
     source.mkdir()
-    return [str(source), *(str(tmp_path / x) for x in ("out", "state", "ack"))]
+    return [str(source), *(str(tmp_path / x) for x in ("out", "state", "acks/ack"))]
 
 
 def test_batches_of_records_and_restart(spark, folders):
