@@ -85,6 +85,22 @@ def priors():
     return Window.partitionBy("canonical_key", "document_id").orderBy("created_at", "id").rowsBetween(-8, -1)
 
 
+def deviation(values: Column) -> Column:
+    """Sample deviation of an array, null below two values: Welford's update in their order, as the SQL has it.
+
+    Spark's ``stddev_samp`` rounds its steps otherwise, which tells where a value
+    lies just three deviations away.
+    """
+
+    def step(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        mean = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["squares"] + (x - mean) * (x - s["mean"])).alias("squares"))
+
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+    return F.aggregate(values, start, step, lambda s: F.when(s["n"] > 1, F.sqrt(s["squares"] / (s["n"] - 1))))
+
+
 @query("ag24", "extraction_field", sql="SELECT canonical_key, round(avg(value_num), 6) AS mean, round(stddev_samp(value_num), 6) AS sd, min(value_num) AS low, max(value_num) AS high FROM extraction_field GROUP BY 1")
 def prior_statistics(f: DataFrame) -> DataFrame:
     return f.groupBy("canonical_key").agg(F.round(F.avg("value_num"), 6).alias("mean"), F.round(F.stddev_samp("value_num"), 6).alias("sd"), F.min("value_num").alias("low"), F.max("value_num").alias("high"))
@@ -380,7 +396,7 @@ def field_rows(f: DataFrame) -> DataFrame:
     bounds = f.sparkSession.createDataFrame([(k, 10.0 if k == "revenue" else 0.0, 40.0 if k == "scope1" else 1000.0) for k in KEYS], "canonical_key string, low double, high double")
     w = priors()
     text, unit = (F.element_at(F.lit(xs), (v.cast("long") % len(xs) + 1).cast("int")) for xs in (_TEXTS, _UNITS))
-    stats = f.select("id", "document_id", "canonical_key", "value_num", "created_at", F.count("value_num").over(w).alias("n"), F.avg("value_num").over(w).alias("mean"), F.stddev_samp("value_num").over(w).alias("sd"))
+    stats = f.select("id", "document_id", "canonical_key", "value_num", "created_at", F.count("value_num").over(w).alias("n"), F.avg("value_num").over(w).alias("mean"), deviation(F.collect_list("value_num").over(w)).alias("sd"))
     x = stats.select("id", key.alias("canonical_key"), F.when(doc % 7 > 1, v).alias("value"), F.when(doc % 7 < 2, text).alias("text"), unit.alias("unit"), F.col("created_at").cast("date").alias("period_end"), "n", "mean", "sd")
     return x.join(F.broadcast(bounds), "canonical_key", "left")
 
