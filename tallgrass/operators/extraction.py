@@ -111,7 +111,7 @@ _STATS = f"s AS (SELECT id, value_num AS v, count(*) {PRIOR} AS n, avg(value_num
 
 def with_priors(f: DataFrame) -> DataFrame:
     w = priors()
-    return f.select("id", F.col("value_num").alias("v"), F.count("*").over(w).alias("n"), F.avg("value_num").over(w).alias("mean"), F.stddev_samp("value_num").over(w).alias("sd"))
+    return f.select("id", F.col("value_num").alias("v"), F.count("*").over(w).alias("n"), F.avg("value_num").over(w).alias("mean"), deviation(F.collect_list("value_num").over(w)).alias("sd"))
 
 
 @query("wn3", "extraction_field", sql=f"WITH {_STATS} SELECT id, CASE WHEN n < 3 THEN false WHEN sd < 1e-9 THEN abs(v - mean) > greatest(1, 0.5 * abs(mean)) ELSE abs(v - mean) / sd > 3 END AS outlier FROM s")
