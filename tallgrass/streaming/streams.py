@@ -62,8 +62,8 @@ def src14(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snk5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in files of JSON lines, one for each flush, named by its time; how many each has. The first flush is dated, so that names are known."""
     path = scratch_path(spark, "flushes")
-    stream = record_stream(spark, f"{sf_dir}/events.parquet", FLUSH).select("event_id", "event_type")
-    drained(flush_sink(stream, path, scratch_path(spark, "flushes-state"), now="2024-01-31T12:00:00+00:00"))
+    stream = record_stream(spark, f"{sf_dir}/events.parquet", FLUSH, most=TRIGGER, number="_first").select("event_id", "event_type", "_first")
+    drained(flush_sink(stream, path, scratch_path(spark, "flushes-state"), now="2024-01-31T12:00:00+00:00", flush="_first"))
     rows = spark.read.schema("event_id long, event_type string").json(path)
     return rows.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("flush")).agg(F.count("*").alias("n"))
 
@@ -74,9 +74,9 @@ def tumbling_counts(stream: DataFrame, key: Column, length: str, late: str) -> D
     return timed.groupBy(F.window("at", length).alias("w"), key.alias("key")).agg(F.count("*").alias("n"))
 
 
-def by_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """Write each batch to a folder of its own, so that a batch that runs again replaces itself."""
-    return lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+def by_batch(path: str, name: str = "batch") -> Callable[[DataFrame, int], None]:
+    """Write each batch of Spark to a folder of its own, so that a batch that runs again replaces itself."""
+    return lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/{name}={batch}")
 
 
 def counted(stream: DataFrame, key: Column, length: str, limit: int, late: str, every: str | None = None) -> DataFrame:
@@ -132,8 +132,8 @@ def str5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LIMIT, HOURS, CEILING = 3, 6, 100.0
-#: Records of a batch and of a flush in the queries.
-RECORDS, FLUSH = 64, 2_000
+#: Records of a batch and of a flush in the queries; of a trigger, which takes many of them.
+RECORDS, FLUSH, TRIGGER = 64, 2_000, 1 << 22
 _COUNT = "SELECT strftime(time_bucket(INTERVAL {length}, ts), '%Y-%m-%d %H:%M:%S') AS start, {key} AS key, count(*)::BIGINT AS n, count(*) > {limit} AS over_limit FROM events GROUP BY 1, 2"
 QUERIES.update(src14=src14, snk5=snk5, str1=str1, str2=str2, str3=str3, str4=str4, str5=str5)
 ORACLES.update(
