@@ -52,8 +52,9 @@ def str1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events by batches of so many records, and how many each batch had."""
     path = scratch_path(spark, "events")
-    stream = record_stream(spark, f"{sf_dir}/events.parquet", RECORDS).select("event_id", "event_type", "value")
-    writer = stream.writeStream.foreachBatch(by_batch(path)).option("checkpointLocation", scratch_path(spark, "events-state"))
+    stream = record_stream(spark, f"{sf_dir}/events.parquet", RECORDS, most=TRIGGER, number="_first")
+    stream = stream.select("event_id", "event_type", "value", (F.col("_first") / RECORDS).cast("long").alias("batch"))
+    writer = stream.writeStream.foreachBatch(by_batch(path, "trigger")).option("checkpointLocation", scratch_path(spark, "events-state"))
     drained(writer.start())
     rows = spark.read.schema("event_id long, event_type string, value double, batch long").parquet(path)
     return rows.groupBy("batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
