@@ -44,8 +44,8 @@ def span(rows: DataFrame, at: str) -> str:
 def str1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events through a log with offsets into files that a flush commits."""
     path = scratch_path(spark, "feedback")
-    stream = record_stream(spark, f"{sf_dir}/events.parquet", 8_192, scratch_path(spark, "feedback-read"))
-    drained(flush_sink(stream.select("event_id", "user_id", "event_type"), path, scratch_path(spark, "feedback-state")))
+    stream = record_stream(spark, f"{sf_dir}/events.parquet", 8_192, scratch_path(spark, "feedback-read"), TRIGGER, "_first")
+    drained(flush_sink(stream.select("event_id", "user_id", "event_type", "_first"), path, scratch_path(spark, "feedback-state"), flush="_first"))
     return spark.read.schema("event_id long, user_id long, event_type string").json(path)
 
 
