@@ -23,8 +23,8 @@ from ..sources.scratch import scratch_path
 from .inverted_index import B, EPSILON, K1, best, collection_sizes, impact, rarity, term_counts
 from .text import tokens
 
-#: Bound of the sample that cells are fitted on, rounds of fitting, rows of a part of a list, queries that meet it at a time.
-SAMPLE, ROUNDS, PART, QUERIES = 20_000, 12, 8_192, 4_096
+#: Bound of the sample that cells are fitted on, rounds of fitting, rows of a part of a list, queries that meet it at a time; cosines of queries and cells that a task works out at a time.
+SAMPLE, ROUNDS, PART, QUERIES, COSINES = 20_000, 12, 8_192, 4_096, 65_536
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -99,7 +99,7 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, *kept: str) -
 
 
 def looked_up(index: Cells, probes: DataFrame, k: int, others: bool) -> DataFrame:
-    """``query, id, score``: the ``k`` best of each part of the cells that (query, vector, cell) ask for; with ``others`` a query's own row is left out."""
+    """``query, id, score``: the ``k`` best of each part of the cells that (query, vector, cell, floor) ask for, none below a query's floor; with ``others`` a query's own row is left out."""
     spark = probes.sparkSession
     # queries of a cell are cut in blocks as well, each of which meets every part of its list
     probes.write.parquet(path := scratch_path(spark, "asked"))
@@ -115,34 +115,48 @@ def looked_up(index: Cells, probes: DataFrame, k: int, others: bool) -> DataFram
             return pd.DataFrame({"query": [], "id": [], "score": []}).astype({"query": "int64", "id": "int64"})
         rows = rows.sort_values("id", ignore_index=True)
         x, ids = unit(matrix(rows["embedding"])), rows["id"].to_numpy()
+        asked, names = unit(matrix(queries["vector"])), queries["query"].to_numpy()
+        floors, step = queries["floor"].fillna(-np.inf).to_numpy() - 1e-9, max(1, 16 * COSINES // len(x))
         out = []
-        for q, v in zip(queries["query"], queries["vector"], strict=True):
-            score = np.round(x @ unit(np.asarray(v, np.float64)[None])[0], 6)
+        for c in range(0, len(asked), step):
+            scores = np.round(asked[c : c + step] @ x.T, 6)
             if others:
-                score[ids == q] = -np.inf
-            at = np.argsort(-score, kind="stable")[:k]
-            at = at[score[at] > -np.inf]
-            out.append(pd.DataFrame({"query": q, "id": ids[at], "score": score[at]}))
-        return pd.concat(out)
+                scores[names[c : c + step, None] == ids] = -np.inf
+            for q, score, floor in zip(names[c : c + step], scores, floors[c : c + step], strict=True):
+                at = np.flatnonzero((score >= floor) & (score > -np.inf))
+                at = at[np.argsort(-score[at], kind="stable")[:k]]
+                out.append((np.full(len(at), q), ids[at], score[at]))
+        return pd.DataFrame(dict(zip(("query", "id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     by = ["cell", "part", "block"]
     return lists.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(run, "query long, id long, score double")
 
 
-def probed(index: Cells, queries: DataFrame, probes: int | None) -> DataFrame:
-    """(query, vector, cell, turn, bound) of each query's cells by falling cosine, as many as asked for; ``bound``: no vector of the cell is closer."""
-    sent = queries.sparkSession.sparkContext.broadcast((index.middles, np.arccos(np.clip(index.widths, -1, 1))))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mids, widths = sent.value
-        for b in batches:
-            near = unit(matrix(b["vector"])) @ mids.T if len(b) else np.zeros((0, len(mids)))
-            at = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-            bound = np.cos(np.maximum(np.arccos(np.clip(near, -1, 1)) - widths, 0))
-            rows = np.repeat(np.arange(len(b)), at.shape[1])
-            yield pd.DataFrame({"query": b["query"].to_numpy()[rows], "vector": b["vector"].to_numpy()[rows], "cell": at.ravel().astype("int32"), "turn": np.tile(np.arange(at.shape[1], dtype="int32"), len(b)), "bound": bound[rows, at.ravel()]})
+def cells_of(batches: Iterator[pd.DataFrame], mids: np.ndarray, widths: np.ndarray, probes: int, rest: bool) -> Iterator[pd.DataFrame]:
+    """(query, vector, cell, floor) of (query, vector, floor), few at a time: each query's ``probes`` closest cells; or the ``rest`` of them, as far as their bound is not below its floor.
 
-    return queries.select("query", "vector").mapInPandas(run, "query long, vector array<double>, cell int, turn int, bound double")
+    The bound is the cosine that no vector of the cell exceeds.
+    """
+    size = max(1, COSINES // len(mids))
+    for b in batches:
+        for k in range(0, len(b), size):
+            x = b[k : k + size]
+            near = unit(matrix(x["vector"])) @ mids.T
+            at = np.argsort(-near, axis=1, kind="stable")
+            asked = np.zeros(near.shape, bool)
+            np.put_along_axis(asked, at[:, probes:] if rest else at[:, :probes], True, axis=1)
+            if rest:
+                bound = np.cos(np.maximum(np.arccos(np.clip(near, -1, 1)) - widths, 0))
+                asked &= bound >= x["floor"].fillna(-np.inf).to_numpy()[:, None] - 1e-6
+            row, cell = np.nonzero(asked)
+            yield pd.DataFrame({c: x[c].to_numpy()[row] for c in ("query", "vector", "floor")} | {"cell": cell.astype("int32")})[["query", "vector", "cell", "floor"]]
+
+
+def probed(index: Cells, queries: DataFrame, probes: int, rest: bool = False) -> DataFrame:
+    """``cells_of`` of a table (query, vector, floor)."""
+    sent = queries.sparkSession.sparkContext.broadcast((index.middles, np.arccos(np.clip(index.widths, -1, 1))))
+    kind = queries.schema["vector"].dataType.simpleString()
+    return queries.select("query", "vector", "floor").mapInPandas(lambda batches: cells_of(batches, *sent.value, probes, rest), f"query long, vector {kind}, cell int, floor double")
 
 
 def search(index: Cells, queries: DataFrame, k: int, probes: int = 8, exact: bool = True, others: bool = True) -> DataFrame:
@@ -154,18 +168,15 @@ def search(index: Cells, queries: DataFrame, k: int, probes: int = 8, exact: boo
     spark = queries.sparkSession
     if not len(index.middles):
         return spark.createDataFrame([], "query long, id long, rank int, score double")
-    queries = sound(queries.select("query", F.col("vector").cast("array<double>").alias("embedding"))).withColumnRenamed("embedding", "vector")
-    cells = probed(index, queries, None if exact else probes)
-    cells.write.parquet(path := scratch_path(spark, "probes"))
-    cells = spark.read.parquet(path)
-    first = looked_up(index, cells.where(F.col("turn") < probes).select("query", "vector", "cell"), k, others)
+    queries = sound(queries.select("query", F.col("vector").alias("embedding"))).withColumnRenamed("embedding", "vector")
+    first = looked_up(index, probed(index, queries.withColumn("floor", F.lit(None).cast("double")), probes), k, others)
     if not exact:
         return best(first, k)
     first.write.parquet(path := scratch_path(spark, "first-found"))
     first = spark.read.parquet(path)
     floors = best(first, k).where(F.col("rank") == k).select("query", F.col("score").alias("floor"))
-    rest = cells.where(F.col("turn") >= probes).join(floors, "query", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 1e-6))
-    return best(first.union(looked_up(index, rest.select("query", "vector", "cell"), k, others)), k)
+    rest = probed(index, queries.join(floors, "query", "left"), probes, rest=True)
+    return best(first.union(looked_up(index, rest, k, others)), k)
 
 
 # --- queries: rows with an id divisible by 20 against all that the filter leaves --------------------------------------------
