@@ -72,6 +72,15 @@ def occurrences(texts: DataFrame, id_column: str, text: str, patterns: DataFrame
     return found if found is not None else spark.createDataFrame([], f"id {kind.dataType.simpleString()}, pattern string, n long")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written: a table whose size is known, so that Spark sends one that is small to the rows that join it.
+
+    Otherwise rows would be sorted by their label, and a common label's rows all lie in one task.
+    """
+    df.write.parquet(path := scratch_path(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def alias_table(aliases: DataFrame) -> DataFrame:
     """``alias, key, place`` of (alias, key, place): a repeated alias keeps its first place and takes its last key."""
     low = aliases.select(F.lower(F.trim("alias")).alias("alias"), "key", "place").where(F.length("alias") > 0)
@@ -84,14 +93,12 @@ def longest_alias(labels: DataFrame, aliases: DataFrame) -> DataFrame:
     ``labels`` has different labels, ``aliases`` (alias, key, place).  An exact
     alias is the longest inside its label, so one rule tells both.
     """
-    spark = labels.sparkSession
-    alias_table(aliases).write.parquet(path := scratch_path(spark, "aliases"))
-    table = spark.read.parquet(path)
-    low = labels.select("label", F.lower(F.trim("label")).alias("low"))
+    table = written(alias_table(aliases), "aliases")
+    low = written(labels.select("label", F.lower(F.trim("label")).alias("low")), "labels")  # read for the texts and for the rows
     texts = low.select("low").distinct()
     hits = occurrences(texts, "low", "low", table, "alias").join(table, F.col("pattern") == F.col("alias"))
     best = hits.groupBy("id").agg(F.max_by(F.struct("alias", "key"), F.struct(F.length("alias"), -F.col("place"), "alias")).alias("best"))
-    return low.join(best, F.col("low") == F.col("id")).select("label", "best.alias", "best.key")
+    return written(low.join(best, F.col("low") == F.col("id")).select("label", "best.alias", "best.key"), "labels-with-aliases")
 
 
 def substrings(c: Column, least: int = 1) -> Column:
@@ -109,13 +116,9 @@ def scored_alias(labels: DataFrame, aliases: DataFrame, least: int = 4, held: fl
     Exact aliases may be short, others have ``least`` characters; of equally long
     ones the first counts.
     """
-    spark = labels.sparkSession
-    alias_table(aliases).write.parquet(path := scratch_path(spark, "aliases"))
-    table = spark.read.parquet(path)
+    table = written(alias_table(aliases), "aliases")
     # written, as both ways read them
-    low = labels.select("label", F.lower(F.trim("label")).alias("low")).where(F.length("low") > 0)
-    low.write.parquet(path := scratch_path(spark, "labels"))
-    low = spark.read.parquet(path)
+    low = written(labels.select("label", F.lower(F.trim("label")).alias("low")).where(F.length("low") > 0), "labels")
     some = low.select("low").distinct()
     inside = occurrences(some, "low", "low", table, "alias").select(F.col("id").alias("low"), F.col("pattern").alias("alias"))
     parts = table.where(F.length("alias") >= least).select("alias", F.explode(substrings(F.col("alias"))).alias("part"))
@@ -123,7 +126,7 @@ def scored_alias(labels: DataFrame, aliases: DataFrame, least: int = 4, held: fl
     hits = inside.union(around).join(table, "alias")
     exact = F.col("low") == F.col("alias")
     best = hits.where(exact | (F.length("alias") >= least)).groupBy("low").agg(F.max_by(F.struct("alias", "key", exact.alias("exact")), F.struct(exact, F.length("alias"), -F.col("place"), "alias")).alias("b"))
-    return low.join(best, "low").select("label", "b.alias", "b.key", F.when(F.col("b.exact"), 1.0).otherwise(held).alias("score"))
+    return written(low.join(best, "low").select("label", "b.alias", "b.key", F.when(F.col("b.exact"), 1.0).otherwise(held).alias("score")), "scored-labels")
 
 
 # --- queries: aliases out of the benchmark's passages, labels and texts out of the documents ------------------------
