@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matching import scored_alias
+from ..functions.matching import scored_alias, written
 from ..functions.units import UNIT_SQL, converted
 from ..plans.catalog import query
-from ..sources.scratch import scratch_path
 from .extractors import _BILLS, _TEXT_SQL, ALIASES, bills
 
 # Words of header rows by the table that they tell; tables in the order that ties go by.
@@ -39,7 +38,7 @@ NUMBER, DAY = r"-?\d[\d,]*\.?\d*", r"\d{1,2}[-/.][A-Za-z0-9]{2,9}[-/.]\d{2,4}|\d
 
 def stripped(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def most_hits(hits: dict[str, Column], otherwise: str) -> tuple[Column, Column]:
@@ -102,11 +101,15 @@ def energy_of(line: Column) -> Column:
     return kind
 
 
+def metered(line: Column, least: int) -> Column:
+    """Whether a line names an energy, by one pattern for all, and has so many numbers."""
+    return F.upper(line).rlike(rf"\b(?:{'|'.join(ENERGIES)})\b") & (F.regexp_count(line, F.lit(NUMBER)) >= least)
+
+
 def meter_rows(lines: DataFrame) -> DataFrame:
     """``id, line, energy, numbers`` of (id, line, text): lines that name an energy and have two numbers and more."""
-    x = lines.select("id", "line", energy_of(F.col("text")).alias("energy"), F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0)).alias("n")).where(F.col("energy").isNotNull())
-    x = x.withColumn("numbers", F.transform("n", lambda s: F.replace(s, F.lit(",")).cast("double")))
-    return x.where(F.size("numbers") >= 2).select("id", "line", "energy", "numbers")
+    numbers = F.transform(F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0)), lambda s: F.replace(s, F.lit(",")).cast("double"))
+    return lines.where(metered(F.col("text"), 2)).select("id", "line", energy_of(F.col("text")).alias("energy"), numbers.alias("numbers"))
 
 
 def cells(text: Column) -> Column:
@@ -120,29 +123,36 @@ def like_value(c: Column) -> Column:
 
 def text_lines(texts: DataFrame) -> DataFrame:
     """``id, line, text`` of (id, text): trimmed lines that are not empty and no comment, from 0."""
-    x = texts.select("id", F.posexplode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")).alias("line", "t"))
-    x = x.select("id", "line", stripped(F.col("t")).alias("text"))
+    lines = F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")
+    # trimmed before they are parted, or each later use of a line would trim it again
+    x = texts.select("id", F.posexplode(F.transform(lines, stripped)).alias("line", "text"))
     return x.where((F.col("text") != "") & ~F.startswith("text", F.lit("#")))
 
 
+def labels_with_values(texts: DataFrame) -> DataFrame:
+    """``id, line, way, key, value`` of (id, text), the rows of ``harvest`` before aliases are asked. Lines are looked at once, by plain patterns before others, and written."""
+    text, apart, tail = F.col("text"), r"\s{2}|\t", r"^(.*?)(-?\d[\d,]*\.?\d*)\s*$"
+    x = text_lines(texts).where(~metered(text, 3))
+    at = F.locate(":", text)
+    rest = stripped(F.substring(text, at + 1, F.length(text)))
+    x = x.select(
+        "id", "line", F.when(at > 0, stripped(F.substring(text, F.lit(1), at - 1))).alias("k1"), F.when(at > 0, F.when(rest.rlike(apart), F.get(cells(rest), F.lit(0))).otherwise(rest)).alias("v1"),
+        F.when(text.rlike(apart), cells(text)).alias("c"), *(F.when(text.rlike(r"[\d,.]\s*$"), F.regexp_extract(text, tail, k)).alias(c) for k, c in ((1, "k3"), (2, "v3"))),
+    )
+    x = written(x, "lines")
+    one = x.where((F.col("k1") != "") & (F.col("v1") != "")).select("id", "line", F.lit(1).alias("way"), F.col("k1").alias("key"), F.col("v1").alias("value"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.struct(F.get("c", i).alias("key"), F.get("c", i + 1).alias("value")))
+    two = x.where(F.size("c") > 1).select("id", "line", F.lit(2).alias("way"), F.inline(pairs)).where(like_value(F.col("value")))
+    three = x.where(F.col("v3") != "").select("id", "line", F.lit(3).alias("way"), stripped(F.col("k3")).alias("key"), F.col("v3").alias("value"))
+    return one.union(two).union(three)
+
+
 def harvest(texts: DataFrame, aliases: DataFrame, least: float = 0.6) -> DataFrame:
     """``id, line, way, key, value`` of (id, text): what a colon parts, cells beside a cell that an alias names, and a number behind a label that one names.
 
     ``way`` is 1, 2 or 3; lines of meters give none of them.
     """
-    x = text_lines(texts)
-    metered = energy_of(F.col("text")).isNotNull() & (F.regexp_count("text", F.lit(NUMBER)) >= 3)
-    x = x.where(~metered)
-    at = F.locate(":", F.col("text"))
-    rest = F.substring(F.col("text"), at + 1, F.length("text"))
-    one = x.where(at > 0).select("id", "line", F.lit(1).alias("way"), stripped(F.substring(F.col("text"), F.lit(1), at - 1)).alias("key"), F.coalesce(F.get(cells(rest), F.lit(0)), stripped(rest)).alias("value"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.struct(F.get("c", i).alias("key"), F.get("c", i + 1).alias("value")))
-    two = x.withColumn("c", cells(F.col("text"))).where(F.size("c") > 1).select("id", "line", F.lit(2).alias("way"), F.inline(pairs)).where(like_value(F.col("value")))
-    tail = r"^(.*?)(-?\d[\d,]*\.?\d*)\s*$"
-    three = x.where(F.col("text").rlike(tail)).select("id", "line", F.lit(3).alias("way"), stripped(F.regexp_extract("text", tail, 1)).alias("key"), F.regexp_extract("text", tail, 2).alias("value"))
-    found = one.where((F.col("key") != "") & (F.col("value") != "")).union(two).union(three)
-    found.write.parquet(path := scratch_path(texts.sparkSession, "labels-with-values"))  # read for the labels and for the rows
-    found = texts.sparkSession.read.schema(found.schema).parquet(path)
+    found = labels_with_values(texts)
     asked = found.where(F.col("way") > 1)
     known = scored_alias(asked.select(F.col("key").alias("label")).distinct(), aliases).where(F.col("score") >= least).select(F.col("label").alias("key"))
     return found.where(F.col("way") == 1).union(asked.join(known, "key", "left_semi").select("id", "line", "way", "key", "value"))
@@ -183,18 +193,16 @@ def parsed_value(raw: Column) -> tuple[Column, Column]:
     return F.when(plain.rlike(r"^-?\d[\d,]*\.?\d*\s*[a-z₹/]*$"), F.regexp_extract(plain, NUMBER, 0).try_cast("double")), unit
 
 
-def mapped(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``id, canonical, value, unit, sign, confidence`` of (id, text): of each label's canonical name the first value of a document; codes that reduce a bill have a negative sign."""
-    kv, spark = harvest(texts, aliases), texts.sparkSession
-    kv.write.parquet(path := scratch_path(spark, "harvest"))
-    kv = spark.read.schema(kv.schema).parquet(path)
-    known = scored_alias(kv.select(F.col("key").alias("label")).distinct(), aliases).select(F.col("label").alias("_label"), F.col("key").alias("canonical"), "score")
-    clean = stripped(F.regexp_replace(F.regexp_replace("value", r"^[\s:;|*★·.\-]+", ""), r"\s+", " "))
-    number, unit = parsed_value(clean)
-    x = kv.join(known, F.col("key") == F.col("_label")).select("id", "line", "way", "canonical", "score", clean.alias("raw"), number.alias("value"), unit.alias("unit"))
-    first = x.groupBy("id", "canonical").agg(F.min_by(F.struct("raw", "value", "unit", "score"), F.struct("line", "way")).alias("f"))
+def mapped(texts: DataFrame, aliases: DataFrame, least: float = 0.6) -> DataFrame:
+    """``id, canonical, value, unit, sign, confidence`` of (id, text): of each label's canonical name the first value that ``harvest`` finds in a document; codes that reduce a bill have a negative sign."""
+    found = labels_with_values(texts)
+    known = scored_alias(found.select(F.col("key").alias("label")).distinct(), aliases).select("label", F.col("key").alias("canonical"), "score")
+    x = found.join(known, F.col("key") == F.col("label")).where((F.col("way") == 1) | (F.col("score") >= least))
+    first = x.groupBy("id", "canonical").agg(F.min_by(F.struct("value", "score"), F.struct("line", "way")).alias("f"))
+    first = first.select("id", "canonical", stripped(F.regexp_replace(F.regexp_replace("f.value", r"^[\s:;|*★·.\-]+", ""), r"\s+", " ")).alias("raw"), "f.score")
+    number, unit = parsed_value(F.col("raw"))
     sign = F.when(F.col("canonical").isin(*NEGATIVE), -1).otherwise(1)
-    return first.select("id", "canonical", "f.raw", "f.value", "f.unit", sign.alias("sign"), F.round(0.7 + 0.3 * F.col("f.score"), 3).alias("confidence"))
+    return first.select("id", "canonical", "raw", number.alias("value"), unit.alias("unit"), sign.alias("sign"), F.round(0.7 + 0.3 * F.col("score"), 3).alias("confidence"))
 
 
 _UNIT_OF = "CASE " + " ".join(f"WHEN contains(lower(v), '{u}') THEN '{u.replace('m³', 'm3')}'" for u in VALUE_UNITS) + " END"
